@@ -72,3 +72,205 @@ QUERIES = {
     "dedup_events": q_dedup_events,
     "filter_short_cases": q_filter_short_cases,
 }
+
+
+# ---------------------------------------------------------------- derived logs with planted nulls / noise
+# The test tables have no nulls, so null and disorder paths are planted with
+# deterministic rules on the row key (same rule in the DuckDB twin).
+
+def _events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _out(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(*[ntz(c).alias(c) if c in ("timestamp",) else F.col(f"`{c}`") for c in cols])
+
+
+def q_canonical_schema(spark, sf_dir):
+    """PRJ-1: candidates CaseID (has nulls) vs trace_id (none) -> trace_id; Activity before task; time."""
+    e = _events(spark, sf_dir)
+    raw = e.select(F.when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.col("user_id")).alias("CaseID"),
+                   F.col("user_id").cast("string").alias("trace_id"), F.col("event_type").alias("Activity"),
+                   F.concat(F.col("event_type"), F.lit("_x")).alias("task"), F.col("ts").alias("time"), "event_id")
+    n = schema.normalize_schema(raw)
+    return _out(n, ["CaseID", "case_id", "activity", "task", "timestamp", "event_id"])
+
+
+def _noisy_user_log(spark, sf_dir):
+    log = testlogs.user_log(spark, sf_dir)
+    i = F.col("_event_index")
+    act = (F.when(i % 13 == 0, F.lit(None)).when(i % 11 == 0, F.lit("nan")).when(i % 7 == 0, F.lit(""))
+           .when(i % 5 == 0, F.concat(F.lit(" "), F.col("activity"), F.lit(" "))).otherwise(F.col("activity")))
+    ts = F.when(i % 17 == 0, F.lit(None)).otherwise(F.col("timestamp"))
+    return log.withColumn("activity", act).withColumn("timestamp", ts)
+
+
+def q_clean_events(spark, sf_dir):
+    """PRJ-5: null time dropped, null activity -> UNKNOWN."""
+    c = schema.clean_events(_noisy_user_log(spark, sf_dir))
+    return _out(c, ["case_id", "activity", "timestamp", "_event_index"])
+
+
+def q_normalize_activities(spark, sf_dir):
+    """PRJ-6: trim; '', 'nan', 'None', null -> UNKNOWN."""
+    c = schema.normalize_activities(_noisy_user_log(spark, sf_dir))
+    return _out(c, ["case_id", "activity", "_event_index"])
+
+
+def _shuffled_time_log(spark, sf_dir):
+    log = testlogs.user_log(spark, sf_dir)
+    back = F.col("timestamp") - F.expr("INTERVAL 2 HOURS")
+    return log.withColumn("timestamp", F.when(F.col("_event_index") % 4 == 0, back).otherwise(F.col("timestamp")))
+
+
+def q_repair_ts_ffill(spark, sf_dir):
+    """PRJ-7: running max of time in source order."""
+    return _out(schema.repair_timestamps(_shuffled_time_log(spark, sf_dir), "forward_fill"),
+                ["case_id", "_event_index", "timestamp"])
+
+
+def q_repair_ts_drop(spark, sf_dir):
+    """PRJ-8: drop events earlier than their original predecessor."""
+    return _out(schema.repair_timestamps(_shuffled_time_log(spark, sf_dir), "drop"),
+                ["case_id", "_event_index", "timestamp"])
+
+
+def _holey_customer_log(spark, sf_dir):
+    log = testlogs.customer_log(spark, sf_dir)
+    k = F.col("_event_index")
+    return (log.withColumn("o_totalprice", F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("o_totalprice")))
+            .withColumn("o_orderpriority", F.when(k % 3 == 0, F.lit(None)).otherwise(F.col("o_orderpriority"))))
+
+
+def q_impute_attrs(spark, sf_dir):
+    """PRJ-9: numeric null -> median, text null -> mode (ties: smallest)."""
+    c = schema.impute_missing_attributes(_holey_customer_log(spark, sf_dir))
+    return c.select("case_id", "_event_index", "o_orderpriority", round_half_up("o_totalprice", 4).alias("o_totalprice"))
+
+
+def q_drop_columns(spark, sf_dir):
+    """PRJ-4: listed columns dropped, unknown names ignored."""
+    d = schema.drop_columns(testlogs.customer_log(spark, sf_dir), ["o_totalprice", "not_there"])
+    return _out(d, d.columns)
+
+
+def q_dedup_stats(spark, sf_dir):
+    """FLT-2 on the line log."""
+    return filters.dedup_stats(testlogs.line_log(spark, sf_dir)).select(
+        "n_rows", "n_dropped", "n_dup_groups", "max_group_size", round_half_up("dup_rate", 6).alias("dup_rate"))
+
+
+def q_dedup_keep_last(spark, sf_dir):
+    """FLT-1 keep='last' on the customer log."""
+    d = filters.deduplicate_events(testlogs.customer_log(spark, sf_dir), keep="last")
+    return _out(d, ["case_id", "activity", "timestamp", "_event_index"])
+
+
+def q_dedup_keep_none(spark, sf_dir):
+    """FLT-1 keep=none: every duplicated key disappears."""
+    d = filters.deduplicate_events(testlogs.customer_log(spark, sf_dir), keep="none")
+    return _out(d, ["case_id", "activity", "timestamp", "_event_index"])
+
+
+def q_filter_case_length(spark, sf_dir):
+    """FLT-4: customer cases longer than int(p99 length) dropped."""
+    d = filters.filter_case_length(testlogs.customer_log(spark, sf_dir), 99.0)
+    return d.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def q_filter_zero_duration(spark, sf_dir):
+    """FLT-5 on the line log."""
+    d = filters.filter_zero_duration_cases(testlogs.line_log(spark, sf_dir))
+    return d.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def _fine_activity_log(spark, sf_dir):
+    log = testlogs.user_day_log(spark, sf_dir)
+    return log.withColumn("activity", F.concat_ws(":", F.col("activity"), (F.col("prop_k") % 20).cast("string")))
+
+
+def q_filter_infrequent_activities(spark, sf_dir):
+    """FLT-6: activities in fewer than max(1, int(0.005 * #cases)) cases dropped."""
+    d = filters.filter_infrequent_activities(_fine_activity_log(spark, sf_dir), 0.005)
+    return d.groupBy("activity").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def q_filter_consecutive_dups(spark, sf_dir):
+    """FLT-7 on the user log."""
+    return _out(filters.filter_consecutive_duplicates(testlogs.user_log(spark, sf_dir)),
+                ["case_id", "activity", "_event_index"])
+
+
+def q_filter_rare_variants(spark, sf_dir):
+    """FLT-8: user-day cases whose variant occurs in < 5 cases dropped."""
+    d = filters.filter_rare_variants(testlogs.user_day_log(spark, sf_dir), 5)
+    return _out(d, ["case_id", "activity", "_event_index"])
+
+
+def q_since_date(spark, sf_dir):
+    """FLT-9: user-day cases starting on/after 2024-01-15."""
+    return _out(filters.filter_since_date(testlogs.user_day_log(spark, sf_dir), "2024-01-15"),
+                ["case_id", "_event_index"])
+
+
+def q_recent_pct(spark, sf_dir):
+    """FLT-10: latest 80 % of customer cases by start (ties by case_id)."""
+    d = filters.filter_recent_pct(testlogs.customer_log(spark, sf_dir), 80.0)
+    return d.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def _lifecycle_log(spark, sf_dir):
+    log = testlogs.user_log(spark, sf_dir)
+    lc = (F.when(F.col("activity").isin("view", "click"), F.lit(" Start"))
+          .when(F.col("_event_index") % 9 == 0, F.lit(None)).otherwise(F.lit("complete ")))
+    return log.withColumn("lifecycle:transition", lc)
+
+
+def q_lifecycle_keep(spark, sf_dir):
+    """FLT-11: keep 'complete' (trim, case-insensitive)."""
+    return _out(filters.lifecycle_keep(_lifecycle_log(spark, sf_dir), ["COMPLETE"]), ["case_id", "_event_index"])
+
+
+def q_lifecycle_drop(spark, sf_dir):
+    """FLT-12: drop exact ' Start'."""
+    return _out(filters.lifecycle_drop(_lifecycle_log(spark, sf_dir), [" Start"]), ["case_id", "_event_index"])
+
+
+def q_lifecycle_collapse_occurrence(spark, sf_dir):
+    """WIN-9/10 without EventID: group by (case, activity, occurrence)."""
+    from caseflow.operators.lifecycle import lifecycle_collapse
+    d = lifecycle_collapse(_lifecycle_log(spark, sf_dir), use_event_id=False)
+    return _out(d, ["case_id", "activity", "_occurrence", "_event_index", "timestamp"])
+
+
+def q_lifecycle_collapse_id(spark, sf_dir):
+    """WIN-10 with EventID (= prop_k as text): group by (case, EventID)."""
+    from caseflow.operators.lifecycle import lifecycle_collapse
+    log = _lifecycle_log(spark, sf_dir).withColumn("EventID", F.col("prop_k").cast("string"))
+    d = lifecycle_collapse(log, use_event_id=True)
+    return _out(d, ["case_id", "EventID", "activity", "_event_index", "timestamp"])
+
+
+QUERIES.update({
+    "canonical_schema": q_canonical_schema,
+    "clean_events": q_clean_events,
+    "normalize_activities": q_normalize_activities,
+    "repair_ts_ffill": q_repair_ts_ffill,
+    "repair_ts_drop": q_repair_ts_drop,
+    "impute_attrs": q_impute_attrs,
+    "drop_columns": q_drop_columns,
+    "dedup_stats": q_dedup_stats,
+    "dedup_keep_last": q_dedup_keep_last,
+    "dedup_keep_none": q_dedup_keep_none,
+    "filter_case_length": q_filter_case_length,
+    "filter_zero_duration": q_filter_zero_duration,
+    "filter_infrequent_activities": q_filter_infrequent_activities,
+    "filter_consecutive_dups": q_filter_consecutive_dups,
+    "filter_rare_variants": q_filter_rare_variants,
+    "since_date": q_since_date,
+    "recent_pct": q_recent_pct,
+    "lifecycle_keep": q_lifecycle_keep,
+    "lifecycle_drop": q_lifecycle_drop,
+    "lifecycle_collapse_occurrence": q_lifecycle_collapse_occurrence,
+    "lifecycle_collapse_id": q_lifecycle_collapse_id,
+})

@@ -79,3 +79,178 @@ WHERE case_id IN (SELECT case_id FROM log GROUP BY case_id HAVING count(*) >= 2)
 }
 
 __all__ = ["ORACLE", "rhu", "sec", "USER_LOG_SQL", "LINE_LOG_SQL", "CUSTOMER_LOG_SQL", "USER_DAY_LOG_SQL"]
+
+
+NOISY_USER_LOG = f"""
+ul AS ({USER_LOG_SQL}),
+noisy AS (
+  SELECT case_id,
+    CASE WHEN _event_index % 13 = 0 THEN NULL WHEN _event_index % 11 = 0 THEN 'nan'
+         WHEN _event_index % 7 = 0 THEN '' WHEN _event_index % 5 = 0 THEN ' ' || activity || ' '
+         ELSE activity END AS activity,
+    CASE WHEN _event_index % 17 = 0 THEN NULL ELSE "timestamp" END AS "timestamp",
+    _event_index, value, prop_k
+  FROM ul)
+"""
+
+SHUFFLED_TIME_LOG = f"""
+ul AS ({USER_LOG_SQL}),
+sh AS (SELECT case_id, activity, _event_index,
+         CASE WHEN _event_index % 4 = 0 THEN "timestamp" - INTERVAL 2 HOUR ELSE "timestamp" END AS "timestamp"
+       FROM ul)
+"""
+
+HOLEY_CUSTOMER_LOG = f"""
+cl AS ({CUSTOMER_LOG_SQL}),
+holey AS (SELECT case_id, activity, "timestamp", _event_index,
+    CASE WHEN _event_index % 3 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+    CASE WHEN _event_index % 5 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice
+  FROM cl)
+"""
+
+FINE_ACTIVITY_LOG = f"""
+udl AS ({USER_DAY_LOG_SQL}),
+fine AS (SELECT case_id, activity || ':' || CAST(prop_k % 20 AS VARCHAR) AS activity, "timestamp", _event_index FROM udl)
+"""
+
+LIFECYCLE_LOG = f"""
+ul AS ({USER_LOG_SQL}),
+lc AS (SELECT *, CASE WHEN activity IN ('view', 'click') THEN ' Start'
+                      WHEN _event_index % 9 = 0 THEN NULL ELSE 'complete ' END AS "lifecycle:transition"
+       FROM ul)
+"""
+
+VARIANTS = """
+variants AS (
+  SELECT case_id, string_agg(activity, '>' ORDER BY "timestamp", _event_index) AS variant, count(*) AS n_events
+  FROM {src} GROUP BY case_id)
+"""
+
+ORACLE.update({
+    "canonical_schema": """
+SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id END AS CaseID, CAST(user_id AS VARCHAR) AS case_id,
+       event_type AS activity, event_type || '_x' AS task, ts AS "timestamp", event_id
+FROM events
+""",
+    "clean_events": f"""
+WITH {NOISY_USER_LOG}
+SELECT case_id, coalesce(activity, 'UNKNOWN') AS activity, "timestamp", _event_index FROM noisy
+WHERE "timestamp" IS NOT NULL
+""",
+    "normalize_activities": f"""
+WITH {NOISY_USER_LOG}
+SELECT case_id, CASE WHEN trim(activity) IS NULL OR trim(activity) IN ('', 'nan', 'None') THEN 'UNKNOWN'
+                     ELSE trim(activity) END AS activity, _event_index FROM noisy
+""",
+    "repair_ts_ffill": f"""
+WITH {SHUFFLED_TIME_LOG}
+SELECT case_id, _event_index,
+       max("timestamp") OVER (PARTITION BY case_id ORDER BY _event_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS "timestamp"
+FROM sh
+""",
+    "repair_ts_drop": f"""
+WITH {SHUFFLED_TIME_LOG},
+lagged AS (SELECT *, lag("timestamp") OVER (PARTITION BY case_id ORDER BY _event_index) AS prev FROM sh)
+SELECT case_id, _event_index, "timestamp" FROM lagged WHERE prev IS NULL OR "timestamp" >= prev
+""",
+    "impute_attrs": f"""
+WITH {HOLEY_CUSTOMER_LOG},
+med AS (SELECT quantile_cont(o_totalprice, 0.5) AS m FROM holey),
+md AS (SELECT o_orderpriority AS m FROM holey WHERE o_orderpriority IS NOT NULL
+       GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority ASC LIMIT 1)
+SELECT case_id, _event_index, coalesce(o_orderpriority, (SELECT m FROM md)) AS o_orderpriority,
+       {rhu('coalesce(o_totalprice, (SELECT m FROM med))', 4)} AS o_totalprice
+FROM holey
+""",
+    "drop_columns": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL})
+SELECT case_id, activity, "timestamp", _event_index, o_orderpriority FROM cl
+""",
+    "dedup_stats": f"""
+WITH ll AS ({LINE_LOG_SQL}),
+g AS (SELECT count(*) AS n FROM ll GROUP BY case_id, activity, "timestamp")
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_dropped,
+       CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS n_dup_groups, CAST(max(n) AS BIGINT) AS max_group_size,
+       {rhu('sum(n - 1) / sum(n)', 6)} AS dup_rate
+FROM g
+""",
+    "dedup_keep_last": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL})
+SELECT case_id, activity, "timestamp", _event_index FROM (
+  SELECT *, row_number() OVER (PARTITION BY case_id, activity, "timestamp" ORDER BY _event_index DESC) AS rn FROM cl)
+WHERE rn = 1
+""",
+    "dedup_keep_none": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL})
+SELECT case_id, activity, "timestamp", _event_index FROM (
+  SELECT *, count(*) OVER (PARTITION BY case_id, activity, "timestamp") AS c FROM cl)
+WHERE c = 1
+""",
+    "filter_case_length": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL}),
+sizes AS (SELECT case_id, count(*) AS n FROM cl GROUP BY case_id),
+thr AS (SELECT CAST(floor(quantile_cont(n, 0.99)) AS BIGINT) AS t FROM sizes)
+SELECT case_id, n AS n_events FROM sizes WHERE n <= (SELECT t FROM thr)
+""",
+    "filter_zero_duration": f"""
+WITH ll AS ({LINE_LOG_SQL})
+SELECT case_id, count(*) AS n_events FROM ll GROUP BY case_id HAVING max("timestamp") > min("timestamp")
+""",
+    "filter_infrequent_activities": f"""
+WITH {FINE_ACTIVITY_LOG},
+thr AS (SELECT greatest(1, CAST(floor(count(DISTINCT case_id) * 0.005) AS BIGINT)) AS t FROM fine),
+rare AS (SELECT activity FROM fine GROUP BY activity HAVING count(DISTINCT case_id) < (SELECT t FROM thr))
+SELECT activity, count(*) AS n_events FROM fine WHERE activity NOT IN (SELECT activity FROM rare) GROUP BY activity
+""",
+    "filter_consecutive_dups": f"""
+WITH ul AS ({USER_LOG_SQL}),
+l AS (SELECT *, lag(activity) OVER (PARTITION BY case_id ORDER BY "timestamp", _event_index) AS prev FROM ul)
+SELECT case_id, activity, _event_index FROM l WHERE prev IS NULL OR prev <> activity
+""",
+    "filter_rare_variants": f"""
+WITH udl AS ({USER_DAY_LOG_SQL}), {VARIANTS.format(src='udl')},
+vc AS (SELECT variant, count(*) AS c FROM variants GROUP BY variant)
+SELECT case_id, activity, _event_index FROM udl
+WHERE case_id NOT IN (SELECT case_id FROM variants JOIN vc USING (variant) WHERE c < 5)
+""",
+    "since_date": f"""
+WITH udl AS ({USER_DAY_LOG_SQL})
+SELECT case_id, _event_index FROM udl
+WHERE case_id IN (SELECT case_id FROM udl GROUP BY case_id HAVING min("timestamp") >= TIMESTAMP '2024-01-15')
+""",
+    "recent_pct": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL}),
+starts AS (SELECT case_id, min("timestamp") AS s, count(*) AS n FROM cl GROUP BY case_id),
+ranked AS (SELECT *, row_number() OVER (ORDER BY s, case_id) AS r FROM starts)
+SELECT case_id, n AS n_events FROM ranked
+WHERE r > (SELECT CAST(floor(count(*) * (CAST(1.0 AS DOUBLE) - CAST(80.0 AS DOUBLE) / 100.0)) AS BIGINT) FROM starts)
+""",
+    "lifecycle_keep": f"""
+WITH {LIFECYCLE_LOG}
+SELECT case_id, _event_index FROM lc WHERE lower(trim("lifecycle:transition")) IN ('complete')
+""",
+    "lifecycle_drop": f"""
+WITH {LIFECYCLE_LOG}
+SELECT case_id, _event_index FROM lc WHERE "lifecycle:transition" IS NULL OR "lifecycle:transition" NOT IN (' Start')
+""",
+    "lifecycle_collapse_occurrence": f"""
+WITH {LIFECYCLE_LOG},
+fl AS (SELECT *, CASE WHEN lag(activity) OVER w IS NULL OR activity <> lag(activity) OVER w
+                        OR coalesce(lower(trim("lifecycle:transition")) = 'start', false) THEN 1 ELSE 0 END AS f
+       FROM lc WINDOW w AS (PARTITION BY case_id ORDER BY "timestamp", _event_index)),
+oc AS (SELECT *, CAST(sum(f) OVER (PARTITION BY case_id ORDER BY "timestamp", _event_index
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS _occurrence FROM fl),
+pick AS (SELECT *, row_number() OVER (PARTITION BY case_id, activity, _occurrence ORDER BY
+           CAST(coalesce(lower(trim("lifecycle:transition")) = 'complete', false) AS INTEGER) DESC,
+           "timestamp" DESC, _event_index DESC) AS rn FROM oc)
+SELECT case_id, activity, _occurrence, _event_index, "timestamp" FROM pick WHERE rn = 1
+""",
+    "lifecycle_collapse_id": f"""
+WITH {LIFECYCLE_LOG},
+ev AS (SELECT *, CAST(prop_k AS VARCHAR) AS EventID FROM lc),
+pick AS (SELECT *, row_number() OVER (PARTITION BY case_id, EventID ORDER BY
+           CAST(coalesce(lower(trim("lifecycle:transition")) = 'complete', false) AS INTEGER) DESC,
+           "timestamp" DESC, _event_index DESC) AS rn FROM ev WHERE EventID IS NOT NULL)
+SELECT case_id, EventID, activity, _event_index, "timestamp" FROM pick WHERE rn = 1
+""",
+})
