@@ -92,9 +92,9 @@ class PrefixLenAdaptive:
 
     def expr(self) -> Column:
         k = F.least(F.greatest(_int_col(self.prefix_len_col), F.lit(self.clamp_lower)), F.lit(self.edges_[-1]))
-        e = None
-        for i, edge in reversed(list(enumerate(self.edges_))):
-            e = F.when(k <= F.lit(edge), F.lit(i + 1)) if e is None else F.when(k <= F.lit(edge), F.lit(i + 1)).otherwise(e)
+        e = F
+        for i, edge in enumerate(self.edges_):
+            e = e.when(k <= F.lit(edge), F.lit(i + 1))
         return e.otherwise(F.lit(len(self.edges_)))
 
     def assign(self, df: DataFrame, bucket_col: str = "bucket_id") -> DataFrame:

@@ -274,3 +274,289 @@ QUERIES.update({
     "lifecycle_collapse_occurrence": q_lifecycle_collapse_occurrence,
     "lifecycle_collapse_id": q_lifecycle_collapse_id,
 })
+
+
+# ---------------------------------------------------------------- labels, prefixes, splits, buckets, encoders
+
+def customer_case_log(spark, sf_dir):
+    """Customer log + case attributes from ``customer`` and planted nulls in event attributes."""
+    log = _holey_customer_log(spark, sf_dir)
+    cust = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_custkey").cast("string").alias("case_id"), F.col("c_mktsegment").alias("case:segment"),
+        F.col("c_acctbal").alias("case:acctbal"))
+    return log.join(cust, "case_id")
+
+
+def model_prefixes(spark, sf_dir, max_prefix_len: int = 30, **kw):
+    return prefixes.extract_prefixes(customer_case_log(spark, sf_dir), max_prefix_len=max_prefix_len, **kw)
+
+
+def model_frame(spark, sf_dir):
+    """Prefixes of the customer log with a random case split (the modelling base)."""
+    from caseflow.operators.splits import attach_split, split_cases
+    log = customer_case_log(spark, sf_dir)
+    p = prefixes.extract_prefixes(log)
+    return attach_split(p, split_cases(log))
+
+
+def q_end_override(spark, sf_dir):
+    """LBL-2: case:endDate (first non-null) replaces the end when not earlier."""
+    log = testlogs.customer_log(spark, sf_dir)
+    k = F.col("_event_index")
+    end = F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, F.col("timestamp") + F.expr("INTERVAL 400 DAYS")) \
+        .otherwise(F.col("timestamp") - F.expr("INTERVAL 1 DAYS"))
+    t = labels.case_table(log.withColumn("case:endDate", end))
+    return t.select("case_id", ntz("case_end_time").alias("case_end_time"), "label_outcome")
+
+
+def q_next_attribute_labels(spark, sf_dir):
+    """LBL-5: label of the next event's priority; null -> 'unknown'."""
+    p = model_prefixes(spark, sf_dir, next_event_attr_cols=["o_orderpriority", "absent_col"],
+                       include_event_attributes=False, add_time_features=False)
+    return p.select("case_id", "prefix_len", "label_next_activity", "label_next_o_orderpriority", "label_next_absent_col")
+
+
+def q_prefix_time_features(spark, sf_dir):
+    """PFX-2 + LBL-6: elapsed, since-last and their log1p; remaining time."""
+    p = model_prefixes(spark, sf_dir, include_event_attributes=False, include_case_attributes=False,
+                       add_calendar_features=False)
+    return p.select("case_id", "prefix_len",
+                    round_half_up("feat_elapsed_time_sec", 3).alias("feat_elapsed_time_sec"),
+                    round_half_up("feat_time_since_last_event_sec", 3).alias("feat_time_since_last_event_sec"),
+                    round_half_up("feat_elapsed_time_log1p", 6).alias("feat_elapsed_time_log1p"),
+                    round_half_up("feat_time_since_last_log1p", 6).alias("feat_time_since_last_log1p"),
+                    round_half_up("label_remaining_time_sec", 3).alias("label_remaining_time_sec"))
+
+
+def q_prefix_calendar(spark, sf_dir):
+    """PFX-3: hour, weekday (Mon=0), weekend flag, month of the prefix end (user log, sub-day times)."""
+    p = prefixes.extract_prefixes(testlogs.user_log(spark, sf_dir), include_event_attributes=False)
+    return p.select("case_id", "prefix_len", "feat_prefix_end_hour", "feat_prefix_end_weekday",
+                    "feat_prefix_end_is_weekend", "feat_prefix_end_month")
+
+
+def q_prefix_case_attrs(spark, sf_dir):
+    """PFX-4: case:* columns -> case__* (first non-null per case)."""
+    p = model_prefixes(spark, sf_dir, include_event_attributes=False, add_time_features=False)
+    return p.select("case_id", "prefix_len", "case__segment", round_half_up("case__acctbal", 4).alias("case__acctbal"))
+
+
+def q_prefix_event_attrs(spark, sf_dir):
+    """PFX-5 (last_non_null): last non-null event attribute within the prefix."""
+    p = model_prefixes(spark, sf_dir, include_case_attributes=False, add_time_features=False)
+    return p.select("case_id", "prefix_len", "event_last__o_orderpriority",
+                    round_half_up("event_last__o_totalprice", 4).alias("event_last__o_totalprice"))
+
+
+def q_prefix_event_attrs_last(spark, sf_dir):
+    """PFX-5 (last): attribute of the prefix's last event, nulls kept."""
+    p = model_prefixes(spark, sf_dir, include_case_attributes=False, add_time_features=False,
+                       event_agg_policy="last")
+    return p.select("case_id", "prefix_len", "event_last__o_orderpriority",
+                    round_half_up("event_last__o_totalprice", 4).alias("event_last__o_totalprice"))
+
+
+def q_running_case_prefix(spark, sf_dir):
+    """INF-1: one scoring row per case from all its events (capped at 30), single-event cases included."""
+    p = prefixes.running_case_prefixes(testlogs.user_day_log(spark, sf_dir), include_event_attributes=False)
+    return p.select("case_id", "prefix_len", F.concat_ws(">", "prefix_activities").alias("prefix_path"),
+                    round_half_up("feat_elapsed_time_sec", 3).alias("feat_elapsed_time_sec"),
+                    round_half_up("feat_time_since_last_event_sec", 3).alias("feat_time_since_last_event_sec"))
+
+
+def q_split_random(spark, sf_dir):
+    """SPL-1: cases ordered by md5('42:'||case_id); 70 / 15 / 15."""
+    from caseflow.operators.splits import split_cases
+    return split_cases(testlogs.customer_log(spark, sf_dir))
+
+
+def q_split_temporal(spark, sf_dir):
+    """SPL-2: cases ordered by start time (ties by id); 70 / 15 / 15."""
+    from caseflow.operators.splits import split_cases
+    return split_cases(testlogs.customer_log(spark, sf_dir), temporal=True)
+
+
+def _bucket_query(spark, sf_dir, bucketer):
+    from caseflow.operators.bucketing import bucketize
+    b, _ = bucketize(model_frame(spark, sf_dir), bucketer)
+    return b.select("case_id", "prefix_len", "split", "bucket_id")
+
+
+def q_bucket_none(spark, sf_dir):
+    """BKT-1."""
+    from caseflow.operators.bucketing import NoBucket
+    return _bucket_query(spark, sf_dir, NoBucket())
+
+
+def q_bucket_bins(spark, sf_dir):
+    """BKT-2: bins of 5, max = train max prefix length."""
+    from caseflow.operators.bucketing import PrefixLenBins
+    return _bucket_query(spark, sf_dir, PrefixLenBins(bin_size=5))
+
+
+def q_bucket_adaptive(spark, sf_dir):
+    """BKT-3: edges from train median / max."""
+    from caseflow.operators.bucketing import PrefixLenAdaptive
+    return _bucket_query(spark, sf_dir, PrefixLenAdaptive())
+
+
+def q_bucket_last_activity(spark, sf_dir):
+    """BKT-4 on the fine-grained user-day log (some last activities unseen in train)."""
+    from caseflow.operators.bucketing import LastActivity, bucketize
+    from caseflow.operators.splits import attach_split, split_cases
+    log = _fine_activity_log(spark, sf_dir)
+    p = attach_split(prefixes.extract_prefixes(log, include_event_attributes=False), split_cases(log))
+    b, _ = bucketize(p, LastActivity())
+    return b.select("case_id", "prefix_len", "split", "bucket_id")
+
+
+def q_bucket_cluster(spark, sf_dir):
+    """BKT-5: KMeans bucket ids (rows-only: ids are arbitrary)."""
+    from caseflow.operators.bucketing import ClusterBucketer
+    return _bucket_query(spark, sf_dir, ClusterBucketer(n_clusters=3))
+
+
+CAT_COLS = ["case__segment", "event_last__o_orderpriority"]
+
+
+def _train(spark, sf_dir):
+    return model_frame(spark, sf_dir).where(F.col("split") == "train")
+
+
+def q_category_vocab(spark, sf_dir):
+    """ENC-2: ≥ 50 train rows, top 20 per column."""
+    from caseflow.operators.encoding import category_vocab
+    return category_vocab(_train(spark, sf_dir), CAT_COLS, 50, 20)
+
+
+def q_category_vocab_small(spark, sf_dir):
+    """ENC-2 with a cap smaller than the alphabet (top 3, min 1)."""
+    from caseflow.operators.encoding import category_vocab
+    return category_vocab(_train(spark, sf_dir), CAT_COLS, 1, 3)
+
+
+def q_onehot_long(spark, sf_dir):
+    """ENC-3: slot per (prefix, column), unseen / null -> 0."""
+    from caseflow.operators.encoding import category_vocab, onehot_long
+    mf = model_frame(spark, sf_dir)
+    vocab = category_vocab(mf.where(F.col("split") == "train"), CAT_COLS, 1, 3)
+    return onehot_long(mf, vocab, CAT_COLS)
+
+
+def q_last_state_long(spark, sf_dir):
+    """ENC-5 long: prefix_len, numeric snapshot features (null -> 0), one-hot indicators."""
+    from caseflow.operators.encoding import category_vocab, infer_feature_columns, last_state_long
+    mf = model_frame(spark, sf_dir)
+    num, cat = infer_feature_columns(mf)
+    vocab = category_vocab(mf.where(F.col("split") == "train"), cat, 50, 20)
+    return last_state_long(mf, vocab, num, cat).withColumn("value", round_half_up("value", 4))
+
+
+def q_activity_counts(spark, sf_dir):
+    """ENC-6 long: activity-slot counts per prefix (train vocabulary, UNK = 0)."""
+    from caseflow.operators.encoding import activity_counts_long, activity_vocab
+    log = _fine_activity_log(spark, sf_dir)
+    from caseflow.operators.splits import attach_split, split_cases
+    p = attach_split(prefixes.extract_prefixes(log, include_event_attributes=False), split_cases(log))
+    return activity_counts_long(p, activity_vocab(p.where(F.col("split") == "train")))
+
+
+def q_positional_activity(spark, sf_dir):
+    """ENC-7 long: activity slot at positions 1..10 (padding = UNK)."""
+    from caseflow.operators.encoding import activity_vocab, positional_activity_long
+    mf = model_frame(spark, sf_dir)
+    return positional_activity_long(mf, activity_vocab(mf.where(F.col("split") == "train")), 10)
+
+
+def q_target_encoding(spark, sf_dir):
+    """ENC-8: m-estimate encoding of priority on the remaining-time label (train)."""
+    from caseflow.operators.encoding import target_encoding
+    te = target_encoding(_train(spark, sf_dir), "event_last__o_orderpriority", "label_remaining_time_sec")
+    return te.select("category", "n", round_half_up("encoding", 3).alias("encoding"))
+
+
+def q_activity_target_encoding(spark, sf_dir):
+    """ENC-9: activity encoding from exploded train prefixes."""
+    from caseflow.operators.encoding import activity_target_encoding
+    te = activity_target_encoding(_train(spark, sf_dir), "label_remaining_time_sec")
+    return te.select("category", "n", round_half_up("encoding", 3).alias("encoding"))
+
+
+def q_embedding_mean_last(spark, sf_dir):
+    """ENC-10 long with a fixed lookup: activity slot s -> embeddings.vec_id = s - 1."""
+    from caseflow.operators.encoding import activity_vectors, activity_vocab, embedding_mean_last_long
+    mf = model_frame(spark, sf_dir)
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vec = activity_vectors(activity_vocab(mf.where(F.col("split") == "train")), emb)
+    e = embedding_mean_last_long(mf, vec)
+    return e.select("case_id", "prefix_len", "dim", round_half_up("mean_value", 5).alias("mean_value"),
+                    round_half_up("last_value", 5).alias("last_value"))
+
+
+def wide_case_table(spark, sf_dir):
+    """Aggregated case table derived from orders: seconds per status (price / 100) and counts."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    g = o.groupBy("o_custkey").agg(
+        F.min("o_orderdate").alias("started"), F.max("o_orderdate").alias("ended"),
+        *[F.sum(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice") / 100.0)).alias(f"wf_{s}") for s in "OFP"],
+        *[F.count_if(F.col("o_orderstatus") == s).alias(f"wfe_{s}") for s in "OFP"],
+        F.max("o_orderpriority").alias("top_priority"))
+    return g.withColumnRenamed("o_custkey", "id")
+
+
+def q_aggregated_to_events(spark, sf_dir):
+    """SRC-5: wide per-customer table -> events spread over each state's time."""
+    from caseflow.sources.aggregated import aggregated_to_events
+    ev = aggregated_to_events(wide_case_table(spark, sf_dir))
+    return ev.select("case_id", "activity", ntz("timestamp").alias("timestamp"), "_event_index", "case:top_priority")
+
+
+def q_load_qc(spark, sf_dir):
+    """SRC-6: load QC of the user log."""
+    from caseflow.plans.profile import load_qc
+    q = load_qc(testlogs.user_log(spark, sf_dir))
+    return q.select("n_rows", "n_columns", "n_cases", "n_ts_parse_failures", ntz("min_time").alias("min_time"),
+                    ntz("max_time").alias("max_time"))
+
+
+def q_parse_activities(spark, sf_dir):
+    """SCL-9: activity lists given as JSON array / JSON scalar / ';' or ',' text."""
+    from caseflow.functions.scalar import parse_activities
+    e = _events(spark, sf_dir)
+    m = F.col("event_id") % 4
+    text = (F.when(m == 0, F.concat(F.lit('["'), F.col("event_type"), F.lit('", "x"]')))
+            .when(m == 1, F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
+            .when(m == 2, F.concat(F.col("event_type"), F.lit("; y ;z")))
+            .otherwise(F.concat(F.col("event_type"), F.lit(", ,w"))))
+    return e.select("event_id", F.concat_ws(">", parse_activities(text)).alias("activities"))
+
+
+QUERIES.update({
+    "end_override": q_end_override,
+    "next_attribute_labels": q_next_attribute_labels,
+    "prefix_time_features": q_prefix_time_features,
+    "prefix_calendar": q_prefix_calendar,
+    "prefix_case_attrs": q_prefix_case_attrs,
+    "prefix_event_attrs": q_prefix_event_attrs,
+    "prefix_event_attrs_last": q_prefix_event_attrs_last,
+    "running_case_prefix": q_running_case_prefix,
+    "split_random": q_split_random,
+    "split_temporal": q_split_temporal,
+    "bucket_none": q_bucket_none,
+    "bucket_bins": q_bucket_bins,
+    "bucket_adaptive": q_bucket_adaptive,
+    "bucket_last_activity": q_bucket_last_activity,
+    "bucket_cluster": q_bucket_cluster,
+    "category_vocab": q_category_vocab,
+    "category_vocab_small": q_category_vocab_small,
+    "onehot_long": q_onehot_long,
+    "last_state_long": q_last_state_long,
+    "activity_counts": q_activity_counts,
+    "positional_activity": q_positional_activity,
+    "target_encoding": q_target_encoding,
+    "activity_target_encoding": q_activity_target_encoding,
+    "embedding_mean_last": q_embedding_mean_last,
+    "aggregated_to_events": q_aggregated_to_events,
+    "load_qc": q_load_qc,
+    "parse_activities": q_parse_activities,
+})

@@ -254,3 +254,312 @@ pick AS (SELECT *, row_number() OVER (PARTITION BY case_id, EventID ORDER BY
 SELECT case_id, EventID, activity, _event_index, "timestamp" FROM pick WHERE rn = 1
 """,
 })
+
+
+def prefix_cte(src: str, out: str, max_len: int = 30, extra: str = "", complete: bool = False) -> str:
+    """Prefix rows of log ``src`` as CTEs ``{out}_pos`` (all events) and ``{out}`` (prefix rows)."""
+    upper = "n" if complete else "n - 1"
+    return f"""
+{out}_pos AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY case_id) AS n,
+    lead(activity) OVER w AS label_next_activity,
+    lag("timestamp") OVER w AS prev_ts,
+    min("timestamp") OVER (PARTITION BY case_id) AS start_ts,
+    max("timestamp") OVER (PARTITION BY case_id) AS end_ts,
+    list(activity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS acts,
+    array_to_string(list(activity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '>') AS prefix_path
+    {extra}
+  FROM {src} WINDOW w AS (PARTITION BY case_id ORDER BY "timestamp", _event_index)),
+{out} AS (SELECT * FROM {out}_pos WHERE k <= least({max_len}, {upper}))
+"""
+
+
+def split_cte(src: str, out: str = "splits", temporal: bool = False) -> str:
+    key = "min(\"timestamp\")" if temporal else "any_value(('0x' || substr(md5('42:' || case_id), 1, 8))::BIGINT)"
+    return f"""
+{out}_r AS (SELECT case_id, row_number() OVER (ORDER BY {key}, case_id) AS r, count(*) OVER () AS n
+            FROM {src} GROUP BY case_id),
+{out} AS (SELECT case_id, CASE WHEN r <= floor(n * CAST(0.7 AS DOUBLE)) THEN 'train'
+                              WHEN r <= floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'val'
+                              ELSE 'test' END AS split FROM {out}_r)
+"""
+
+
+CCL = """
+ccl AS (
+  SELECT CAST(o.o_custkey AS VARCHAR) AS case_id, o_orderstatus AS activity, o_orderdate AS "timestamp",
+         CAST(o_orderkey AS BIGINT) AS _event_index,
+         CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+         CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
+         c_mktsegment AS "case:segment", c_acctbal AS "case:acctbal"
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)
+"""
+
+CCL_EXTRA = """,
+    lead(o_orderpriority) OVER w AS next_prio,
+    last_value(o_orderpriority IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lnn_prio,
+    last_value(o_totalprice IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lnn_price,
+    first_value("case:segment" IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS seg,
+    first_value("case:acctbal" IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS acctbal"""
+
+ELAPSED = f"greatest(0, coalesce({sec('start_ts', '\"timestamp\"')}, 0))"
+SINCE = f"greatest(0, coalesce({sec('prev_ts', '\"timestamp\"')}, 0))"
+REMAIN = sec('"timestamp"', 'end_ts')
+
+# model frame: customer-case prefixes with snapshot columns and a random split
+MODEL_FRAME = f"""
+{CCL}, {prefix_cte('ccl', 'cpfx', extra=CCL_EXTRA)}, {split_cte('ccl')},
+mf AS (
+  SELECT p.case_id, CAST(k AS INTEGER) AS prefix_len, acts, activity AS last_act, label_next_activity, split,
+    {REMAIN} AS label_remaining_time_sec,
+    {ELAPSED} AS feat_elapsed_time_sec, {SINCE} AS feat_time_since_last_event_sec,
+    ln(1 + {ELAPSED}) AS feat_elapsed_time_log1p, ln(1 + {SINCE}) AS feat_time_since_last_log1p,
+    hour("timestamp") AS feat_prefix_end_hour, isodow("timestamp") - 1 AS feat_prefix_end_weekday,
+    CAST(isodow("timestamp") - 1 >= 5 AS INTEGER) AS feat_prefix_end_is_weekend, month("timestamp") AS feat_prefix_end_month,
+    seg AS case__segment, acctbal AS case__acctbal, lnn_prio AS event_last__o_orderpriority,
+    lnn_price AS event_last__o_totalprice
+  FROM cpfx p JOIN splits s USING (case_id))
+"""
+
+FINE_FRAME = f"""
+{FINE_ACTIVITY_LOG}, {prefix_cte('fine', 'fpfx')}, {split_cte('fine', 'fsplits')},
+ff AS (SELECT p.case_id, CAST(k AS INTEGER) AS prefix_len, acts, activity AS last_act, split
+       FROM fpfx p JOIN fsplits USING (case_id))
+"""
+
+
+def _unpivot_cats(src: str) -> str:
+    return f"""
+SELECT case_id, prefix_len, split, 'case__segment' AS "column", case__segment AS value FROM {src}
+UNION ALL
+SELECT case_id, prefix_len, split, 'event_last__o_orderpriority', event_last__o_orderpriority FROM {src}
+"""
+
+
+def _vocab(min_freq: int, top: int) -> str:
+    return f"""
+cats AS ({_unpivot_cats('mf')}),
+vocab AS (SELECT * FROM (
+  SELECT "column", value, count(*) AS n,
+         CAST(row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value ASC) AS INTEGER) AS slot
+  FROM cats WHERE split = 'train' AND value IS NOT NULL GROUP BY "column", value HAVING count(*) >= {min_freq})
+  WHERE slot <= {top})
+"""
+
+
+NUM_FEATURES = ["case__acctbal", "event_last__o_totalprice", "feat_elapsed_time_sec", "feat_time_since_last_event_sec",
+                "feat_elapsed_time_log1p", "feat_time_since_last_log1p", "feat_prefix_end_hour",
+                "feat_prefix_end_weekday", "feat_prefix_end_is_weekend", "feat_prefix_end_month"]
+
+LAST_STATE_LONG = f"""
+WITH {MODEL_FRAME}, {_vocab(50, 20)},
+feats AS (
+  SELECT case_id, prefix_len, 'prefix_len' AS feature, CAST(prefix_len AS DOUBLE) AS value FROM mf
+  {''.join(f"UNION ALL SELECT case_id, prefix_len, 'num__{c}', coalesce(TRY_CAST({c} AS DOUBLE), 0) FROM mf " for c in NUM_FEATURES)}
+  UNION ALL
+  SELECT c.case_id, c.prefix_len,
+         'cat__' || c."column" || '__' || CASE WHEN v.slot IS NULL THEN '__UNK__' ELSE c.value END, 1.0
+  FROM cats c LEFT JOIN vocab v ON c."column" = v."column" AND c.value = v.value)
+SELECT case_id, prefix_len, feature, {rhu('value', 4)} AS value FROM feats
+"""
+
+ORACLE.update({
+    "end_override": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL}),
+e AS (SELECT *, CASE WHEN _event_index % 4 = 0 THEN NULL
+                     WHEN _event_index % 4 = 1 THEN "timestamp" + INTERVAL 400 DAY
+                     ELSE "timestamp" - INTERVAL 1 DAY END AS end_attr FROM cl),
+g AS (SELECT case_id, max("timestamp") AS obs_end,
+             arg_min(end_attr, ("timestamp", _event_index)) FILTER (WHERE end_attr IS NOT NULL) AS first_end
+      FROM e GROUP BY case_id)
+SELECT case_id, CASE WHEN first_end IS NOT NULL AND first_end >= obs_end THEN first_end ELSE obs_end END AS case_end_time,
+       'unknown' AS label_outcome
+FROM g
+""",
+    "next_attribute_labels": f"""
+WITH {CCL}, {prefix_cte('ccl', 'cpfx', extra=CCL_EXTRA)}
+SELECT case_id, CAST(k AS INTEGER) AS prefix_len, label_next_activity,
+       coalesce(next_prio, 'unknown') AS label_next_o_orderpriority, 'unknown' AS label_next_absent_col
+FROM cpfx
+""",
+    "prefix_time_features": f"""
+WITH {CCL}, {prefix_cte('ccl', 'cpfx', extra=CCL_EXTRA)}
+SELECT case_id, CAST(k AS INTEGER) AS prefix_len, {rhu(ELAPSED, 3)} AS feat_elapsed_time_sec,
+       {rhu(SINCE, 3)} AS feat_time_since_last_event_sec, {rhu('ln(1 + ' + ELAPSED + ')', 6)} AS feat_elapsed_time_log1p,
+       {rhu('ln(1 + ' + SINCE + ')', 6)} AS feat_time_since_last_log1p, {rhu(REMAIN, 3)} AS label_remaining_time_sec
+FROM cpfx
+""",
+    "prefix_calendar": f"""
+WITH ul AS ({USER_LOG_SQL}), {prefix_cte('ul', 'upfx')}
+SELECT case_id, CAST(k AS INTEGER) AS prefix_len, hour("timestamp") AS feat_prefix_end_hour,
+       isodow("timestamp") - 1 AS feat_prefix_end_weekday, CAST(isodow("timestamp") - 1 >= 5 AS INTEGER) AS feat_prefix_end_is_weekend,
+       month("timestamp") AS feat_prefix_end_month
+FROM upfx
+""",
+    "prefix_case_attrs": f"""
+WITH {CCL}, {prefix_cte('ccl', 'cpfx', extra=CCL_EXTRA)}
+SELECT case_id, CAST(k AS INTEGER) AS prefix_len, seg AS case__segment, {rhu('acctbal', 4)} AS case__acctbal FROM cpfx
+""",
+    "prefix_event_attrs": f"""
+WITH {CCL}, {prefix_cte('ccl', 'cpfx', extra=CCL_EXTRA)}
+SELECT case_id, CAST(k AS INTEGER) AS prefix_len, lnn_prio AS event_last__o_orderpriority,
+       {rhu('lnn_price', 4)} AS event_last__o_totalprice FROM cpfx
+""",
+    "prefix_event_attrs_last": f"""
+WITH {CCL}, {prefix_cte('ccl', 'cpfx', extra=CCL_EXTRA)}
+SELECT case_id, CAST(k AS INTEGER) AS prefix_len, o_orderpriority AS event_last__o_orderpriority,
+       {rhu('o_totalprice', 4)} AS event_last__o_totalprice FROM cpfx
+""",
+    "running_case_prefix": f"""
+WITH udl AS ({USER_DAY_LOG_SQL}), {prefix_cte('udl', 'rpfx', complete=True)}
+SELECT case_id, CAST(k AS INTEGER) AS prefix_len, prefix_path, {rhu(ELAPSED, 3)} AS feat_elapsed_time_sec,
+       {rhu(SINCE, 3)} AS feat_time_since_last_event_sec
+FROM rpfx WHERE k = least(30, n)
+""",
+    "split_random": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL}), {split_cte('cl')}
+SELECT case_id, split FROM splits
+""",
+    "split_temporal": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL}), {split_cte('cl', temporal=True)}
+SELECT case_id, split FROM splits
+""",
+    "bucket_none": f"""
+WITH {MODEL_FRAME}
+SELECT case_id, prefix_len, split, 0 AS bucket_id FROM mf
+""",
+    "bucket_bins": f"""
+WITH {MODEL_FRAME}, mx AS (SELECT max(prefix_len) AS m FROM mf WHERE split = 'train')
+SELECT case_id, prefix_len, split, CAST((least(greatest(prefix_len, 1), (SELECT m FROM mx)) - 1) // 5 + 1 AS INTEGER) AS bucket_id
+FROM mf
+""",
+    "bucket_adaptive": f"""
+WITH {MODEL_FRAME},
+st AS (SELECT greatest(1, CAST(floor(quantile_cont(prefix_len, 0.5)) AS INTEGER)) AS med, max(prefix_len) AS mx0
+       FROM mf WHERE split = 'train'),
+st2 AS (SELECT med, greatest(med, mx0) AS mx FROM st),
+e1 AS (SELECT mx, list_sort(list_distinct([
+         {', '.join(f"greatest(1, CAST(ceil(CAST({f} AS DOUBLE) * med) AS INTEGER))" for f in (0.2, 0.6, 1.0, 1.5, 2.0))},
+         greatest(1, mx)])) AS s FROM st2),
+e2 AS (SELECT CASE WHEN s[-1] <> mx THEN list_append(s, s[-1] + 1) ELSE s END AS edges FROM e1)
+SELECT case_id, prefix_len, split,
+       CAST(1 + len(list_filter(edges, e -> e < least(greatest(prefix_len, 1), edges[-1]))) AS INTEGER) AS bucket_id
+FROM mf, e2
+""",
+    "bucket_last_activity": f"""
+WITH {FINE_FRAME},
+v AS (SELECT last_act, row_number() OVER (ORDER BY last_act) AS b FROM (SELECT DISTINCT last_act FROM ff WHERE split = 'train')),
+nv AS (SELECT count(*) + 1 AS u FROM v)
+SELECT case_id, prefix_len, split, CAST(coalesce(b, (SELECT u FROM nv)) AS INTEGER) AS bucket_id
+FROM ff LEFT JOIN v USING (last_act)
+""",
+    "category_vocab": f"""
+WITH {MODEL_FRAME}, {_vocab(50, 20)}
+SELECT "column", value, n, slot FROM vocab
+""",
+    "category_vocab_small": f"""
+WITH {MODEL_FRAME}, {_vocab(1, 3)}
+SELECT "column", value, n, slot FROM vocab
+""",
+    "onehot_long": f"""
+WITH {MODEL_FRAME}, {_vocab(1, 3)}
+SELECT c.case_id, c.prefix_len, c."column", c.value, coalesce(v.slot, 0) AS slot
+FROM cats c LEFT JOIN vocab v ON c."column" = v."column" AND c.value = v.value
+""",
+    "last_state_long": LAST_STATE_LONG,
+    "activity_counts": f"""
+WITH {FINE_FRAME},
+ev AS (SELECT case_id, k AS pos, activity FROM fpfx_pos),
+v AS (SELECT activity, row_number() OVER (ORDER BY activity) AS slot FROM (
+        SELECT DISTINCT e.activity FROM ff JOIN ev e ON ff.case_id = e.case_id AND e.pos <= ff.prefix_len
+        WHERE ff.split = 'train'))
+SELECT ff.case_id, ff.prefix_len, CAST(coalesce(v.slot, 0) AS INTEGER) AS slot, count(*) AS count
+FROM ff JOIN ev e ON ff.case_id = e.case_id AND e.pos <= ff.prefix_len LEFT JOIN v ON e.activity = v.activity
+GROUP BY ALL
+""",
+    "positional_activity": f"""
+WITH {MODEL_FRAME},
+ev AS (SELECT case_id, k AS pos, activity FROM cpfx_pos),
+v AS (SELECT activity, row_number() OVER (ORDER BY activity) AS slot FROM (
+        SELECT DISTINCT e.activity FROM mf JOIN ev e ON mf.case_id = e.case_id AND e.pos <= mf.prefix_len
+        WHERE mf.split = 'train')),
+grid AS (SELECT mf.case_id, mf.prefix_len, CAST(p.range AS INTEGER) AS position FROM mf, range(1, 11) p)
+SELECT g.case_id, g.prefix_len, g.position, e.activity, CAST(coalesce(v.slot, 0) AS INTEGER) AS slot
+FROM grid g LEFT JOIN ev e ON g.case_id = e.case_id AND e.pos = g.position AND g.position <= g.prefix_len
+LEFT JOIN v ON e.activity = v.activity
+""",
+    "target_encoding": f"""
+WITH {MODEL_FRAME},
+t AS (SELECT event_last__o_orderpriority AS category, label_remaining_time_sec AS y FROM mf
+      WHERE split = 'train' AND label_remaining_time_sec IS NOT NULL),
+g AS (SELECT avg(y) AS gm FROM t)
+SELECT category, count(*) AS n, {rhu('(count(*) * avg(y) + 1.0 * (SELECT gm FROM g)) / (count(*) + 1.0)', 3)} AS encoding
+FROM t GROUP BY category
+""",
+    "activity_target_encoding": f"""
+WITH {MODEL_FRAME},
+ev AS (SELECT case_id, k AS pos, activity FROM cpfx_pos),
+t AS (SELECT e.activity AS category, mf.label_remaining_time_sec AS y FROM mf
+      JOIN ev e ON mf.case_id = e.case_id AND e.pos <= mf.prefix_len
+      WHERE split = 'train' AND label_remaining_time_sec IS NOT NULL),
+g AS (SELECT avg(y) AS gm FROM t)
+SELECT category, count(*) AS n, {rhu('(count(*) * avg(y) + 1.0 * (SELECT gm FROM g)) / (count(*) + 1.0)', 3)} AS encoding
+FROM t GROUP BY category
+""",
+    "embedding_mean_last": f"""
+WITH {MODEL_FRAME},
+ev AS (SELECT case_id, k AS pos, activity FROM cpfx_pos),
+v AS (SELECT activity, row_number() OVER (ORDER BY activity) AS slot FROM (
+        SELECT DISTINCT e.activity FROM mf JOIN ev e ON mf.case_id = e.case_id AND e.pos <= mf.prefix_len
+        WHERE mf.split = 'train')),
+vec AS (SELECT v.activity, CAST(d.i - 1 AS INTEGER) AS dim, CAST(em.embedding[d.i] AS DOUBLE) AS x
+        FROM v JOIN embeddings em ON em.vec_id = v.slot - 1, range(1, 65) d(i)),
+mv AS (SELECT dim, avg(x) AS mx FROM vec GROUP BY dim),
+dims AS (SELECT DISTINCT dim FROM mv),
+px AS (SELECT mf.case_id, mf.prefix_len, e.pos, d.dim, coalesce(vec.x, mv.mx) AS x
+       FROM mf JOIN ev e ON mf.case_id = e.case_id AND e.pos <= mf.prefix_len
+       CROSS JOIN dims d LEFT JOIN vec ON vec.activity = e.activity AND vec.dim = d.dim
+       LEFT JOIN mv ON mv.dim = d.dim)
+SELECT case_id, prefix_len, dim, {rhu('avg(x)', 5)} AS mean_value,
+       {rhu('max(CASE WHEN pos = prefix_len THEN x END)', 5)} AS last_value
+FROM px GROUP BY case_id, prefix_len, dim
+""",
+    "aggregated_to_events": """
+WITH w AS (
+  SELECT o_custkey AS id, min(o_orderdate) AS started, max(o_orderpriority) AS top_priority,
+         sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice / 100.0 END) AS wf_O,
+         sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 100.0 END) AS wf_F,
+         sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice / 100.0 END) AS wf_P,
+         count(*) FILTER (WHERE o_orderstatus = 'O') AS wfe_O,
+         count(*) FILTER (WHERE o_orderstatus = 'F') AS wfe_F,
+         count(*) FILTER (WHERE o_orderstatus = 'P') AS wfe_P
+  FROM orders GROUP BY o_custkey),
+st AS (
+  SELECT id, started, top_priority, s.ord, s.state, s.dur,
+         CASE WHEN s.cnt IS NULL OR s.cnt = 0 THEN 1 WHEN s.cnt < 0 THEN 0 ELSE greatest(1, CAST(floor(s.cnt) AS INTEGER)) END AS n
+  FROM w, (VALUES (1, 'O'), (2, 'F'), (3, 'P')) AS t(ord, st0),
+  LATERAL (SELECT t.ord AS ord, t.st0 AS state,
+                  CASE t.st0 WHEN 'O' THEN wf_O WHEN 'F' THEN wf_F ELSE wf_P END AS dur,
+                  CASE t.st0 WHEN 'O' THEN wfe_O WHEN 'F' THEN wfe_F ELSE wfe_P END AS cnt) s),
+off AS (
+  SELECT *, coalesce(sum(coalesce(dur, 0)) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+         coalesce(sum(CASE WHEN dur IS NOT NULL AND dur <> 0 THEN n ELSE 0 END)
+                  OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seq0
+  FROM st)
+SELECT CAST(id AS VARCHAR) AS case_id, state AS activity,
+       make_timestamp(epoch_us(started) + CAST(round((off + i * dur / n) * 1e6) AS BIGINT)) AS "timestamp",
+       CAST(seq0 + i AS BIGINT) AS _event_index, top_priority AS "case:top_priority"
+FROM off, range(0, 1000000) r(i)
+WHERE dur IS NOT NULL AND dur <> 0 AND n > 0 AND i < n AND started IS NOT NULL
+""",
+    "load_qc": f"""
+WITH ul AS ({USER_LOG_SQL})
+SELECT count(*) AS n_rows, 6 AS n_columns, count(DISTINCT case_id) AS n_cases, 0 AS n_ts_parse_failures,
+       min("timestamp") AS min_time, max("timestamp") AS max_time FROM ul
+""",
+    "parse_activities": """
+SELECT event_id, CASE event_id % 4
+  WHEN 0 THEN event_type || '>x' WHEN 1 THEN event_type WHEN 2 THEN event_type || '>y>z' ELSE event_type || '>w' END AS activities
+FROM events
+""",
+})
