@@ -443,7 +443,7 @@ e1 AS (SELECT mx, list_sort(list_distinct([
          greatest(1, mx)])) AS s FROM st2),
 e2 AS (SELECT CASE WHEN s[-1] <> mx THEN list_append(s, s[-1] + 1) ELSE s END AS edges FROM e1)
 SELECT case_id, prefix_len, split,
-       CAST(1 + len(list_filter(edges, e -> e < least(greatest(prefix_len, 1), edges[-1]))) AS INTEGER) AS bucket_id
+       CAST(1 + len(list_filter(edges, lambda e: e < least(greatest(prefix_len, 1), edges[-1]))) AS INTEGER) AS bucket_id
 FROM mf, e2
 """,
     "bucket_last_activity": f"""
