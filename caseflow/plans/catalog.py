@@ -560,3 +560,301 @@ QUERIES.update({
     "load_qc": q_load_qc,
     "parse_activities": q_parse_activities,
 })
+
+
+# ---------------------------------------------------------------- profiling (AGG-*)
+from caseflow.plans import profile as prof  # noqa: E402
+
+
+def _r(df: DataFrame, cols: dict) -> DataFrame:
+    """Round the named double columns half-up."""
+    return df.withColumns({c: round_half_up(c, d) for c, d in cols.items()})
+
+
+def q_trace_length_stats(spark, sf_dir):
+    s = prof.trace_length_stats(testlogs.customer_log(spark, sf_dir))
+    return _r(s, {"len_median": 4, "len_mean": 4, "len_p95": 4}).withColumns(
+        {"min_time": ntz("min_time"), "max_time": ntz("max_time")})
+
+
+def q_case_duration_stats(spark, sf_dir):
+    s = prof.case_duration_stats(testlogs.line_log(spark, sf_dir))
+    return _r(s, {c: 4 for c in ["dur_min_days", "dur_median_days", "dur_mean_days", "dur_p95_days", "dur_max_days"]})
+
+
+def q_activity_frequency(spark, sf_dir):
+    return prof.activity_frequency(_fine_activity_log(spark, sf_dir))
+
+
+def q_consecutive_dup_count(spark, sf_dir):
+    return prof.consecutive_duplicate_count(testlogs.user_log(spark, sf_dir))
+
+
+def q_missing_values(spark, sf_dir):
+    return _r(prof.missing_values(_holey_customer_log(spark, sf_dir)), {"pct_missing": 4})
+
+
+def q_variant_stats(spark, sf_dir):
+    return prof.variant_stats(testlogs.user_day_log(spark, sf_dir))
+
+
+def q_top_variants(spark, sf_dir):
+    return _r(prof.top_variants(testlogs.user_day_log(spark, sf_dir), 10), {"pct": 4})
+
+
+def q_column_profile(spark, sf_dir):
+    p = prof.column_profile(_holey_customer_log(spark, sf_dir))
+    return _r(p, {"pct_null": 4, "pct_blank": 4}).withColumn("sample_values", F.concat_ws("|", "sample_values"))
+
+
+def q_outcome_candidates(spark, sf_dir):
+    return prof.outcome_candidates(_holey_customer_log(spark, sf_dir))
+
+
+def q_event_attribute_candidates(spark, sf_dir):
+    return prof.event_attribute_candidates(_holey_customer_log(spark, sf_dir))
+
+
+def q_activity_counts_pct(spark, sf_dir):
+    return _r(prof.activity_counts_pct(_fine_activity_log(spark, sf_dir), 30), {"pct": 4})
+
+
+def q_duration_stats(spark, sf_dir):
+    return _r(prof.duration_stats(testlogs.line_log(spark, sf_dir)), {"p25_days": 4, "p75_days": 4, "p90_days": 4})
+
+
+def q_duration_histogram(spark, sf_dir):
+    return prof.duration_histogram(testlogs.line_log(spark, sf_dir))
+
+
+def q_case_length_histogram(spark, sf_dir):
+    return prof.case_length_histogram(testlogs.customer_log(spark, sf_dir))
+
+
+def q_auto_max_prefix_len(spark, sf_dir):
+    return prof.auto_max_prefix_len(testlogs.customer_log(spark, sf_dir))
+
+
+def q_missing_cell_rate(spark, sf_dir):
+    return _r(prof.missing_cell_rate(_holey_customer_log(spark, sf_dir)), {"missing_rate": 6})
+
+
+def q_events_per_month(spark, sf_dir):
+    return prof.events_per_month(testlogs.customer_log(spark, sf_dir))
+
+
+def q_lifecycle_values(spark, sf_dir):
+    return prof.lifecycle_values(_lifecycle_log(spark, sf_dir))
+
+
+def q_avg_case_duration(spark, sf_dir):
+    return _r(prof.avg_case_duration_days(testlogs.customer_log(spark, sf_dir)), {"avg_case_duration_days": 4})
+
+
+def q_label_qc_numeric(spark, sf_dir):
+    q = prof.label_qc(model_frame(spark, sf_dir), "label_remaining_time_sec", True)
+    return _r(q, {c: 3 for c in ["min", "max", "q5", "q9", "q95", "q99", "q999"]})
+
+
+def q_label_qc_classes(spark, sf_dir):
+    return prof.label_qc(model_frame(spark, sf_dir), "label_next_activity", False)
+
+
+def q_outcome_distribution(spark, sf_dir):
+    log = testlogs.customer_log(spark, sf_dir)
+    return labels.outcome_distribution(labels.case_table(log, outcome_col="o_orderpriority"))
+
+
+def q_bucket_size_stats(spark, sf_dir):
+    """AGG-21: number of buckets, min / median / max size (adaptive buckets)."""
+    from caseflow.operators.bucketing import PrefixLenAdaptive, bucket_sizes, bucketize
+    b, _ = bucketize(model_frame(spark, sf_dir), PrefixLenAdaptive())
+    s = bucket_sizes(b)
+    return s.agg(F.count(F.lit(1)).alias("n_buckets"), F.min("n_rows").alias("min_size"),
+                 F.percentile(F.col("n_rows").cast("double"), F.lit(0.5)).alias("median_size"),
+                 F.max("n_rows").alias("max_size"))
+
+
+# ---------------------------------------------------------------- train-fitted filters, metrics, exemplars
+from caseflow.operators import metrics as met  # noqa: E402
+from caseflow.operators import models as mdl  # noqa: E402
+from caseflow.operators import sampling as smp  # noqa: E402
+
+
+def q_iqr_outliers(spark, sf_dir):
+    """FLT-13: IQR filter on train remaining times."""
+    f = smp.filter_iqr_outliers(model_frame(spark, sf_dir))
+    return f.select("case_id", "prefix_len", "split")
+
+
+def q_rare_classes(spark, sf_dir):
+    """FLT-14 on next-priority labels (min 700 train rows)."""
+    log = customer_case_log(spark, sf_dir)
+    from caseflow.operators.splits import attach_split, split_cases
+    p = attach_split(prefixes.extract_prefixes(log, next_event_attr_cols=["o_orderpriority"]), split_cases(log))
+    f = smp.filter_rare_classes(p, "label_next_o_orderpriority", 700)
+    return f.select("case_id", "prefix_len", "split", "label_next_o_orderpriority")
+
+
+def q_small_buckets(spark, sf_dir):
+    """FLT-15: bins buckets (size 2) with fewer than 400 rows removed."""
+    from caseflow.operators.bucketing import PrefixLenBins, bucketize
+    b, _ = bucketize(model_frame(spark, sf_dir), PrefixLenBins(bin_size=2), min_bucket_size=400)
+    return b.select("case_id", "prefix_len", "bucket_id")
+
+
+def q_bucket_eligibility(spark, sf_dir):
+    """FLT-16: per adaptive bucket: train / val sizes, classes, eligibility (min 300)."""
+    from caseflow.operators.bucketing import PrefixLenAdaptive, bucketize
+    b, _ = bucketize(model_frame(spark, sf_dir), PrefixLenAdaptive())
+    return smp.bucket_eligibility(b, 300, True, "label_next_activity")
+
+
+def regression_predictions(spark, sf_dir):
+    from caseflow.operators.bucketing import PrefixLenAdaptive, bucketize
+    b, _ = bucketize(model_frame(spark, sf_dir), PrefixLenAdaptive())
+    fit = mdl.mean_by_last_activity(b.where(F.col("split") == "train"))
+    return mdl.predict_mean_by_last_activity(b.where(F.col("split") != "train"), fit)
+
+
+def classification_predictions(spark, sf_dir):
+    from caseflow.operators.bucketing import PrefixLenAdaptive, bucketize
+    b, _ = bucketize(model_frame(spark, sf_dir), PrefixLenAdaptive())
+    fit = mdl.majority_next_by_last_activity(b.where(F.col("split") == "train"))
+    return mdl.predict_majority(b.where(F.col("split") != "train"), fit)
+
+
+def q_f1_macro_micro(spark, sf_dir):
+    """MET-1 on majority-next-activity predictions (val + test)."""
+    return _r(met.f1_scores(classification_predictions(spark, sf_dir)), {"f1_macro": 6, "f1_micro": 6, "accuracy": 6})
+
+
+def q_confusion(spark, sf_dir):
+    """MET-7."""
+    return met.confusion(classification_predictions(spark, sf_dir))
+
+
+def q_per_class_f1(spark, sf_dir):
+    """MET-8."""
+    s = met.per_class_scores(classification_predictions(spark, sf_dir))
+    return _r(s.drop("tp", "predicted"), {"precision": 6, "recall": 6, "f1": 6})
+
+
+def q_binary_f1(spark, sf_dir):
+    """MET-2 (F1 for positive class 'F')."""
+    return _r(met.binary_f1(classification_predictions(spark, sf_dir), "F"), {"f1_binary": 6})
+
+
+def q_mae_medae(spark, sf_dir):
+    """MET-3 on target-encoding predictions of remaining time."""
+    e = met.regression_errors(regression_predictions(spark, sf_dir))
+    return _r(e, {"mae_sec": 2, "medae_sec": 2, "mae_days": 6, "medae_days": 6})
+
+
+def q_per_bucket_metrics(spark, sf_dir):
+    """MET-4 (regression, per adaptive bucket and split)."""
+    e = met.regression_errors(regression_predictions(spark, sf_dir), group=["bucket_id", "split"])
+    return _r(e, {"mae_sec": 2, "medae_sec": 2, "mae_days": 6, "medae_days": 6})
+
+
+def q_per_bucket_classification(spark, sf_dir):
+    """MET-4 (classification)."""
+    return _r(met.per_bucket_classification(classification_predictions(spark, sf_dir)), {"f1_macro": 6, "accuracy": 6})
+
+
+def q_weighted_score(spark, sf_dir):
+    """MET-5 / MET-6: bucket-size weighted MAE equals the pooled MAE."""
+    e = met.regression_errors(regression_predictions(spark, sf_dir), group=["bucket_id"])
+    return _r(met.weighted_score(e, "mae_sec"), {"weighted_score": 2})
+
+
+def q_error_by_prefix_len(spark, sf_dir):
+    """MET-9."""
+    return _r(met.error_by_prefix_len(regression_predictions(spark, sf_dir)), {"mean_abs_error": 2, "std_abs_error": 2})
+
+
+def q_accuracy_by_prefix_len(spark, sf_dir):
+    """MET-10."""
+    return _r(met.accuracy_by_prefix_len(classification_predictions(spark, sf_dir)), {"accuracy": 6})
+
+
+def q_error_histogram(spark, sf_dir):
+    """MET-11: 50-bin residual histogram."""
+    return _r(met.error_histogram(regression_predictions(spark, sf_dir)), {"bin_min": 2, "bin_max": 2})
+
+
+def q_class_weights(spark, sf_dir):
+    """MOD-3 on train next-activity labels."""
+    return _r(met.class_weights(_train(spark, sf_dir), "label_next_activity"), {"weight": 6})
+
+
+def q_worst_predictions(spark, sf_dir):
+    """SRT-3: 10 largest absolute errors."""
+    w = smp.worst_predictions(regression_predictions(spark, sf_dir), 10)
+    return _r(w.select("case_id", "prefix_len", "y_true", "y_pred", "abs_error"),
+              {"y_true": 2, "y_pred": 2, "abs_error": 2})
+
+
+def q_quantile_exemplars(spark, sf_dir):
+    """SRT-4: val rows nearest to the label quantiles .5 / .9 / .99."""
+    v = model_frame(spark, sf_dir).where(F.col("split") == "val")
+    e = smp.quantile_exemplars(v, "label_remaining_time_sec")
+    return _r(e.select("quantile", "q_value", "case_id", "prefix_len", "label_remaining_time_sec"),
+              {"q_value": 2, "label_remaining_time_sec": 2})
+
+
+def q_nearest_bucket_model(spark, sf_dir):
+    """JON-8: buckets without a model use the model of the nearest bucket id (ties: smaller id)."""
+    from caseflow.plans.scoring import nearest_model
+    from caseflow.operators.bucketing import PrefixLenBins, bucketize
+    b, _ = bucketize(model_frame(spark, sf_dir), PrefixLenBins(bin_size=2))
+    elig = smp.bucket_eligibility(b, 300, False, "label_remaining_time_sec")
+    models = elig.where("eligible").select(F.col("bucket_id").alias("model_bucket"))
+    buckets = b.select("bucket_id").distinct()
+    return nearest_model(buckets, models)
+
+
+QUERIES.update({
+    "trace_length_stats": q_trace_length_stats,
+    "case_duration_stats": q_case_duration_stats,
+    "activity_frequency": q_activity_frequency,
+    "consecutive_dup_count": q_consecutive_dup_count,
+    "missing_values": q_missing_values,
+    "variant_stats": q_variant_stats,
+    "top_variants": q_top_variants,
+    "column_profile": q_column_profile,
+    "outcome_candidates": q_outcome_candidates,
+    "event_attribute_candidates": q_event_attribute_candidates,
+    "activity_counts_pct": q_activity_counts_pct,
+    "duration_stats": q_duration_stats,
+    "duration_histogram": q_duration_histogram,
+    "case_length_histogram": q_case_length_histogram,
+    "auto_max_prefix_len": q_auto_max_prefix_len,
+    "missing_cell_rate": q_missing_cell_rate,
+    "events_per_month": q_events_per_month,
+    "lifecycle_values": q_lifecycle_values,
+    "avg_case_duration": q_avg_case_duration,
+    "label_qc_numeric": q_label_qc_numeric,
+    "label_qc_classes": q_label_qc_classes,
+    "outcome_distribution": q_outcome_distribution,
+    "bucket_size_stats": q_bucket_size_stats,
+    "iqr_outliers": q_iqr_outliers,
+    "rare_classes": q_rare_classes,
+    "small_buckets": q_small_buckets,
+    "bucket_eligibility": q_bucket_eligibility,
+    "f1_macro_micro": q_f1_macro_micro,
+    "confusion": q_confusion,
+    "per_class_f1": q_per_class_f1,
+    "binary_f1": q_binary_f1,
+    "mae_medae": q_mae_medae,
+    "per_bucket_metrics": q_per_bucket_metrics,
+    "per_bucket_classification": q_per_bucket_classification,
+    "weighted_score": q_weighted_score,
+    "error_by_prefix_len": q_error_by_prefix_len,
+    "accuracy_by_prefix_len": q_accuracy_by_prefix_len,
+    "error_histogram": q_error_histogram,
+    "class_weights": q_class_weights,
+    "worst_predictions": q_worst_predictions,
+    "quantile_exemplars": q_quantile_exemplars,
+    "nearest_bucket_model": q_nearest_bucket_model,
+})

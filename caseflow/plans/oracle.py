@@ -563,3 +563,343 @@ SELECT event_id, CASE event_id % 4
 FROM events
 """,
 })
+
+
+def wb(v: str, lo: str, hi: str, n: str) -> str:
+    """Spark's width_bucket for lo <= v <= hi, top edge folded into bin n; equal bounds -> 1."""
+    return (f"CASE WHEN {hi} = {lo} THEN 1 ELSE least({n}, CASE WHEN {v} >= {hi} THEN {n} + 1 "
+            f"ELSE CAST(trunc(CAST({n} AS DOUBLE) * ({v} - {lo}) / ({hi} - {lo})) AS BIGINT) + 1 END) END")
+
+
+CASE_STATS = 'cs AS (SELECT case_id, count(*) AS n, min("timestamp") AS t0, max("timestamp") AS t1 FROM {src} GROUP BY case_id)'
+DUR = f"({sec('t0', 't1')} / 86400.0)"
+
+BK_ADAPTIVE = f"""
+{MODEL_FRAME},
+st AS (SELECT greatest(1, CAST(floor(quantile_cont(prefix_len, 0.5)) AS INTEGER)) AS med, max(prefix_len) AS mx0
+       FROM mf WHERE split = 'train'),
+st2 AS (SELECT med, greatest(med, mx0) AS mx FROM st),
+e1 AS (SELECT mx, list_sort(list_distinct([
+         {', '.join(f"greatest(1, CAST(ceil(CAST({f} AS DOUBLE) * med) AS INTEGER))" for f in (0.2, 0.6, 1.0, 1.5, 2.0))},
+         greatest(1, mx)])) AS s FROM st2),
+e2 AS (SELECT CASE WHEN s[-1] <> mx THEN list_append(s, s[-1] + 1) ELSE s END AS edges FROM e1),
+bk AS (SELECT mf.*, CAST(1 + len(list_filter(edges, lambda e: e < least(greatest(prefix_len, 1), edges[-1]))) AS INTEGER) AS bucket_id
+       FROM mf, e2)
+"""
+
+REG_PRED = f"""
+{BK_ADAPTIVE},
+te AS (SELECT last_act, count(*) AS n, avg(label_remaining_time_sec) AS m FROM bk
+       WHERE split = 'train' AND label_remaining_time_sec IS NOT NULL GROUP BY last_act),
+tg AS (SELECT avg(label_remaining_time_sec) AS gm FROM bk WHERE split = 'train' AND label_remaining_time_sec IS NOT NULL),
+pred AS (SELECT bk.case_id, bk.prefix_len, bk.split, bk.bucket_id, label_remaining_time_sec AS y_true,
+                coalesce((te.n * te.m + 1.0 * tg.gm) / (te.n + 1.0), tg.gm) AS y_pred
+         FROM bk LEFT JOIN te USING (last_act) CROSS JOIN tg WHERE split <> 'train')
+"""
+
+CLS_PRED = f"""
+{BK_ADAPTIVE},
+cc AS (SELECT last_act, label_next_activity AS lab, count(*) AS c FROM bk WHERE split = 'train' GROUP BY ALL),
+best AS (SELECT last_act, lab FROM (SELECT *, row_number() OVER (PARTITION BY last_act ORDER BY c DESC, lab ASC) AS r FROM cc) WHERE r = 1),
+gbest AS (SELECT lab FROM cc GROUP BY lab ORDER BY sum(c) DESC, lab ASC LIMIT 1),
+pred AS (SELECT bk.case_id, bk.prefix_len, bk.split, bk.bucket_id, label_next_activity AS y_true,
+                coalesce(best.lab, (SELECT lab FROM gbest)) AS y_pred
+         FROM bk LEFT JOIN best USING (last_act) WHERE split <> 'train')
+"""
+
+PER_CLASS = """
+conf AS (SELECT y_true, y_pred, count(*) AS n FROM pred GROUP BY ALL),
+lbl AS (SELECT y_true AS label FROM conf UNION SELECT y_pred FROM conf),
+pc AS (SELECT label,
+         coalesce((SELECT sum(n) FROM conf WHERE y_true = label AND y_pred = label), 0) AS tp,
+         coalesce((SELECT sum(n) FROM conf WHERE y_true = label), 0) AS support,
+         coalesce((SELECT sum(n) FROM conf WHERE y_pred = label), 0) AS predicted
+       FROM lbl),
+pcs AS (SELECT label, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+               CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+               CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2.0 * tp / (support + predicted) END AS f1,
+               CAST(support AS BIGINT) AS support, tp, predicted FROM pc)
+"""
+
+REG_ERR = f"""
+avg(abs(y_pred - y_true)) AS a, quantile_cont(abs(y_pred - y_true), 0.5) AS m, count(*) AS n
+"""
+
+
+def reg_err_select(group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    return f"""
+SELECT {g}{rhu('avg(abs(y_pred - y_true))', 2)} AS mae_sec, {rhu('quantile_cont(abs(y_pred - y_true), 0.5)', 2)} AS medae_sec,
+       count(*) AS n, {rhu('avg(abs(y_pred - y_true)) / 86400.0', 6)} AS mae_days,
+       {rhu('quantile_cont(abs(y_pred - y_true), 0.5) / 86400.0', 6)} AS medae_days
+FROM pred {'GROUP BY ' + group if group else ''}
+"""
+
+
+ORACLE.update({
+    "trace_length_stats": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL}), {CASE_STATS.format(src='cl')}
+SELECT CAST(sum(n) AS BIGINT) AS n_events, count(*) AS n_cases, min(t0) AS min_time, max(t1) AS max_time,
+       CAST(min(n) AS BIGINT) AS len_min, {rhu('quantile_cont(n, 0.5)', 4)} AS len_median, {rhu('avg(n)', 4)} AS len_mean,
+       {rhu('quantile_cont(n, 0.95)', 4)} AS len_p95, CAST(max(n) AS BIGINT) AS len_max FROM cs
+""",
+    "case_duration_stats": f"""
+WITH ll AS ({LINE_LOG_SQL}), {CASE_STATS.format(src='ll')}, d AS (SELECT {DUR} AS d FROM cs)
+SELECT {rhu('min(d)', 4)} AS dur_min_days, {rhu('quantile_cont(d, 0.5)', 4)} AS dur_median_days,
+       {rhu('avg(d)', 4)} AS dur_mean_days, {rhu('quantile_cont(d, 0.95)', 4)} AS dur_p95_days,
+       {rhu('max(d)', 4)} AS dur_max_days, count(*) FILTER (WHERE d = 0) AS n_zero_duration FROM d
+""",
+    "activity_frequency": f"""
+WITH {FINE_ACTIVITY_LOG}, c AS (SELECT activity, count(*) AS n FROM fine GROUP BY activity)
+SELECT activity, n, row_number() OVER (ORDER BY n DESC, activity ASC) AS rank_desc,
+       row_number() OVER (ORDER BY n ASC, activity ASC) AS rank_asc, count(*) OVER () AS n_distinct FROM c
+""",
+    "consecutive_dup_count": f"""
+WITH ul AS ({USER_LOG_SQL})
+SELECT count(*) FILTER (WHERE prev = activity) AS n_consecutive_duplicates FROM (
+  SELECT activity, lag(activity) OVER (PARTITION BY case_id ORDER BY "timestamp", _event_index) AS prev FROM ul)
+""",
+    "missing_values": f"""
+WITH {HOLEY_CUSTOMER_LOG}
+SELECT * FROM (
+  SELECT 'o_orderpriority' AS "column", CAST(count(*) FILTER (WHERE o_orderpriority IS NULL) AS BIGINT) AS n_missing,
+         {rhu('count(*) FILTER (WHERE o_orderpriority IS NULL) * 100.0 / count(*)', 4)} AS pct_missing FROM holey
+  UNION ALL
+  SELECT 'o_totalprice', CAST(count(*) FILTER (WHERE o_totalprice IS NULL) AS BIGINT),
+         {rhu('count(*) FILTER (WHERE o_totalprice IS NULL) * 100.0 / count(*)', 4)} FROM holey)
+WHERE n_missing > 0
+""",
+    "variant_stats": f"""
+WITH udl AS ({USER_DAY_LOG_SQL}), {VARIANTS.format(src='udl')},
+vc AS (SELECT variant, count(*) AS c FROM variants GROUP BY variant)
+SELECT count(*) AS n_variants, count(*) FILTER (WHERE c = 1) AS n_singletons, CAST(sum(c) AS BIGINT) AS n_cases FROM vc
+""",
+    "top_variants": f"""
+WITH udl AS ({USER_DAY_LOG_SQL}), {VARIANTS.format(src='udl')},
+vc AS (SELECT variant, count(*) AS n_cases, any_value(n_events) AS n_steps FROM variants GROUP BY variant),
+t AS (SELECT *, string_split(variant, '>') AS parts, sum(n_cases) OVER () AS tot FROM vc)
+SELECT variant, n_cases, n_steps, {rhu('n_cases * 100.0 / tot', 4)} AS pct,
+       CASE WHEN len(parts) > 4 THEN parts[1] || ' → ' || parts[2] || ' → … → ' || parts[-1]
+            ELSE array_to_string(parts, ' → ') END AS label
+FROM t ORDER BY n_cases DESC, variant ASC LIMIT 10
+""",
+    "column_profile": f"""
+WITH {HOLEY_CUSTOMER_LOG},
+lastv AS (
+  SELECT case_id,
+    arg_max(activity, ("timestamp", _event_index)) FILTER (WHERE activity IS NOT NULL) AS activity,
+    arg_max(o_orderpriority, ("timestamp", _event_index)) FILTER (WHERE o_orderpriority IS NOT NULL) AS o_orderpriority,
+    arg_max(o_totalprice, ("timestamp", _event_index)) FILTER (WHERE o_totalprice IS NOT NULL) AS o_totalprice
+  FROM holey GROUP BY case_id),
+base AS (SELECT count(*) AS n,
+    count(*) FILTER (WHERE activity IS NULL) AS nu_a, count(*) FILTER (WHERE o_orderpriority IS NULL) AS nu_p,
+    count(*) FILTER (WHERE o_totalprice IS NULL) AS nu_t,
+    count(*) FILTER (WHERE trim(activity) = '') AS bl_a, count(*) FILTER (WHERE trim(o_orderpriority) = '') AS bl_p,
+    count(*) FILTER (WHERE trim(CAST(o_totalprice AS VARCHAR)) = '') AS bl_t FROM holey),
+card AS (SELECT count(DISTINCT activity) AS cd_a, count(DISTINCT o_orderpriority) AS cd_p, count(DISTINCT o_totalprice) AS cd_t,
+    list_sort(list(DISTINCT activity) FILTER (WHERE activity IS NOT NULL))[1:30] AS sv_a,
+    list_sort(list(DISTINCT o_orderpriority) FILTER (WHERE o_orderpriority IS NOT NULL))[1:30] AS sv_p,
+    list_sort(list(DISTINCT CAST(o_totalprice AS VARCHAR)) FILTER (WHERE o_totalprice IS NOT NULL))[1:30] AS sv_t FROM lastv),
+r AS (
+  SELECT 'activity' AS "column", nu_a AS n_null, bl_a AS n_blank, cd_a AS n_distinct_last, sv_a AS sv, n FROM base, card
+  UNION ALL SELECT 'o_orderpriority', nu_p, bl_p, cd_p, sv_p, n FROM base, card
+  UNION ALL SELECT 'o_totalprice', nu_t, bl_t, cd_t, sv_t, n FROM base, card)
+SELECT "column", n_null, {rhu('n_null * 100.0 / n', 4)} AS pct_null, n_blank, {rhu('n_blank * 100.0 / n', 4)} AS pct_blank,
+       n_distinct_last,
+       CASE WHEN n_distinct_last BETWEEN 1 AND 500 THEN array_to_string(sv, '|') ELSE '' END AS sample_values
+FROM r
+""",
+    "outcome_candidates": f"""
+WITH {HOLEY_CUSTOMER_LOG},
+lastv AS (
+  SELECT case_id,
+    arg_max(activity, ("timestamp", _event_index)) FILTER (WHERE activity IS NOT NULL) AS activity,
+    arg_max(o_orderpriority, ("timestamp", _event_index)) FILTER (WHERE o_orderpriority IS NOT NULL) AS o_orderpriority,
+    arg_max(o_totalprice, ("timestamp", _event_index)) FILTER (WHERE o_totalprice IS NOT NULL) AS o_totalprice
+  FROM holey GROUP BY case_id),
+r AS (SELECT 'activity' AS "column", count(DISTINCT activity) AS n_distinct_last FROM lastv
+      UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM lastv
+      UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice) FROM lastv)
+SELECT * FROM r WHERE "column" = 'activity' OR n_distinct_last BETWEEN 2 AND 100
+""",
+    "event_attribute_candidates": f"""
+WITH {HOLEY_CUSTOMER_LOG},
+r AS (SELECT 'o_orderpriority' AS "column", count(DISTINCT o_orderpriority) AS n_distinct FROM holey
+      UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice) FROM holey)
+SELECT * FROM r WHERE n_distinct BETWEEN 1 AND 50
+""",
+    "activity_counts_pct": f"""
+WITH {FINE_ACTIVITY_LOG}, c AS (SELECT activity, count(*) AS n FROM fine GROUP BY activity)
+SELECT activity, n, {rhu('n * 100.0 / sum(n) OVER ()', 4)} AS pct FROM c ORDER BY n DESC, activity ASC LIMIT 30
+""",
+    "duration_stats": f"""
+WITH ll AS ({LINE_LOG_SQL}), {CASE_STATS.format(src='ll')}, d AS (SELECT {DUR} AS d FROM cs)
+SELECT {rhu('quantile_cont(d, 0.25)', 4)} AS p25_days, {rhu('quantile_cont(d, 0.75)', 4)} AS p75_days,
+       {rhu('quantile_cont(d, 0.9)', 4)} AS p90_days FROM d
+""",
+    "duration_histogram": f"""
+WITH ll AS ({LINE_LOG_SQL}), {CASE_STATS.format(src='ll')}, d AS (SELECT {DUR} AS d FROM cs),
+c AS (SELECT d FROM d WHERE d <= (SELECT quantile_cont(d, 0.95) FROM d)),
+rg AS (SELECT min(d) AS lo, max(d) AS hi FROM c)
+SELECT CAST({wb('d', 'lo', 'hi', '8')} AS INTEGER) AS bin, count(*) AS n FROM c, rg GROUP BY 1
+""",
+    "case_length_histogram": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL}), {CASE_STATS.format(src='cl')},
+nb AS (SELECT greatest(1, least(8, CAST(floor(quantile_cont(n, 0.95)) AS INTEGER))) AS b, min(n) AS lo, max(n) AS hi FROM cs)
+SELECT CAST({wb('CAST(n AS DOUBLE)', 'CAST(lo AS DOUBLE)', 'CAST(hi AS DOUBLE)', 'b')} AS INTEGER) AS bin, count(*) AS n
+FROM cs, nb GROUP BY 1
+""",
+    "auto_max_prefix_len": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL}), {CASE_STATS.format(src='cl')}
+SELECT greatest(2, least(30, CAST(floor(quantile_cont(n, 0.95)) AS INTEGER))) AS auto_max_prefix_len FROM cs
+""",
+    "missing_cell_rate": f"""
+WITH {HOLEY_CUSTOMER_LOG},
+m AS (SELECT CAST(sum(CAST(o_orderpriority IS NULL AS BIGINT) + CAST(o_totalprice IS NULL AS BIGINT)) AS BIGINT) AS n_missing_cells,
+             CAST(count(*) * 6 AS BIGINT) AS n_cells FROM holey)
+SELECT n_missing_cells, n_cells, {rhu('n_missing_cells / n_cells', 6)} AS missing_rate FROM m
+""",
+    "events_per_month": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL})
+SELECT strftime("timestamp", '%Y-%m') AS month, count(*) AS n_events FROM cl GROUP BY 1
+""",
+    "lifecycle_values": f"""
+WITH {LIFECYCLE_LOG}
+SELECT "lifecycle:transition" AS value, count(*) AS n FROM lc GROUP BY 1
+""",
+    "avg_case_duration": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL}), {CASE_STATS.format(src='cl')}
+SELECT {rhu('avg(' + DUR + ')', 4)} AS avg_case_duration_days FROM cs
+""",
+    "label_qc_numeric": f"""
+WITH {MODEL_FRAME}
+SELECT count(*) FILTER (WHERE label_remaining_time_sec IS NULL) AS n_na,
+       {rhu('min(label_remaining_time_sec)', 3)} AS min, {rhu('max(label_remaining_time_sec)', 3)} AS max,
+       {', '.join(rhu(f'quantile_cont(label_remaining_time_sec, {q})', 3) + f' AS q{str(q)[2:]}' for q in (0.5, 0.9, 0.95, 0.99, 0.999))},
+       count(*) FILTER (WHERE label_remaining_time_sec < 0) AS n_negative
+FROM mf
+""",
+    "label_qc_classes": f"""
+WITH {MODEL_FRAME}, c AS (SELECT label_next_activity AS label, count(*) AS n FROM mf GROUP BY 1)
+SELECT label, n, row_number() OVER (ORDER BY n DESC, label ASC) AS rank FROM c
+""",
+    "outcome_distribution": f"""
+WITH cl AS ({CUSTOMER_LOG_SQL}),
+o AS (SELECT case_id, coalesce(arg_max(o_orderpriority, ("timestamp", _event_index)) FILTER (WHERE o_orderpriority IS NOT NULL),
+                              'unknown') AS label_outcome FROM cl GROUP BY case_id)
+SELECT label_outcome, count(*) AS n_cases FROM o GROUP BY 1 ORDER BY n_cases DESC, label_outcome ASC LIMIT 20
+""",
+    "bucket_size_stats": f"""
+WITH {BK_ADAPTIVE}, s AS (SELECT bucket_id, count(*) AS n FROM bk GROUP BY 1)
+SELECT count(*) AS n_buckets, min(n) AS min_size, quantile_cont(n, 0.5) AS median_size, max(n) AS max_size FROM s
+""",
+    "iqr_outliers": f"""
+WITH {MODEL_FRAME},
+q AS (SELECT quantile_cont(label_remaining_time_sec, 0.25) AS q1, quantile_cont(label_remaining_time_sec, 0.75) AS q3
+      FROM mf WHERE split = 'train' AND label_remaining_time_sec IS NOT NULL),
+b AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT case_id, prefix_len, split FROM mf, b
+WHERE split <> 'train' OR label_remaining_time_sec IS NULL OR lo IS NULL
+   OR (label_remaining_time_sec >= lo AND label_remaining_time_sec <= hi)
+""",
+    "rare_classes": f"""
+WITH {CCL}, {prefix_cte('ccl', 'cpfx', extra=CCL_EXTRA)}, {split_cte('ccl')},
+p AS (SELECT case_id, CAST(k AS INTEGER) AS prefix_len, split, coalesce(next_prio, 'unknown') AS label_next_o_orderpriority
+      FROM cpfx JOIN splits USING (case_id)),
+c AS (SELECT label_next_o_orderpriority AS lab, count(*) AS n FROM p WHERE split = 'train' GROUP BY 1),
+flag AS (SELECT coalesce(max(CASE WHEN n < 700 THEN 1 ELSE 0 END), 0) AS has_rare FROM c)
+SELECT case_id, prefix_len, split, label_next_o_orderpriority FROM p, flag
+WHERE has_rare = 0 OR label_next_o_orderpriority IN (SELECT lab FROM c WHERE n >= 700)
+""",
+    "small_buckets": f"""
+WITH {MODEL_FRAME}, mx AS (SELECT max(prefix_len) AS m FROM mf WHERE split = 'train'),
+b AS (SELECT case_id, prefix_len, CAST((least(greatest(prefix_len, 1), (SELECT m FROM mx)) - 1) // 2 + 1 AS INTEGER) AS bucket_id FROM mf)
+SELECT * FROM b WHERE bucket_id IN (SELECT bucket_id FROM b GROUP BY 1 HAVING count(*) >= 400)
+""",
+    "bucket_eligibility": f"""
+WITH {BK_ADAPTIVE}
+SELECT bucket_id, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val,
+       count(DISTINCT CASE WHEN split = 'train' THEN label_next_activity END) AS n_train_classes,
+       count(*) FILTER (WHERE split = 'train') >= 300 AND count(*) FILTER (WHERE split = 'val') >= 300
+         AND count(DISTINCT CASE WHEN split = 'train' THEN label_next_activity END) >= 2 AS eligible
+FROM bk GROUP BY bucket_id
+""",
+    "f1_macro_micro": f"""
+WITH {CLS_PRED}, {PER_CLASS}
+SELECT {rhu('avg(f1)', 6)} AS f1_macro, {rhu('2.0 * sum(tp) / (sum(support) + sum(predicted))', 6)} AS f1_micro,
+       {rhu('sum(tp) / sum(support)', 6)} AS accuracy, CAST(sum(support) AS BIGINT) AS n FROM pcs
+""",
+    "confusion": f"""
+WITH {CLS_PRED}
+SELECT y_true, y_pred, count(*) AS n FROM pred GROUP BY ALL
+""",
+    "per_class_f1": f"""
+WITH {CLS_PRED}, {PER_CLASS}
+SELECT label, {rhu('precision', 6)} AS precision, {rhu('recall', 6)} AS recall, {rhu('f1', 6)} AS f1, support FROM pcs
+""",
+    "binary_f1": f"""
+WITH {CLS_PRED}, {PER_CLASS}
+SELECT {rhu('f1', 6)} AS f1_binary FROM pcs WHERE label = 'F'
+""",
+    "mae_medae": f"WITH {REG_PRED} {reg_err_select()}",
+    "per_bucket_metrics": f"WITH {REG_PRED} {reg_err_select('bucket_id, split')}",
+    "per_bucket_classification": f"""
+WITH {CLS_PRED},
+c AS (SELECT bucket_id, y_true AS t, y_pred AS q, count(*) AS n FROM pred GROUP BY ALL),
+lb AS (SELECT bucket_id, t AS label FROM c UNION SELECT bucket_id, q FROM c),
+pc AS (SELECT lb.bucket_id, lb.label,
+         coalesce((SELECT sum(n) FROM c WHERE c.bucket_id = lb.bucket_id AND t = lb.label AND q = lb.label), 0) AS tp,
+         coalesce((SELECT sum(n) FROM c WHERE c.bucket_id = lb.bucket_id AND t = lb.label), 0) AS sup,
+         coalesce((SELECT sum(n) FROM c WHERE c.bucket_id = lb.bucket_id AND q = lb.label), 0) AS prd FROM lb)
+SELECT bucket_id, {rhu('avg(CASE WHEN sup + prd = 0 THEN 0.0 ELSE 2.0 * tp / (sup + prd) END)', 6)} AS f1_macro,
+       {rhu('sum(tp) / sum(sup)', 6)} AS accuracy, CAST(sum(sup) AS BIGINT) AS n
+FROM pc GROUP BY bucket_id
+""",
+    "weighted_score": f"""
+WITH {REG_PRED}, pb AS (SELECT bucket_id, avg(abs(y_pred - y_true)) AS m, count(*) AS n FROM pred GROUP BY 1)
+SELECT {rhu('sum(m * n) / sum(n)', 2)} AS weighted_score FROM pb
+""",
+    "error_by_prefix_len": f"""
+WITH {REG_PRED}
+SELECT prefix_len, {rhu('avg(abs(y_pred - y_true))', 2)} AS mean_abs_error, {rhu('stddev_samp(abs(y_pred - y_true))', 2)} AS std_abs_error,
+       count(*) AS n FROM pred GROUP BY prefix_len HAVING count(*) >= 5
+""",
+    "accuracy_by_prefix_len": f"""
+WITH {CLS_PRED}
+SELECT prefix_len, {rhu('avg(CAST(y_true = y_pred AS DOUBLE))', 6)} AS accuracy, count(*) AS n
+FROM pred GROUP BY prefix_len HAVING count(*) >= 5
+""",
+    "error_histogram": f"""
+WITH {REG_PRED}, r AS (SELECT y_pred - y_true AS residual FROM pred),
+rg AS (SELECT min(residual) AS lo, max(residual) AS hi FROM r)
+SELECT CAST({wb('residual', 'lo', 'hi', '50')} AS INTEGER) AS bin, count(*) AS n,
+       {rhu('min(residual)', 2)} AS bin_min, {rhu('max(residual)', 2)} AS bin_max FROM r, rg GROUP BY 1
+""",
+    "class_weights": f"""
+WITH {MODEL_FRAME}, c AS (SELECT label_next_activity, count(*) AS n_class FROM mf WHERE split = 'train' GROUP BY 1)
+SELECT label_next_activity, n_class, {rhu('CAST(sum(n_class) OVER () AS DOUBLE) / (count(*) OVER () * n_class)', 6)} AS weight FROM c
+""",
+    "worst_predictions": f"""
+WITH {REG_PRED}
+SELECT case_id, prefix_len, {rhu('y_true', 2)} AS y_true, {rhu('y_pred', 2)} AS y_pred, {rhu('abs(y_true - y_pred)', 2)} AS abs_error
+FROM pred ORDER BY abs(y_true - y_pred) DESC, case_id ASC, prefix_len ASC LIMIT 10
+""",
+    "quantile_exemplars": f"""
+WITH {MODEL_FRAME}, v AS (SELECT * FROM mf WHERE split = 'val' AND label_remaining_time_sec IS NOT NULL),
+qs AS (SELECT quantile_cont(label_remaining_time_sec, [0.5, 0.9, 0.99]) AS vals FROM v),
+q AS (SELECT CAST([0.5, 0.9, 0.99][i] AS DOUBLE) AS quantile, vals[i] AS q_value FROM qs, range(1, 4) t(i)),
+pick AS (SELECT q.quantile, q.q_value, v.case_id, v.prefix_len, v.label_remaining_time_sec,
+                row_number() OVER (PARTITION BY q.quantile ORDER BY abs(v.label_remaining_time_sec - q.q_value), v.case_id, v.prefix_len) AS r
+         FROM q, v)
+SELECT quantile, {rhu('q_value', 2)} AS q_value, case_id, prefix_len, {rhu('label_remaining_time_sec', 2)} AS label_remaining_time_sec
+FROM pick WHERE r = 1
+""",
+    "nearest_bucket_model": f"""
+WITH {MODEL_FRAME}, mx AS (SELECT max(prefix_len) AS m FROM mf WHERE split = 'train'),
+b AS (SELECT split, CAST((least(greatest(prefix_len, 1), (SELECT m FROM mx)) - 1) // 2 + 1 AS INTEGER) AS bucket_id FROM mf),
+el AS (SELECT bucket_id AS model_bucket FROM b GROUP BY bucket_id
+       HAVING count(*) FILTER (WHERE split = 'train') >= 300 AND count(*) FILTER (WHERE split = 'val') >= 300),
+bs AS (SELECT DISTINCT bucket_id FROM b)
+SELECT bucket_id, arg_min(model_bucket, (abs(bucket_id - model_bucket), model_bucket)) AS model_bucket FROM bs, el GROUP BY bucket_id
+""",
+})
