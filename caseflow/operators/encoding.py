@@ -183,8 +183,9 @@ class FittedEncoder:
     name: str
     feature_cols: list
     exprs: dict
-    lookups: list = field(default_factory=list)  # (DataFrame, join cols) broadcast lookups
+    lookups: list = field(default_factory=list)  # broadcast-lookup steps (DataFrame -> DataFrame)
     label_expr: Column | None = None
+    label_col: str = ""
 
     def transform(self, df: DataFrame, features_col: str = "features") -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
@@ -193,7 +194,7 @@ class FittedEncoder:
         for fn in self.lookups:
             out = fn(out)
         out = out.withColumns(self.exprs)
-        if self.label_expr is not None:
+        if self.label_expr is not None and self.label_col in df.columns:
             out = out.withColumn("label", self.label_expr)
         va = VectorAssembler(inputCols=self.feature_cols, outputCol=features_col, handleInvalid="keep")
         return va.transform(out).drop(*self.feature_cols)
@@ -203,6 +204,15 @@ class FittedEncoder:
         return len(self.feature_cols)
 
 
+def _equals(value):
+    # one-argument lambdas only: Spark passes (element, index) to two-argument ones
+    return lambda x: x == F.lit(value)
+
+
+def _lookup_or(m, default):
+    return lambda a: F.coalesce(F.try_element_at(m, a), F.lit(default))
+
+
 def _vocab_dict(vocab: DataFrame) -> dict[str, list[str]]:
     d: dict[str, list[str]] = {}
     for r in vocab.orderBy("column", "slot").collect():  # bounded: ≤ cols × max_categories
@@ -260,7 +270,7 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
         names.append("f_act__unk")
         for j, a in enumerate(acts):
             n = f"f_act__{j + 1}"
-            exprs[n] = F.size(F.filter("prefix_activities", lambda x, a=a: x == F.lit(a))).cast("double")
+            exprs[n] = F.size(F.filter("prefix_activities", _equals(a))).cast("double")
             names.append(n)
     elif name == "index_latest_payload":
         if label_is_numeric:
@@ -292,7 +302,7 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
         mean = [sum(float(r["embedding"][d]) for r in rows) / len(rows) for d in range(dim)] if rows else []
         for d in range(dim):
             m = F.create_map(*[x for r in rows for x in (F.lit(r["activity"]), F.lit(float(r["embedding"][d])))])
-            vals = F.transform("prefix_activities", lambda a, m=m, d=d: F.coalesce(F.try_element_at(m, a), F.lit(mean[d])))
+            vals = F.transform("prefix_activities", _lookup_or(m, mean[d]))
             exprs[f"f_emb_mean__{d}"] = F.try_divide(F.aggregate(vals, F.lit(0.0), lambda s, x: s + x),
                                                      F.size("prefix_activities").cast("double"))
             exprs[f"f_emb_last__{d}"] = F.coalesce(F.try_element_at(m, F.element_at("prefix_activities", -1)), F.lit(mean[d]))
@@ -303,7 +313,7 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
     elif label_vocab is not None:
         m = F.create_map(*[x for i, v in enumerate(label_vocab) for x in (F.lit(v), F.lit(float(i + 1)))])
         label = F.coalesce(F.try_element_at(m, F.col(label_col).cast("string")), F.lit(0.0))
-    return FittedEncoder(name, names, exprs, lookups, label)
+    return FittedEncoder(name, names, exprs, lookups, label, label_col)
 
 
 def _w2v_vectors(model) -> DataFrame:

@@ -100,11 +100,11 @@ def balanced_weights(train: DataFrame, label: str = "label") -> DataFrame:
 
 
 def make_estimator(kind: str, task: TaskSpec, n_classes: int = 2, seed: int = 42):
-    """MOD-1 (linear) / MOD-2 (tree) probes as Spark ML pipelines on ``features``."""
+    """MOD-1 (linear) / MOD-2 (tree: random forest; ``gbt``: boosted trees) on ``features``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier, GBTClassifier
     from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.regression import GBTRegressor, LinearRegression
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
     if kind == "linear":
         scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=False, withStd=True)
@@ -113,13 +113,18 @@ def make_estimator(kind: str, task: TaskSpec, n_classes: int = 2, seed: int = 42
         else:
             est = LinearRegression(featuresCol="_scaled", labelCol="label", regParam=1.0, elasticNetParam=0.0)
         return Pipeline(stages=[scaler, est])
-    if task.task_type == "classification":
-        if n_classes <= 2:
+    if kind == "gbt":
+        # boosted trees: closest to the reference's LightGBM probe, but Spark fits one tree per job
+        if task.task_type == "classification" and n_classes <= 2:
             return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=100, maxDepth=5,
                                  stepSize=0.1, seed=seed)
+        if task.task_type == "regression":
+            return GBTRegressor(featuresCol="features", labelCol="label", maxIter=100, maxDepth=5, stepSize=0.1, seed=seed)
+    # default tree probe: 100 trees grown level by level together (one pass per level, not per tree)
+    if task.task_type == "classification":
         return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=100,
                                       maxDepth=8, seed=seed)
-    return GBTRegressor(featuresCol="features", labelCol="label", maxIter=100, maxDepth=5, stepSize=0.1, seed=seed)
+    return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=100, maxDepth=8, seed=seed)
 
 
 def fit_predict(train: DataFrame, score: DataFrame, task: TaskSpec, kind: str = "tree", target_log1p: bool = False,

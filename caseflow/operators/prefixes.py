@@ -134,9 +134,52 @@ def extract_prefixes(log: DataFrame, cases: DataFrame | None = None, max_prefix_
     return res
 
 
-def running_case_prefixes(log: DataFrame, max_prefix_len: int = 30, **kw) -> DataFrame:
-    """INF-1: one scoring row per running case, built from all its (≤ max) events."""
-    return extract_prefixes(log, max_prefix_len=max_prefix_len, include_complete=True, only_longest=True, **kw)
+def running_case_prefixes(log: DataFrame, max_prefix_len: int = 30, include_case_attributes: bool = True,
+                          include_event_attributes: bool = True, feat_prefix: str = "feat_",
+                          case_out_prefix: str = "case__", event_out_prefix: str = "event_last__") -> DataFrame:
+    """INF-1: one scoring row per running case, describing its state at its latest event.
+
+    ``prefix_len`` is the true event count; ``prefix_activities`` holds the last
+    ``max_prefix_len`` activities (all of them for shorter cases).  Only the
+    ``max_prefix_len`` latest events per case are shuffled (row_number filter ->
+    WindowGroupLimit before the exchange); counts, start time and last non-null
+    attributes are aggregates.  Elapsed / since-last are clamped at 0.
+    """
+    case_cols = case_attribute_columns(log) if include_case_attributes else []
+    ev_cols = event_attribute_columns(log, case_cols, exclude=["case:endDate", "endDate", "case:end_time", "end_time"]) \
+        if include_event_attributes else []
+    order = F.struct(TS, IDX)
+    aggs = [F.count(F.lit(1)).alias("prefix_len"), F.min(TS).alias("_start")]
+    for i, c in enumerate(case_cols):
+        col = F.col(f"`{c}`")
+        aggs.append(F.min_by(col, F.when(col.isNotNull(), order)).alias(f"_ca{i}"))
+    for i, c in enumerate(ev_cols):
+        col = F.col(f"`{c}`")
+        aggs.append(F.max_by(col, F.when(col.isNotNull(), order)).alias(f"_ev{i}"))
+    state = log.groupBy(CASE).agg(*aggs)
+    w = Window.partitionBy(CASE).orderBy(F.desc(TS), F.desc(IDX))
+    tail = (log.select(CASE, ACT, TS, IDX).withColumn("_rd", F.row_number().over(w))
+            .where(F.col("_rd") <= max(max_prefix_len, 2)))
+    t = tail.groupBy(CASE).agg(
+        F.sort_array(F.collect_list(F.struct(TS, IDX, F.coalesce(F.col(ACT), F.lit("UNKNOWN")).alias("a"),
+                                             F.col("_rd")))).alias("_evs"),
+        F.max(F.when(F.col("_rd") == 1, F.col(TS))).alias("prefix_end_time"),
+        F.max(F.when(F.col("_rd") == 2, F.col(TS))).alias("_prev_ts"))
+    j = t.join(state, CASE)
+    acts = F.transform(F.filter("_evs", lambda e: e["_rd"] <= max_prefix_len), lambda e: e["a"])
+    elapsed = F.greatest(F.coalesce(seconds_between("_start", "prefix_end_time"), F.lit(0.0)), F.lit(0.0))
+    since = F.greatest(F.coalesce(seconds_between("_prev_ts", "prefix_end_time"), F.lit(0.0)), F.lit(0.0))
+    out = [F.col(CASE), F.col("prefix_len").cast("int").alias("prefix_len"), acts.alias("prefix_activities"),
+           "prefix_end_time", elapsed.alias(f"{feat_prefix}elapsed_time_sec"),
+           since.alias(f"{feat_prefix}time_since_last_event_sec"),
+           log1p_nonneg(elapsed).alias(f"{feat_prefix}elapsed_time_log1p"),
+           log1p_nonneg(since).alias(f"{feat_prefix}time_since_last_log1p"),
+           *calendar_features("prefix_end_time", prefix=f"{feat_prefix}prefix_end_")]
+    for i, c in enumerate(case_cols):
+        out.append(F.col(f"_ca{i}").alias(f"{case_out_prefix}{c[5:] if c.startswith('case:') else c}"))
+    for i, c in enumerate(ev_cols):
+        out.append(F.col(f"_ev{i}").alias(f"{event_out_prefix}{c}"))
+    return j.select(*out)
 
 
 def prefix_qc(prefixes: DataFrame) -> DataFrame:

@@ -858,3 +858,176 @@ QUERIES.update({
     "quantile_exemplars": q_quantile_exemplars,
     "nearest_bucket_model": q_nearest_bucket_model,
 })
+
+
+# ---------------------------------------------------------------- sources round trips, ablation, ML (rows-only)
+import uuid  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    from caseflow.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def q_running_case_prefix_long(spark, sf_dir):
+    """INF-1 on long cases (49-86 events): state at the latest event, last 30 activities."""
+    p = prefixes.running_case_prefixes(testlogs.user_log(spark, sf_dir), include_event_attributes=False)
+    return p.select("case_id", "prefix_len", F.concat_ws(">", "prefix_activities").alias("prefix_path"),
+                    round_half_up("feat_elapsed_time_sec", 3).alias("feat_elapsed_time_sec"),
+                    round_half_up("feat_time_since_last_event_sec", 3).alias("feat_time_since_last_event_sec"))
+
+
+def q_ablation_row_counts(spark, sf_dir):
+    """EXP-7: events / cases / prefix rows after each cumulative cleaning stage (line log)."""
+    from caseflow.plans.ablation import ablation_row_counts
+    return ablation_row_counts(testlogs.line_log(spark, sf_dir))
+
+
+def q_csv_source(spark, sf_dir):
+    """SRC-2 + PRJ-1: the customer log written as CSV by Spark and read back as an event log."""
+    from caseflow.sources.readers import read_csv_log
+    path = _scratch(spark, "csv")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    (o.select(F.col("o_custkey").alias("CaseID"), F.col("o_orderstatus").alias("Activity"),
+              F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("Timestamp"), "o_orderkey", "o_orderpriority")
+     .write.option("header", True).csv(path))
+    raw = read_csv_log(spark, path, schema="CaseID long, Activity string, Timestamp string, o_orderkey long, o_orderpriority string")
+    log = schema.clean_events(schema.normalize_schema(raw))
+    return log.select("case_id", "activity", ntz("timestamp").alias("timestamp"), "o_orderkey", "o_orderpriority")
+
+
+def q_xes_source(spark, sf_dir):
+    """SRC-3: the user log written as XES (trace / event elements) by Spark's XML writer, read back."""
+    from caseflow.sources.readers import read_xes_log
+    path = _scratch(spark, "xes")
+    log = testlogs.user_log(spark, sf_dir)
+    attr = lambda k, v: F.struct(F.lit(k).alias("_key"), v.alias("_value"))
+    ev = log.select("case_id", F.struct(
+        F.array(attr("concept:name", F.col("activity"))).alias("string"),
+        F.array(attr("time:timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))).alias("date"),
+        F.array(attr("value", F.col("value").cast("string"))).alias("float"),
+        F.array(attr("event_id", F.col("_event_index").cast("string"))).alias("int"),
+        F.struct(F.col("timestamp"), F.col("_event_index")).alias("_o")).alias("e"))
+    traces = ev.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(F.col("e._o").alias("o"), F.col("e").alias("e"))))
+                                       .alias("evs"))
+    traces.select(F.array(attr("concept:name", F.col("case_id"))).alias("string"),
+                  F.transform("evs", lambda x: x["e"].dropFields("_o")).alias("event")) \
+        .write.format("xml").option("rootTag", "log").option("rowTag", "trace").save(path)
+    raw = read_xes_log(spark, path)
+    n = schema.normalize_schema(raw)
+    return n.select("case_id", "activity", ntz("timestamp").alias("timestamp"), "event_id",
+                    round_half_up("value", 4).alias("value"))
+
+
+def q_linear_probe(spark, sf_dir):
+    """MOD-1 / MOD-4: last_state encoding + scaled ridge-style linear regression, val predictions."""
+    from caseflow.operators.encoding import fit_encoder
+    mf = model_frame(spark, sf_dir)
+    enc = fit_encoder("last_state", mf.where("split = 'train'"))
+    data = enc.transform(mf)
+    task = mdl.default_task_specs()["remaining_time"]
+    _, pred = mdl.fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, "linear")
+    return pred.select("case_id", "prefix_len", "y_true", "y_pred")
+
+
+def q_tree_probe(spark, sf_dir):
+    """MOD-2 / MOD-3: aggregation encoding + weighted random forest on next activity, val predictions."""
+    from caseflow.operators.encoding import fit_encoder, label_vocabulary
+    mf = model_frame(spark, sf_dir)
+    tr = mf.where("split = 'train'")
+    lv = label_vocabulary(tr, "label_next_activity")
+    enc = fit_encoder("aggregation", tr, label_col="label_next_activity", label_is_numeric=False, label_vocab=lv)
+    data = enc.transform(mf)
+    task = mdl.default_task_specs()["next_activity"]
+    _, pred = mdl.fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, "tree")
+    return pred.select("case_id", "prefix_len", "y_true", "y_pred")
+
+
+def q_feature_importance(spark, sf_dir):
+    """MET-13: ranked importances of a GBT remaining-time model (index_latest_payload encoding)."""
+    from caseflow.operators.encoding import fit_encoder
+    mf = model_frame(spark, sf_dir)
+    enc = fit_encoder("index_latest_payload", mf.where("split = 'train'"), max_prefix_len=10)
+    data = enc.transform(mf)
+    task = mdl.default_task_specs()["remaining_time"]
+    model, _ = mdl.fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, "tree")
+    imp = mdl.feature_importances(model, enc.feature_cols)
+    return spark.createDataFrame([(n, float(v), i + 1) for i, (n, v) in enumerate(imp)],
+                                 "feature string, importance double, rank int")
+
+
+def q_tuned_model(spark, sf_dir):
+    """MOD-5: TrainValidationSplit over linear and tree estimators; the winner and its score."""
+    from caseflow.operators.encoding import fit_encoder
+    mf = model_frame(spark, sf_dir)
+    enc = fit_encoder("last_state", mf.where("split = 'train'"))
+    data = enc.transform(mf.where("split = 'train'"))
+    task = mdl.default_task_specs()["remaining_time"]
+    _, score, kind = mdl.tuned_model(data, task, parallelism=2)
+    return spark.createDataFrame([(task.name, kind, float(score))], "task string, estimator string, val_mae double")
+
+
+def q_strategy_search(spark, sf_dir):
+    """EXP-1: bucketers x encoders with a linear probe on remaining time (rows-only)."""
+    from caseflow.plans.strategy import strategy_search
+    task = mdl.default_task_specs()["remaining_time"]
+    return strategy_search(model_frame(spark, sf_dir), task, ["no_bucket", "prefix_len_bins"],
+                           ["last_state", "aggregation"], mode="global", kind="linear").drop("metrics")
+
+
+def q_strategy_search_per_bucket(spark, sf_dir):
+    """EXP-4 / MOD-6: per-bucket models for eligible adaptive buckets (rows-only)."""
+    from caseflow.plans.strategy import strategy_search
+    task = mdl.default_task_specs()["remaining_time"]
+    return strategy_search(model_frame(spark, sf_dir), task, ["prefix_len_adaptive"], ["last_state"],
+                           mode="per_bucket", kind="linear", min_bucket_samples=300).drop("metrics")
+
+
+def q_batch_scoring(spark, sf_dir):
+    """INF-2..4: fit on train prefixes, score every customer case at its latest event (rows-only)."""
+    from caseflow.operators.bucketing import PrefixLenBins
+    from caseflow.operators.encoding import fit_encoder
+    from caseflow.plans.scoring import score_running_cases
+    mf = model_frame(spark, sf_dir)
+    tr = mf.where("split = 'train'")
+    bk = PrefixLenBins(bin_size=10).fit(tr)
+    enc = fit_encoder("last_state", tr)
+    data = enc.transform(bk.assign(mf))
+    task = mdl.default_task_specs()["remaining_time"]
+    el = smp.bucket_eligibility(bk.assign(mf), 300, False, "label_remaining_time_sec")
+    ids = [r[0] for r in el.where("eligible").select("bucket_id").collect()]  # ≤ #buckets
+    models, _ = mdl.train_per_bucket(data, ids, task, "linear")
+    return score_running_cases(customer_case_log(spark, sf_dir), bk, enc, models, task)
+
+
+def q_stream_scoring(spark, sf_dir):
+    """STR-1: running-case prefixes maintained by applyInPandasWithState over the events table as a stream."""
+    from caseflow.streaming.running_cases import prefix_features, running_prefix_stream
+    src = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = (spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    ev = stream.select(F.col("user_id").cast("string").alias("case_id"), F.col("event_type").alias("activity"),
+                       F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("_event_index"))
+    name = f"running_{uuid.uuid4().hex[:8]}"
+    q = (running_prefix_stream(ev).writeStream.outputMode("update").format("memory").queryName(name)
+         .option("checkpointLocation", _scratch(spark, "stream-ckpt")).start())
+    q.processAllAvailable()
+    q.stop()
+    return prefix_features(spark.table(name)).select("case_id", "prefix_len", "feat_elapsed_time_sec",
+                                                     F.concat_ws(">", "prefix_activities").alias("prefix_path"))
+
+
+QUERIES.update({
+    "running_case_prefix_long": q_running_case_prefix_long,
+    "ablation_row_counts": q_ablation_row_counts,
+    "csv_source": q_csv_source,
+    "xes_source": q_xes_source,
+    "linear_probe": q_linear_probe,
+    "tree_probe": q_tree_probe,
+    "feature_importance": q_feature_importance,
+    "tuned_model": q_tuned_model,
+    "strategy_search": q_strategy_search,
+    "strategy_search_per_bucket": q_strategy_search_per_bucket,
+    "batch_scoring": q_batch_scoring,
+    "stream_scoring": q_stream_scoring,
+})

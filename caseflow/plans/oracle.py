@@ -411,10 +411,17 @@ SELECT case_id, CAST(k AS INTEGER) AS prefix_len, o_orderpriority AS event_last_
        {rhu('o_totalprice', 4)} AS event_last__o_totalprice FROM cpfx
 """,
     "running_case_prefix": f"""
-WITH udl AS ({USER_DAY_LOG_SQL}), {prefix_cte('udl', 'rpfx', complete=True)}
-SELECT case_id, CAST(k AS INTEGER) AS prefix_len, prefix_path, {rhu(ELAPSED, 3)} AS feat_elapsed_time_sec,
-       {rhu(SINCE, 3)} AS feat_time_since_last_event_sec
-FROM rpfx WHERE k = least(30, n)
+WITH udl AS ({USER_DAY_LOG_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY "timestamp" DESC, _event_index DESC) AS rd,
+             count(*) OVER (PARTITION BY case_id) AS n, min("timestamp") OVER (PARTITION BY case_id) AS start_ts FROM udl),
+s AS (SELECT case_id, any_value(n) AS n, any_value(start_ts) AS start_ts,
+             max(CASE WHEN rd = 1 THEN "timestamp" END) AS last_ts, max(CASE WHEN rd = 2 THEN "timestamp" END) AS prev_ts,
+             string_agg(activity, '>' ORDER BY "timestamp", _event_index) FILTER (WHERE rd <= 30) AS prefix_path
+      FROM r GROUP BY case_id)
+SELECT case_id, CAST(n AS INTEGER) AS prefix_len, prefix_path,
+       {rhu('greatest(0, coalesce(' + sec('start_ts', 'last_ts') + ', 0))', 3)} AS feat_elapsed_time_sec,
+       {rhu('greatest(0, coalesce(' + sec('prev_ts', 'last_ts') + ', 0))', 3)} AS feat_time_since_last_event_sec
+FROM s
 """,
     "split_random": f"""
 WITH cl AS ({CUSTOMER_LOG_SQL}), {split_cte('cl')}
@@ -903,3 +910,46 @@ bs AS (SELECT DISTINCT bucket_id FROM b)
 SELECT bucket_id, arg_min(model_bucket, (abs(bucket_id - model_bucket), model_bucket)) AS model_bucket FROM bs, el GROUP BY bucket_id
 """,
 })
+
+
+def _ablation_sql() -> str:
+    return f"""
+WITH s1 AS ({LINE_LOG_SQL}),
+s2 AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY case_id, activity, "timestamp" ORDER BY _event_index) AS rn FROM s1) WHERE rn = 1),
+s3 AS (SELECT * FROM s2 WHERE case_id IN (SELECT case_id FROM s2 GROUP BY case_id HAVING count(*) >= 2)),
+s4 AS (SELECT * REPLACE (CASE WHEN trim(activity) IS NULL OR trim(activity) IN ('', 'nan', 'None') THEN 'UNKNOWN' ELSE trim(activity) END AS activity) FROM s3),
+s5 AS (SELECT * FROM s4 WHERE activity NOT IN (
+         SELECT activity FROM s4 GROUP BY activity HAVING count(DISTINCT case_id) <
+           (SELECT greatest(1, CAST(floor(count(DISTINCT case_id) * 0.005) AS BIGINT)) FROM s4))),
+s6 AS (SELECT * FROM s5 WHERE case_id NOT IN (SELECT case_id FROM s5 GROUP BY case_id HAVING max("timestamp") <= min("timestamp"))),
+s7 AS (SELECT * FROM s6 WHERE case_id NOT IN (
+         SELECT case_id FROM s6 GROUP BY case_id HAVING count(*) >
+           (SELECT CAST(floor(quantile_cont(n, 0.99)) AS BIGINT) FROM (SELECT count(*) AS n FROM s6 GROUP BY case_id)))),
+s8 AS (SELECT * EXCLUDE (prev) FROM (SELECT *, lag(activity) OVER (PARTITION BY case_id ORDER BY "timestamp", _event_index) AS prev FROM s7)
+       WHERE prev IS NULL OR prev <> activity),
+v9 AS (SELECT case_id, string_agg(activity, '>' ORDER BY "timestamp", _event_index) AS variant FROM s8 GROUP BY case_id),
+s9 AS (SELECT * FROM s8 WHERE case_id NOT IN (
+         SELECT case_id FROM v9 WHERE variant IN (SELECT variant FROM v9 GROUP BY variant HAVING count(*) < 5))),
+allst AS (
+  {' UNION ALL '.join(f"SELECT {i} AS stage, '{n}' AS stage_name, case_id FROM s{i}" for i, n in enumerate(
+      ['load', 'dedup', 'short_cases', 'normalize_activities', 'infrequent_activities', 'zero_duration',
+       'case_length', 'consecutive_duplicates', 'rare_variants'], start=1))}),
+sizes AS (SELECT stage, stage_name, case_id, count(*) AS n FROM allst GROUP BY ALL)
+SELECT stage, stage_name, CAST(sum(n) AS BIGINT) AS n_events, CAST(count(*) AS BIGINT) AS n_cases,
+       CAST(sum(greatest(0, least(30, n - 1))) AS BIGINT) AS n_prefix_rows
+FROM sizes GROUP BY stage, stage_name
+"""
+
+
+ORACLE.update({
+    "running_case_prefix_long": ORACLE["running_case_prefix"].replace(f"udl AS ({USER_DAY_LOG_SQL})", f"udl AS ({USER_LOG_SQL})"),
+    "ablation_row_counts": _ablation_sql(),
+    "csv_source": """
+SELECT CAST(o_custkey AS VARCHAR) AS case_id, o_orderstatus AS activity, o_orderdate AS "timestamp", o_orderkey, o_orderpriority
+FROM orders
+""",
+    "xes_source": f"""
+WITH ul AS ({USER_LOG_SQL})
+SELECT case_id, activity, "timestamp", _event_index AS event_id, {rhu('value', 4)} AS value FROM ul
+""",
+})

@@ -77,16 +77,19 @@ def read_xes_log(spark: SparkSession, path: str) -> DataFrame:
     once and one that repeats get the same type.  Nested XES lists are dropped.
     The set of attribute keys is schema metadata: a small distinct scan, not data.
     """
-    raw = (spark.read.format("xml").option("rowTag", "trace").option("valueTag", "_value")
+    raw = (spark.read.format("xml").option("rowTag", "trace")
            .schema(XES_TRACE_SCHEMA).load(path)
            .withColumn("_trace_index", F.monotonically_increasing_id()))
 
-    def keys(level: str) -> list[tuple[str, str]]:
+    def tagged(tag: str):
+        # one-argument lambda: Spark passes (element, index) to two-argument ones
+        return lambda a: F.struct(F.lit(tag).alias("tag"), a["_key"].alias("key"))
+
+    def keys(level: str) -> list:
         cols = []
         for tag in XES_TYPES:
-            src = f"{level}.`{tag}`" if level != "trace" else f"`{tag}`"
-            cols.append(F.transform(F.coalesce(F.expr(src), F.array()), lambda a, tag=tag: F.struct(
-                F.lit(tag).alias("tag"), a["_key"].alias("key"))))
+            src = F.col(tag) if level == "trace" else F.col(level)[tag]
+            cols.append(F.transform(F.coalesce(src, F.array().cast(_ATTR)), tagged(tag)))
         return cols
 
     trace_keys = [(r["tag"], r["key"]) for r in raw.select(F.explode(F.flatten(F.array(*keys("trace"))))
