@@ -116,7 +116,7 @@ def infrequent_activities(df: DataFrame, min_trace_freq: float = 0.005) -> DataF
 
 def filter_infrequent_activities(df: DataFrame, min_trace_freq: float = 0.005) -> DataFrame:
     """FLT-6: drop events of infrequent activities (broadcast anti join, vocab-sized)."""
-    return df.join(F.broadcast(infrequent_activities(df, min_trace_freq)), ACT, "left_anti")
+    return df.join(F.broadcast(infrequent_activities(df, min_trace_freq)), ACT, "left_anti").select(*df.columns)
 
 
 def filter_consecutive_duplicates(df: DataFrame) -> DataFrame:
