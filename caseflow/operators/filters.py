@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.operators.schema import ACT, CASE, IDX, TS, case_window
+from caseflow.operators.schema import ACT, CASE, IDX, TS
+from caseflow.operators.sequence import DEFAULT_CHUNK_ROWS, ordered_scan
 
 # Optional columns that join the default dedup key when present.
 DEDUP_OPTIONAL_KEYS = ["lifecycle:transition", "org:resource", "EventID", "EventOrigin"]
@@ -119,28 +120,45 @@ def filter_infrequent_activities(df: DataFrame, min_trace_freq: float = 0.005) -
     return df.join(F.broadcast(infrequent_activities(df, min_trace_freq)), ACT, "left_anti").select(*df.columns)
 
 
-def filter_consecutive_duplicates(df: DataFrame) -> DataFrame:
-    """FLT-7: drop an event whose activity equals the previous one in its case."""
-    prev = F.lag(ACT).over(case_window())
-    return df.withColumn("_prev_act", prev).where(
-        F.col("_prev_act").isNull() | (F.col("_prev_act") != F.col(ACT))).drop("_prev_act")
+def filter_consecutive_duplicates(df: DataFrame, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """FLT-7: drop an event whose activity equals the previous one in its case (skew-aware lag)."""
+    s = ordered_scan(df, [TS, IDX], lags={"_prev_act": ACT}, chunk_rows=chunk_rows)
+    return s.where(F.col("_prev_act").isNull() | (F.col("_prev_act") != F.col(ACT))).drop("_prev_act")
+
+
+def case_variant_ids(df: DataFrame, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Variant identity per case without collecting the case: (n_events, h1, h2).
+
+    h1 / h2 are XORs of two independent 64-bit hashes of (position, activity);
+    positions come from a skew-aware running count, the XOR is a plain
+    (map-side combined) aggregate.  Two different variants share an id with
+    probability ~2^-128.
+    """
+    s = ordered_scan(df.withColumn("_one", F.lit(1)), [TS, IDX], running_sum={"_pos": "_one"}, chunk_rows=chunk_rows)
+    a = F.coalesce(F.col(ACT), F.lit("UNKNOWN"))
+    return s.groupBy(CASE).agg(F.count(F.lit(1)).alias("n_events"),
+                               F.bit_xor(F.xxhash64(F.lit(1), F.col("_pos"), a)).alias("_vh1"),
+                               F.bit_xor(F.xxhash64(F.lit(2), F.col("_pos"), a)).alias("_vh2"))
 
 
 def case_variants(df: DataFrame) -> DataFrame:
-    """Variant per case: activities in (timestamp, index) order joined by ``>``.
+    """Variant text per case: activities in (timestamp, index) order joined by ``>``.
 
-    Built by sorting a collected list of (ts, idx, activity) structs per case.
+    For reports only; the text of a case is as long as the case.  Filters use
+    ``case_variant_ids``.
     """
     g = df.groupBy(CASE).agg(F.sort_array(F.collect_list(F.struct(TS, IDX, ACT))).alias("_evs"))
     return g.select(CASE, F.concat_ws(">", F.col(f"_evs.{ACT}")).alias("variant"),
                     F.size("_evs").alias("n_events"))
 
 
-def filter_rare_variants(df: DataFrame, min_variant_count: int = 5) -> DataFrame:
+def filter_rare_variants(df: DataFrame, min_variant_count: int = 5,
+                         chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """FLT-8: drop cases whose variant occurs in fewer than ``min_variant_count`` cases."""
-    v = case_variants(df)
-    counts = v.groupBy("variant").agg(F.count(F.lit(1)).alias("_vc"))
-    rare = v.join(counts.where(F.col("_vc") < min_variant_count), "variant", "left_semi")
+    v = case_variant_ids(df, chunk_rows)
+    key = ["n_events", "_vh1", "_vh2"]
+    counts = v.groupBy(*key).agg(F.count(F.lit(1)).alias("_vc"))
+    rare = v.join(counts.where(F.col("_vc") < min_variant_count), key, "left_semi")
     return drop_cases(df, rare)
 
 

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.operators.schema import ACT, CASE, IDX, TS, case_window
+from caseflow.operators.schema import ACT, CASE, IDX, TS
+from caseflow.operators.sequence import DEFAULT_CHUNK_ROWS, ordered_scan
 
 
-def with_occurrence(df: DataFrame, lifecycle_col: str = "lifecycle:transition", name: str = "_occurrence") -> DataFrame:
+def with_occurrence(df: DataFrame, lifecycle_col: str = "lifecycle:transition", name: str = "_occurrence",
+                    chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """WIN-9: running count of 'new logical event' flags within a case.
 
     A flag is raised when the activity differs from the previous event's or the
-    lifecycle value is ``start`` (trimmed, case-insensitive).
+    lifecycle value is ``start`` (trimmed, case-insensitive).  Two skew-aware
+    scans: a lag, then a running sum.
     """
-    w = case_window()
-    prev = F.lag(ACT).over(w)
-    changed = prev.isNull() | (F.col(ACT) != prev)
+    s = ordered_scan(df, [TS, IDX], lags={"_prev_act": ACT}, chunk_rows=chunk_rows)
+    changed = F.col("_prev_act").isNull() | (F.col(ACT) != F.col("_prev_act"))
     if lifecycle_col in df.columns:
-        changed = changed | (F.lower(F.trim(F.col(f"`{lifecycle_col}`").cast("string"))) == F.lit("start"))
-    flagged = df.withColumn("_new_evt", changed.cast("int"))
-    return flagged.withColumn(name, F.sum("_new_evt").over(w.rowsBetween(Window.unboundedPreceding, 0))
-                              .cast("int")).drop("_new_evt")
+        changed = changed | F.coalesce(F.lower(F.trim(F.col(f"`{lifecycle_col}`").cast("string"))) == F.lit("start"),
+                                       F.lit(False))
+    flagged = s.withColumn("_new_evt", changed.cast("int")).drop("_prev_act")
+    out = ordered_scan(flagged, [TS, IDX], running_sum={name: "_new_evt"}, chunk_rows=chunk_rows)
+    return out.withColumn(name, F.col(name).cast("int")).drop("_new_evt")
 
 
 def lifecycle_collapse(df: DataFrame, lifecycle_col: str = "lifecycle:transition", event_id_col: str = "EventID",

@@ -110,19 +110,19 @@ def normalize_activities(df: DataFrame, placeholder: str = "UNKNOWN") -> DataFra
     return df.withColumn(ACT, F.when(a.isNull() | a.isin(*MISSING_ACTIVITY_TEXTS), F.lit(placeholder)).otherwise(a))
 
 
-def repair_timestamps(df: DataFrame, strategy: str = "forward_fill") -> DataFrame:
-    """PRJ-7/8 in source (``_event_index``) order within a case.
+def repair_timestamps(df: DataFrame, strategy: str = "forward_fill", chunk_rows: int | None = 2_000_000) -> DataFrame:
+    """PRJ-7/8 in source (``_event_index``) order within a case (skew-aware scans).
 
     forward_fill: a time earlier than the running maximum is raised to it.
     drop: an event earlier than its original predecessor is dropped (one pass).
     """
-    w = case_window(IDX)
+    from caseflow.operators.sequence import ordered_scan
     if strategy == "forward_fill":
-        return df.withColumn(TS, F.max(TS).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        s = ordered_scan(df, [IDX], running_max={"_run_ts": TS}, chunk_rows=chunk_rows)
+        return s.withColumn(TS, F.col("_run_ts")).drop("_run_ts")
     if strategy == "drop":
-        prev = F.lag(TS).over(w)
-        return df.withColumn("_prev_ts", prev).where(
-            F.col("_prev_ts").isNull() | (F.col(TS) >= F.col("_prev_ts"))).drop("_prev_ts")
+        s = ordered_scan(df, [IDX], lags={"_prev_ts": TS}, chunk_rows=chunk_rows)
+        return s.where(F.col("_prev_ts").isNull() | (F.col(TS) >= F.col("_prev_ts"))).drop("_prev_ts")
     raise ValueError(f"unknown strategy {strategy!r}")
 
 

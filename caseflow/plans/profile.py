@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.scalar import seconds_between
 from caseflow.operators.filters import case_variants
-from caseflow.operators.schema import ACT, CASE, CORE, IDX, TS, case_window
+from caseflow.operators.schema import ACT, CASE, CORE, IDX, TS
 
 
 def _pct(c, q, approx=False):
@@ -55,9 +55,10 @@ def activity_frequency(log: DataFrame) -> DataFrame:
 
 
 def consecutive_duplicate_count(log: DataFrame) -> DataFrame:
-    """AGG-4: events whose activity equals the previous event's in the same case."""
-    prev = F.lag(ACT).over(case_window())
-    return log.select((prev == F.col(ACT)).alias("_dup")).agg(F.count_if("_dup").alias("n_consecutive_duplicates"))
+    """AGG-4: events whose activity equals the previous event's in the same case (skew-aware lag)."""
+    from caseflow.operators.sequence import ordered_scan
+    s = ordered_scan(log, [TS, IDX], lags={"_prev": ACT})
+    return s.agg(F.count_if(F.col("_prev") == F.col(ACT)).alias("n_consecutive_duplicates"))
 
 
 def _attr_cols(log: DataFrame) -> list[str]:
@@ -87,14 +88,15 @@ def missing_cell_rate(log: DataFrame) -> DataFrame:
 
 
 def variant_counts(log: DataFrame) -> DataFrame:
-    """Variants with their case counts and length."""
+    """Variants with their case counts and length (variant text built per case: report use)."""
     return case_variants(log).groupBy("variant").agg(F.count(F.lit(1)).alias("n_cases"),
                                                      F.first("n_events").alias("n_steps"))
 
 
 def variant_stats(log: DataFrame) -> DataFrame:
-    """AGG-6: #variants, #singleton variants, cases."""
-    v = variant_counts(log)
+    """AGG-6: #variants, #singleton variants, cases (hash identities: no per-case lists)."""
+    from caseflow.operators.filters import case_variant_ids
+    v = case_variant_ids(log).groupBy("n_events", "_vh1", "_vh2").agg(F.count(F.lit(1)).alias("n_cases"))
     return v.agg(F.count(F.lit(1)).alias("n_variants"), F.count_if(F.col("n_cases") == 1).alias("n_singletons"),
                  F.sum("n_cases").cast("bigint").alias("n_cases"))
 
