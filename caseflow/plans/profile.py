@@ -102,16 +102,27 @@ def variant_stats(log: DataFrame) -> DataFrame:
 
 
 def top_variants(log: DataFrame, k: int = 10) -> DataFrame:
-    """AGG-14: top-k variants with percent of cases and a short label (first 2 … last for > 4 steps)."""
-    v = variant_counts(log)
-    tot = v.agg(F.sum("n_cases").alias("_tot"))
+    """AGG-14: top-k variants with percent of cases and a short label (first 2 … last for > 4 steps).
+
+    Variants are counted by hash identity; text is built only for one
+    representative case of each candidate variant (those with at least the k-th
+    largest count, so ties at the cut are ordered by text exactly).
+    """
+    from caseflow.operators.filters import case_variant_ids
+    key = ["n_events", "_vh1", "_vh2"]
+    vc = case_variant_ids(log).groupBy(*key).agg(F.count(F.lit(1)).alias("n_cases"), F.min(CASE).alias("_rep"))
+    kth = vc.orderBy(F.desc("n_cases")).limit(k).agg(F.min("n_cases").alias("_kth"))
+    tot = vc.agg(F.sum("n_cases").alias("_tot"))
+    cand = vc.crossJoin(F.broadcast(kth)).where(F.col("n_cases") >= F.col("_kth"))
+    reps = log.join(cand.select(F.col("_rep").alias(CASE)), CASE, "left_semi")
+    text = case_variants(reps).select(F.col(CASE).alias("_rep"), "variant")
+    v = cand.join(text, "_rep").crossJoin(F.broadcast(tot))
     steps = F.split("variant", ">")
     short = F.when(F.size(steps) > 4, F.concat_ws(" → ", F.get(steps, 0), F.get(steps, 1), F.lit("…"),
                                                     F.element_at(steps, -1))) \
         .otherwise(F.array_join(steps, " → "))
-    return (v.crossJoin(F.broadcast(tot)).select("variant", "n_cases", "n_steps",
-                                                 (F.col("n_cases") * 100.0 / F.col("_tot")).alias("pct"),
-                                                 short.alias("label"))
+    return (v.select("variant", "n_cases", F.col("n_events").alias("n_steps"),
+                     (F.col("n_cases") * 100.0 / F.col("_tot")).alias("pct"), short.alias("label"))
             .orderBy(F.desc("n_cases"), F.asc("variant")).limit(k))
 
 
@@ -122,25 +133,31 @@ def last_event_values(log: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def column_profile(log: DataFrame, max_values: int = 500, sample: int = 30) -> DataFrame:
-    """AGG-7: per attribute: nulls, blanks (pct), distinct last-event values, the first
-    ``sample`` of them sorted when the cardinality is 1..``max_values``."""
+    """AGG-7: per attribute: nulls, blanks (pct), distinct last-event values, and the first
+    ``sample`` of them (sorted as text) when the cardinality is 1..``max_values``.
+
+    The sample is a per-column top-``sample`` over distinct values (row_number
+    limit), so a high-cardinality column never gathers its whole set in one task.
+    """
     cols = [c for c in log.columns if c not in (CASE, TS) and not c.startswith("_")]
     base = log.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"nu{i}") for i, c in enumerate(cols)],
                    *[F.count_if(F.trim(F.col(f"`{c}`").cast("string")) == "").alias(f"bl{i}") for i, c in enumerate(cols)])
     last = last_event_values(log, cols)
-    card = last.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"cd{i}") for i, c in enumerate(cols)],
-                    *[F.slice(F.array_sort(F.collect_set(F.col(f"`{c}`").cast("string"))), 1, sample).alias(f"sv{i}")
-                      for i, c in enumerate(cols)])
-    j = base.crossJoin(card)
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"nu{i}").alias("n_null"),
-                                        F.col(f"bl{i}").alias("n_blank"), F.col(f"cd{i}").alias("n_distinct_last"),
-                                        F.col(f"sv{i}").alias("sample_values")) for i, c in enumerate(cols)]))
-    r = j.select("_n", rows.alias("r"))
-    return r.select("r.column", "r.n_null", (F.col("r.n_null") * 100.0 / F.col("_n")).alias("pct_null"),
-                    "r.n_blank", (F.col("r.n_blank") * 100.0 / F.col("_n")).alias("pct_blank"),
-                    "r.n_distinct_last",
-                    F.when((F.col("r.n_distinct_last") >= 1) & (F.col("r.n_distinct_last") <= max_values),
-                           F.col("r.sample_values")).alias("sample_values"))
+    long = last.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
+                                           for c in cols])).alias("r")).select("r.*").where("value IS NOT NULL").distinct()
+    card = long.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct_last"))
+    w = Window.partitionBy("column").orderBy("value")
+    samp = (long.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
+            .groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("sample_values")))
+    rows = base.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"nu{i}").alias("n_null"),
+                                                          F.col(f"bl{i}").alias("n_blank")) for i, c in enumerate(cols)]))
+                       .alias("r")).select("_n", "r.*")
+    j = rows.join(card, "column", "left").join(samp, "column", "left")
+    nd = F.coalesce(F.col("n_distinct_last"), F.lit(0)).cast("bigint")
+    return j.select("column", "n_null", (F.col("n_null") * 100.0 / F.col("_n")).alias("pct_null"),
+                    "n_blank", (F.col("n_blank") * 100.0 / F.col("_n")).alias("pct_blank"),
+                    nd.alias("n_distinct_last"),
+                    F.when((nd >= 1) & (nd <= max_values), F.col("sample_values")).alias("sample_values"))
 
 
 def outcome_candidates(log: DataFrame, lo: int = 2, hi: int = 100) -> DataFrame:
