@@ -11,9 +11,10 @@ from caseflow.operators.schema import CASE
 def iqr_bounds(prefixes: DataFrame, label_col: str = "label_remaining_time_sec", multiplier: float = 1.5,
                split_col: str = "split") -> DataFrame:
     """FLT-13 fit: one row (q1, q3, lo, hi) from train labels (linear percentiles)."""
+    from caseflow.functions.quantiles import exact_quantiles
     y = F.col(label_col).try_cast("double")
-    train = prefixes.where((F.col(split_col) == "train") & y.isNotNull())
-    q = train.agg(F.percentile(y, F.lit(0.25)).alias("q1"), F.percentile(y, F.lit(0.75)).alias("q3"))
+    train = prefixes.where((F.col(split_col) == "train") & y.isNotNull()).select(y.alias("_y"))
+    q = exact_quantiles(train, "_y", [0.25, 0.75]).select(F.col("q0").alias("q1"), F.col("q1").alias("q3"))
     return q.select("q1", "q3", (F.col("q1") - F.lit(multiplier) * (F.col("q3") - F.col("q1"))).alias("lo"),
                     (F.col("q3") + F.lit(multiplier) * (F.col("q3") - F.col("q1"))).alias("hi"))
 
@@ -86,10 +87,11 @@ def quantile_exemplars(df: DataFrame, label_col: str, quantiles=(0.5, 0.9, 0.99)
     The quantile row is a small literal-sized table (one row per q), broadcast;
     the nearest row per q is an aggregate (min_by), not a sort.
     """
+    from caseflow.functions.quantiles import exact_quantiles
     y = F.col(label_col).cast("double")
-    qv = df.agg(F.percentile(y, F.array(*[F.lit(float(q)) for q in quantiles])).alias("_qs"))
-    qt = qv.select(F.posexplode("_qs").alias("_qi", "q_value")).withColumn(
-        "quantile", F.element_at(F.array(*[F.lit(float(q)) for q in quantiles]), F.col("_qi") + 1))
+    qv = exact_quantiles(df.select(y.alias("_y")), "_y", list(quantiles))
+    qt = qv.select(F.explode(F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.col(f"q{i}").alias("q_value"))
+                                       for i, q in enumerate(quantiles)])).alias("_q")).select("_q.*")
     j = df.where(y.isNotNull()).crossJoin(F.broadcast(qt))
     dist = F.abs(y - F.col("q_value"))
     best = j.groupBy("quantile", "q_value").agg(

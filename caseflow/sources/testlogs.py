@@ -7,7 +7,7 @@ test files are ``timestamp_ntz``; they are cast to ``timestamp`` (session zone U
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,9 +45,9 @@ def line_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem: case = l_orderkey, activity = returnflag||linestatus, ts = l_shipdate.
 
     The table has no single unique row key, so the event index is the rank of the
-    line within its order by (linenumber, partkey, suppkey, quantity, price).  The
-    window is partitioned by ``case_id`` so later per-case operators reuse its
-    shuffle.
+    line within its order by (linenumber, partkey, suppkey, quantity, price),
+    computed with the skew-aware running count (a hot order is split in chunks).
+    The plain path partitions by ``case_id`` so later per-case operators reuse it.
     """
     li = _read(spark, sf_dir, "lineitem")
     base = li.select(
@@ -56,11 +56,11 @@ def line_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     )
-    w = Window.partitionBy("case_id").orderBy("l_linenumber", "l_partkey", "l_suppkey",
-                                              "l_quantity", "l_extendedprice")
-    return base.select(
-        "case_id", "activity", "timestamp",
-        F.row_number().over(w).cast("bigint").alias("_event_index"),
+    from caseflow.operators.sequence import ordered_scan
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    ranked = ordered_scan(base.withColumn("_one", F.lit(1)), order, running_sum={"_event_index": "_one"})
+    return ranked.select(
+        "case_id", "activity", "timestamp", F.col("_event_index").cast("bigint").alias("_event_index"),
         "l_suppkey", "l_quantity",
     )
 

@@ -46,3 +46,12 @@ def test_variant_ids_match_variant_text(spark):
     # the id <-> text relation is one-to-one
     assert j.groupBy("vid").agg(F.count_distinct("variant").alias("k")).where("k > 1").count() == 0
     assert j.groupBy("variant").agg(F.count_distinct("vid").alias("k")).where("k > 1").count() == 0
+
+
+def test_distributed_quantiles_equal_percentile(spark):
+    from caseflow.functions.quantiles import exact_quantiles
+    df = spark.read.parquet(f"{SF}/lineitem.parquet")
+    qs = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    a = exact_quantiles(df, "l_extendedprice", qs, small_rows=10 ** 9).first()
+    b = exact_quantiles(df, "l_extendedprice", qs, small_rows=1).first()
+    assert all(abs(a[i] - b[i]) < 1e-9 for i in range(len(qs)))
