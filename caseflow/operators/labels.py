@@ -25,7 +25,7 @@ def _last_non_null(c: str):
 
 
 def case_table(df: DataFrame, outcome_col: str = "", outcome_values: str | list[str] = "",
-               label_col: str = "label_outcome", end_col: str | None = "auto") -> DataFrame:
+               label_col: str = "label_outcome", end_col: str | None = "auto", extra_aggs: list | None = None) -> DataFrame:
     """One row per case: start, end, outcome label (LBL-1..3).
 
     * start / end = min / max timestamp.
@@ -35,8 +35,9 @@ def case_table(df: DataFrame, outcome_col: str = "", outcome_values: str | list[
       values outside the whitelist become ``Other``; no column -> ``unknown``.
 
     A single ``groupBy(case_id)``: partial aggregation keeps a hot case cheap.
+    ``extra_aggs`` ride along in the same aggregate (e.g. case size, case attributes).
     """
-    aggs = [F.min(TS).alias("case_start_time"), F.max(TS).alias("case_end_time")]
+    aggs = [F.min(TS).alias("case_start_time"), F.max(TS).alias("case_end_time")] + list(extra_aggs or [])
     if end_col == "auto":
         end_col = next((c for c in END_TIME_CANDIDATES if c in df.columns), None)
     if end_col and end_col in df.columns:

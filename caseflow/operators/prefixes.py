@@ -64,7 +64,6 @@ def extract_prefixes(log: DataFrame, cases: DataFrame | None = None, max_prefix_
         raise ValueError("invalid prefix length bounds")
     if event_agg_policy not in ("last_non_null", "last"):
         raise ValueError("event_agg_policy must be last_non_null or last")
-    cases = cases if cases is not None else build_case_table(log)
     case_cols = case_attribute_columns(log, case_attribute_cols) if include_case_attributes else []
     end_cols = ["case:endDate", "endDate", "case:end_time", "end_time"]
     ev_cols = (event_attribute_columns(log, case_cols, event_attribute_cols, exclude=end_cols)
@@ -76,7 +75,11 @@ def extract_prefixes(log: DataFrame, cases: DataFrame | None = None, max_prefix_
     for c in case_cols:
         col = F.col(f"`{c}`")
         case_aggs.append(F.min_by(col, F.when(col.isNotNull(), F.struct(TS, IDX))).alias(f"_ca{case_cols.index(c)}"))
-    sizes = log.groupBy(CASE).agg(*case_aggs)
+    if cases is None:
+        # one case-level aggregate: times, outcome, size and case attributes together
+        info = build_case_table(log, extra_aggs=case_aggs)
+    else:
+        info = log.groupBy(CASE).agg(*case_aggs).join(cases, CASE, "left")
 
     keep = [CASE, ACT, TS, IDX] + list(dict.fromkeys(ev_cols + [c for c in nxt_cols if c in log.columns]))
     w = Window.partitionBy(CASE).orderBy(TS, IDX)
@@ -100,7 +103,7 @@ def extract_prefixes(log: DataFrame, cases: DataFrame | None = None, max_prefix_
         cols.append(v.alias(f"{event_out_prefix}{c}"))
     feats = head.select(*cols)
 
-    p = feats.join(sizes, CASE).join(cases, CASE, "left")
+    p = feats.join(info, CASE)
     upper = F.least(F.lit(max_prefix_len), F.col("_n") if include_complete else F.col("_n") - 1)
     p = p.where((F.col("prefix_len") >= min_prefix_len) & (F.col("prefix_len") <= upper))
     if only_longest:
