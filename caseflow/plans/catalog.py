@@ -292,11 +292,16 @@ def model_prefixes(spark, sf_dir, max_prefix_len: int = 30, **kw):
 
 
 def model_frame(spark, sf_dir):
-    """Prefixes of the customer log with a random case split (the modelling base)."""
+    """Prefixes of the customer log with a random case split (the modelling base).
+
+    Fitting and scoring read this frame many times (vocabularies, encoders,
+    bucketers, metrics), so it is materialised once in the checkpoint folder.
+    """
     from caseflow.operators.splits import attach_split, split_cases
+    from caseflow.session import materialize
     log = customer_case_log(spark, sf_dir)
     p = prefixes.extract_prefixes(log)
-    return attach_split(p, split_cases(log))
+    return materialize(attach_split(p, split_cases(log)))
 
 
 def q_end_override(spark, sf_dir):
@@ -1031,3 +1036,120 @@ QUERIES.update({
     "batch_scoring": q_batch_scoring,
     "stream_scoring": q_stream_scoring,
 })
+
+
+# ---------------------------------------------------------------- remaining surfaces: detection, exemplars, sinks, scalars
+
+def q_column_autodetect(spark, sf_dir):
+    """PRJ-3: names guessed from the schema (substring and case-insensitive fallbacks), then renamed."""
+    e = _events(spark, sf_dir)
+    raw = e.select(F.col("user_id").alias("customer_trace_ref"), F.col("event_type").alias("EVENT_TYPE"),
+                   F.col("ts").alias("Created_At"), "event_id", "value")
+    m = schema.detect_columns(raw.columns, "csv")
+    n = schema.normalize_schema(raw, mapping=m)
+    return _out(n.withColumn("case_id", F.col("case_id").cast("string")), ["case_id", "activity", "timestamp", "event_id"])
+
+
+def q_test_quantile_exemplars(spark, sf_dir):
+    """SRT-5: distinct test rows nearest to the 7 label quantiles of the test split."""
+    t = regression_predictions(spark, sf_dir).where(F.col("split") == "test")
+    e = smp.quantile_exemplars(t, "y_true", (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
+    return _r(e.select("case_id", "prefix_len", "y_true", "y_pred").distinct(), {"y_true": 2, "y_pred": 2})
+
+
+def q_classification_exemplars(spark, sf_dir):
+    """SRT-6: up to 10 wrong and the rest right predictions, hash-ordered (rows-only)."""
+    return smp.classification_exemplars(classification_predictions(spark, sf_dir), 20) \
+        .select("case_id", "prefix_len", "y_true", "y_pred")
+
+
+def q_bucket_exemplars(spark, sf_dir):
+    """SRT-7: per adaptive bucket, the prediction whose error is closest to the bucket's median error."""
+    p = regression_predictions(spark, sf_dir).select("case_id", "prefix_len", "bucket_id", "y_true", "y_pred")
+    e = smp.per_bucket_exemplar(p, "median")
+    return _r(e.select("bucket_id", "case_id", "prefix_len", "y_true", "y_pred"), {"y_true": 2, "y_pred": 2})
+
+
+def q_sample_prefixes(spark, sf_dir):
+    """SRT-8: 10 % Bernoulli sample of the prefix frame (seeded; rows-only)."""
+    return smp.sample_prefixes(model_frame(spark, sf_dir), 0.1, 42).select("case_id", "prefix_len", "split")
+
+
+def q_qc_report_json(spark, sf_dir):
+    """SNK-1: a QC report written as JSON to the shared folder and read back with its schema."""
+    from caseflow.sources.sinks import write_report
+    rep = q_trace_length_stats(spark, sf_dir)
+    path = _scratch(spark, "qc-json")
+    write_report(rep, path)
+    return spark.read.schema(rep.schema).json(path)
+
+
+def q_prefix_preview(spark, sf_dir):
+    """SNK-2: first 100 prefix rows by key, the activity list as JSON text (the limit is the feature)."""
+    from caseflow.sources.sinks import to_preview
+    p = prefixes.extract_prefixes(clean_line_log(spark, sf_dir), include_event_attributes=False, add_time_features=False)
+    pv = to_preview(p.select("case_id", "prefix_len", "prefix_activities", ntz("prefix_end_time").alias("prefix_end_time"),
+                             "label_next_activity"), 100, ["case_id", "prefix_len"])
+    return pv
+
+
+def q_encoded_preview(spark, sf_dir):
+    """SNK-4: top-5 features by |value| for 20 encoded rows (rows-only)."""
+    from caseflow.operators.encoding import fit_encoder
+    from caseflow.sources.sinks import encoded_preview
+    mf = model_frame(spark, sf_dir)
+    enc = fit_encoder("last_state", mf.where("split = 'train'"))
+    return encoded_preview(enc.transform(mf).orderBy("case_id", "prefix_len"), enc.feature_cols, 5, 20)
+
+
+def q_scalar_functions(spark, sf_dir):
+    """SCL-1/2/5/13/14: log1p of clipped values, clamped expm1, days, relative gain, NaN -> null."""
+    from caseflow.functions.scalar import expm1_clamped, json_safe, log1p_nonneg, relative_gain_pct, seconds_to_days
+    e = _events(spark, sf_dir)
+    v = F.col("value")
+    nan_or_v = F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(v)
+    return e.select("event_id",
+                    round_half_up(log1p_nonneg(v - 50.0), 6).alias("log1p_clip"),
+                    round_half_up(expm1_clamped(v / 100.0 - 0.5), 6).alias("expm1_clamp"),
+                    round_half_up(seconds_to_days(v * 1000.0), 6).alias("days"),
+                    round_half_up(relative_gain_pct(v, F.lit(50.0), F.col("event_id") % 2 == 0), 6).alias("gain_pct"),
+                    json_safe(nan_or_v).alias("json_value"))
+
+
+def q_roc_auc(spark, sf_dir):
+    """MET-2 (AUC): predicted remaining time as the score for 'remaining above the median' (rows-only)."""
+    p = regression_predictions(spark, sf_dir)
+    med = p.agg(F.percentile("y_true", F.lit(0.5)).alias("_m"))
+    lab = p.crossJoin(F.broadcast(med)).select((F.col("y_true") > F.col("_m")).cast("double").alias("label"),
+                                               F.col("y_pred").alias("score"))
+    return spark.createDataFrame([(float(met.roc_auc(lab, "label", "score")),)], "roc_auc double")
+
+
+def q_strategy_report(spark, sf_dir):
+    """SNK-5 / EXP-3 / EXP-10: flattened strategy table, best per task, % gain over the baseline."""
+    from caseflow.plans.strategy import best_per_task, gain_pivot, strategy_search
+    from caseflow.session import materialize
+    from caseflow.sources.sinks import flatten_strategy_report
+    task = mdl.default_task_specs()["remaining_time"]
+    res = materialize(strategy_search(model_frame(spark, sf_dir), task, ["no_bucket", "prefix_len_adaptive"],
+                                      ["last_state", "index_latest_payload"], kind="linear"))
+    flat = flatten_strategy_report(res)
+    best = best_per_task(res).select("task", F.col("bucketing").alias("best_bucketing"),
+                                     F.col("encoding").alias("best_encoding"))
+    gains = gain_pivot(res)
+    return flat.join(best, "task").join(gains, ["task", "bucketing"])
+
+
+QUERIES.update({
+    "column_autodetect": q_column_autodetect,
+    "test_quantile_exemplars": q_test_quantile_exemplars,
+    "classification_exemplars": q_classification_exemplars,
+    "bucket_exemplars": q_bucket_exemplars,
+    "sample_prefixes": q_sample_prefixes,
+    "qc_report_json": q_qc_report_json,
+    "prefix_preview": q_prefix_preview,
+    "encoded_preview": q_encoded_preview,
+    "scalar_functions": q_scalar_functions,
+    "roc_auc": q_roc_auc,
+    "strategy_report": q_strategy_report,
+})

@@ -953,3 +953,40 @@ WITH ul AS ({USER_LOG_SQL})
 SELECT case_id, activity, "timestamp", _event_index AS event_id, {rhu('value', 4)} AS value FROM ul
 """,
 })
+
+
+ORACLE.update({
+    "column_autodetect": """
+SELECT CAST(user_id AS VARCHAR) AS case_id, event_type AS activity, ts AS "timestamp", event_id FROM events
+""",
+    "test_quantile_exemplars": f"""
+WITH {REG_PRED}, t AS (SELECT * FROM pred WHERE split = 'test' AND y_true IS NOT NULL),
+qs AS (SELECT quantile_cont(y_true, [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS vals FROM t),
+q AS (SELECT vals[i] AS qv, i FROM qs, range(1, 8) r(i)),
+pick AS (SELECT t.*, row_number() OVER (PARTITION BY q.i ORDER BY abs(t.y_true - q.qv), t.case_id, t.prefix_len) AS r FROM q, t)
+SELECT DISTINCT case_id, prefix_len, {rhu('y_true', 2)} AS y_true, {rhu('y_pred', 2)} AS y_pred FROM pick WHERE r = 1
+""",
+    "bucket_exemplars": f"""
+WITH {REG_PRED},
+md AS (SELECT bucket_id, quantile_cont(abs(y_true - y_pred), 0.5) AS m FROM pred GROUP BY bucket_id),
+pick AS (SELECT p.*, row_number() OVER (PARTITION BY p.bucket_id ORDER BY abs(abs(p.y_true - p.y_pred) - md.m), p.case_id, p.prefix_len) AS r
+         FROM pred p JOIN md USING (bucket_id))
+SELECT bucket_id, case_id, prefix_len, {rhu('y_true', 2)} AS y_true, {rhu('y_pred', 2)} AS y_pred FROM pick WHERE r = 1
+""",
+    "qc_report_json": ORACLE["trace_length_stats"],
+    "prefix_preview": f"""
+WITH {CLEAN_LINE_LOG}, {prefix_cte('clean', 'lpfx')}
+SELECT case_id, CAST(k AS INTEGER) AS prefix_len, to_json(acts)::VARCHAR AS prefix_activities, "timestamp" AS prefix_end_time,
+       label_next_activity
+FROM lpfx ORDER BY case_id, prefix_len LIMIT 100
+""",
+    "scalar_functions": f"""
+SELECT event_id,
+  {rhu('ln(1 + greatest(0, value - 50.0))', 6)} AS log1p_clip,
+  {rhu('greatest(exp(value / 100.0 - 0.5) - 1, 0)', 6)} AS expm1_clamp,
+  {rhu('value * 1000.0 / 86400.0', 6)} AS days,
+  {rhu('CASE WHEN event_id % 2 = 0 THEN (value - 50.0) ELSE (50.0 - value) END * 100 / 50.0', 6)} AS gain_pct,
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS json_value
+FROM events
+""",
+})

@@ -55,3 +55,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def materialize(df, how: str = "checkpoint"):
+    """Compute ``df`` once for several consumers.
+
+    ``checkpoint``: written to the shared checkpoint folder, lineage cut (survives
+    executor loss); ``persist``: executor storage, recomputed from lineage if lost.
+    """
+    if how == "checkpoint":
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    if how == "persist":
+        out = df.persist()
+        out.count()
+        return out
+    return df
