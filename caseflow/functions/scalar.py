@@ -107,3 +107,13 @@ def round_half_up(x: Column | str, digits: int = 4) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     m = float(10 ** digits)
     return F.floor(x * m + 0.5) / m
+
+
+def attach_scalars(df, one_row):
+    """Attach the columns of a one-row frame (a global aggregate: thresholds, bounds,
+    totals) to every row of ``df``.
+
+    ``one_row`` must be an aggregate without grouping keys, so it has exactly one
+    row; the broadcast nested-loop join then costs O(rows of df), never a product.
+    """
+    return df.crossJoin(F.broadcast(one_row))

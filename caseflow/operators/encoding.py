@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseflow.operators.schema import CASE
+from caseflow.functions.scalar import attach_scalars
 
 UNK = "__UNK__"
 KEY = [CASE, "prefix_len"]
@@ -129,7 +130,7 @@ def target_encoding(train: DataFrame, cat_col: str, label_col: str, smoothing: f
     t = train.where(y.isNotNull()).select(_as_text(cat_col).alias("category"), y.alias("_y"))
     g = t.agg(F.avg("_y").alias("global_mean"))
     per = t.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"))
-    return per.crossJoin(F.broadcast(g)).withColumn(
+    return attach_scalars(per, g).withColumn(
         "encoding", (F.col("n") * F.col("mean") + F.lit(smoothing) * F.col("global_mean"))
         / (F.col("n") + F.lit(smoothing)))
 
@@ -138,7 +139,7 @@ def apply_target_encoding(df: DataFrame, enc: DataFrame, cat_col: str, out_col:
     """ENC-8 apply (JON-7): broadcast lookup, unseen / null -> global mean."""
     g = enc.agg(F.first("global_mean").alias("_gm"))
     e = enc.select(F.col("category").alias("_cat"), F.col("encoding").alias("_enc"))
-    j = (df.join(F.broadcast(e), _as_text(cat_col) == F.col("_cat"), "left").crossJoin(F.broadcast(g)))
+    j = (attach_scalars(df.join(F.broadcast(e), _as_text(cat_col) == F.col("_cat"), "left"), g))
     return j.withColumn(out_col, F.coalesce(F.col("_enc"), F.col("_gm"))).drop("_cat", "_enc", "_gm")
 
 
@@ -159,18 +160,15 @@ def embedding_mean_last_long(df: DataFrame, vectors: DataFrame, prefix_col: str
     """ENC-10 long: per prefix and dimension, mean of the activity vectors and the last
     activity's vector; activities without a vector use the mean vector of the lookup."""
     dims = vectors.select(F.posexplode("embedding").alias("dim", "x"), "activity")
-    mean_vec = dims.groupBy("dim").agg(F.avg("x").alias("mx"))
+    mean_vec = dims.groupBy("dim").agg(F.avg("x").alias("mx")) \
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mx"))), lambda e: e["mx"]).alias("_mean"))
     ex = df.select(*KEY, F.posexplode(prefix_col).alias("pos", "activity"),
                    F.size(prefix_col).alias("_len"))
-    ex = ex.join(F.broadcast(vectors), "activity", "left")
-    per_dim = ex.select(*KEY, "pos", "_len", "activity", F.posexplode_outer("embedding").alias("dim", "x"))
-    # unseen activity: expand over the mean vector's dims
-    seen = per_dim.where(F.col("dim").isNotNull())
-    unseen = per_dim.where(F.col("dim").isNull()).drop("dim", "x").crossJoin(
-        F.broadcast(mean_vec.select("dim", F.col("mx").alias("x"))))
-    allx = seen.select(*KEY, "pos", "_len", "dim", F.col("x").cast("double").alias("x")).unionByName(
-        unseen.select(*KEY, "pos", "_len", "dim", F.col("x").cast("double").alias("x")))
-    return allx.groupBy(*KEY, "dim").agg(
+    ex = attach_scalars(ex.join(F.broadcast(vectors), "activity", "left"), mean_vec)
+    # activities without a vector use the mean vector of the lookup
+    vec = F.coalesce(F.transform("embedding", lambda v: v.cast("double")), F.col("_mean"))
+    per_dim = ex.select(*KEY, "pos", "_len", F.posexplode(vec).alias("dim", "x"))
+    return per_dim.groupBy(*KEY, "dim").agg(
         F.avg("x").alias("mean_value"),
         F.max(F.when(F.col("pos") == F.col("_len") - 1, F.col("x"))).alias("last_value"))
 

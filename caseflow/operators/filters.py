@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from caseflow.operators.schema import ACT, CASE, IDX, TS
 from caseflow.operators.sequence import DEFAULT_CHUNK_ROWS, ordered_scan
+from caseflow.functions.scalar import attach_scalars
 
 # Optional columns that join the default dedup key when present.
 DEDUP_OPTIONAL_KEYS = ["lifecycle:transition", "org:resource", "EventID", "EventOrigin"]
@@ -92,7 +93,7 @@ def case_length_threshold(df: DataFrame, percentile: float = 99.0, hard_max: int
 def filter_case_length(df: DataFrame, percentile: float = 99.0, hard_max: int | None = None) -> DataFrame:
     """FLT-4: drop cases longer than the threshold (1-row aggregate, broadcast)."""
     thr = case_length_threshold(df, percentile, hard_max)
-    long_cases = case_sizes(df).crossJoin(F.broadcast(thr)).where(F.col("n_events") > F.col("threshold"))
+    long_cases = attach_scalars(case_sizes(df), thr).where(F.col("n_events") > F.col("threshold"))
     return drop_cases(df, long_cases)
 
 
@@ -112,7 +113,7 @@ def infrequent_activities(df: DataFrame, min_trace_freq: float = 0.005) -> DataF
     per_act = df.select(ACT, CASE).distinct().groupBy(ACT).agg(F.count(F.lit(1)).alias("trace_count"))
     thr = n_cases.select(F.greatest(F.lit(1), F.floor(F.col("n_cases") * F.lit(float(min_trace_freq))))
                          .cast("bigint").alias("min_count"))
-    return per_act.crossJoin(F.broadcast(thr)).where(F.col("trace_count") < F.col("min_count")).select(ACT)
+    return attach_scalars(per_act, thr).where(F.col("trace_count") < F.col("min_count")).select(ACT)
 
 
 def filter_infrequent_activities(df: DataFrame, min_trace_freq: float = 0.005) -> DataFrame:
@@ -184,7 +185,7 @@ def filter_recent_pct(df: DataFrame, recent_pct: float = 80.0) -> DataFrame:
     ranked = global_rank(starts, [F.col("case_start_time"), F.col(CASE)], "_rank")
     n = starts.agg(F.count(F.lit(1)).alias("_n"))
     skip = n.select(F.floor(F.col("_n") * F.lit(1.0 - recent_pct / 100.0)).cast("bigint").alias("_skip"))
-    keep = ranked.crossJoin(F.broadcast(skip)).where(F.col("_rank") > F.col("_skip"))
+    keep = attach_scalars(ranked, skip).where(F.col("_rank") > F.col("_skip"))
     return keep_cases(df, keep)
 
 

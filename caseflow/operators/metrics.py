@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from caseflow.functions.scalar import attach_scalars
 
 
 def confusion(pred: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -105,7 +106,7 @@ def error_histogram(pred: DataFrame, bins: int = 50, y: str = "y_true", p: str =
     """MET-11: equal-width histogram of signed errors (top edge folded into the last bin)."""
     r = F.col(p) - F.col(y)
     rng = pred.agg(F.min(r).alias("_lo"), F.max(r).alias("_hi"))
-    j = pred.select(r.alias("residual")).crossJoin(F.broadcast(rng))
+    j = attach_scalars(pred.select(r.alias("residual")), rng)
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
         F.least(F.lit(bins), F.width_bucket(F.col("residual"), F.col("_lo"), F.col("_hi"), F.lit(bins))))
     return j.groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"),
@@ -117,5 +118,5 @@ def class_weights(train: DataFrame, label_col: str) -> DataFrame:
     """MOD-3: balanced weights ``N / (K * n_class)`` (class table is tiny)."""
     c = train.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
     tot = c.agg(F.sum("n_class").alias("_N"), F.count(F.lit(1)).alias("_K"))
-    return c.crossJoin(F.broadcast(tot)).select(
+    return attach_scalars(c, tot).select(
         label_col, "n_class", (F.col("_N") / (F.col("_K") * F.col("n_class"))).alias("weight"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.scalar import expm1_clamped, log1p_nonneg
 from caseflow.operators.schema import CASE
+from caseflow.functions.scalar import attach_scalars
 
 KEY = [CASE, "prefix_len"]
 
@@ -32,15 +33,15 @@ def mean_by_last_activity(train: DataFrame, label_col: str = "label_remaining_ti
     t = train.where(y.isNotNull()).select(last_activity_col().alias("_la"), y.alias("_y"))
     g = t.agg(F.avg("_y").alias("_gm"))
     per = t.groupBy("_la").agg(F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_m"))
-    return per.crossJoin(F.broadcast(g)).select(
+    return attach_scalars(per, g).select(
         "_la", ((F.col("_n") * F.col("_m") + F.lit(smoothing) * F.col("_gm")) / (F.col("_n") + F.lit(smoothing))).alias("_enc"),
         "_gm")
 
 
 def predict_mean_by_last_activity(df: DataFrame, fitted: DataFrame, label_col: str = "label_remaining_time_sec") -> DataFrame:
     gm = fitted.agg(F.first("_gm").alias("_g"))
-    j = (df.withColumn("_la", last_activity_col()).join(F.broadcast(fitted.select("_la", "_enc")), "_la", "left")
-         .crossJoin(F.broadcast(gm)))
+    j = attach_scalars(df.withColumn("_la", last_activity_col())
+                       .join(F.broadcast(fitted.select("_la", "_enc")), "_la", "left"), gm)
     return j.withColumn("y_true", F.col(label_col).try_cast("double")) \
         .withColumn("y_pred", F.coalesce(F.col("_enc"), F.col("_g"))).drop("_la", "_enc", "_g")
 
@@ -52,13 +53,13 @@ def majority_next_by_last_activity(train: DataFrame, label_col: str = "label_nex
             .where("_r = 1").select("_la", "_lab"))
     glob = (c.groupBy("_lab").agg(F.sum("_c").alias("_c")).orderBy(F.desc("_c"), F.asc("_lab")).limit(1)
             .select(F.col("_lab").alias("_glob")))
-    return best.crossJoin(F.broadcast(glob))
+    return attach_scalars(best, glob)
 
 
 def predict_majority(df: DataFrame, fitted: DataFrame, label_col: str = "label_next_activity") -> DataFrame:
     glob = fitted.agg(F.first("_glob").alias("_g"))
-    j = (df.withColumn("_la", last_activity_col()).join(F.broadcast(fitted.select("_la", "_lab")), "_la", "left")
-         .crossJoin(F.broadcast(glob)))
+    j = attach_scalars(df.withColumn("_la", last_activity_col())
+                       .join(F.broadcast(fitted.select("_la", "_lab")), "_la", "left"), glob)
     return j.withColumn("y_true", F.col(label_col).cast("string")) \
         .withColumn("y_pred", F.coalesce(F.col("_lab"), F.col("_g"))).drop("_la", "_lab", "_g")
 
@@ -95,7 +96,7 @@ def balanced_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """MOD-3 as a weight column: N / (K * n_class) joined back (class table is tiny)."""
     c = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = c.agg(F.sum("_nc").alias("_N"), F.count(F.lit(1)).alias("_K"))
-    w = c.crossJoin(F.broadcast(tot)).select(label, (F.col("_N") / (F.col("_K") * F.col("_nc"))).alias("weight"))
+    w = attach_scalars(c, tot).select(label, (F.col("_N") / (F.col("_K") * F.col("_nc"))).alias("weight"))
     return train.join(F.broadcast(w), label)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.operators.schema import CASE
+from caseflow.functions.scalar import attach_scalars
 
 
 def iqr_bounds(prefixes: DataFrame, label_col: str = "label_remaining_time_sec", multiplier: float = 1.5,
@@ -28,7 +29,7 @@ def filter_iqr_outliers(prefixes: DataFrame, label_col: str = "label_remaining_t
     """
     b = iqr_bounds(prefixes, label_col, multiplier, split_col)
     y = F.col(label_col).try_cast("double")
-    j = prefixes.crossJoin(F.broadcast(b.select("lo", "hi")))
+    j = attach_scalars(prefixes, b.select("lo", "hi"))
     keep = ((F.col(split_col) != "train") | y.isNull() | F.col("lo").isNull()
             | ((y >= F.col("lo")) & (y <= F.col("hi"))))
     return j.where(keep).drop("lo", "hi")
@@ -45,7 +46,7 @@ def filter_rare_classes(prefixes: DataFrame, label_col: str = "label_next_activi
               .agg(F.count(F.lit(1)).alias("_cnt")))
     flag = counts.agg(F.max((F.col("_cnt") < min_class_samples).cast("int")).alias("_has_rare"))
     kept = counts.where(F.col("_cnt") >= min_class_samples).select(F.col(label_col).alias("_kc"))
-    j = (prefixes.crossJoin(F.broadcast(flag))
+    j = (attach_scalars(prefixes, flag)
          .join(F.broadcast(kept), F.col(label_col) == F.col("_kc"), "left"))
     keep = (F.coalesce(F.col("_has_rare"), F.lit(0)) == 0) | F.col("_kc").isNotNull()
     return j.where(keep).drop("_has_rare", "_kc")
@@ -84,19 +85,22 @@ def worst_predictions(pred: DataFrame, n: int = 10, y: str = "y_true", p: str =
 def quantile_exemplars(df: DataFrame, label_col: str, quantiles=(0.5, 0.9, 0.99)) -> DataFrame:
     """SRT-4/5: for each quantile q of the label, the row nearest to it (ties by key).
 
-    The quantile row is a small literal-sized table (one row per q), broadcast;
-    the nearest row per q is an aggregate (min_by), not a sort.
+    The quantile values are one row of scalars; a single aggregate then keeps,
+    per quantile, the row with the smallest distance (``min_by``), so the work
+    is one pass over the rows, not rows x quantiles.
     """
     from caseflow.functions.quantiles import exact_quantiles
     y = F.col(label_col).cast("double")
     qv = exact_quantiles(df.select(y.alias("_y")), "_y", list(quantiles))
-    qt = qv.select(F.explode(F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.col(f"q{i}").alias("q_value"))
-                                       for i, q in enumerate(quantiles)])).alias("_q")).select("_q.*")
-    j = df.where(y.isNotNull()).crossJoin(F.broadcast(qt))
-    dist = F.abs(y - F.col("q_value"))
-    best = j.groupBy("quantile", "q_value").agg(
-        F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(dist, F.col(CASE), F.col("prefix_len"))).alias("_r"))
-    return best.select("quantile", "q_value", "_r.*")
+    j = attach_scalars(df.where(y.isNotNull()), qv)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    best = j.agg(*[F.min_by(row, F.struct(F.abs(y - F.col(f"q{i}")), F.col(CASE), F.col("prefix_len"))).alias(f"r{i}")
+                   for i in range(len(quantiles))],
+                 *[F.first(f"q{i}").alias(f"v{i}") for i in range(len(quantiles))])
+    long = best.select(F.explode(F.array(*[
+        F.struct(F.lit(float(q)).alias("quantile"), F.col(f"v{i}").alias("q_value"), F.col(f"r{i}").alias("_r"))
+        for i, q in enumerate(quantiles)])).alias("_e"))
+    return long.select("_e.quantile", "_e.q_value", "_e._r.*")
 
 
 def classification_exemplars(pred: DataFrame, n: int = 20, y: str = "y_true", p: str = "y_pred",
@@ -109,7 +113,7 @@ def classification_exemplars(pred: DataFrame, n: int = 20, y: str = "y_true", p:
     w = Window.partitionBy("_wrong").orderBy("_h", CASE, "prefix_len")
     picked = r.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     n_wrong = picked.agg(F.least(F.lit(n // 2), F.count_if(F.col("_wrong") == 1)).alias("_nw"))
-    j = picked.crossJoin(F.broadcast(n_wrong))
+    j = attach_scalars(picked, n_wrong)
     sel = ((F.col("_wrong") == 1) & (F.col("_rn") <= F.col("_nw"))) | \
           ((F.col("_wrong") == 0) & (F.col("_rn") <= F.lit(n) - F.col("_nw")))
     return j.where(sel).drop("_wrong", "_h", "_rn", "_nw")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from caseflow.functions.scalar import attach_scalars
 
 CASE, ACT, TS, IDX = "case_id", "activity", "timestamp", "_event_index"
 CORE = (CASE, ACT, TS, IDX)
@@ -206,7 +207,7 @@ def impute_missing_attributes(df: DataFrame, max_missing_frac: float = 0.5, skip
     one = vals.groupBy().agg(*[
         F.max(F.when((F.col("column") == f.name) & F.col("imputed"), F.col("fill_value"))).alias(f"__fill_{i}")
         for i, f in enumerate(fit_cols)])
-    j = df.crossJoin(F.broadcast(one))
+    j = attach_scalars(df, one)
     out = []
     idx = {f.name: i for i, f in enumerate(fit_cols)}
     for n in names:

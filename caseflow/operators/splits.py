@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from caseflow.functions.scalar import hash_unit
 from caseflow.operators.ranking import global_rank
 from caseflow.operators.schema import CASE, TS
+from caseflow.functions.scalar import attach_scalars
 
 
 def _cut(ranked: DataFrame, n: DataFrame, train_ratio: float, val_ratio: float) -> DataFrame:
     sizes = n.select(F.floor(F.col("_n") * F.lit(float(train_ratio))).cast("bigint").alias("_nt"),
                      F.floor(F.col("_n") * F.lit(float(val_ratio))).cast("bigint").alias("_nv"))
-    j = ranked.crossJoin(F.broadcast(sizes))
+    j = attach_scalars(ranked, sizes)
     split = (F.when(F.col("_rank") <= F.col("_nt"), F.lit("train"))
              .when(F.col("_rank") <= F.col("_nt") + F.col("_nv"), F.lit("val"))
              .otherwise(F.lit("test")))

@@ -684,6 +684,7 @@ def q_bucket_size_stats(spark, sf_dir):
 from caseflow.operators import metrics as met  # noqa: E402
 from caseflow.operators import models as mdl  # noqa: E402
 from caseflow.operators import sampling as smp  # noqa: E402
+from caseflow.functions.scalar import attach_scalars
 
 
 def q_iqr_outliers(spark, sf_dir):
@@ -1120,7 +1121,7 @@ def q_roc_auc(spark, sf_dir):
     """MET-2 (AUC): predicted remaining time as the score for 'remaining above the median' (rows-only)."""
     p = regression_predictions(spark, sf_dir)
     med = p.agg(F.percentile("y_true", F.lit(0.5)).alias("_m"))
-    lab = p.crossJoin(F.broadcast(med)).select((F.col("y_true") > F.col("_m")).cast("double").alias("label"),
+    lab = attach_scalars(p, med).select((F.col("y_true") > F.col("_m")).cast("double").alias("label"),
                                                F.col("y_pred").alias("score"))
     return spark.createDataFrame([(float(met.roc_auc(lab, "label", "score")),)], "roc_auc double")
 

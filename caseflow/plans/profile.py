@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from caseflow.functions.scalar import seconds_between
 from caseflow.operators.filters import case_variants
 from caseflow.operators.schema import ACT, CASE, CORE, IDX, TS
+from caseflow.functions.scalar import attach_scalars
 
 
 def _pct(c, q, approx=False):
@@ -113,10 +114,10 @@ def top_variants(log: DataFrame, k: int = 10) -> DataFrame:
     vc = case_variant_ids(log).groupBy(*key).agg(F.count(F.lit(1)).alias("n_cases"), F.min(CASE).alias("_rep"))
     kth = vc.orderBy(F.desc("n_cases")).limit(k).agg(F.min("n_cases").alias("_kth"))
     tot = vc.agg(F.sum("n_cases").alias("_tot"))
-    cand = vc.crossJoin(F.broadcast(kth)).where(F.col("n_cases") >= F.col("_kth"))
+    cand = attach_scalars(vc, kth).where(F.col("n_cases") >= F.col("_kth"))
     reps = log.join(cand.select(F.col("_rep").alias(CASE)), CASE, "left_semi")
     text = case_variants(reps).select(F.col(CASE).alias("_rep"), "variant")
-    v = cand.join(text, "_rep").crossJoin(F.broadcast(tot))
+    v = attach_scalars(cand.join(text, "_rep"), tot)
     steps = F.split("variant", ">")
     short = F.when(F.size(steps) > 4, F.concat_ws(" → ", F.get(steps, 0), F.get(steps, 1), F.lit("…"),
                                                     F.element_at(steps, -1))) \
@@ -181,7 +182,7 @@ def activity_counts_pct(log: DataFrame, k: int = 30) -> DataFrame:
     """AGG-10: top-k activities with percent of events."""
     c = log.groupBy(ACT).agg(F.count(F.lit(1)).alias("n"))
     tot = c.agg(F.sum("n").alias("_tot"))
-    return (c.crossJoin(F.broadcast(tot)).select(ACT, "n", (F.col("n") * 100.0 / F.col("_tot")).alias("pct"))
+    return (attach_scalars(c, tot).select(ACT, "n", (F.col("n") * 100.0 / F.col("_tot")).alias("pct"))
             .orderBy(F.desc("n"), F.asc(ACT)).limit(k))
 
 
@@ -190,9 +191,9 @@ def histogram(values: DataFrame, col: str, bins: int, upper_q: float | None = No
     v = F.col(col).cast("double")
     if upper_q is not None:
         cap = values.agg(F.percentile(v, F.lit(upper_q)).alias("_cap"))
-        values = values.crossJoin(F.broadcast(cap)).where(v <= F.col("_cap")).drop("_cap")
+        values = attach_scalars(values, cap).where(v <= F.col("_cap")).drop("_cap")
     rng = values.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    j = values.crossJoin(F.broadcast(rng))
+    j = attach_scalars(values, rng)
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
         F.least(F.lit(bins), F.width_bucket(v, F.col("_lo"), F.col("_hi"), F.lit(bins))))
     return j.groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -218,7 +219,7 @@ def case_length_histogram(log: DataFrame) -> DataFrame:
     p95 = cs.agg(F.percentile(F.col("n_events").cast("double"), F.lit(0.95)).alias("_p95"))
     nb = p95.select(F.greatest(F.lit(1), F.least(F.lit(8), F.floor("_p95").cast("int"))).alias("_bins"))
     rng = cs.agg(F.min("n_events").alias("_lo"), F.max("n_events").alias("_hi"))
-    j = cs.crossJoin(F.broadcast(nb)).crossJoin(F.broadcast(rng))
+    j = attach_scalars(attach_scalars(cs, nb), rng)
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
         F.least(F.col("_bins"), F.width_bucket(F.col("n_events").cast("double"), F.col("_lo").cast("double"),
                                                F.col("_hi").cast("double"), F.col("_bins").cast("bigint"))))

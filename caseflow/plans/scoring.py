@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.operators.prefixes import running_case_prefixes
+from caseflow.functions.scalar import attach_scalars
 
 
 def nearest_model(buckets: DataFrame, models: DataFrame, bucket_col: str = "bucket_id",
                   model_col: str = "model_bucket") -> DataFrame:
     """JON-8: for each bucket, the model bucket with the smallest |id difference| (ties: smaller id).
 
-    Both sides are bounded by the bucket count (≤ edges / activity alphabet), so
-    the model list is broadcast; ``min_by`` picks the nearest without sorting.
+    An as-of style scan, not a product: bucket and model ids are unioned and
+    sorted; each bucket takes the nearest model at or below and at or above it.
+    Both inputs are bounded by the bucket count, so the unpartitioned window
+    runs over a tiny table.
     """
-    j = buckets.select(bucket_col).distinct().crossJoin(F.broadcast(models.select(model_col)))
-    d = F.abs(F.col(bucket_col) - F.col(model_col))
-    return j.groupBy(bucket_col).agg(F.min_by(model_col, F.struct(d, F.col(model_col))).alias(model_col))
+    b = buckets.select(F.col(bucket_col).cast("long").alias("_id"), F.lit(None).cast("long").alias("_m"))
+    m = models.select(F.col(model_col).cast("long").alias("_id"), F.col(model_col).cast("long").alias("_m"))
+    w = Window.orderBy("_id", F.desc_nulls_last("_m"))
+    u = b.unionByName(m).withColumns({
+        "_below": F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_above": F.first("_m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+    }).where(F.col("_m").isNull())
+    below_d, above_d = F.col("_id") - F.col("_below"), F.col("_above") - F.col("_id")
+    pick = (F.when(F.col("_below").isNull(), F.col("_above")).when(F.col("_above").isNull(), F.col("_below"))
+            .when(below_d <= above_d, F.col("_below")).otherwise(F.col("_above")))
+    return u.select(F.col("_id").cast("int").alias(bucket_col), pick.cast("int").alias(model_col)).distinct()
 
 
 def score_running_cases(events: DataFrame, bucketer, encoder, models: dict, task, max_prefix_len: int = 30,
