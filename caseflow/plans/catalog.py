@@ -1154,3 +1154,28 @@ QUERIES.update({
     "roc_auc": q_roc_auc,
     "strategy_report": q_strategy_report,
 })
+
+
+def q_train_remaining_time(spark, sf_dir):
+    """§3.1 end to end on the customer log: clean, label, prefix, split, IQR filter, strategy search,
+    final model on train+val, test MAE (rows-only)."""
+    from caseflow.plans.training import RunConfig, train_task
+    out = train_task(customer_case_log(spark, sf_dir), RunConfig(task="remaining_time", min_bucket_samples=300))
+    b = out["best"]
+    return out["test_metrics"].select(F.lit(b["bucketing"]).alias("bucketing"), F.lit(b["encoding"]).alias("encoding"),
+                                      "mae_days", "medae_days", "n")
+
+
+def q_train_next_activity(spark, sf_dir):
+    """§3.1 for next activity on the user-day log with a rare-class filter (rows-only)."""
+    from caseflow.plans.training import RunConfig, train_task
+    cfg = RunConfig(task="next_activity", min_class_samples=10, bucketers=["no_bucket"], encodings=["aggregation"],
+                    kind="tree")
+    out = train_task(testlogs.user_day_log(spark, sf_dir), cfg)
+    return out["test_metrics"]
+
+
+QUERIES.update({
+    "train_remaining_time": q_train_remaining_time,
+    "train_next_activity": q_train_next_activity,
+})
