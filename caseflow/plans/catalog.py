@@ -1007,20 +1007,30 @@ def q_batch_scoring(spark, sf_dir):
 
 
 def q_stream_scoring(spark, sf_dir):
-    """STR-1: running-case prefixes maintained by applyInPandasWithState over the events table as a stream."""
+    """STR-1: running-case state kept by applyInPandasWithState over the events table read as a
+    file stream, scored in the streaming plan by an encoder + linear model fitted on the batch
+    prefixes of the same table (rows-only)."""
+    from caseflow.operators.encoding import fit_encoder
     from caseflow.streaming.running_cases import prefix_features, running_prefix_stream
+    batch = prefixes.extract_prefixes(testlogs.user_log(spark, sf_dir), include_event_attributes=False)
+    enc = fit_encoder("last_state", batch)
+    task = mdl.default_task_specs()["remaining_time"]
+    model, _ = mdl.fit_predict(enc.transform(batch), enc.transform(batch).limit(1), task, "linear")
     src = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = (spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1)
               .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     ev = stream.select(F.col("user_id").cast("string").alias("case_id"), F.col("event_type").alias("activity"),
                        F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("_event_index"))
+    scored = model.transform(enc.transform(prefix_features(running_prefix_stream(ev))))
     name = f"running_{uuid.uuid4().hex[:8]}"
-    q = (running_prefix_stream(ev).writeStream.outputMode("update").format("memory").queryName(name)
+    q = (scored.select("case_id", "prefix_len", "feat_elapsed_time_sec",
+                       F.concat_ws(">", "prefix_activities").alias("prefix_path"),
+                       F.greatest(F.col("prediction"), F.lit(0.0)).alias("predicted_remaining_sec"))
+         .writeStream.outputMode("update").format("memory").queryName(name)
          .option("checkpointLocation", _scratch(spark, "stream-ckpt")).start())
     q.processAllAvailable()
     q.stop()
-    return prefix_features(spark.table(name)).select("case_id", "prefix_len", "feat_elapsed_time_sec",
-                                                     F.concat_ws(">", "prefix_activities").alias("prefix_path"))
+    return spark.table(name)
 
 
 QUERIES.update({
