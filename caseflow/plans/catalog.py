@@ -8,7 +8,7 @@ two engines hash the same values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.scalar import round_half_up
@@ -1189,3 +1189,89 @@ QUERIES.update({
     "train_remaining_time": q_train_remaining_time,
     "train_next_activity": q_train_next_activity,
 })
+
+
+def q_compare_tasks(spark, sf_dir):
+    """EXP-2: task x bucketer x encoder comparison in one long table (rows-only)."""
+    from caseflow.plans.strategy import strategy_search
+    from caseflow.session import materialize
+    mf = model_frame(spark, sf_dir)
+    specs = mdl.default_task_specs()
+    parts = [materialize(strategy_search(mf, specs[t], ["no_bucket"], ["last_state"], kind="linear"), "persist").drop("metrics")
+             for t in ("remaining_time", "next_activity")]
+    return parts[0].unionByName(parts[1])
+
+
+def q_encoder_per_bucket(spark, sf_dir):
+    """EXP-6: per adaptive bucket, the encoder with the lowest val MAE, with bucket sizes (rows-only)."""
+    from caseflow.operators.bucketing import PrefixLenAdaptive
+    from caseflow.operators.encoding import fit_encoder
+    from caseflow.plans.strategy import best_encoder_per_bucket
+    mf = model_frame(spark, sf_dir)
+    tr = mf.where("split = 'train'")
+    b = PrefixLenAdaptive().fit(tr).assign(mf)
+    task = mdl.default_task_specs()["remaining_time"]
+    scores = None
+    for e in ("last_state", "aggregation"):
+        enc = fit_encoder(e, tr)
+        data = enc.transform(b)
+        _, pred = mdl.fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, "linear")
+        s = met.regression_errors(pred, group=["bucket_id"]).select("bucket_id", F.lit(e).alias("encoding"),
+                                                                    F.col("mae_days").alias("score"), "n")
+        scores = s if scores is None else scores.unionByName(s)
+    best = best_encoder_per_bucket(scores, higher_is_better=False)
+    return best.withColumn("weighted_score", F.sum(F.col("score") * F.col("n")).over(Window.partitionBy())
+                           / F.sum("n").over(Window.partitionBy()))
+
+
+def q_resumable_results(spark, sf_dir):
+    """EXP-9 / EXP-11: per-(log, task) results appended to a table twice; keyed rows are not repeated."""
+    from caseflow.sources.sinks import append_results
+    path = _scratch(spark, "results")
+    e = met.regression_errors(regression_predictions(spark, sf_dir))
+    rows = e.select(F.lit("customer_log").alias("log"), F.lit("remaining_time").alias("task"),
+                    round_half_up("mae_days", 6).alias("mae_days"), "n")
+    append_results(rows, path, ["log", "task"])
+    append_results(rows, path, ["log", "task"])  # resume: nothing new
+    return spark.read.parquet(path)
+
+
+def q_bundle_roundtrip(spark, sf_dir):
+    """SNK-7 / SRC-7: a per-bucket model bundle saved to the shared folder, loaded back, used to score."""
+    from pyspark.ml import PipelineModel
+    from caseflow.operators.bucketing import PrefixLenBins
+    from caseflow.operators.encoding import fit_encoder
+    from caseflow.plans.scoring import score_running_cases
+    from caseflow.sources.sinks import load_bundle, save_bundle
+    mf = model_frame(spark, sf_dir)
+    tr = mf.where("split = 'train'")
+    bk = PrefixLenBins(bin_size=15).fit(tr)
+    enc = fit_encoder("last_state", tr)
+    task = mdl.default_task_specs()["remaining_time"]
+    models, _ = mdl.train_per_bucket(enc.transform(bk.assign(mf)), [1, 2], task, "linear")
+    path = _scratch(spark, "bundle")
+    save_bundle(path, models, {"task": task.name, "bucketing": "prefix_len_bins", "encoding": "last_state",
+                               "model_buckets": sorted(models)})
+    meta, loaded = load_bundle(path, PipelineModel)
+    return score_running_cases(customer_case_log(spark, sf_dir), bk, enc, loaded, task)
+
+
+def q_log1p_target_probe(spark, sf_dir):
+    """MOD-7: linear probe on the log1p target, predictions back-transformed with expm1 and clamped (rows-only)."""
+    from caseflow.operators.encoding import fit_encoder
+    mf = model_frame(spark, sf_dir)
+    enc = fit_encoder("last_state", mf.where("split = 'train'"))
+    data = enc.transform(mf)
+    task = mdl.default_task_specs()["remaining_time"]
+    _, pred = mdl.fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, "linear",
+                              target_log1p=True)
+    return pred.select("case_id", "prefix_len", "y_true", "y_pred")
+
+
+QUERIES.update({
+    "compare_tasks": q_compare_tasks,
+    "encoder_per_bucket": q_encoder_per_bucket,
+    "resumable_results": q_resumable_results,
+    "bundle_roundtrip": q_bundle_roundtrip,
+    "log1p_target_probe": q_log1p_target_probe,
+})

@@ -990,3 +990,12 @@ SELECT event_id,
 FROM events
 """,
 })
+
+
+ORACLE.update({
+    "resumable_results": f"""
+WITH {REG_PRED}
+SELECT 'customer_log' AS log, 'remaining_time' AS task, {rhu('avg(abs(y_pred - y_true)) / 86400.0', 6)} AS mae_days, count(*) AS n
+FROM pred
+""",
+})
