@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.functions.quantiles import exact_quantiles
 from caseflow.functions.scalar import seconds_between
 from caseflow.operators.filters import case_variants
 from caseflow.operators.schema import ACT, CASE, CORE, IDX, TS
@@ -36,12 +37,19 @@ def trace_length_stats(log: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def case_duration_stats(log: DataFrame, approx: bool = False) -> DataFrame:
-    """AGG-2: case duration in days: min / median / mean / p95 / max and #zero."""
+    """AGG-2: case duration in days: min / median / mean / p95 / max and #zero.
+
+    Durations are continuous (one value per case), so the exact quantiles use the
+    distributed path when there are many cases (``exact_quantiles``).
+    """
     d = seconds_between("t0", "t1") / 86400.0
     cs = case_stats(log).select(d.alias("d"))
-    return cs.agg(F.min("d").alias("dur_min_days"), _pct(F.col("d"), 0.5, approx).alias("dur_median_days"),
-                  F.avg("d").alias("dur_mean_days"), _pct(F.col("d"), 0.95, approx).alias("dur_p95_days"),
+    base = cs.agg(F.min("d").alias("dur_min_days"), F.avg("d").alias("dur_mean_days"),
                   F.max("d").alias("dur_max_days"), F.count_if(F.col("d") == 0).alias("n_zero_duration"))
+    q = (cs.agg(_pct(F.col("d"), 0.5, True).alias("q0"), _pct(F.col("d"), 0.95, True).alias("q1")) if approx
+         else exact_quantiles(cs, "d", [0.5, 0.95]))
+    return attach_scalars(base, q).select("dur_min_days", F.col("q0").alias("dur_median_days"), "dur_mean_days",
+                                          F.col("q1").alias("dur_p95_days"), "dur_max_days", "n_zero_duration")
 
 
 def activity_frequency(log: DataFrame) -> DataFrame:
@@ -190,7 +198,7 @@ def histogram(values: DataFrame, col: str, bins: int, upper_q: float | None = No
     """Equal-width histogram between min and max (or the ``upper_q`` percentile); top edge in the last bin."""
     v = F.col(col).cast("double")
     if upper_q is not None:
-        cap = values.agg(F.percentile(v, F.lit(upper_q)).alias("_cap"))
+        cap = exact_quantiles(values, col, [upper_q]).select(F.col("q0").alias("_cap"))
         values = attach_scalars(values, cap).where(v <= F.col("_cap")).drop("_cap")
     rng = values.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     j = attach_scalars(values, rng)
@@ -200,11 +208,11 @@ def histogram(values: DataFrame, col: str, bins: int, upper_q: float | None = No
 
 
 def duration_stats(log: DataFrame) -> DataFrame:
-    """AGG-11 (stats): case duration days p25 / p75 / p90."""
+    """AGG-11 (stats): case duration days p25 / p75 / p90 (exact, distributed when large)."""
     d = (seconds_between("t0", "t1") / 86400.0)
     cs = case_stats(log).select(d.alias("d"))
-    return cs.agg(F.percentile("d", F.lit(0.25)).alias("p25_days"), F.percentile("d", F.lit(0.75)).alias("p75_days"),
-                  F.percentile("d", F.lit(0.9)).alias("p90_days"))
+    q = exact_quantiles(cs, "d", [0.25, 0.75, 0.9])
+    return q.select(F.col("q0").alias("p25_days"), F.col("q1").alias("p75_days"), F.col("q2").alias("p90_days"))
 
 
 def duration_histogram(log: DataFrame, bins: int = 8) -> DataFrame:
@@ -256,9 +264,12 @@ def label_qc(prefixes: DataFrame, label_col: str, numeric: bool) -> DataFrame:
     if numeric:
         y = F.col(label_col).try_cast("double")
         qs = [0.5, 0.9, 0.95, 0.99, 0.999]
-        return prefixes.agg(F.count_if(y.isNull()).alias("n_na"), F.min(y).alias("min"), F.max(y).alias("max"),
-                            *[F.percentile(y, F.lit(q)).alias(f"q{str(q)[2:]}") for q in qs],
+        base = prefixes.agg(F.count_if(y.isNull()).alias("n_na"), F.min(y).alias("min"), F.max(y).alias("max"),
                             F.count_if(y < 0).alias("n_negative"))
+        q = exact_quantiles(prefixes.select(y.alias("_y")), "_y", qs)
+        return attach_scalars(base, q).select("n_na", "min", "max",
+                                              *[F.col(f"q{i}").alias(f"q{str(x)[2:]}") for i, x in enumerate(qs)],
+                                              "n_negative")
     c = prefixes.groupBy(F.col(label_col).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("label"))))
 
