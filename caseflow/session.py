@@ -20,6 +20,24 @@ DEFAULT_CONF = {
 }
 
 
+# Extra settings for large clusters: AQE sizes shuffle partitions at run time
+# from this target, splits skewed join partitions, and files are read in
+# splits of the same size.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
+def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 << 20, floor: int = 200) -> int:
+    """Initial shuffle partition count for an input size: ~one target-sized partition
+    per 256 MB of input (AQE coalesces down at run time, so erring high is cheap)."""
+    return max(floor, -(-int(input_bytes) // target_bytes))
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "caseflow", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine's defaults.
