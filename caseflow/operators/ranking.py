@@ -2,9 +2,9 @@
 
 ``orderBy`` range-partitions the rows; inside each partition
 ``monotonically_increasing_id`` already counts rows in order.  Per-partition
-counts (one row per partition) give the offsets.  The sorted frame is
-checkpointed to the cluster's checkpoint folder first so both uses see the same
-partitions, and lineage is cut (safe under executor loss).
+counts (one row per partition) give the offsets.  Partition id and position are
+stored with the rows in a table written to the cluster's checkpoint folder, so
+both uses see the same values and lineage is cut (safe under executor loss).
 """
 
 from __future__ import annotations
@@ -12,16 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.session import checkpoint_dir
+from caseflow.session import materialize
 
 
 def global_rank(df: DataFrame, order: list[Column | str], name: str = "_rank") -> DataFrame:
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    s = (df.orderBy(*order)
-         .withColumn("_gr_pid", F.spark_partition_id())
-         .withColumn("_gr_mid", F.monotonically_increasing_id())
-         .checkpoint(eager=True))
+    s = materialize(df.orderBy(*order)
+                    .withColumn("_gr_pid", F.spark_partition_id())
+                    .withColumn("_gr_mid", F.monotonically_increasing_id()), "table")
     counts = s.groupBy("_gr_pid").agg(F.count(F.lit(1)).alias("_gr_c"))
     # one row per partition: an unpartitioned window over it is bounded by the partition count
     offs = counts.withColumn("_gr_off", F.coalesce(

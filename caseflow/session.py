@@ -75,12 +75,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def materialize(df, how: str = "checkpoint"):
+def materialize(df, how: str = "table"):
     """Compute ``df`` once for several consumers.
 
-    ``checkpoint``: written to the shared checkpoint folder, lineage cut (survives
-    executor loss); ``persist``: executor storage, recomputed from lineage if lost.
+    ``table``: written as parquet under the shared checkpoint folder and read
+    back (lineage cut, columnar re-reads with column pruning); ``checkpoint``:
+    Spark's reliable RDD checkpoint in the same folder; ``persist``: executor
+    storage, recomputed from lineage if lost.
     """
+    if how == "table":
+        import uuid
+        path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
     if how == "checkpoint":
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
