@@ -237,7 +237,8 @@ def _onehot_exprs(cat_cols, vd, prefix="f_cat__"):
 def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_time_sec",
                 label_is_numeric: bool = True, max_prefix_len: int = 30, min_freq: int = 50,
                 max_categories: int = 20, max_categorical_cols: int = 30, ignore: list[str] | None = None,
-                vectors: DataFrame | None = None, label_vocab: list[str] | None = None) -> FittedEncoder:
+                vectors: DataFrame | None = None, label_vocab: list[str] | None = None,
+                compress_dim: int = 64) -> FittedEncoder:
     """Fit one of ``last_state``, ``aggregation``, ``index_latest_payload``, ``embedding`` on train rows."""
     num_cols, cat_cols = infer_feature_columns(train, ignore, max_categorical_cols)
     exprs: dict = {"f_prefix_len": F.col("prefix_len").cast("double")}
@@ -295,6 +296,7 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
             from pyspark.ml.feature import Word2Vec
             w2v = Word2Vec(vectorSize=16, minCount=1, seed=42, inputCol="prefix_activities", outputCol="_w2v")
             vectors = _w2v_vectors(w2v.fit(train))
+        vectors = compress_vectors(vectors, compress_dim)
         rows = vectors.collect()  # activity alphabet × dim
         dim = len(rows[0]["embedding"]) if rows else 0
         mean = [sum(float(r["embedding"][d]) for r in rows) / len(rows) for d in range(dim)] if rows else []
@@ -314,6 +316,21 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
     return FittedEncoder(name, names, exprs, lookups, label, label_col)
 
 
+def compress_vectors(vectors: DataFrame, k: int = 64) -> DataFrame:
+    """ENC-11: PCA to ``k`` dims, fitted on the vocabulary vectors (one row per activity)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    first = vectors.select(F.size("embedding")).first()
+    dim = first[0] if first else 0
+    if not dim or dim <= k:
+        return vectors
+    n = vectors.count()  # vocabulary size
+    kk = min(k, n)
+    v = vectors.select("activity", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("_v"))
+    model = PCA(k=kk, inputCol="_v", outputCol="_p").fit(v)
+    return model.transform(v).select("activity", vector_to_array("_p").alias("embedding"))
+
+
 def _w2v_vectors(model) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     return model.getVectors().select(F.col("word").alias("activity"), vector_to_array("vector").alias("embedding"))

@@ -114,6 +114,22 @@ def normalize_schema(df: DataFrame, case_candidates=None, act_candidates=None, t
     return df.select(*cols)
 
 
+# Semantic columns reported by the schema QC when present.
+SEMANTIC_COLUMNS = ["lifecycle:transition", "EventID", "org:resource"]
+
+
+def schema_qc(raw: DataFrame, mapping: dict | None = None, **candidates) -> DataFrame:
+    """PRJ-2: one row: chosen source columns, semantic columns present, rows, unparsable times."""
+    m = mapping or pick_columns(raw, **candidates)
+    ts = F.col(f"`{m[TS]}`")
+    parsed = ts if isinstance(raw.schema[m[TS]].dataType, (T.TimestampType, T.TimestampNTZType)) \
+        else F.try_to_timestamp(ts.cast("string"))
+    present = [c for c in SEMANTIC_COLUMNS if c in raw.columns]
+    return raw.agg(F.lit(m[CASE]).alias("case_source"), F.lit(m[ACT]).alias("activity_source"),
+                   F.lit(m[TS]).alias("timestamp_source"), F.lit(",".join(present)).alias("semantic_columns"),
+                   F.count(F.lit(1)).alias("n_rows"), F.count_if(ts.isNotNull() & parsed.isNull()).alias("n_ts_unparsed"))
+
+
 def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """PRJ-4: missing names are ignored."""
     return df.drop(*[c for c in columns if c in df.columns])

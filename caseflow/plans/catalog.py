@@ -1275,3 +1275,48 @@ QUERIES.update({
     "bundle_roundtrip": q_bundle_roundtrip,
     "log1p_target_probe": q_log1p_target_probe,
 })
+
+
+def q_parquet_source(spark, sf_dir):
+    """SRC-4 + PRJ-1: the events file read as a parquet log with custom candidate names."""
+    from caseflow.sources.readers import read_parquet_log
+    raw = read_parquet_log(spark, f"{sf_dir}/events.parquet")
+    n = schema.clean_events(schema.normalize_schema(raw, case_candidates=["user_id"], act_candidates=["event_type"],
+                                                    ts_candidates=["ts"]))
+    return n.select("case_id", "activity", ntz("timestamp").alias("timestamp"), "event_id", "value")
+
+
+def q_schema_qc(spark, sf_dir):
+    """PRJ-2: chosen columns, semantic columns present, rows and unparsable times of a raw log."""
+    e = _events(spark, sf_dir)
+    raw = e.select(F.col("user_id").alias("case_id"), F.col("event_type").alias("Activity"),
+                   F.when(F.col("event_id") % 10 == 0, F.lit("not a time")).otherwise(F.col("ts").cast("string"))
+                   .alias("time"), F.col("event_id").cast("string").alias("EventID"))
+    return schema.schema_qc(raw)
+
+
+def q_aggregated_qc(spark, sf_dir):
+    """AGG-24: events generated from the aggregated table and events per case."""
+    from caseflow.plans.profile import step_counts
+    from caseflow.sources.aggregated import aggregated_to_events
+    s = step_counts(aggregated_to_events(wide_case_table(spark, sf_dir)))
+    return s.select("n_events", "n_cases", round_half_up("avg_events_per_case", 6).alias("avg_events_per_case"))
+
+
+def q_embedding_pca(spark, sf_dir):
+    """ENC-10 / ENC-11: embedding encoder with the 64-dim table vectors compressed to 8 dims by PCA (rows-only)."""
+    from caseflow.operators.encoding import activity_vectors, activity_vocab, fit_encoder
+    mf = model_frame(spark, sf_dir)
+    tr = mf.where("split = 'train'")
+    vec = activity_vectors(activity_vocab(tr), spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    enc = fit_encoder("embedding", tr, vectors=vec, compress_dim=8)
+    from pyspark.ml.functions import vector_to_array
+    return enc.transform(mf).select("case_id", "prefix_len", F.size(vector_to_array("features")).alias("feature_dim"))
+
+
+QUERIES.update({
+    "parquet_source": q_parquet_source,
+    "schema_qc": q_schema_qc,
+    "aggregated_qc": q_aggregated_qc,
+    "embedding_pca": q_embedding_pca,
+})

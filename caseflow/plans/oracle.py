@@ -999,3 +999,19 @@ SELECT 'customer_log' AS log, 'remaining_time' AS task, {rhu('avg(abs(y_pred - y
 FROM pred
 """,
 })
+
+
+ORACLE.update({
+    "parquet_source": """
+SELECT CAST(user_id AS VARCHAR) AS case_id, event_type AS activity, ts AS "timestamp", event_id, value FROM events
+""",
+    "schema_qc": """
+SELECT 'case_id' AS case_source, 'Activity' AS activity_source, 'time' AS timestamp_source, 'EventID' AS semantic_columns,
+       count(*) AS n_rows, count(*) FILTER (WHERE event_id % 10 = 0) AS n_ts_unparsed FROM events
+""",
+    "aggregated_qc": f"""
+WITH ev AS ({ORACLE["aggregated_to_events"]})
+SELECT count(*) AS n_events, count(DISTINCT case_id) AS n_cases, {rhu('count(*) / count(DISTINCT case_id)', 6)} AS avg_events_per_case
+FROM ev
+""",
+})

@@ -110,3 +110,12 @@ def train_task(log: DataFrame, cfg: RunConfig | None = None) -> dict:
     return {"clean_log": clean, "case_table": cases, "prefixes": frame, "strategies": results,
             "best": best.asDict(), "bucketer": bucketer, "encoder": encoder, "models": models,
             "test_predictions": test_pred, "test_metrics": test_metrics}
+
+
+def compare_configs(log: DataFrame, baseline: RunConfig, configured: RunConfig) -> DataFrame:
+    """EXP-8: the same log trained with a baseline and a configured run; test metrics side by side."""
+    a = train_task(log, baseline)["test_metrics"]
+    b = train_task(log, configured)["test_metrics"]
+    ren = lambda d, tag: d.select(*[F.col(c).alias(f"{tag}_{c}") for c in d.columns])
+    from caseflow.functions.scalar import attach_scalars
+    return attach_scalars(ren(a, "baseline"), ren(b, "configured"))

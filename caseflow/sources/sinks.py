@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def sorted_for_sink(df: DataFrame, n_partitions: int | None = None, ties=("_event_index",)) -> DataFrame:
+    """SRT-1: rows grouped by case and ordered by (timestamp, ties) inside each output file.
+
+    Order is only materialised where a file is written: a hash repartition on
+    ``case_id`` plus a per-partition sort, never a global sort.
+    """
+    keys = ["timestamp"] + [t for t in ties if t in df.columns]
+    r = df.repartition(n_partitions, "case_id") if n_partitions else df.repartition("case_id")
+    return r.sortWithinPartitions("case_id", *keys)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """SNK-1: a (small) metrics frame as JSON lines, one file."""
     df.coalesce(1).write.mode("overwrite").json(path)
