@@ -32,6 +32,7 @@ HEADLINE = [
     "mae_medae",
     "f1_macro_micro",
     "linear_probe",
+    "strategy_search",       # 2 bucketers x 2 encoders, train + score each (cf. BASELINE strategy seconds)
 ]
 
 

@@ -39,3 +39,14 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_group_limit_runs_before_the_shuffle(spark):
+    from caseflow.operators import prefixes
+    from caseflow.sources import testlogs
+    p = prefixes.extract_prefixes(testlogs.customer_log(spark, "/root/testdata/sf0.001"), include_event_attributes=False)
+    plan = _plan(p)
+    partial = plan.find("row_number(), 31, Partial")
+    assert partial > 0
+    # the partial limit sits below (after, in the printed tree) the case_id exchange
+    assert plan.rfind("Exchange hashpartitioning(case_id", 0, partial) > 0
