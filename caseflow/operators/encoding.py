@@ -136,10 +136,15 @@ def target_encoding(train: DataFrame, cat_col: str, label_col: str, smoothing: f
 
 
 def apply_target_encoding(df: DataFrame, enc: DataFrame, cat_col: str, out_col: str) -> DataFrame:
-    """ENC-8 apply (JON-7): broadcast lookup, unseen / null -> global mean."""
+    """ENC-8 apply (JON-7): lookup join, unseen / null -> global mean.
+
+    The category table is as large as the column's cardinality (no cap applies
+    to target encoding), so it is not force-broadcast: AQE broadcasts it at run
+    time only when it is actually small.
+    """
     g = enc.agg(F.first("global_mean").alias("_gm"))
     e = enc.select(F.col("category").alias("_cat"), F.col("encoding").alias("_enc"))
-    j = (attach_scalars(df.join(F.broadcast(e), _as_text(cat_col) == F.col("_cat"), "left"), g))
+    j = attach_scalars(df.join(e, _as_text(cat_col) == F.col("_cat"), "left"), g)
     return j.withColumn(out_col, F.coalesce(F.col("_enc"), F.col("_gm"))).drop("_cat", "_enc", "_gm")
 
 
