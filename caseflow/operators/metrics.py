@@ -59,13 +59,17 @@ def roc_auc(pred: DataFrame, label_col: str, score_col: str) -> float:
 def regression_errors(pred: DataFrame, y: str = "y_true", p: str = "y_pred", group: list[str] | None = None) -> DataFrame:
     """MET-3 / MET-4 / MET-6: MAE and median AE in seconds and days (optionally per group).
 
-    Ungrouped, the median uses the distributed exact quantile; per group it is
-    Spark's exact ``percentile`` (one buffer per group: groups are buckets/splits).
+    Medians are exact; large inputs / groups use the distributed exact quantile.
     """
     e = F.abs(F.col(p).cast("double") - F.col(y).cast("double"))
     if group:
-        g = pred.groupBy(*group).agg(F.avg(e).alias("mae_sec"), F.percentile(e, F.lit(0.5)).alias("medae_sec"),
-                                     F.count(F.lit(1)).alias("n"))
+        from caseflow.functions.quantiles import exact_quantiles_by
+        errs = pred.select(*group, e.alias("_e"))
+        base = errs.groupBy(*group).agg(F.avg("_e").alias("mae_sec"), F.count(F.lit(1)).alias("n"))
+        med = exact_quantiles_by(errs, group, "_e", [0.5]).withColumnRenamed("q0", "medae_sec")
+        # group keys are bucket / split ids: null-safe join keeps a null group
+        g = base.join(med, [base[c].eqNullSafe(med[c]) for c in group], "left") \
+            .select(*[base[c] for c in group], "mae_sec", "medae_sec", "n")
     else:
         from caseflow.functions.quantiles import exact_quantiles
         errs = pred.select(e.alias("_e"))

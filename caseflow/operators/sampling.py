@@ -129,7 +129,9 @@ def per_bucket_exemplar(pred: DataFrame, policy: str = "median", bucket_col: str
         if policy == "worst":
             score = F.struct(-err, F.col(CASE), F.col("prefix_len"))
         else:
-            med = pred.groupBy(bucket_col).agg(F.percentile(F.abs(F.col(y) - F.col(p)), F.lit(0.5)).alias("_med"))
+            from caseflow.functions.quantiles import exact_quantiles_by
+            med = exact_quantiles_by(pred.withColumn("_ae", F.abs(F.col(y) - F.col(p))), [bucket_col], "_ae", [0.5]) \
+                .withColumnRenamed("q0", "_med")
             pred = pred.join(F.broadcast(med), bucket_col)
             score = F.struct(F.abs(err - F.col("_med")), F.col(CASE), F.col("prefix_len"))
     cols = [c for c in pred.columns if c != "_med"]

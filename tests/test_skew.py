@@ -55,3 +55,14 @@ def test_distributed_quantiles_equal_percentile(spark):
     a = exact_quantiles(df, "l_extendedprice", qs, small_rows=10 ** 9).first()
     b = exact_quantiles(df, "l_extendedprice", qs, small_rows=1).first()
     assert all(abs(a[i] - b[i]) < 1e-9 for i in range(len(qs)))
+
+
+def test_grouped_distributed_quantiles_equal_percentile(spark):
+    from caseflow.functions.quantiles import exact_quantiles_by
+    df = spark.read.parquet(f"{SF}/lineitem.parquet")
+    qs = [0.0, 0.5, 0.9, 1.0]
+    a = {r["l_returnflag"]: r for r in exact_quantiles_by(df, ["l_returnflag"], "l_extendedprice", qs, 10 ** 9).collect()}
+    b = {r["l_returnflag"]: r for r in exact_quantiles_by(df, ["l_returnflag"], "l_extendedprice", qs, 1).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert all(abs(a[k][f"q{i}"] - b[k][f"q{i}"]) < 1e-9 for i in range(len(qs)))
