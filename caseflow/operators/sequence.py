@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from caseflow.operators.schema import CASE, IDX, TS
 
 DEFAULT_CHUNK_ROWS = 2_000_000
+# session setting that overrides the default threshold (rows per case before it is split)
+HOT_CASE_CONF = "caseflow.hotCaseRows"
 
 
 def _key_num(c: str, df: DataFrame) -> Column:
@@ -73,6 +75,8 @@ def ordered_scan(df: DataFrame, order: list[str] | None = None, lags: dict[str,
     """
     order = order or [TS, IDX]
     lags, running_max, running_sum = lags or {}, running_max or {}, running_sum or {}
+    if chunk_rows == DEFAULT_CHUNK_ROWS:
+        chunk_rows = int(df.sparkSession.conf.get(HOT_CASE_CONF, str(DEFAULT_CHUNK_ROWS)))
     hot = hot_case_chunks(df, order, chunk_rows) if chunk_rows else None
     if hot is None:
         w = Window.partitionBy(CASE).orderBy(*order)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.operators.prefixes import running_case_prefixes
-from caseflow.functions.scalar import attach_scalars
 
 
 def nearest_model(buckets: DataFrame, models: DataFrame, bucket_col: str = "bucket_id",
