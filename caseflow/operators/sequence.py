@@ -8,15 +8,17 @@ a case holding a third of the log would then run in a single task.  Here:
    ``total_rows / chunk_rows``, so that small table is collected and broadcast.
 2. without hot cases the plain per-case window is used (no extra cost beyond
    the size aggregate, and the ``case_id`` partitioning stays reusable);
-3. with hot cases, each hot case is cut into contiguous chunks of equal width
-   on the leading order key (``timestamp`` or ``_event_index``), the window runs
-   per (case, chunk), and each chunk's first row gets the carry from earlier
-   chunks (last value / running max / running sum) from a per-(case, chunk)
-   aggregate.  Rows with equal leading key always share a chunk, so order ties
-   are broken inside one partition.  Results equal the plain window exactly.
-
-Chunks are equal-width, not equal-count: a very bursty hot case yields uneven
-chunks (still far smaller than the whole case).
+3. with hot cases, each hot case is cut into contiguous chunks of about
+   ``chunk_rows`` rows on the leading order key (``timestamp`` or
+   ``_event_index``): fine equal-width buckets are counted and merged by a
+   running count.  The window runs per (case, chunk), and each chunk's first row
+   gets the carry from earlier chunks (last value / running max / running sum)
+   from a per-(case, chunk) aggregate.  Rows with equal leading key always
+   share a chunk, so order ties are broken inside one partition.  Results equal
+   the plain window exactly.
+
+A single fine bucket is never split, so rows sharing one key value stay
+together (a case whose events all carry the same timestamp is one chunk).
 """
 
 from __future__ import annotations
@@ -39,8 +41,17 @@ def _key_num(c: str, df: DataFrame) -> Column:
     return F.col(c).cast("bigint")
 
 
-def hot_case_chunks(df: DataFrame, order: list[str], chunk_rows: int) -> DataFrame | None:
-    """Hot cases with their chunk geometry, or None when there are none (one aggregate job)."""
+def hot_case_chunks(df: DataFrame, order: list[str], chunk_rows: int, oversample: int = 8):
+    """Hot cases and their chunk map, or None when there are none.
+
+    Each hot case's key range is cut into ``oversample`` x (needed chunks) fine
+    equal-width buckets; rows per fine bucket are counted (a small aggregate)
+    and consecutive buckets are merged into chunks of about ``chunk_rows`` rows
+    by a running count.  Chunks stay contiguous in key order and are balanced
+    even when the case's events are bursty in time.
+    Returns (geometry, chunk_map): geometry has one row per hot case (bounded
+    by total_rows / chunk_rows); chunk_map has one row per non-empty fine bucket.
+    """
     k = _key_num(order[0], df)
     st = (df.groupBy(CASE).agg(F.count(F.lit(1)).alias("_hn"), F.min(k).alias("_hlo"), F.max(k).alias("_hhi"))
           .where(F.col("_hn") > chunk_rows))
@@ -50,19 +61,31 @@ def hot_case_chunks(df: DataFrame, order: list[str], chunk_rows: int) -> DataFra
     spark = df.sparkSession
     data = []
     for r in rows:
-        n_chunks = -(-int(r["_hn"]) // chunk_rows)
+        n_fine = oversample * -(-int(r["_hn"]) // chunk_rows)
         lo, hi = int(r["_hlo"] or 0), int(r["_hhi"] or 0)
-        width = max(1, -(-(hi - lo + 1) // n_chunks))
-        data.append((r[CASE], lo, width, n_chunks))
-    return spark.createDataFrame(data, f"{CASE} string, _hlo long, _hwidth long, _hchunks long")
+        width = max(1, -(-(hi - lo + 1) // n_fine))
+        data.append((r[CASE], lo, width, n_fine))
+    geometry = spark.createDataFrame(data, f"{CASE} string, _hlo long, _hwidth long, _hfine long")
+    fine = _fine_bucket(df.join(F.broadcast(geometry), CASE), k)
+    counts = fine.groupBy(CASE, "_fine").agg(F.count(F.lit(1)).alias("_fc"))
+    before = F.coalesce(F.sum("_fc").over(Window.partitionBy(CASE).orderBy("_fine")
+                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunk_map = counts.select(CASE, "_fine", F.floor(before / F.lit(chunk_rows)).cast("long").alias("_chunk"))
+    return geometry, chunk_map
+
+
+def _fine_bucket(joined: DataFrame, k: Column) -> DataFrame:
+    return joined.withColumn("_fine", F.least(F.col("_hfine") - 1, F.floor((k - F.col("_hlo")) / F.col("_hwidth"))).cast("long"))
 
 
-def _with_chunk(df: DataFrame, order: list[str], hot: DataFrame) -> DataFrame:
+def _with_chunk(df: DataFrame, order: list[str], hot) -> DataFrame:
+    geometry, chunk_map = hot
     k = _key_num(order[0], df)
-    j = df.join(F.broadcast(hot), CASE, "left")
-    chunk = F.when(F.col("_hwidth").isNull(), F.lit(0)).otherwise(
-        F.least(F.col("_hchunks") - 1, F.floor((k - F.col("_hlo")) / F.col("_hwidth"))).cast("long"))
-    return j.withColumn("_chunk", chunk).drop("_hlo", "_hwidth", "_hchunks")
+    j = _fine_bucket(df.join(F.broadcast(geometry), CASE, "left"), k)
+    # chunk map: one row per fine bucket of the hot cases; joined normally (AQE broadcasts it when small)
+    j = j.join(chunk_map, [CASE, "_fine"], "left")
+    return j.withColumn("_chunk", F.coalesce(F.col("_chunk"), F.lit(0)).cast("long")) \
+        .drop("_hlo", "_hwidth", "_hfine", "_fine")
 
 
 def ordered_scan(df: DataFrame, order: list[str] | None = None, lags: dict[str, str] | None = None,
@@ -97,7 +120,7 @@ def ordered_scan(df: DataFrame, order: list[str] | None = None, lags: dict[str,
 
     # carry table: one row per (hot case, chunk); hot cases only, so it is small
     okey = F.struct(*[F.col(c) for c in order])
-    per_chunk = base.where(F.col("_chunk").isNotNull()).join(F.broadcast(hot.select(CASE)), CASE, "left_semi") \
+    per_chunk = base.join(F.broadcast(hot[0].select(CASE)), CASE, "left_semi") \
         .groupBy(CASE, "_chunk").agg(
             *[F.max_by(F.col(f"`{c}`"), okey).alias(f"_cl_{o}") for o, c in lags.items()],
             *[F.max(F.col(f"`{c}`")).alias(f"_cm_{o}") for o, c in running_max.items()],
