@@ -243,8 +243,17 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
                 label_is_numeric: bool = True, max_prefix_len: int = 30, min_freq: int = 50,
                 max_categories: int = 20, max_categorical_cols: int = 30, ignore: list[str] | None = None,
                 vectors: DataFrame | None = None, label_vocab: list[str] | None = None,
-                compress_dim: int = 64) -> FittedEncoder:
-    """Fit one of ``last_state``, ``aggregation``, ``index_latest_payload``, ``embedding`` on train rows."""
+                compress_dim: int = 64, categorical_encoding: str = "target",
+                activity_encoding: str = "target") -> FittedEncoder:
+    """Fit one of ``last_state``, ``aggregation``, ``index_latest_payload``, ``embedding`` on train rows.
+
+    ``index_latest_payload`` options (ENC-7): ``categorical_encoding`` target /
+    onehot / label (ordinal vocabulary slot, 0 = UNK); ``activity_encoding``
+    target / onehot_per_position / counts.  Classification forces one-hot for
+    both (a target mean of a class label is meaningless).
+    """
+    if name == "index_latest_payload" and not label_is_numeric:
+        categorical_encoding, activity_encoding = "onehot", "onehot_per_position"
     num_cols, cat_cols = infer_feature_columns(train, ignore, max_categorical_cols)
     exprs: dict = {"f_prefix_len": F.col("prefix_len").cast("double")}
     names = ["f_prefix_len"]
@@ -253,11 +262,20 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
         exprs[n] = F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(0.0))
         names.append(n)
     lookups = []
-    if name in ("last_state", "aggregation", "embedding") or (name == "index_latest_payload" and not label_is_numeric):
+    if name in ("last_state", "aggregation", "embedding") or \
+            (name == "index_latest_payload" and categorical_encoding == "onehot"):
         vd = _vocab_dict(category_vocab(train, cat_cols, min_freq, max_categories))
         e, n2 = _onehot_exprs(cat_cols, vd)
         exprs.update(e)
         names += n2
+    elif name == "index_latest_payload" and categorical_encoding == "label":
+        vd = _vocab_dict(category_vocab(train, cat_cols, min_freq, max_categories))
+        for i, c in enumerate(cat_cols):
+            vals = vd.get(c, [])
+            m = F.create_map(*[x for j, v in enumerate(vals) for x in (F.lit(v), F.lit(float(j + 1)))]) if vals else None
+            n = f"f_lab__{i}"
+            exprs[n] = F.coalesce(F.try_element_at(m, _as_text(c)) if m is not None else F.lit(None), F.lit(0.0))
+            names.append(n)
     elif name == "index_latest_payload":
         # categorical attributes: target encoding (regression)
         for i, c in enumerate(cat_cols):
@@ -268,7 +286,7 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
                 return apply_target_encoding(df, te, c, out)
             lookups.append(_lk)
             names.append(out)
-    if name == "aggregation":
+    if name == "aggregation" or (name == "index_latest_payload" and activity_encoding == "counts"):
         acts = [r["activity"] for r in activity_vocab(train).orderBy("slot").collect()]  # activity alphabet
         exprs["f_act__unk"] = F.size(F.filter("prefix_activities", lambda a: ~a.isin(*acts) if acts else F.lit(True))).cast("double")
         names.append("f_act__unk")
@@ -277,7 +295,7 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
             exprs[n] = F.size(F.filter("prefix_activities", _equals(a))).cast("double")
             names.append(n)
     elif name == "index_latest_payload":
-        if label_is_numeric:
+        if activity_encoding == "target":
             te = activity_target_encoding(train, label_col)
             rows = te.select("category", "encoding", "global_mean").collect()  # activity alphabet
             gm = rows[0]["global_mean"] if rows else 0.0

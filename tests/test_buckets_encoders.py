@@ -69,3 +69,18 @@ def test_fit_encoder_feature_vector(spark):
         out = enc.transform(df)
         assert out.count() == 3 and "features" in out.columns
         assert len(out.first()["features"]) == enc.feature_dim
+
+
+def test_index_latest_payload_modes(spark):
+    rows = [("c1", 1, "train", ["A"], 10.0, "x"), ("c1", 2, "train", ["A", "B"], 5.0, "y"),
+            ("c2", 1, "val", ["B"], 7.0, "z")]
+    df = spark.createDataFrame(rows, "case_id string, prefix_len int, split string, prefix_activities array<string>, "
+                                     "label_remaining_time_sec double, event_last__x string")
+    tr = df.where("split = 'train'")
+    lab = encoding.fit_encoder("index_latest_payload", tr, min_freq=1, max_prefix_len=2, categorical_encoding="label",
+                               activity_encoding="counts")
+    out = {r["case_id"] + str(r["prefix_len"]): list(r["features"]) for r in lab.transform(df).collect()}
+    # [prefix_len, label slot of x (x=1, y=2, unseen=0), UNK count, A count, B count]
+    assert out["c12"] == [2.0, 2.0, 0.0, 1.0, 1.0] and out["c21"] == [1.0, 0.0, 0.0, 0.0, 1.0]
+    tgt = encoding.fit_encoder("index_latest_payload", tr, min_freq=1, max_prefix_len=2)
+    assert tgt.feature_dim == 1 + 1 + 2  # prefix_len, target-encoded x, two positions
