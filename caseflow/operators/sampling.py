@@ -142,3 +142,38 @@ def per_bucket_exemplar(pred: DataFrame, policy: str = "median", bucket_col: str
 def sample_prefixes(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """SRT-8: Bernoulli sample (a sampling operator: the limit is the feature)."""
     return df.sample(fraction=float(fraction), seed=seed)
+
+
+def case_quantile_exemplars(df: DataFrame, label_col: str, n_examples: int = 3, seed: int = 42) -> DataFrame:
+    """SRT-4: one representative row per case (its longest prefix); for the label
+    quantiles .5 (.9, .99 when n allows) pick, in turn, the representative nearest
+    to the quantile among cases not picked yet (ties by case_id); fill up to
+    ``n_examples`` with other cases in a seeded hash order.
+
+    Each pick is one O(rows) ``min_by`` aggregate over the case representatives;
+    earlier picks (≤ 3 rows) are excluded with an anti join.
+    """
+    from caseflow.functions.quantiles import exact_quantiles
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    reps = (df.groupBy(CASE).agg(F.max_by(row, F.col("prefix_len")).alias("_r")).select("_r.*")
+            .where(F.col(label_col).try_cast("double").isNotNull()))
+    qs = [0.5] + ([0.9] if n_examples >= 2 else []) + ([0.99] if n_examples >= 3 else [])
+    qv = exact_quantiles(reps.select(F.col(label_col).cast("double").alias("_y")), "_y", qs)
+    y = F.col(label_col).cast("double")
+    picked = None
+    for i, q in enumerate(qs):
+        cand = reps if picked is None else reps.join(picked.select(CASE), CASE, "left_anti")
+        best = attach_scalars(cand, qv.select(F.col(f"q{i}").alias("_q"))).agg(
+            F.min_by(F.struct(*[F.col(f"`{c}`") for c in reps.columns]),
+                     F.struct(F.abs(y - F.col("_q")), F.col(CASE))).alias("_b")).select("_b.*").where(F.col(CASE).isNotNull())
+        best = best.withColumn("_pick", F.lit(i + 1))
+        picked = best if picked is None else picked.unionByName(best)
+    if picked is None:
+        return reps.limit(0).withColumn("_pick", F.lit(0))
+    fill_n = n_examples - len(qs)
+    if fill_n > 0:
+        rest = reps.join(picked.select(CASE), CASE, "left_anti")
+        fill = (rest.orderBy(F.xxhash64(F.lit(seed), F.col(CASE)), F.col(CASE)).limit(fill_n)
+                .withColumn("_pick", F.lit(len(qs) + 1)))
+        picked = picked.unionByName(fill)
+    return picked

@@ -1320,3 +1320,23 @@ QUERIES.update({
     "aggregated_qc": q_aggregated_qc,
     "embedding_pca": q_embedding_pca,
 })
+
+
+def q_case_quantile_exemplars(spark, sf_dir):
+    """SRT-4 (reference semantics): one row per case, greedy nearest to the .5 / .9 / .99 label quantiles."""
+    v = model_frame(spark, sf_dir).where(F.col("split") == "val")
+    e = smp.case_quantile_exemplars(v, "label_remaining_time_sec", 3)
+    return _r(e.select("_pick", "case_id", "prefix_len", "label_remaining_time_sec").withColumnRenamed("_pick", "pick"),
+              {"label_remaining_time_sec": 2})
+
+
+def q_case_exemplars_fill(spark, sf_dir):
+    """SRT-4 with random fill to 8 examples (seeded hash order; rows-only)."""
+    v = model_frame(spark, sf_dir).where(F.col("split") == "val")
+    return smp.case_quantile_exemplars(v, "label_remaining_time_sec", 8).select("_pick", "case_id", "prefix_len")
+
+
+QUERIES.update({
+    "case_quantile_exemplars": q_case_quantile_exemplars,
+    "case_exemplars_fill": q_case_exemplars_fill,
+})

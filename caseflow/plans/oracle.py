@@ -1015,3 +1015,23 @@ SELECT count(*) AS n_events, count(DISTINCT case_id) AS n_cases, {rhu('count(*)
 FROM ev
 """,
 })
+
+
+ORACLE.update({
+    "case_quantile_exemplars": f"""
+WITH {MODEL_FRAME},
+reps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY prefix_len DESC) AS rr
+                        FROM mf WHERE split = 'val') WHERE rr = 1 AND label_remaining_time_sec IS NOT NULL),
+qs AS (SELECT quantile_cont(label_remaining_time_sec, [0.5, 0.9, 0.99]) AS v FROM reps),
+p1 AS (SELECT 1 AS pick, case_id, prefix_len, label_remaining_time_sec FROM reps, qs
+       ORDER BY abs(label_remaining_time_sec - v[1]), case_id LIMIT 1),
+p2 AS (SELECT 2 AS pick, case_id, prefix_len, label_remaining_time_sec FROM reps, qs
+       WHERE case_id NOT IN (SELECT case_id FROM p1)
+       ORDER BY abs(label_remaining_time_sec - v[2]), case_id LIMIT 1),
+p3 AS (SELECT 3 AS pick, case_id, prefix_len, label_remaining_time_sec FROM reps, qs
+       WHERE case_id NOT IN (SELECT case_id FROM p1 UNION ALL SELECT case_id FROM p2)
+       ORDER BY abs(label_remaining_time_sec - v[3]), case_id LIMIT 1)
+SELECT pick, case_id, prefix_len, {rhu('label_remaining_time_sec', 2)} AS label_remaining_time_sec
+FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)
+""",
+})
