@@ -139,7 +139,8 @@ def extract_prefixes(log: DataFrame, cases: DataFrame | None = None, max_prefix_
 
 def running_case_prefixes(log: DataFrame, max_prefix_len: int = 30, include_case_attributes: bool = True,
                           include_event_attributes: bool = True, feat_prefix: str = "feat_",
-                          case_out_prefix: str = "case__", event_out_prefix: str = "event_last__") -> DataFrame:
+                          case_out_prefix: str = "case__", event_out_prefix: str = "event_last__",
+                          case_starts: DataFrame | None = None) -> DataFrame:
     """INF-1: one scoring row per running case, describing its state at its latest event.
 
     ``prefix_len`` is the true event count; ``prefix_activities`` holds the last
@@ -147,6 +148,7 @@ def running_case_prefixes(log: DataFrame, max_prefix_len: int = 30, include_case
     ``max_prefix_len`` latest events per case are shuffled (row_number filter ->
     WindowGroupLimit before the exchange); counts, start time and last non-null
     attributes are aggregates.  Elapsed / since-last are clamped at 0.
+    ``case_starts`` (case_id, case_start_time) overrides the observed start.
     """
     case_cols = case_attribute_columns(log) if include_case_attributes else []
     ev_cols = event_attribute_columns(log, case_cols, exclude=["case:endDate", "endDate", "case:end_time", "end_time"]) \
@@ -169,6 +171,10 @@ def running_case_prefixes(log: DataFrame, max_prefix_len: int = 30, include_case
         F.max(F.when(F.col("_rd") == 1, F.col(TS))).alias("prefix_end_time"),
         F.max(F.when(F.col("_rd") == 2, F.col(TS))).alias("_prev_ts"))
     j = t.join(state, CASE)
+    if case_starts is not None:
+        # known start times (a case may begin before its first logged event) win over the observed minimum
+        given = case_starts.select(CASE, F.col("case_start_time").cast("timestamp").alias("_given_start"))
+        j = j.join(given, CASE, "left").withColumn("_start", F.coalesce("_given_start", "_start")).drop("_given_start")
     acts = F.transform(F.filter("_evs", lambda e: e["_rd"] <= max_prefix_len), lambda e: e["a"])
     elapsed = F.greatest(F.coalesce(seconds_between("_start", "prefix_end_time"), F.lit(0.0)), F.lit(0.0))
     since = F.greatest(F.coalesce(seconds_between("_prev_ts", "prefix_end_time"), F.lit(0.0)), F.lit(0.0))

@@ -72,3 +72,13 @@ def test_remaining_time_non_negative(spark):
     from caseflow.sources import testlogs
     p = prefixes.extract_prefixes(testlogs.line_log(spark, "/root/testdata/sf0.001"))
     assert p.where(F.col("label_remaining_time_sec") < 0).count() == 0
+
+
+def test_running_case_given_start(make_log, spark):
+    import datetime as dt
+    rows = [("c", "A", 100, 1), ("c", "B", 160, 2)]
+    starts = spark.createDataFrame([("c", dt.datetime(2024, 1, 1))], "case_id string, case_start_time timestamp")
+    r = prefixes.running_case_prefixes(make_log(rows), case_starts=starts).first()
+    assert r["feat_elapsed_time_sec"] == 160.0
+    r2 = prefixes.running_case_prefixes(make_log(rows)).first()
+    assert r2["feat_elapsed_time_sec"] == 60.0
