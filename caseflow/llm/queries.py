@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caseflow.llm.common import table
 from caseflow.llm.exact_dedup import exact_dedup
+from caseflow.llm.langid import fit_languages, identify_languages
 from caseflow.llm.mixing import mixing_plan
+from caseflow.llm.packing import pack
+from caseflow.llm.quality import quality
 from caseflow.llm.sharding import shard_by_bytes
+from caseflow.llm.token_count import count_tokens
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and verdict of all documents."""
+    return quality(table(spark, sf_dir, "documents"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,14 +31,36 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE token counts of all documents."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those whose crc32(doc_id) mod 4 is not 2."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.filter(~held_out))
+    return identify_languages(docs, model).withColumn("held_out", held_out)
+
+
+def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 contiguous shards of nearly equal bytes."""
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_source_mix": op6_source_mix,
+    "op7_token_counts": op7_token_counts,
+    "op8_language": op8_language,
+    "op9_packed_sequences": op9_packed_sequences,
     "op10_byte_shards": op10_byte_shards,
 }
 
