@@ -12,9 +12,16 @@ from caseflow.llm.mixing import mixing_plan
 from caseflow.llm.packing import pack
 from caseflow.llm.quality import quality
 from caseflow.llm.sharding import shard_by_bytes
+from caseflow.llm.simhash import near_duplicates
+from caseflow.llm.suffix_dedup import remove_repeats
 from caseflow.llm.token_count import count_tokens
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 100-byte strings taken out of all documents."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and verdict of all documents."""
     return quality(table(spark, sf_dir, "documents"))
@@ -31,6 +38,11 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents: 3-word shingles, 3 differing bits at most."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE token counts of all documents."""
     return count_tokens(table(spark, sf_dir, "documents"))
@@ -55,8 +67,10 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_simhash": op4_simhash,
     "op6_source_mix": op6_source_mix,
     "op7_token_counts": op7_token_counts,
     "op8_language": op8_language,

@@ -9,22 +9,43 @@ from pyspark.sql import DataFrame, SparkSession
 from caseflow.llm.common import table
 from caseflow.llm.exact_dedup import keep_one
 from caseflow.llm.mixing import mix
+from caseflow.llm.packing import pack
+from caseflow.llm.quality import keep_good
+from caseflow.llm.simhash import keep_one as keep_one_near
 from caseflow.session import materialize
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or repeat themselves too much go."""
+    return keep_good(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     return keep_one(docs, keep="max")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose SimHashes are linked, the one with the least id stays."""
+    return keep_one_near(docs, shingle=3, distance=3)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that the sources reach their target weights."""
     return mix(docs)
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents as token pieces in sequences of at most 4096."""
+    return pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
     ("source_mix", source_mix),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: SQL cannot express the stages; tests hold them against brute-force versions.

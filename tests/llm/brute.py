@@ -39,3 +39,50 @@ def quality(text):
         if n in MOST_DUP:
             out[f"dup{n}"] = sum(len(words[i]) for i in later) / max(1, chars)
     return out
+
+
+def fingerprint(text, n=3):
+    import xxhash
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = words_of(lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + n]) for i in range(max(1, len(words) - n + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_components(rows, distance=3, n=3):
+    """{index: least id reachable} over rows of (doc_id, text), by comparing all pairs."""
+    fps = [fingerprint(t, n) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= distance:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [(f"{fps[i]:016x}", least.get(find(i))) for i in range(len(rows))]
+
+
+def remove_repeats(rows, n=100):
+    """(n_bytes, n_removed, n_spans, kept) for rows of (doc_id, bytes) with different ids, by a dictionary of all strings."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        gone = [False] * len(text)
+        for i in range(len(text) - n + 1):
+            if text[i:i + n] in seen:
+                gone[i:i + n] = [True] * n
+            seen.add(text[i:i + n])
+        spans = sum(g and not p for g, p in zip(gone, [False] + gone))
+        out[doc_id] = (len(text), sum(gone), spans, bytes(b for b, g in zip(text, gone) if not g))
+    return out
