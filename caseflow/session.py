@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,6 +33,10 @@ CLUSTER_CONF = {
 }
 
 
+#: Drops the shuffle files of a query at its end instead of whenever the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 << 20, floor: int = 200) -> int:
     """Initial shuffle partition count for an input size: ~one target-sized partition
     per 256 MB of input (AQE coalesces down at run time, so erring high is cheap)."""
@@ -63,12 +68,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only set our own when it
-    is unset (local runs and tests), under a fresh scratch folder.
+    The cluster names it in ``spark.checkpoint.dir``; only a local session, whose
+    driver and executors are one machine, gets a fresh scratch folder if it is unset.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="caseflow-ckpt-", dir=os.environ.get("CASEFLOW_SCRATCH", "/tmp"))
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
@@ -85,9 +92,15 @@ def materialize(df, how: str = "table"):
     """
     if how == "table":
         import uuid
-        path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return df.sparkSession.read.parquet(path)
+        spark = df.sparkSession
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+        before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+        spark.conf.set(SHUFFLE_CLEANUP, "true")  # the table replaces the shuffle files of this write
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+        return spark.read.schema(df.schema).parquet(path)
     if how == "checkpoint":
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
