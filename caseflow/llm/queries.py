@@ -10,6 +10,7 @@ from caseflow.llm.exact_dedup import exact_dedup
 from caseflow.llm.langid import fit_languages, identify_languages
 from caseflow.llm.mixing import mixing_plan
 from caseflow.llm.packing import pack
+from caseflow.llm.pii import pseudonymise
 from caseflow.llm.quality import quality
 from caseflow.llm.sharding import shard_by_bytes
 from caseflow.llm.simhash import near_duplicates
@@ -32,6 +33,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal numbers, dates and addresses replaced by pseudonyms of their format."""
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents to target weights: what each document gives."""
     plan = mixing_plan(table(spark, sf_dir, "documents"))
@@ -71,6 +77,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_source_mix": op6_source_mix,
     "op7_token_counts": op7_token_counts,
     "op8_language": op8_language,
