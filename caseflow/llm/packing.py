@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm.ragged import flat_texts, row_chunks
-from caseflow.llm.token_count import tokenizer_path
+from caseflow.llm.token_count import byte_letters, tokenizer_path
 from caseflow.session import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,9 +30,9 @@ PIECES_TOGETHER = 100_000
 REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64
 #: Texts are encoded together until they have this many bytes.
 CHUNK_BYTES = 2 << 20
-#: Letters (ASCII and Latin-1) and perhaps a stop or comma: the tokenizer lower-cases such a word
-#: and takes the stop or comma by itself.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
+#: ASCII signs, letters (ASCII and Latin-1), ASCII signs: the tokenizer takes the three parts one by one
+#: (but for a leading apostrophe, which it may join to a letter).
+_PARTS = re.compile(rb"([!-&(-/:-@\[-`{-~]*)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                    ("ids_crc32", pa.int64()), ("offset", pa.int64())])
@@ -42,38 +42,48 @@ BIN_SCHEMA = ("sequence_id bigint, part int, fill int, done boolean, pieces arra
 _loaded: dict[str, "WordIds"] = {}
 
 
-class WordIds:
-    """Ids of a text as little-endian unsigned 32-bit bytes.
+class WordIds(dict):
+    """Ids of words as little-endian unsigned 32-bit bytes, each word encoded when it first comes.
 
     The tokenizer drops white space and never joins what stands on both sides of
-    it, so the ids of a text are those of its words one after another; each
-    different word is encoded once and kept.
+    it, so the ids of a text are those of its words one after another.  A word of
+    plain letters is one lower-cased pre-token and goes to the tokenizer's model
+    at once; signs around it are pre-tokens of their own; any other word takes
+    the tokenizer's whole way.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> None:
-        coded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(words, coded))
+        self.model = self.tokenizer.model
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.long: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> bytes:
+        parts = None if b"<|" in word else _PARTS.fullmatch(word)  # special strings begin with it
+        if parts is None:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        elif parts[1] or parts[3]:
+            ids = b"".join(self[part] for part in parts.groups() if part)
+        elif (lower := word.decode().lower().encode()) != word:
+            ids = self[lower]
+        else:
+            tokens = self.model.tokenize(word.decode("latin-1").translate(self.letters))
+            ids = np.array([t.id for t in tokens], "<u4").tobytes()
+        if len(word) > REMEMBERED_BYTES:
+            self.long.append(word)
+        self[word] = ids
+        return ids
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        new = set().union(*words) - self.known.keys()
-        plain = {w: (m[1].decode().lower().encode(), m[2]) for w in new if (m := _PLAIN.fullmatch(w))}
-        parts = {x for pair in plain.values() for x in pair if x}
-        self._encode(list(((new - plain.keys()) | parts) - self.known.keys()))
-        self.known.update((w, self.known[stem] + (self.known[tail] if tail else b""))
-                          for w, (stem, tail) in plain.items())
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
-        for word in new:
-            if len(word) > REMEMBERED_BYTES:
-                del self.known[word]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        out = [b"".join(map(self.__getitem__, t.split())) for t in texts]
+        for word in self.long:
+            self.pop(word, None)
+        self.long.clear()
+        if len(self) > REMEMBERED:
+            self.clear()
         return out
 
 
