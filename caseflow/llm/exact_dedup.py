@@ -64,10 +64,9 @@ def keep_one(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    stay = (exact_dedup(docs, keep).filter("kept")
-            .select(key.alias("_id_key"), F.col("text_sha256").alias("_digest")))
-    of_row = Window.partitionBy("_id_key", "_digest").orderBy("_digest")
-    return (docs.withColumn("_id_key", key).withColumn("_digest", digest)
-            .join(stay, ["_id_key", "_digest"], "left_semi")
-            .withColumn("_nth", F.row_number().over(of_row)).filter("_nth = 1")  # a repeated row stays once
-            .drop("_id_key", "_digest", "_nth"))
+    stay = exact_dedup(docs, keep).filter("kept").select(key.alias("id"), F.col("text_sha256").alias("digest"))
+    rows = docs.select(key.alias("id"), digest.alias("digest"), F.struct("*").alias("row"))
+    of_row = Window.partitionBy("id", "digest").orderBy("digest")
+    return (rows.join(stay, ["id", "digest"], "left_semi")
+            .withColumn("nth", F.row_number().over(of_row)).filter("nth = 1")  # a repeated row stays once
+            .select("row.*"))

@@ -87,10 +87,8 @@ def mixing_plan(docs: DataFrame, seed: int = SEED, **targets) -> DataFrame:
 def mix(docs: DataFrame, seed: int = SEED, **targets) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as :func:`mixing_plan` says, with all its columns."""
     sized = docs.select("source", n_words(F.col("text")).alias("size"))
-    target = (source_targets(sized, **targets)
-              .select(F.col("source").alias("_of_source"), F.col("rate").alias("_rate")))
-    return (docs.join(target, F.col("source").eqNullSafe(F.col("_of_source")))
-            .withColumn("_times", copies(F.col("_rate"), _key(docs), seed))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_times"))))
-            .filter(F.col("_copy") > 0)
-            .drop("_of_source", "_rate", "_times", "_copy"))
+    target = source_targets(sized, **targets).select(F.col("source").alias("of_source"), "rate")
+    rows = docs.select("source", _key(docs).alias("key"), F.struct("*").alias("row"))
+    return (rows.join(target, F.col("source").eqNullSafe(F.col("of_source")))
+            .withColumn("copy", F.explode(F.sequence(F.lit(0), copies(F.col("rate"), F.col("key"), seed))))
+            .filter("copy > 0").select("row.*"))

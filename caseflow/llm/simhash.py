@@ -203,7 +203,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
 
     Rows of one id are one document and stay together.
     """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
     stay = (near_duplicates(docs, shingle, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id_key")).distinct())
-    return (docs.withColumn("_id_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-            .join(stay, "_id_key", "left_semi").drop("_id_key"))
+            .select(key).distinct())
+    return docs.select(key, F.struct("*").alias("row")).join(stay, "id", "left_semi").select("row.*")
