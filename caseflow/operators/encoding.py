@@ -240,7 +240,7 @@ def _onehot_exprs(cat_cols, vd, prefix="f_cat__"):
 
 
 def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_time_sec",
-                label_is_numeric: bool = True, max_prefix_len: int = 30, min_freq: int = 50,
+                label_is_numeric: bool = True, max_prefix_len: int | None = None, min_freq: int = 50,
                 max_categories: int = 20, max_categorical_cols: int = 30, ignore: list[str] | None = None,
                 vectors: DataFrame | None = None, label_vocab: list[str] | None = None,
                 compress_dim: int = 64, categorical_encoding: str = "target",
@@ -254,6 +254,8 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
     """
     if name == "index_latest_payload" and not label_is_numeric:
         categorical_encoding, activity_encoding = "onehot", "onehot_per_position"
+    if name == "index_latest_payload" and max_prefix_len is None:  # positions up to the longest train prefix
+        max_prefix_len = train.agg(F.max("prefix_len")).first()[0] or 1
     num_cols, cat_cols = infer_feature_columns(train, ignore, max_categorical_cols)
     exprs: dict = {"f_prefix_len": F.col("prefix_len").cast("double")}
     names = ["f_prefix_len"]

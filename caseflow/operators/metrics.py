@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from caseflow.functions.running import running_totals
 from caseflow.functions.scalar import attach_scalars
 
 
@@ -49,11 +50,18 @@ def binary_f1(pred: DataFrame, positive: str, y: str = "y_true", p: str = "y_pre
     return s.select(F.col("f1").alias("f1_binary"))
 
 
-def roc_auc(pred: DataFrame, label_col: str, score_col: str) -> float:
-    """MET-2 (AUC part): Spark's distributed binary evaluator."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    ev = BinaryClassificationEvaluator(rawPredictionCol=score_col, labelCol=label_col, metricName="areaUnderROC")
-    return ev.evaluate(pred.select(F.col(score_col).cast("double"), F.col(label_col).cast("double")))
+def roc_auc(pred: DataFrame, label_col: str, score_col: str) -> DataFrame:
+    """MET-2 (AUC part), exact: one row ``roc_auc``, the share of (positive, negative) pairs that the score
+    orders rightly, ties counting half (null without one of the classes).
+
+    Rows are counted by score; a distributed running total gives the negatives below each.
+    """
+    counts = (pred.groupBy(F.col(score_col).cast("double").alias("score"))
+              .agg(F.count_if(F.col(label_col) == 1).alias("pos"), F.count_if(F.col(label_col) == 0).alias("neg")))
+    below = running_totals(counts, ["score"], "neg")
+    twice = F.col("pos").cast("decimal(38,0)") * (2 * F.col("before") + F.col("neg"))
+    return below.agg(F.try_divide(F.sum(twice).cast("double"),
+                                  2.0 * F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def regression_errors(pred: DataFrame, y: str = "y_true", p: str = "y_pred", group: list[str] | None = None) -> DataFrame:

@@ -100,8 +100,11 @@ def balanced_weights(train: DataFrame, label: str = "label") -> DataFrame:
     return train.join(F.broadcast(w), label)
 
 
-def make_estimator(kind: str, task: TaskSpec, n_classes: int = 2, seed: int = 42):
-    """MOD-1 (linear) / MOD-2 (tree: random forest; ``gbt``: boosted trees) on ``features``."""
+def make_estimator(kind: str, task: TaskSpec, n_classes: int = 2, seed: int = 42, penalty: float = 0.0):
+    """MOD-1 (linear) / MOD-2 (tree: random forest; ``gbt``: boosted trees) on ``features``.
+
+    ``penalty`` is Spark's ``regParam`` of the linear learners (see :func:`ridge_penalty`).
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier, GBTClassifier
     from pyspark.ml.feature import StandardScaler
@@ -110,9 +113,10 @@ def make_estimator(kind: str, task: TaskSpec, n_classes: int = 2, seed: int = 42
     if kind == "linear":
         scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=False, withStd=True)
         if task.task_type == "classification":
-            est = LogisticRegression(featuresCol="_scaled", labelCol="label", weightCol="weight", maxIter=100)
+            est = LogisticRegression(featuresCol="_scaled", labelCol="label", weightCol="weight", maxIter=100,
+                                     regParam=penalty)
         else:
-            est = LinearRegression(featuresCol="_scaled", labelCol="label", regParam=1.0, elasticNetParam=0.0)
+            est = LinearRegression(featuresCol="_scaled", labelCol="label", regParam=penalty, elasticNetParam=0.0)
         return Pipeline(stages=[scaler, est])
     if kind == "gbt":
         # boosted trees: closest to the reference's LightGBM probe, but Spark fits one tree per job
@@ -128,6 +132,16 @@ def make_estimator(kind: str, task: TaskSpec, n_classes: int = 2, seed: int = 42
     return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=100, maxDepth=8, seed=seed)
 
 
+def ridge_penalty(train: DataFrame, task: TaskSpec, alpha: float = 1.0) -> float:
+    """``regParam`` that equals a penalty of ``alpha`` * |w|^2 on the summed loss.
+
+    Spark divides the loss by the number of rows and a linear regression's label
+    by its spread, so the penalty is alpha / n, times the label's spread for a regression.
+    """
+    r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("label").alias("spread")).first()
+    return alpha / max(1, r["n"]) * (1.0 if task.task_type == "classification" else float(r["spread"] or 1.0))
+
+
 def fit_predict(train: DataFrame, score: DataFrame, task: TaskSpec, kind: str = "tree", target_log1p: bool = False,
                 seed: int = 42):
     """MOD-4 / MOD-7: fit on train, predict the scoring frame; returns (model, predictions).
@@ -142,37 +156,66 @@ def fit_predict(train: DataFrame, score: DataFrame, task: TaskSpec, kind: str =
         n_classes = 0
         if target_log1p:
             tr = tr.withColumn("label", log1p_nonneg("label", null_as_zero=False))
-    est = make_estimator(kind, task, n_classes, seed)
+    est = make_estimator(kind, task, n_classes, seed, ridge_penalty(tr, task) if kind == "linear" else 0.0)
     model = est.fit(tr)
+    return model, predict(model, score, task, target_log1p)
+
+
+def predict(model, score: DataFrame, task: TaskSpec, target_log1p: bool = False) -> DataFrame:
+    """Apply a fitted model: ``y_true`` / ``y_pred`` in label space, with the log undone and durations clamped at 0."""
     out = model.transform(score).withColumnRenamed("prediction", "y_pred").withColumn("y_true", F.col("label"))
-    if task.task_type == "regression" and target_log1p:
-        out = out.withColumn("y_pred", expm1_clamped("y_pred"))
-    elif task.task_type == "regression":
-        out = out.withColumn("y_pred", F.greatest(F.col("y_pred"), F.lit(0.0)))
-    return model, out
+    if task.task_type != "regression":
+        return out
+    return out.withColumn("y_pred", expm1_clamped("y_pred") if target_log1p else F.greatest("y_pred", F.lit(0.0)))
+
 
+def predict_routed(data: DataFrame, models: dict, task: TaskSpec, target_log1p: bool = False,
+                   bucket_col: str = "bucket_id") -> DataFrame:
+    """Score every row with its bucket's model, or with that of the nearest bucket that has one (MET-12).
 
-def tuned_model(train: DataFrame, task: TaskSpec, parallelism: int = 4, seed: int = 42):
-    """MOD-5 re-aimed: ``TrainValidationSplit`` over small LR / RF / GBT grids (no AutoML service)."""
+    The bucket ids with a model are known, so the way is an expression; the loop
+    is over the models, at most one for each bucket.
+    """
+    ids = sorted(models)
+    of = F.array(*[F.lit(int(i)) for i in ids])
+    near = F.array_min(F.transform(of, lambda m: F.struct(F.abs(m - F.col(bucket_col)).alias("d"), m.alias("m"))))
+    routed = data.withColumn("model_bucket", F.coalesce(near["m"], F.lit(int(ids[0]))))
+    out = None
+    for i in ids:
+        part = predict(models[i], routed.where(F.col("model_bucket") == i), task, target_log1p)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def tuned_model(train: DataFrame, task: TaskSpec, grid: dict | None = None, folds: int = 5, seed: int = 42):
+    """MOD-5 re-aimed: the best of a grid of learners, chosen on held-out cases (no AutoML service).
+
+    ``grid`` maps a learner kind to a list of parameter settings (default: three
+    penalties, two forest depths).  Rows of one case never lie on both sides: the
+    fold is a hash of the case id.  Returns (model, score, kind, setting).
+    """
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-
-    tr = balanced_weights(train) if task.task_type == "classification" else train
-    n_classes = tr.select("label").distinct().count() if task.task_type == "classification" else 0
-    best = None
-    for kind in ("linear", "tree"):
-        est = make_estimator(kind, task, n_classes, seed)
-        grid = ParamGridBuilder().build()
-        ev = (MulticlassClassificationEvaluator(metricName="f1", labelCol="label")
-              if task.task_type == "classification" else RegressionEvaluator(metricName="mae", labelCol="label"))
-        tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=grid, evaluator=ev, trainRatio=0.8,
-                                   parallelism=parallelism, seed=seed)
-        m = tvs.fit(tr)
-        score = m.validationMetrics[0]
-        better = best is None or (score > best[1] if task.task_type == "classification" else score < best[1])
-        if better:
-            best = (m.bestModel, score, kind)
-    return best
+    cls = task.task_type == "classification"
+    grid = grid or {"linear": [{"alpha": a} for a in (0.1, 1.0, 10.0)], "tree": [{"maxDepth": d} for d in (4, 8)]}
+    fold = F.pmod(F.xxhash64("case_id", F.lit(seed)), F.lit(folds))
+    fit, held = train.where(fold > 0).persist(), train.where(fold == 0).persist()
+    weighted = balanced_weights(fit) if cls else fit
+    n_classes = fit.select("label").distinct().count() if cls else 0
+    ev = (MulticlassClassificationEvaluator(metricName="f1", labelCol="label") if cls
+          else RegressionEvaluator(metricName="mae", labelCol="label"))
+    tried = []
+    for kind, settings in grid.items():
+        for setting in settings:
+            penalty = ridge_penalty(fit, task, setting.get("alpha", 1.0)) if kind == "linear" else 0.0
+            est = make_estimator(kind, task, n_classes, seed, penalty)
+            for name, value in setting.items():
+                if name != "alpha":
+                    est = est.copy({est.getParam(name): value})
+            model = est.fit(weighted)
+            tried.append((model, ev.evaluate(model.transform(held)), kind, setting))
+    fit.unpersist()
+    held.unpersist()
+    return (max if cls else min)(tried, key=lambda t: t[1])
 
 
 def feature_importances(model, feature_names: list[str]) -> list[tuple[str, float]]:
@@ -192,18 +235,19 @@ def feature_importances(model, feature_names: list[str]) -> list[tuple[str, floa
 
 
 def train_per_bucket(encoded: DataFrame, eligible: list[int], task: TaskSpec, kind: str = "tree",
-                     bucket_col: str = "bucket_id", split_col: str = "split", seed: int = 42):
+                     bucket_col: str = "bucket_id", split_col: str = "split", seed: int = 42,
+                     target_log1p: bool = False):
     """MOD-6: one model per eligible bucket, each fitted on that bucket's train rows.
 
+    Without an eligible bucket one model is fitted on all train rows, under id 0.
     ``encoded`` should be cached by the caller: each bucket's fit scans it.
     Returns {bucket_id: model} and the union of val predictions.
     """
     models, preds = {}, None
-    for b in eligible:
-        part = encoded.where(F.col(bucket_col) == b)
-        m, p = fit_predict(part.where(F.col(split_col) == "train"), part.where(F.col(split_col) == "val"), task, kind,
-                           seed=seed)
-        models[b] = m
+    for b in eligible or [0]:
+        part = encoded.where(F.col(bucket_col) == b) if eligible else encoded
+        models[b], p = fit_predict(part.where(F.col(split_col) == "train"), part.where(F.col(split_col) == "val"), task,
+                                   kind, seed=seed, target_log1p=target_log1p)
         preds = p if preds is None else preds.unionByName(p, allowMissingColumns=True)
     return models, preds
 

@@ -137,17 +137,16 @@ def extract_prefixes(log: DataFrame, cases: DataFrame | None = None, max_prefix_
     return res
 
 
-def running_case_prefixes(log: DataFrame, max_prefix_len: int = 30, include_case_attributes: bool = True,
+def running_case_prefixes(log: DataFrame, max_prefix_len: int | None = None, include_case_attributes: bool = True,
                           include_event_attributes: bool = True, feat_prefix: str = "feat_",
                           case_out_prefix: str = "case__", event_out_prefix: str = "event_last__",
                           case_starts: DataFrame | None = None) -> DataFrame:
     """INF-1: one scoring row per running case, describing its state at its latest event.
 
-    ``prefix_len`` is the true event count; ``prefix_activities`` holds the last
-    ``max_prefix_len`` activities (all of them for shorter cases).  Only the
-    ``max_prefix_len`` latest events per case are shuffled (row_number filter ->
-    WindowGroupLimit before the exchange); counts, start time and last non-null
-    attributes are aggregates.  Elapsed / since-last are clamped at 0.
+    ``prefix_activities`` holds all activities of the case in order, as training
+    prefixes do, so counts and positions mean the same; a ``max_prefix_len`` that is
+    asked for keeps only the latest ones.  One aggregate over the log gives
+    everything; a case's row is as long as the case.  Elapsed / since-last are clamped at 0.
     ``case_starts`` (case_id, case_start_time) overrides the observed start.
     """
     case_cols = case_attribute_columns(log) if include_case_attributes else []
@@ -161,21 +160,17 @@ def running_case_prefixes(log: DataFrame, max_prefix_len: int = 30, include_case
     for i, c in enumerate(ev_cols):
         col = F.col(f"`{c}`")
         aggs.append(F.max_by(col, F.when(col.isNotNull(), order)).alias(f"_ev{i}"))
-    state = log.groupBy(CASE).agg(*aggs)
-    w = Window.partitionBy(CASE).orderBy(F.desc(TS), F.desc(IDX))
-    tail = (log.select(CASE, ACT, TS, IDX).withColumn("_rd", F.row_number().over(w))
-            .where(F.col("_rd") <= max(max_prefix_len, 2)))
-    t = tail.groupBy(CASE).agg(
-        F.sort_array(F.collect_list(F.struct(TS, IDX, F.coalesce(F.col(ACT), F.lit("UNKNOWN")).alias("a"),
-                                             F.col("_rd")))).alias("_evs"),
-        F.max(F.when(F.col("_rd") == 1, F.col(TS))).alias("prefix_end_time"),
-        F.max(F.when(F.col("_rd") == 2, F.col(TS))).alias("_prev_ts"))
-    j = t.join(state, CASE)
+    event = F.struct(TS, IDX, F.coalesce(F.col(ACT), F.lit("UNKNOWN")).alias("a"))
+    state = log.groupBy(CASE).agg(F.sort_array(F.collect_list(event)).alias("_evs"), *aggs)
+    j = (state.withColumn("prefix_end_time", F.element_at("_evs", -1)[TS])
+         .withColumn("_prev_ts", F.try_element_at("_evs", F.lit(-2))[TS]))
     if case_starts is not None:
         # known start times (a case may begin before its first logged event) win over the observed minimum
         given = case_starts.select(CASE, F.col("case_start_time").cast("timestamp").alias("_given_start"))
         j = j.join(given, CASE, "left").withColumn("_start", F.coalesce("_given_start", "_start")).drop("_given_start")
-    acts = F.transform(F.filter("_evs", lambda e: e["_rd"] <= max_prefix_len), lambda e: e["a"])
+    acts = F.transform("_evs", lambda e: e["a"])
+    if max_prefix_len is not None:
+        acts = F.slice(acts, F.greatest(F.size(acts) - (max_prefix_len - 1), F.lit(1)), F.lit(max_prefix_len))
     elapsed = F.greatest(F.coalesce(seconds_between("_start", "prefix_end_time"), F.lit(0.0)), F.lit(0.0))
     since = F.greatest(F.coalesce(seconds_between("_prev_ts", "prefix_end_time"), F.lit(0.0)), F.lit(0.0))
     out = [F.col(CASE), F.col("prefix_len").cast("int").alias("prefix_len"), acts.alias("prefix_activities"),

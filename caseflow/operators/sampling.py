@@ -103,10 +103,15 @@ def quantile_exemplars(df: DataFrame, label_col: str, quantiles=(0.5, 0.9, 0.99)
     return long.select("_e.quantile", "_e.q_value", "_e._r.*")
 
 
+def _pick_order(seed: int):
+    """A seeded hash of the row key: an arbitrary order that any engine can repeat."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(CASE), F.col("prefix_len").cast("string")))
+
+
 def classification_exemplars(pred: DataFrame, n: int = 20, y: str = "y_true", p: str = "y_pred",
                              seed: int = 42) -> DataFrame:
     """SRT-6: up to n/2 wrong predictions, the rest right; a seeded hash gives the pick order."""
-    key = F.xxhash64(F.lit(seed), F.col(CASE), F.col("prefix_len"))
+    key = _pick_order(seed)
     wrong = (F.col(y) != F.col(p)).cast("int")
     r = pred.withColumn("_wrong", wrong).withColumn("_h", key)
     # per-class-of-correctness top-n by hash: row_number with a tiny limit (WindowGroupLimit)
@@ -140,8 +145,9 @@ def per_bucket_exemplar(pred: DataFrame, policy: str = "median", bucket_col: str
 
 
 def sample_prefixes(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """SRT-8: Bernoulli sample (a sampling operator: the limit is the feature)."""
-    return df.sample(fraction=float(fraction), seed=seed)
+    """SRT-8: Bernoulli sample by a seeded hash of the key, the same rows whatever the partitions (the limit is the feature)."""
+    draw = F.conv(F.substring(_pick_order(seed), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return df.where(draw < float(fraction))
 
 
 def case_quantile_exemplars(df: DataFrame, label_col: str, n_examples: int = 3, seed: int = 42) -> DataFrame:

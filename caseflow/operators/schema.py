@@ -26,12 +26,6 @@ def case_window(*order: str | Column) -> Window:
     return Window.partitionBy(CASE).orderBy(*(order or (TS, IDX)))
 
 
-def _merge(custom: list[str] | None, default: list[str]) -> list[str]:
-    if not custom:
-        return list(default)
-    return list(custom) + [c for c in default if c not in custom]
-
-
 def pick_columns(df: DataFrame, case_candidates=None, act_candidates=None, ts_candidates=None) -> dict:
     """Choose case / activity / timestamp source columns (PRJ-1).
 
@@ -39,9 +33,10 @@ def pick_columns(df: DataFrame, case_candidates=None, act_candidates=None, ts_ca
     list order.  One aggregate job over the candidate columns only.
     """
     lists = {
-        CASE: _merge(case_candidates, DEFAULT_CASE_CANDIDATES),
-        ACT: _merge(act_candidates, DEFAULT_ACT_CANDIDATES),
-        TS: _merge(ts_candidates, DEFAULT_TS_CANDIDATES),
+        # the user's names come first; a name counts where it first stands
+        CASE: list(dict.fromkeys([*(case_candidates or ()), *DEFAULT_CASE_CANDIDATES])),
+        ACT: list(dict.fromkeys([*(act_candidates or ()), *DEFAULT_ACT_CANDIDATES])),
+        TS: list(dict.fromkeys([*(ts_candidates or ()), *DEFAULT_TS_CANDIDATES])),
     }
     present = {k: [c for c in v if c in df.columns] for k, v in lists.items()}
     missing = [k for k, v in present.items() if not v]
@@ -66,27 +61,41 @@ AUTO_ACT_NAMES = ["concept:name", "activity", "Activity", "ACTIVITY", "act", "ev
 AUTO_ACT_PARTS = ["activity", "event_type", "task", "action"]
 
 
+# How a column name can match the names of a rule, and whether the rule prefers earlier names or earlier columns.
+MATCHES = {
+    "listed": (lambda column, name: column.lower() == name, True),
+    "key": (lambda column, name: column == name, True),
+    "exact": (lambda column, name: column == name, False),
+    "any_case": (lambda column, name: column.lower() == name.lower(), False),
+    "contains": (lambda column, name: name in column.lower(), False),
+}
+ACT_RULES = [("exact", AUTO_ACT_NAMES), ("any_case", AUTO_ACT_NAMES), ("contains", AUTO_ACT_PARTS)]
+#: For each format and role the rules, strongest first.
+AUTO_RULES = {
+    "csv": {CASE: [("listed", AUTO_CASE_NAMES), ("contains", AUTO_CASE_PARTS)],
+            TS: [("listed", AUTO_TS_NAMES), ("contains", AUTO_TS_PARTS)], ACT: ACT_RULES},
+    "xes": {CASE: [("key", ["case:concept:name", "case_id"])], TS: [("key", ["time:timestamp", "timestamp"])],
+            ACT: ACT_RULES},
+}
+
+
 def detect_columns(columns: list[str], fmt: str = "csv") -> dict:
     """PRJ-3: guess case / timestamp / activity columns from names only (no data scan).
 
-    CSV: exact names (case-insensitive) in list order, then the first column whose
-    lower-cased name contains one of the fallback parts.  XES: the standard keys.
-    Activity: exact name, then case-insensitive, then substring.  Missing -> None.
+    Every match of a column with a rule gets a rank (rule, then place of the
+    name or of the column, as the rule prefers); the best-ranked column takes
+    the role, and a role without a match is None.
     """
-    lower = {c.lower(): c for c in columns}
-    if fmt == "csv":
-        case = next((lower[k] for k in AUTO_CASE_NAMES if k in lower), None) or \
-            next((c for c in columns if any(k in c.lower() for k in AUTO_CASE_PARTS)), None)
-        ts = next((lower[k] for k in AUTO_TS_NAMES if k in lower), None) or \
-            next((c for c in columns if any(k in c.lower() for k in AUTO_TS_PARTS)), None)
-    else:
-        case = next((c for c in ["case:concept:name", "case_id"] if c in columns), None)
-        ts = next((c for c in ["time:timestamp", "timestamp"] if c in columns), None)
-    exact = set(AUTO_ACT_NAMES)
-    act = next((c for c in columns if c in exact), None) or \
-        next((c for c in columns if c.lower() in {a.lower() for a in exact}), None) or \
-        next((c for c in columns if any(k in c.lower() for k in AUTO_ACT_PARTS)), None)
-    return {CASE: case, TS: ts, ACT: act}
+    def ranks(rules):
+        for strength, (kind, names) in enumerate(rules):
+            matches, by_name = MATCHES[kind]
+            for place, column in enumerate(columns):
+                hits = [n for n, name in enumerate(names) if matches(column, name)]
+                if hits:
+                    yield strength, hits[0] if by_name else place, column
+    best = {role: min(ranks(rules), default=None)
+            for role, rules in AUTO_RULES["csv" if fmt == "csv" else "xes"].items()}
+    return {role: rank and rank[-1] for role, rank in best.items()}
 
 
 def normalize_schema(df: DataFrame, case_candidates=None, act_candidates=None, ts_candidates=None,

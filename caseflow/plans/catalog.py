@@ -467,10 +467,12 @@ def q_activity_counts(spark, sf_dir):
 
 
 def q_positional_activity(spark, sf_dir):
-    """ENC-7 long: activity slot at positions 1..10 (padding = UNK)."""
+    """ENC-7 long: activity slot at each position up to the longest train prefix (padding = UNK)."""
     from caseflow.operators.encoding import activity_vocab, positional_activity_long
     mf = model_frame(spark, sf_dir)
-    return positional_activity_long(mf, activity_vocab(mf.where(F.col("split") == "train")), 10)
+    train = mf.where(F.col("split") == "train")
+    longest = train.agg(F.max("prefix_len")).first()[0] or 1
+    return positional_activity_long(mf, activity_vocab(train), longest)
 
 
 def q_target_encoding(spark, sf_dir):
@@ -876,7 +878,7 @@ def _scratch(spark, name: str) -> str:
 
 
 def q_running_case_prefix_long(spark, sf_dir):
-    """INF-1 on long cases (49-86 events): state at the latest event, last 30 activities."""
+    """INF-1 on long cases (49-86 events): state at the latest event, all activities."""
     p = prefixes.running_case_prefixes(testlogs.user_log(spark, sf_dir), include_event_attributes=False)
     return p.select("case_id", "prefix_len", F.concat_ws(">", "prefix_activities").alias("prefix_path"),
                     round_half_up("feat_elapsed_time_sec", 3).alias("feat_elapsed_time_sec"),
@@ -950,10 +952,10 @@ def q_tree_probe(spark, sf_dir):
 
 
 def q_feature_importance(spark, sf_dir):
-    """MET-13: ranked importances of a GBT remaining-time model (index_latest_payload encoding)."""
+    """MET-13: ranked importances of a random-forest remaining-time model (index_latest_payload encoding)."""
     from caseflow.operators.encoding import fit_encoder
     mf = model_frame(spark, sf_dir)
-    enc = fit_encoder("index_latest_payload", mf.where("split = 'train'"), max_prefix_len=10)
+    enc = fit_encoder("index_latest_payload", mf.where("split = 'train'"))
     data = enc.transform(mf)
     task = mdl.default_task_specs()["remaining_time"]
     model, _ = mdl.fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, "tree")
@@ -963,14 +965,15 @@ def q_feature_importance(spark, sf_dir):
 
 
 def q_tuned_model(spark, sf_dir):
-    """MOD-5: TrainValidationSplit over linear and tree estimators; the winner and its score."""
+    """MOD-5: a grid over penalties and forest depths, judged on held-out cases; the winner and its score."""
     from caseflow.operators.encoding import fit_encoder
     mf = model_frame(spark, sf_dir)
     enc = fit_encoder("last_state", mf.where("split = 'train'"))
     data = enc.transform(mf.where("split = 'train'"))
     task = mdl.default_task_specs()["remaining_time"]
-    _, score, kind = mdl.tuned_model(data, task, parallelism=2)
-    return spark.createDataFrame([(task.name, kind, float(score))], "task string, estimator string, val_mae double")
+    _, score, kind, setting = mdl.tuned_model(data, task)
+    return spark.createDataFrame([(task.name, kind, str(setting), float(score))],
+                                 "task string, estimator string, setting string, val_mae double")
 
 
 def q_strategy_search(spark, sf_dir):
@@ -978,7 +981,7 @@ def q_strategy_search(spark, sf_dir):
     from caseflow.plans.strategy import strategy_search
     task = mdl.default_task_specs()["remaining_time"]
     return strategy_search(model_frame(spark, sf_dir), task, ["no_bucket", "prefix_len_bins"],
-                           ["last_state", "aggregation"], mode="global", kind="linear").drop("metrics")
+                           ["last_state", "aggregation"], kind="linear", min_bucket_samples=300).drop("metrics")
 
 
 def q_strategy_search_per_bucket(spark, sf_dir):
@@ -986,7 +989,25 @@ def q_strategy_search_per_bucket(spark, sf_dir):
     from caseflow.plans.strategy import strategy_search
     task = mdl.default_task_specs()["remaining_time"]
     return strategy_search(model_frame(spark, sf_dir), task, ["prefix_len_adaptive"], ["last_state"],
-                           mode="per_bucket", kind="linear", min_bucket_samples=300).drop("metrics")
+                           kind="linear", min_bucket_samples=300).drop("metrics")
+
+
+def q_strategy_grid(spark, sf_dir):
+    """EXP-1: all five bucketers x four encoders, every strategy fitted with linear probes on log1p remaining time (rows-only)."""
+    from caseflow.operators.encoding import ENCODERS
+    from caseflow.plans.strategy import strategy_search
+    task = mdl.default_task_specs()["remaining_time"]
+    bucketers = ["no_bucket", "prefix_len_bins", "prefix_len_adaptive", "last_activity", "cluster"]
+    return strategy_search(model_frame(spark, sf_dir), task, bucketers, ENCODERS, kind="linear", min_bucket_samples=300,
+                           target_log1p=True).drop("metrics")
+
+
+def q_strategy_lookup(spark, sf_dir):
+    """EXP-1 / EXP-4 / MET-5: the search with a learner that is a lookup table, one for each eligible bucket."""
+    from caseflow.plans.strategy import lookup_strategies
+    task = mdl.default_task_specs()["remaining_time"]
+    out = lookup_strategies(model_frame(spark, sf_dir), task, ["no_bucket", "prefix_len_bins", "prefix_len_adaptive"], 300)
+    return _r(out, {"primary_score": 6})
 
 
 def q_batch_scoring(spark, sf_dir):
@@ -994,16 +1015,16 @@ def q_batch_scoring(spark, sf_dir):
     from caseflow.operators.bucketing import PrefixLenBins
     from caseflow.operators.encoding import fit_encoder
     from caseflow.plans.scoring import score_running_cases
+    from caseflow.plans.strategy import eligible_buckets
     mf = model_frame(spark, sf_dir)
     tr = mf.where("split = 'train'")
     bk = PrefixLenBins(bin_size=10).fit(tr)
     enc = fit_encoder("last_state", tr)
-    data = enc.transform(bk.assign(mf))
+    bucketed = bk.assign(mf)
     task = mdl.default_task_specs()["remaining_time"]
-    el = smp.bucket_eligibility(bk.assign(mf), 300, False, "label_remaining_time_sec")
-    ids = [r[0] for r in el.where("eligible").select("bucket_id").collect()]  # ≤ #buckets
-    models, _ = mdl.train_per_bucket(data, ids, task, "linear")
-    return score_running_cases(customer_case_log(spark, sf_dir), bk, enc, models, task)
+    models, _ = mdl.train_per_bucket(enc.transform(bucketed), eligible_buckets(bucketed, task, 300), task, "linear",
+                                     target_log1p=True)
+    return score_running_cases(customer_case_log(spark, sf_dir), bk, enc, models, task, target_log1p=True)
 
 
 def q_stream_scoring(spark, sf_dir):
@@ -1043,6 +1064,8 @@ QUERIES.update({
     "feature_importance": q_feature_importance,
     "tuned_model": q_tuned_model,
     "strategy_search": q_strategy_search,
+    "strategy_grid": q_strategy_grid,
+    "strategy_lookup": q_strategy_lookup,
     "strategy_search_per_bucket": q_strategy_search_per_bucket,
     "batch_scoring": q_batch_scoring,
     "stream_scoring": q_stream_scoring,
@@ -1069,7 +1092,7 @@ def q_test_quantile_exemplars(spark, sf_dir):
 
 
 def q_classification_exemplars(spark, sf_dir):
-    """SRT-6: up to 10 wrong and the rest right predictions, hash-ordered (rows-only)."""
+    """SRT-6: up to 10 wrong and the rest right predictions, in a seeded hash order."""
     return smp.classification_exemplars(classification_predictions(spark, sf_dir), 20) \
         .select("case_id", "prefix_len", "y_true", "y_pred")
 
@@ -1082,7 +1105,7 @@ def q_bucket_exemplars(spark, sf_dir):
 
 
 def q_sample_prefixes(spark, sf_dir):
-    """SRT-8: 10 % Bernoulli sample of the prefix frame (seeded; rows-only)."""
+    """SRT-8: 10 % Bernoulli sample of the prefix frame, drawn by a seeded hash of the key."""
     return smp.sample_prefixes(model_frame(spark, sf_dir), 0.1, 42).select("case_id", "prefix_len", "split")
 
 
@@ -1128,12 +1151,12 @@ def q_scalar_functions(spark, sf_dir):
 
 
 def q_roc_auc(spark, sf_dir):
-    """MET-2 (AUC): predicted remaining time as the score for 'remaining above the median' (rows-only)."""
+    """MET-2 (AUC): predicted remaining time as the score for 'remaining above the median'."""
     p = regression_predictions(spark, sf_dir)
     med = p.agg(F.percentile("y_true", F.lit(0.5)).alias("_m"))
-    lab = attach_scalars(p, med).select((F.col("y_true") > F.col("_m")).cast("double").alias("label"),
-                                               F.col("y_pred").alias("score"))
-    return spark.createDataFrame([(float(met.roc_auc(lab, "label", "score")),)], "roc_auc double")
+    lab = attach_scalars(p, med).where("y_true is not null").select(
+        (F.col("y_true") > F.col("_m")).cast("int").alias("label"), round_half_up("y_pred", 3).alias("score"))
+    return _r(met.roc_auc(lab, "label", "score"), {"roc_auc": 9})
 
 
 def q_strategy_report(spark, sf_dir):
@@ -1242,13 +1265,15 @@ def q_bundle_roundtrip(spark, sf_dir):
     from caseflow.operators.bucketing import PrefixLenBins
     from caseflow.operators.encoding import fit_encoder
     from caseflow.plans.scoring import score_running_cases
+    from caseflow.plans.strategy import eligible_buckets
     from caseflow.sources.sinks import load_bundle, save_bundle
     mf = model_frame(spark, sf_dir)
     tr = mf.where("split = 'train'")
     bk = PrefixLenBins(bin_size=15).fit(tr)
     enc = fit_encoder("last_state", tr)
     task = mdl.default_task_specs()["remaining_time"]
-    models, _ = mdl.train_per_bucket(enc.transform(bk.assign(mf)), [1, 2], task, "linear")
+    bucketed = bk.assign(mf)
+    models, _ = mdl.train_per_bucket(enc.transform(bucketed), eligible_buckets(bucketed, task, 300), task, "linear")
     path = _scratch(spark, "bundle")
     save_bundle(path, models, {"task": task.name, "bucketing": "prefix_len_bins", "encoding": "last_state",
                                "model_buckets": sorted(models)})

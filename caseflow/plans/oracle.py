@@ -416,7 +416,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY "timestamp" DES
              count(*) OVER (PARTITION BY case_id) AS n, min("timestamp") OVER (PARTITION BY case_id) AS start_ts FROM udl),
 s AS (SELECT case_id, any_value(n) AS n, any_value(start_ts) AS start_ts,
              max(CASE WHEN rd = 1 THEN "timestamp" END) AS last_ts, max(CASE WHEN rd = 2 THEN "timestamp" END) AS prev_ts,
-             string_agg(activity, '>' ORDER BY "timestamp", _event_index) FILTER (WHERE rd <= 30) AS prefix_path
+             string_agg(activity, '>' ORDER BY "timestamp", _event_index) AS prefix_path
       FROM r GROUP BY case_id)
 SELECT case_id, CAST(n AS INTEGER) AS prefix_len, prefix_path,
        {rhu('greatest(0, coalesce(' + sec('start_ts', 'last_ts') + ', 0))', 3)} AS feat_elapsed_time_sec,
@@ -490,7 +490,8 @@ ev AS (SELECT case_id, k AS pos, activity FROM cpfx_pos),
 v AS (SELECT activity, row_number() OVER (ORDER BY activity) AS slot FROM (
         SELECT DISTINCT e.activity FROM mf JOIN ev e ON mf.case_id = e.case_id AND e.pos <= mf.prefix_len
         WHERE mf.split = 'train')),
-grid AS (SELECT mf.case_id, mf.prefix_len, CAST(p.range AS INTEGER) AS position FROM mf, range(1, 11) p)
+grid AS (SELECT mf.case_id, mf.prefix_len, CAST(p.range AS INTEGER) AS position
+         FROM mf, range(1, (SELECT max(prefix_len) + 1 FROM mf WHERE split = 'train')) p)
 SELECT g.case_id, g.prefix_len, g.position, e.activity, CAST(coalesce(v.slot, 0) AS INTEGER) AS slot
 FROM grid g LEFT JOIN ev e ON g.case_id = e.case_id AND e.pos = g.position AND g.position <= g.prefix_len
 LEFT JOIN v ON e.activity = v.activity
@@ -1035,3 +1036,50 @@ SELECT pick, case_id, prefix_len, {rhu('label_remaining_time_sec', 2)} AS label_
 FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)
 """,
 })
+
+
+ORACLE.update({
+    "strategy_lookup": f"""
+WITH {BK_ADAPTIVE}, longest AS (SELECT max(prefix_len) AS m FROM mf WHERE split = 'train'),
+every AS (
+  SELECT 'no_bucket' AS bucketing, split, last_act, label_remaining_time_sec AS y, 0 AS b FROM mf
+  UNION ALL
+  SELECT 'prefix_len_bins', split, last_act, label_remaining_time_sec,
+         (least(greatest(prefix_len, 1), (SELECT m FROM longest)) - 1) // 5 + 1 FROM mf
+  UNION ALL
+  SELECT 'prefix_len_adaptive', split, last_act, label_remaining_time_sec, bucket_id FROM bk),
+f AS (SELECT * FROM every WHERE y IS NOT NULL),
+ok AS (SELECT bucketing, b FROM f GROUP BY bucketing, b
+       HAVING bucketing = 'no_bucket' OR (count(*) FILTER (split = 'train') >= 300 AND count(*) FILTER (split = 'val') >= 300)),
+gm AS (SELECT bucketing, b, avg(y) AS gm FROM f WHERE split = 'train' GROUP BY bucketing, b),
+la AS (SELECT bucketing, b, last_act, sum(y) AS s, count(*) AS c FROM f WHERE split = 'train' GROUP BY bucketing, b, last_act),
+scored AS (
+  SELECT f.bucketing, f.b, abs(coalesce((la.s + gm.gm) / (la.c + 1), gm.gm) - f.y) AS e
+  FROM f JOIN ok USING (bucketing, b) JOIN gm USING (bucketing, b) LEFT JOIN la USING (bucketing, b, last_act)
+  WHERE f.split = 'val'),
+per AS (SELECT bucketing, b, avg(e) AS score, count(*) AS n FROM scored GROUP BY bucketing, b)
+SELECT bucketing, CASE WHEN bucketing = 'no_bucket' THEN 'global' ELSE 'per_bucket' END AS mode,
+       count(*) AS n_models, sum(n)::BIGINT AS n_val, {rhu('sum(score * n) / sum(n) / 86400.0', 6)} AS primary_score
+FROM per GROUP BY bucketing
+""",
+    "sample_prefixes": f"""
+WITH {MODEL_FRAME}
+SELECT case_id, prefix_len, split FROM mf
+WHERE ('0x' || substr(md5('42:' || case_id || ':' || prefix_len), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < 0.1
+""",
+    "classification_exemplars": f"""
+WITH {CLS_PRED},
+r AS (SELECT *, row_number() OVER (PARTITION BY y_true <> y_pred ORDER BY md5('42:' || case_id || ':' || prefix_len),
+                                   case_id, prefix_len) AS rn FROM pred),
+w AS (SELECT least(10, count(*) FILTER (y_true <> y_pred AND rn <= 20)) AS nw FROM r)
+SELECT case_id, prefix_len, y_true, y_pred FROM r, w
+WHERE (y_true <> y_pred AND rn <= nw) OR (y_true = y_pred AND rn <= 20 - nw)
+""",
+    "roc_auc": f"""
+WITH {REG_PRED}, med AS (SELECT quantile_cont(y_true, 0.5) AS m FROM pred),
+l AS (SELECT (y_true > m)::INT AS label, {rhu('y_pred', 3)} AS score FROM pred, med WHERE y_true IS NOT NULL),
+c AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM l GROUP BY score),
+b AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT {rhu('sum(pos * (2 * before + neg))::DOUBLE / (2.0::DOUBLE * sum(pos) * sum(neg))', 9)} AS roc_auc FROM b
+""",
+})

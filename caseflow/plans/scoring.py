@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.operators.models import predict_routed
 from caseflow.operators.prefixes import running_case_prefixes
 
 
@@ -30,7 +31,7 @@ def nearest_model(buckets: DataFrame, models: DataFrame, bucket_col: str = "buck
     return u.select(F.col("_id").cast("int").alias(bucket_col), pick.cast("int").alias(model_col)).distinct()
 
 
-def score_running_cases(events: DataFrame, bucketer, encoder, models: dict, task, max_prefix_len: int = 30,
+def score_running_cases(events: DataFrame, bucketer, encoder, models: dict, task, target_log1p: bool = False,
                         label_vocab: list[str] | None = None) -> DataFrame:
     """INF-2 / INF-3 / INF-4: all open cases at once -> one prediction per case.
 
@@ -38,24 +39,13 @@ def score_running_cases(events: DataFrame, bucketer, encoder, models: dict, task
     (nearest fallback) -> back-transform.  Buckets are bounded, so the loop over
     models is a loop over ≤ n_buckets lazy plans unioned together.
     """
-    pre = running_case_prefixes(events, max_prefix_len=max_prefix_len)
-    b = bucketer.assign(pre)
-    spark = events.sparkSession
-    model_ids = sorted(models)
-    mtab = spark.createDataFrame([(int(m),) for m in model_ids], "model_bucket int")
-    route = nearest_model(b.select("bucket_id").distinct(), mtab)
-    routed = b.join(F.broadcast(route), "bucket_id")
-    enc = encoder.transform(routed)
-    out = None
-    for m in model_ids:
-        part = models[m].transform(enc.where(F.col("model_bucket") == m))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    pre = running_case_prefixes(events)
+    enc = encoder.transform(bucketer.assign(pre)).withColumn("label", F.lit(None).cast("double"))
+    out = predict_routed(enc, models, task, target_log1p)
     res = out.select("case_id", F.col("prefix_len").alias("num_events"),
                      F.element_at("prefix_activities", -1).alias("last_activity"), "bucket_id", "model_bucket",
-                     F.col("prediction"))
-    if task.task_type == "regression":
-        res = res.withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
-    elif label_vocab is not None:
-        m = F.create_map(*[x for i, v in enumerate(label_vocab) for x in (F.lit(float(i + 1)), F.lit(v))])
-        res = res.withColumn("prediction", F.coalesce(F.try_element_at(m, F.col("prediction")), F.lit("__UNK__")))
+                     F.col("y_pred").alias("prediction"))
+    if task.task_type == "classification" and label_vocab is not None:
+        names = F.array(*[F.lit(v) for v in label_vocab])
+        res = res.withColumn("prediction", F.coalesce(F.get(names, F.col("prediction").cast("int") - 1), F.lit("__UNK__")))
     return res

@@ -41,17 +41,40 @@ def score_predictions(pred: DataFrame, task: TaskSpec) -> dict:
             "mae_sec": float(r["mae_sec"] or 0.0)}
 
 
+def mode_of(bucketing: str) -> str:
+    """One model over all rows without buckets, else one model for each eligible bucket."""
+    return "global" if bucketing == "no_bucket" else "per_bucket"
+
+
+def per_bucket_scores(pred: DataFrame, task: TaskSpec) -> DataFrame:
+    """(bucket_id, score, n) of val predictions by the task's primary metric."""
+    if task.task_type == "classification":
+        scores = met.per_bucket_classification(pred)
+    else:
+        scores = met.regression_errors(pred, group=["bucket_id"])
+    return scores.select("bucket_id", F.col(task.primary_metric).alias("score"), "n")
+
+
+def eligible_buckets(bucketed: DataFrame, task: TaskSpec, min_samples: int, skip_single_class: bool = True) -> list[int]:
+    """Buckets with enough train and val rows (and two train classes); at most one id for each bucket."""
+    el = bucket_eligibility(bucketed, min_samples, task.task_type == "classification" and skip_single_class,
+                            task.label_col)
+    return [r[0] for r in el.where("eligible").select("bucket_id").orderBy("bucket_id").collect()]
+
+
 def strategy_search(frame: DataFrame, task: TaskSpec, bucketers: list[str], encodings: list[str],
-                    mode: str = "global", kind: str = "linear", min_bucket_samples: int = 1000,
-                    skip_single_class: bool = True, seed: int = 42) -> DataFrame:
-    """EXP-1 / EXP-4 / EXP-5: one result row per (bucketer, encoder); ``mode`` = global | per_bucket.
+                    kind: str = "linear", min_bucket_samples: int = 1000, skip_single_class: bool = True,
+                    seed: int = 42, target_log1p: bool = False) -> DataFrame:
+    """EXP-1 / EXP-4 / EXP-5: one result row for each (bucketer, encoder) that was fitted.
 
-    In global mode one model is fitted per encoder and its score reported for
-    every bucketer (the bucket id is not a feature, so the fits would be equal).
+    Without buckets one model is fitted and scored on all val rows; any other
+    bucketer gets one model for each eligible bucket, and its score is the mean
+    of the buckets' scores weighted by their val rows.  A bucketer without an
+    eligible bucket is not fitted and has no row.
 
     ``frame`` holds prefixes with a ``split`` column.  Returns a DataFrame with a
     ``rank`` column (1 = best; ties keep grid order, i.e. a strictly better
-    score is needed to win, as in the reference).
+    score is needed to win).
     """
     spark = frame.sparkSession
     train = frame.where(F.col("split") == "train")
@@ -59,54 +82,69 @@ def strategy_search(frame: DataFrame, task: TaskSpec, bucketers: list[str], enco
     lv = label_vocabulary(train, task.label_col) if cls else None
     encoders = {e: fit_encoder(e, train, label_col=task.label_col, label_is_numeric=not cls, label_vocab=lv)
                 for e in encodings}
-    rows, order = [], 0
-    global_scores: dict = {}  # encoder -> (metrics, seconds): a global model never reads bucket_id
+    rows = []
     for bname in bucketers:
-        bk = make_bucketer(bname).fit(train) if mode == "per_bucket" else None
-        bucketed = bk.assign(frame) if bk is not None else frame
+        mode = mode_of(bname)
+        bucketed = make_bucketer(bname).fit(train).assign(frame)
+        ids = eligible_buckets(bucketed, task, min_bucket_samples, skip_single_class) if mode == "per_bucket" else []
+        if mode == "per_bucket" and not ids:
+            continue
         for ename in encodings:
-            enc = encoders[ename]
-            if mode != "per_bucket" and ename in global_scores:
-                m, secs = global_scores[ename]
-                rows.append((order, task.name, bname, ename, mode, task.primary_metric, m.get(task.primary_metric),
-                             secs, enc.feature_dim, 1, m))
-                order += 1
-                continue
             t0 = time.time()
-            cols = ["case_id", "prefix_len", "split", "features", "label"] + (["bucket_id"] if bk is not None else [])
-            data = enc.transform(bucketed).select(*cols)
-            data = data.persist()
+            data = encoders[ename].transform(bucketed.where(F.col("split").isin("train", "val"))) \
+                .select("case_id", "prefix_len", "split", "features", "label", "bucket_id").persist()
             try:
                 if mode == "per_bucket":
-                    el = bucket_eligibility(bucketed.withColumn("label", F.col(task.label_col)), min_bucket_samples,
-                                            cls and skip_single_class, task.label_col)
-                    ids = [r[0] for r in el.where("eligible").select("bucket_id").collect()]  # ≤ #buckets
-                    if not ids:
-                        rows.append((order, task.name, bname, ename, mode, task.primary_metric, None,
-                                     time.time() - t0, enc.feature_dim, 0, {}))
-                        order += 1
-                        continue
-                    _, pred = train_per_bucket(data, ids, task, kind, seed=seed)
-                    n_models = len(ids)
+                    _, pred = train_per_bucket(data, ids, task, kind, seed=seed, target_log1p=target_log1p)
                 else:
-                    _, pred = fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, kind, seed=seed)
-                    n_models = 1
+                    _, pred = fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, kind,
+                                          seed=seed, target_log1p=target_log1p)
                 m = score_predictions(pred, task)
+                if mode == "per_bucket":
+                    m[task.primary_metric] = float(met.weighted_score(per_bucket_scores(pred, task), "score")
+                                                   .first()[0] or 0.0)
             finally:
                 data.unpersist()
-            secs = time.time() - t0
-            if mode != "per_bucket":
-                global_scores[ename] = (m, secs)
-            rows.append((order, task.name, bname, ename, mode, task.primary_metric, m.get(task.primary_metric),
-                         secs, enc.feature_dim, n_models, m))
-            order += 1
+            rows.append((len(rows), task.name, bname, ename, mode, task.primary_metric, m[task.primary_metric],
+                         time.time() - t0, encoders[ename].feature_dim, max(1, len(ids)), m))
     schema = T.StructType([T.StructField("_order", T.IntegerType())] + STRATEGY_SCHEMA.fields)
     res = spark.createDataFrame(rows, schema)
-    score = F.col("primary_score")
     direction = F.desc_nulls_last("primary_score") if task.higher_is_better else F.asc_nulls_last("primary_score")
     # strategy table: ≤ 20 rows, so an unpartitioned window is fine here
-    return res.withColumn("rank", F.row_number().over(Window.orderBy(direction, "_order"))).drop("_order") \
-        .withColumn("primary_score", score)
+    return res.withColumn("rank", F.row_number().over(Window.orderBy(direction, "_order"))).drop("_order")
+
+
+def lookup_strategies(frame: DataFrame, task: TaskSpec, bucketers: list[str], min_bucket_samples: int = 1000) -> DataFrame:
+    """The search with a learner that needs no fitting by iteration: the smoothed train mean of the label
+    for each last activity, one table for each eligible bucket (regression tasks).
+
+    One row for each bucketer with an eligible bucket: bucketing, mode, n_models, primary_score, n_val.
+    """
+    from caseflow.operators.models import last_activity_col
+    train = frame.where(F.col("split") == "train")
+    y = F.col(task.label_col).try_cast("double")
+    out = None
+    for bname in bucketers:
+        rows = make_bucketer(bname).fit(train).assign(frame).where(y.isNotNull()) \
+            .select("bucket_id", "split", last_activity_col().alias("la"), y.alias("y_true"))
+        sizes = rows.groupBy("bucket_id").agg(F.count_if(F.col("split") == "train").alias("n_train"),
+                                              F.count_if(F.col("split") == "val").alias("n_val"))
+        if mode_of(bname) == "per_bucket":
+            sizes = sizes.where((F.col("n_train") >= min_bucket_samples) & (F.col("n_val") >= min_bucket_samples))
+        mean = rows.where("split = 'train'").groupBy("bucket_id").agg(F.avg("y_true").alias("gm"))
+        by_act = rows.where("split = 'train'").groupBy("bucket_id", "la").agg(F.sum("y_true").alias("s"),
+                                                                              F.count(F.lit(1)).alias("c"))
+        scored = (rows.where("split = 'val'").join(sizes.select("bucket_id"), "bucket_id").join(mean, "bucket_id")
+                  .join(by_act, ["bucket_id", "la"], "left")
+                  .withColumn("y_pred", F.coalesce((F.col("s") + F.col("gm")) / (F.col("c") + 1), F.col("gm"))))
+        score = scored.groupBy("bucket_id").agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("score"),
+                                                F.count(F.lit(1)).alias("n"))
+        row = score.agg(F.count(F.lit(1)).alias("n_models"), F.sum("n").alias("n_val"),
+                        (F.try_divide(F.sum(F.col("score") * F.col("n")), F.sum("n")) / 86400.0).alias("primary_score")) \
+            .where("n_models > 0").select(F.lit(bname).alias("bucketing"), F.lit(mode_of(bname)).alias("mode"),
+                                          "n_models", "n_val", "primary_score")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def best_per_task(results: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from caseflow.operators import filters, labels, metrics, prefixes, sampling, schema
 from caseflow.operators.bucketing import make_bucketer
 from caseflow.operators.encoding import fit_encoder, label_vocabulary
-from caseflow.operators.models import TaskSpec, default_task_specs, fit_predict, train_per_bucket
+from caseflow.operators.models import TaskSpec, default_task_specs, predict_routed, train_per_bucket
 from caseflow.operators.splits import attach_split, split_cases
-from caseflow.plans.strategy import strategy_search
+from caseflow.plans.strategy import eligible_buckets, strategy_search
 from caseflow.session import materialize
 
 
@@ -40,7 +40,7 @@ class RunConfig:
     temporal_split: bool = False
     bucketers: list = field(default_factory=lambda: ["no_bucket", "prefix_len_bins"])
     encodings: list = field(default_factory=lambda: ["last_state", "aggregation"])
-    mode: str = "global"
+    target_log1p: bool = True
     kind: str = "linear"
     min_bucket_samples: int = 1000
     bundle_path: str | None = None
@@ -76,27 +76,25 @@ def train_task(log: DataFrame, cfg: RunConfig | None = None) -> dict:
         frame = sampling.filter_rare_classes(frame, task.label_col, cfg.min_class_samples)
     frame = materialize(frame)
 
-    results = materialize(strategy_search(frame, task, cfg.bucketers, cfg.encodings, cfg.mode, cfg.kind,
-                                          cfg.min_bucket_samples))
+    log1p = cfg.target_log1p and task.task_type == "regression"
+    results = materialize(strategy_search(frame, task, cfg.bucketers, cfg.encodings, cfg.kind, cfg.min_bucket_samples,
+                                          target_log1p=log1p))
     best = results.where("rank = 1").first()  # one row: the winning strategy's names
+    chosen = best.asDict() if best else {"bucketing": "no_bucket", "encoding": cfg.encodings[0], "mode": "global"}
 
     train = frame.where("split = 'train'")
     cls = task.task_type == "classification"
     lv = label_vocabulary(train, task.label_col) if cls else None
-    bucketer = make_bucketer(best["bucketing"]).fit(train)
-    encoder = fit_encoder(best["encoding"], train, label_col=task.label_col, label_is_numeric=not cls, label_vocab=lv)
-    data = materialize(encoder.transform(bucketer.assign(frame)).select(
+    bucketer = make_bucketer(chosen["bucketing"]).fit(train)
+    encoder = fit_encoder(chosen["encoding"], train, label_col=task.label_col, label_is_numeric=not cls, label_vocab=lv)
+    bucketed = bucketer.assign(frame)
+    ids = eligible_buckets(bucketed, task, cfg.min_bucket_samples) if chosen["mode"] == "per_bucket" else []
+    data = materialize(encoder.transform(bucketed).select(
         "case_id", "prefix_len", "split", "bucket_id", "features", "label"), "persist")
+    # the final models see train and val rows; every test row is scored, by the nearest model if its bucket has none
     fit_rows = data.where("split IN ('train', 'val')").withColumn("split", F.lit("train"))
-    scored = data.where("split = 'test'").withColumn("split", F.lit("val"))
-    if best["mode"] == "per_bucket":
-        el = sampling.bucket_eligibility(fit_rows.withColumn(task.label_col, F.col("label")), cfg.min_bucket_samples,
-                                         cls, task.label_col, split_col="split")
-        ids = [r[0] for r in el.where("eligible").select("bucket_id").collect()]  # ≤ #buckets
-        models, test_pred = train_per_bucket(fit_rows.unionByName(scored), ids, task, cfg.kind)
-    else:
-        model, test_pred = fit_predict(fit_rows, scored, task, cfg.kind)
-        models = {0: model}
+    models, _ = train_per_bucket(fit_rows, ids, task, cfg.kind, target_log1p=log1p)
+    test_pred = predict_routed(data.where("split = 'test'"), models, task, log1p)
     if cls:
         test_metrics = metrics.f1_scores(test_pred.select(F.col("y_true").cast("string").alias("y_true"),
                                                           F.col("y_pred").cast("string").alias("y_pred")))
@@ -104,11 +102,11 @@ def train_task(log: DataFrame, cfg: RunConfig | None = None) -> dict:
         test_metrics = metrics.regression_errors(test_pred)
     if cfg.bundle_path:
         from caseflow.sources.sinks import save_bundle
-        save_bundle(cfg.bundle_path, models, {"task": task.name, "bucketing": best["bucketing"],
-                                              "encoding": best["encoding"], "model_buckets": sorted(models),
-                                              "mode": best["mode"], "label_vocab": lv})
+        save_bundle(cfg.bundle_path, models, {"task": task.name, "bucketing": chosen["bucketing"],
+                                              "encoding": chosen["encoding"], "model_buckets": sorted(models),
+                                              "mode": chosen["mode"], "label_vocab": lv, "target_log1p": log1p})
     return {"clean_log": clean, "case_table": cases, "prefixes": frame, "strategies": results,
-            "best": best.asDict(), "bucketer": bucketer, "encoder": encoder, "models": models,
+            "best": chosen, "bucketer": bucketer, "encoder": encoder, "models": models,
             "test_predictions": test_pred, "test_metrics": test_metrics}
 
 

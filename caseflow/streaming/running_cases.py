@@ -1,15 +1,15 @@
 """Live scoring of running cases with Structured Streaming (STR-1).
 
 ``groupBy(case_id).applyInPandasWithState`` keeps a small per-case state:
-event count, start, the last two event times, and the last ``max_prefix_len``
-(timestamp, index, activity) triples.  Each micro-batch emits the case's current
+event count, start, the last two event times, and its (timestamp, index, activity)
+triples (only the last ``max_prefix_len`` if that is asked for).  Each micro-batch emits the case's current
 running prefix (the same shape ``running_case_prefixes`` builds in batch), which
 ``foreachBatch`` can send through a fitted bucketer / encoder / model.
 
 Watermark on event time: events later than the watermark are dropped by Spark;
 an out-of-order event inside it is inserted in order into the state.  Cases
 idle past ``idle_timeout`` (event time) are closed and their state removed.
-State per case is bounded by ``max_prefix_len``, so a hot case cannot grow it.
+A case's state is as long as the case.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT_SCHEMA = ("case_id string, prefix_len long, prefix_activities array<string>, prefix_start_time timestamp, "
@@ -26,7 +27,7 @@ STATE_SCHEMA = ("n long, start_us long, last_us long, prev_us long, tail_ts arra
                 "tail_act array<string>")
 
 
-def _update_fn(max_prefix_len: int, idle_timeout_ms: int):
+def _update_fn(max_prefix_len: int | None, idle_timeout_ms: int):
     def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (case_id,) = key
         if state.hasTimedOut:
@@ -53,8 +54,8 @@ def _update_fn(max_prefix_len: int, idle_timeout_ms: int):
                 tail.append((t, i, "UNKNOWN" if a is None else a))
                 times.append(t)
         tail.sort()
-        tail = tail[-max_prefix_len:]
-        times = sorted(set(times))[-2:] if times else []
+        tail = tail if max_prefix_len is None else tail[-max_prefix_len:]
+        times = sorted(times)[-2:]  # equal times are two events
         last = times[-1] if times else last
         prev = times[-2] if len(times) > 1 else prev
         state.update((n, start, last, prev, [x[0] for x in tail], [x[1] for x in tail], [x[2] for x in tail]))
@@ -68,7 +69,7 @@ def _update_fn(max_prefix_len: int, idle_timeout_ms: int):
     return update
 
 
-def running_prefix_stream(events: DataFrame, max_prefix_len: int = 30, watermark: str = "1 day",
+def running_prefix_stream(events: DataFrame, max_prefix_len: int | None = None, watermark: str = "1 day",
                           idle_timeout_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
     """Streaming frame of running-case prefixes from a canonical event stream."""
     ev = events.select("case_id", "activity", "timestamp", "_event_index").withWatermark("timestamp", watermark)
@@ -79,7 +80,6 @@ def running_prefix_stream(events: DataFrame, max_prefix_len: int = 30, watermark
 
 def prefix_features(prefixes: DataFrame) -> DataFrame:
     """Time and calendar features of streamed prefixes (same columns as the batch builder)."""
-    from pyspark.sql import functions as F
     from caseflow.functions.scalar import calendar_features, log1p_nonneg, seconds_between
     el = F.greatest(F.coalesce(seconds_between("prefix_start_time", "prefix_end_time"), F.lit(0.0)), F.lit(0.0))
     si = F.greatest(F.coalesce(seconds_between("prev_time", "prefix_end_time"), F.lit(0.0)), F.lit(0.0))
@@ -91,7 +91,9 @@ def prefix_features(prefixes: DataFrame) -> DataFrame:
 def score_stream(prefix_stream: DataFrame, bucketer, encoder, model, sink_table: str, checkpoint: str):
     """Run ``bucketer -> encoder -> model`` on each micro-batch and append to a table."""
     def _batch(df, epoch_id):
+        df = df.where("not closed")
         scored = model.transform(encoder.transform(bucketer.assign(prefix_features(df))))
-        scored.select("case_id", "prefix_len", "prediction").write.mode("append").saveAsTable(sink_table)
+        scored = scored.select("case_id", "prefix_len", "prediction", F.lit(epoch_id).alias("epoch_id"))
+        scored.write.mode("append").saveAsTable(sink_table)
     return (prefix_stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
             .foreachBatch(_batch).start())

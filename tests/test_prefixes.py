@@ -55,6 +55,8 @@ def test_running_case_uses_latest_event(make_log):
     rows = [("c", a, i * 10, i) for i, a in enumerate("ABCDE")]
     r = prefixes.running_case_prefixes(make_log(rows), max_prefix_len=3).first()
     assert r["prefix_len"] == 5 and r["prefix_activities"] == ["C", "D", "E"]
+    long = make_log([("c", f"a{i}", i * 10, i) for i in range(40)])
+    assert prefixes.running_case_prefixes(long).first()["prefix_activities"] == [f"a{i}" for i in range(40)]
     assert r["feat_elapsed_time_sec"] == 40.0 and r["feat_time_since_last_event_sec"] == 10.0
 
 
