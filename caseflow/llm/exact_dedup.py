@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from caseflow.llm.common import shuffle_partitions
+from caseflow.functions.running import shuffle_partitions
 from caseflow.session import materialize
 
 #: Leading bytes of the text that the range splitters look at; longer ones would be sampled to the driver in full.

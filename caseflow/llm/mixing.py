@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions.scalar import attach_scalars
-from caseflow.llm.common import n_words, running_totals
+from caseflow.functions.running import running_totals
+from caseflow.llm.common import n_words
 from caseflow.session import materialize
 
 #: Weights that the sources get in their order, over and over.

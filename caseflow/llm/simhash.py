@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import shuffle_partitions
+from caseflow.functions.running import shuffle_partitions
 from caseflow.llm.components import components
 from caseflow.llm.ragged import flat_texts
 from caseflow.session import materialize

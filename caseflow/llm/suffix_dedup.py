@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import shuffle_partitions
+from caseflow.functions.running import shuffle_partitions
 from caseflow.llm.ragged import BYTE_VALUES, MULTIPLIER, RollingHash, flat_texts, mix64, row_chunks
 from caseflow.session import materialize
 
