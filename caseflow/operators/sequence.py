@@ -35,10 +35,16 @@ HOT_CASE_CONF = "caseflow.hotCaseRows"
 
 
 def _key_num(c: str, df: DataFrame) -> Column:
+    """A number that never falls while the key rises in sort order; 0 for keys that are not numbers or times."""
     t = df.schema[c].dataType
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(F.col(c).cast("timestamp"))
-    return F.col(c).cast("bigint")
+    if isinstance(t, T.NumericType):  # differences must fit in a long, too; NaN sorts above all numbers
+        exact = isinstance(t, T.IntegralType)
+        most = 4 * 10 ** 18 if exact else 4e18
+        bounded = F.greatest(F.least(F.col(c).cast("bigint" if exact else "double"), F.lit(most)), F.lit(-most))
+        return F.when(F.col(c).isNotNull(), bounded.cast("bigint"))
+    return F.when(F.col(c).isNotNull(), F.lit(0)).cast("bigint")
 
 
 def hot_case_chunks(df: DataFrame, order: list[str], chunk_rows: int, oversample: int = 8):
@@ -75,7 +81,9 @@ def hot_case_chunks(df: DataFrame, order: list[str], chunk_rows: int, oversample
 
 
 def _fine_bucket(joined: DataFrame, k: Column) -> DataFrame:
-    return joined.withColumn("_fine", F.least(F.col("_hfine") - 1, F.floor((k - F.col("_hlo")) / F.col("_hwidth"))).cast("long"))
+    """Bucket of the key; null keys sort first and have bucket -1."""
+    place = F.least(F.col("_hfine") - 1, F.floor((k - F.col("_hlo")) / F.col("_hwidth")))
+    return joined.withColumn("_fine", F.when(k.isNull(), F.lit(-1)).otherwise(place).cast("long"))
 
 
 def _with_chunk(df: DataFrame, order: list[str], hot) -> DataFrame:
@@ -139,6 +147,7 @@ def ordered_scan(df: DataFrame, order: list[str] | None = None, lags: dict[str,
     for o in running_max:
         out[o] = F.greatest(F.col(f"_m_{o}"), F.col(f"_pm_{o}"))
     for o in running_sum:
-        out[o] = F.col(f"_s_{o}") + F.coalesce(F.col(f"_ps_{o}"), F.lit(0))
+        # null as long as every value so far is null, as in a plain window
+        out[o] = F.coalesce(F.col(f"_s_{o}") + F.col(f"_ps_{o}"), F.col(f"_s_{o}"), F.col(f"_ps_{o}"))
     res = j.withColumns(out)
     return res.select(*df.columns, *out.keys())

@@ -910,11 +910,15 @@ def q_xes_source(spark, sf_dir):
     path = _scratch(spark, "xes")
     log = testlogs.user_log(spark, sf_dir)
     attr = lambda k, v: F.struct(F.lit(k).alias("_key"), v.alias("_value"))
+    # cost is an int in even events and a float in odd ones
+    odd, none = F.col("_event_index") % 2 != 0, F.array().cast("array<struct<_key:string,_value:string>>")
+    cost = lambda more: F.array(attr("cost", (F.col("_event_index") + F.lit(more)).cast("string")))
     ev = log.select("case_id", F.struct(
         F.array(attr("concept:name", F.col("activity"))).alias("string"),
         F.array(attr("time:timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))).alias("date"),
-        F.array(attr("value", F.col("value").cast("string"))).alias("float"),
-        F.array(attr("event_id", F.col("_event_index").cast("string"))).alias("int"),
+        F.concat(F.array(attr("value", F.col("value").cast("string"))), F.when(odd, cost(0.5)).otherwise(none)).alias("float"),
+        F.concat(F.array(attr("event_id", F.col("_event_index").cast("string"))),
+                 F.when(odd, none).otherwise(cost(0))).alias("int"),
         F.struct(F.col("timestamp"), F.col("_event_index")).alias("_o")).alias("e"))
     traces = ev.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(F.col("e._o").alias("o"), F.col("e").alias("e"))))
                                        .alias("evs"))
@@ -923,7 +927,7 @@ def q_xes_source(spark, sf_dir):
         .write.format("xml").option("rootTag", "log").option("rowTag", "trace").save(path)
     raw = read_xes_log(spark, path)
     n = schema.normalize_schema(raw)
-    return n.select("case_id", "activity", ntz("timestamp").alias("timestamp"), "event_id",
+    return n.select("case_id", "activity", ntz("timestamp").alias("timestamp"), "event_id", "cost",
                     round_half_up("value", 4).alias("value"))
 
 

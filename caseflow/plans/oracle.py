@@ -951,7 +951,8 @@ FROM orders
 """,
     "xes_source": f"""
 WITH ul AS ({USER_LOG_SQL})
-SELECT case_id, activity, "timestamp", _event_index AS event_id, {rhu('value', 4)} AS value FROM ul
+SELECT case_id, activity, "timestamp", _event_index AS event_id, {rhu('value', 4)} AS value,
+       _event_index::DOUBLE + CASE WHEN _event_index % 2 = 0 THEN 0.0 ELSE 0.5 END AS cost FROM ul
 """,
 })
 

@@ -76,10 +76,12 @@ def read_xes_log(spark: SparkSession, path: str) -> DataFrame:
     Attribute tags are read as arrays of ``(_key, _value)`` so a tag that occurs
     once and one that repeats get the same type.  Nested XES lists are dropped.
     The set of attribute keys is schema metadata: a small distinct scan, not data.
+    A key that occurs with several type tags becomes one column (double if all
+    are numbers, else text); of a key that an element repeats, the last value counts.
+    ``_event_index`` rises in file order.
     """
     raw = (spark.read.format("xml").option("rowTag", "trace")
-           .schema(XES_TRACE_SCHEMA).load(path)
-           .withColumn("_trace_index", F.monotonically_increasing_id()))
+           .schema(XES_TRACE_SCHEMA).load(path))
 
     def tagged(tag: str):
         # one-argument lambda: Spark passes (element, index) to two-argument ones
@@ -98,21 +100,27 @@ def read_xes_log(spark: SparkSession, path: str) -> DataFrame:
     event_keys = [(r["tag"], r["key"]) for r in events.select(F.explode(F.flatten(F.array(*keys("_ev"))))
                                                              .alias("k")).select("k.*").distinct().collect()]
 
-    def attr_map(level: str, tag: str):
+    def value(level: str, tag: str, key: str):
         src = F.col(tag) if level == "trace" else F.col("_ev")[tag]
-        return F.map_from_entries(F.coalesce(src, F.array().cast(_ATTR)))
-
-    cols = []
-    for tag, key in sorted(trace_keys, key=lambda x: (x[1], x[0])):
-        cols.append(_typed(F.try_element_at(attr_map("trace", tag), F.lit(key)), tag).alias(f"case:{key}"))
-    seen = set()
-    for tag, key in sorted(event_keys, key=lambda x: (x[1], x[0])):
-        if key in seen:
-            continue
-        seen.add(key)
-        cols.append(_typed(F.try_element_at(attr_map("event", tag), F.lit(key)), tag).alias(key))
-    out = events.select(*cols, (F.col("_trace_index") * F.lit(1 << 20) + F.col("_pos")).alias("_event_index"))
-    return out
+        named = F.filter(F.coalesce(src, F.array().cast(_ATTR)), lambda a: a["_key"] == F.lit(key))
+        return F.try_element_at(named, F.lit(-1))["_value"]
+
+    def column(level: str, key: str, tags: list[str]):
+        if len(tags) == 1:
+            return _typed(value(level, tags[0], key), tags[0])
+        values = [value(level, t, key) for t in tags]
+        if set(tags) <= {"int", "float"}:
+            return F.coalesce(*[v.try_cast("double") for v in values])
+        return F.coalesce(*values)
+
+    def columns(level: str, found: list, prefix: str) -> list:
+        tags: dict[str, list[str]] = {}
+        for tag, key in sorted(found):
+            tags.setdefault(key, []).append(tag)
+        return [column(level, key, tags[key]).alias(prefix + key) for key in sorted(tags)]
+
+    return (events.select(*columns("trace", trace_keys, "case:"), *columns("event", event_keys, ""))
+            .withColumn("_event_index", F.monotonically_increasing_id()))
 
 
 def read_log(spark: SparkSession, path: str, **kw) -> DataFrame:

@@ -27,6 +27,21 @@ def test_ordered_scan_chunked_equals_plain(spark):
                 ordered_scan(log, ["_event_index"], chunk_rows=2, **kw2))
 
 
+def test_ordered_scan_chunked_equals_plain_with_null_and_odd_keys(spark):
+    i = F.col("_event_index")
+    log = (testlogs.user_log(spark, SF).withColumn("one", F.when(i % 3 == 0, 1))
+           .withColumn("timestamp", F.when(i % 7 != 0, F.col("timestamp")))
+           .withColumn("real", F.when(i % 5 == 0, float("nan")).when(i % 5 == 1, float("-inf"))
+                       .when(i % 5 != 2, F.col("value")))
+           .withColumn("name", F.when(i % 4 != 0, F.col("activity"))))
+    for first in ("timestamp", "real", "name"):
+        kw = dict(order=[first, "_event_index"], lags={"p": "activity", "pt": "timestamp"}, running_max={"m": "value"},
+                  running_sum={"s": "one"})
+        assert same(ordered_scan(log, chunk_rows=None, **kw), ordered_scan(log, chunk_rows=3, **kw)), first
+    plain, chunked = (filters.filter_consecutive_duplicates(log.drop("real"), n) for n in (None, 4))
+    assert same(plain, chunked)
+
+
 def test_operators_chunked_equal_plain(spark):
     log = testlogs.user_log(spark, SF)
     assert same(filters.filter_consecutive_duplicates(log, None), filters.filter_consecutive_duplicates(log, 4))
