@@ -164,18 +164,20 @@ def activity_vectors(vocab: DataFrame, embeddings: DataFrame) -> DataFrame:
 def embedding_mean_last_long(df: DataFrame, vectors: DataFrame, prefix_col: str = "prefix_activities") -> DataFrame:
     """ENC-10 long: per prefix and dimension, mean of the activity vectors and the last
     activity's vector; activities without a vector use the mean vector of the lookup."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     dims = vectors.select(F.posexplode("embedding").alias("dim", "x"), "activity")
     mean_vec = dims.groupBy("dim").agg(F.avg("x").alias("mx")) \
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mx"))), lambda e: e["mx"]).alias("_mean"))
-    ex = df.select(*KEY, F.posexplode(prefix_col).alias("pos", "activity"),
-                   F.size(prefix_col).alias("_len"))
+    ex = df.select(*KEY, F.posexplode(prefix_col).alias("pos", "activity"))
     ex = attach_scalars(ex.join(F.broadcast(vectors), "activity", "left"), mean_vec)
     # activities without a vector use the mean vector of the lookup
     vec = F.coalesce(F.transform("embedding", lambda v: v.cast("double")), F.col("_mean"))
-    per_dim = ex.select(*KEY, "pos", "_len", F.posexplode(vec).alias("dim", "x"))
-    return per_dim.groupBy(*KEY, "dim").agg(
-        F.avg("x").alias("mean_value"),
-        F.max(F.when(F.col("pos") == F.col("_len") - 1, F.col("x"))).alias("last_value"))
+    # vectors are summed up per prefix before they are taken apart, so rows are prefixes x dimensions
+    state = ex.groupBy(*KEY).agg(vector_to_array(Summarizer.mean(array_to_vector(vec))).alias("_sum"),
+                                 F.max_by(vec, "pos").alias("_last"))
+    return (state.select(*KEY, "_last", F.posexplode("_sum").alias("dim", "mean_value"))
+            .select(*KEY, "dim", "mean_value", F.get("_last", F.col("dim")).alias("last_value")))
 
 
 # ---------------------------------------------------------------- ML wrap (ENC-5/6/7/10/11/13)

@@ -196,29 +196,37 @@ def imputation_values(df: DataFrame, max_missing_frac: float = 0.5, skip_cols=No
 
     numeric -> exact median, other -> mode (ties: smallest value).  Columns with
     no nulls, only nulls, or a missing fraction above ``max_missing_frac`` are
-    not imputed.  One aggregate pass.
+    not imputed.  Values are counted as (column, value) rows, so no column's
+    values gather in one place: medians come from the distributed exact quantile, modes
+    from counts that are combined before the shuffle.
     """
+    from caseflow.functions.quantiles import exact_quantiles_by
     skip = set(DEFAULT_IMPUTE_SKIP if skip_cols is None else skip_cols)
     cols = [f for f in df.schema.fields if f.name not in skip and not f.name.startswith("_")
             and isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType))]
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for f in cols:
-        c = F.col(f"`{f.name}`")
-        aggs.append(F.count_if(c.isNull()).alias(f"{f.name}__nulls"))
-        if isinstance(f.dataType, T.NumericType) and not isinstance(f.dataType, T.BooleanType):
-            aggs.append(F.median(c.cast("double")).cast("string").alias(f"{f.name}__fill"))
-        else:
-            aggs.append(F.mode(c, True).cast("string").alias(f"{f.name}__fill"))
-    row = df.agg(*aggs)
-    return row.select(F.explode(F.array(*[
-        F.struct(F.lit(f.name).alias("column"),
-                 F.lit("numeric" if isinstance(f.dataType, T.NumericType) else "categorical").alias("kind"),
-                 F.col(f"`{f.name}__nulls`").alias("n_missing"),
-                 (F.col(f"`{f.name}__nulls`") / F.col("__n")).alias("missing_frac"),
-                 F.col(f"`{f.name}__fill`").alias("fill_value"),
-                 ((F.col(f"`{f.name}__nulls`") > 0) & (F.col(f"`{f.name}__nulls`") < F.col("__n"))
-                  & (F.col(f"`{f.name}__nulls`") / F.col("__n") <= F.lit(max_missing_frac))).alias("imputed"))
-        for f in cols] or [F.lit(None)])).alias("r")).select("r.*")
+    kind = {f.name: "numeric" if isinstance(f.dataType, T.NumericType) else "categorical" for f in cols}
+
+    def values(of: str, as_type: str) -> DataFrame:
+        pairs = [F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast(as_type).alias("value"))
+                 for n, k in kind.items() if k == of]
+        pairs = F.array(*pairs) if pairs else F.array().cast(f"array<struct<column:string,value:{as_type}>>")
+        return df.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null")
+
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"`{n}`").isNull()).alias(f"m{i}")
+                                                    for i, n in enumerate(kind)])
+    missing = counts.select("n", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("column"), F.lit(k).alias("kind"), F.col(f"m{i}").alias("n_missing"))
+        for i, (n, k) in enumerate(kind.items())]
+        or [F.lit(None).cast("struct<column:string,kind:string,n_missing:bigint>")])).alias("r")).select("n", "r.*")
+    medians = exact_quantiles_by(values("numeric", "double"), ["column"], "value", [0.5]) \
+        .select("column", F.col("q0").cast("string").alias("fill_value"))
+    modes = (values("categorical", "string").groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
+             .groupBy("column").agg(F.min_by("value", F.struct(-F.col("c"), F.col("value"))).alias("fill_value")))
+    frac = F.col("n_missing") / F.col("n")
+    return (missing.where("column is not null").join(medians.unionByName(modes), "column", "left")
+            .select("column", "kind", "n_missing", frac.alias("missing_frac"), "fill_value",
+                    ((F.col("n_missing") > 0) & (F.col("n_missing") < F.col("n")) & (frac <= F.lit(max_missing_frac)))
+                    .alias("imputed")))
 
 
 def impute_missing_attributes(df: DataFrame, max_missing_frac: float = 0.5, skip_cols=None) -> DataFrame:

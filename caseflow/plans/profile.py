@@ -180,10 +180,10 @@ def event_attribute_candidates(log: DataFrame, lo: int = 1, hi: int = 50) -> Dat
     cols = [c for c in _attr_cols(log) if not c.startswith("case:")]
     if not cols:
         return log.sparkSession.createDataFrame([], "column string, n_distinct bigint")
-    row = log.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("n_distinct"))
-                                          for i, c in enumerate(cols)])).alias("r")).select("r.*") \
-        .where(F.col("n_distinct").between(lo, hi))
+    # distinct (column, value) pairs, combined before the shuffle
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
+    seen = log.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null").distinct()
+    return seen.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct")).where(F.col("n_distinct").between(lo, hi))
 
 
 def activity_counts_pct(log: DataFrame, k: int = 30) -> DataFrame:
