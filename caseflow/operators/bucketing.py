@@ -187,3 +187,30 @@ def bucketize(prefixes: DataFrame, bucketer, split_col: str = "split", min_bucke
 def bucket_sizes(df: DataFrame, bucket_col: str = "bucket_id") -> DataFrame:
     """AGG-21 base: rows per bucket."""
     return df.groupBy(bucket_col).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def bucketer_state(bucketer) -> dict:
+    """The plain values of a fitted bucketer (tables and models are saved beside them)."""
+    return {k: v for k, v in vars(bucketer).items() if not k.endswith(("vocab_", "model_"))}
+
+
+def save_bucketer(bucketer, path: str) -> dict:
+    """Write what a fitted bucketer holds as a table or model; returns its plain state."""
+    if isinstance(bucketer, LastActivity):
+        bucketer.vocab_.write.mode("overwrite").parquet(f"{path}/vocab")
+    if isinstance(bucketer, ClusterBucketer):
+        bucketer.model_.write().overwrite().save(f"{path}/model")
+    return bucketer_state(bucketer)
+
+
+def load_bucketer(spark, state: dict, path: str):
+    """The bucketer that :func:`save_bucketer` saved."""
+    from pyspark.ml import PipelineModel
+    bucketer = BUCKETERS[state["name"]]()
+    for k, v in state.items():
+        setattr(bucketer, k, v)
+    if isinstance(bucketer, LastActivity):
+        bucketer.vocab_ = spark.read.parquet(f"{path}/vocab")
+    if isinstance(bucketer, ClusterBucketer):
+        bucketer.model_ = PipelineModel.load(f"{path}/model")
+    return bucketer

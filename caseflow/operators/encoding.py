@@ -191,6 +191,8 @@ class FittedEncoder:
     lookups: list = field(default_factory=list)  # broadcast-lookup steps (DataFrame -> DataFrame)
     label_expr: Column | None = None
     label_col: str = ""
+    state: dict = field(default_factory=dict)  # all that was learned, as JSON values
+    tables: dict = field(default_factory=dict)  # and as tables: column -> target encoding (unbounded cardinality)
 
     def transform(self, df: DataFrame, features_col: str = "features") -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
@@ -256,91 +258,90 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
     """
     if name == "index_latest_payload" and not label_is_numeric:
         categorical_encoding, activity_encoding = "onehot", "onehot_per_position"
-    if name == "index_latest_payload" and max_prefix_len is None:  # positions up to the longest train prefix
-        max_prefix_len = train.agg(F.max("prefix_len")).first()[0] or 1
+    if name != "index_latest_payload":
+        categorical_encoding = "onehot"
+        activity_encoding = {"aggregation": "counts", "embedding": "vectors"}.get(name, "none")
     num_cols, cat_cols = infer_feature_columns(train, ignore, max_categorical_cols)
-    exprs: dict = {"f_prefix_len": F.col("prefix_len").cast("double")}
-    names = ["f_prefix_len"]
-    for i, c in enumerate(num_cols):
-        n = f"f_num__{i}"
-        exprs[n] = F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(0.0))
-        names.append(n)
-    lookups = []
-    if name in ("last_state", "aggregation", "embedding") or \
-            (name == "index_latest_payload" and categorical_encoding == "onehot"):
-        vd = _vocab_dict(category_vocab(train, cat_cols, min_freq, max_categories))
-        e, n2 = _onehot_exprs(cat_cols, vd)
-        exprs.update(e)
-        names += n2
-    elif name == "index_latest_payload" and categorical_encoding == "label":
-        vd = _vocab_dict(category_vocab(train, cat_cols, min_freq, max_categories))
-        for i, c in enumerate(cat_cols):
-            vals = vd.get(c, [])
-            m = F.create_map(*[x for j, v in enumerate(vals) for x in (F.lit(v), F.lit(float(j + 1)))]) if vals else None
-            n = f"f_lab__{i}"
-            exprs[n] = F.coalesce(F.try_element_at(m, _as_text(c)) if m is not None else F.lit(None), F.lit(0.0))
-            names.append(n)
-    elif name == "index_latest_payload":
-        # categorical attributes: target encoding (regression)
-        for i, c in enumerate(cat_cols):
-            te = target_encoding(train, c, label_col)
-            out = f"f_te__{i}"
-
-            def _lk(df, te=te, c=c, out=out):
-                return apply_target_encoding(df, te, c, out)
-            lookups.append(_lk)
-            names.append(out)
-    if name == "aggregation" or (name == "index_latest_payload" and activity_encoding == "counts"):
-        acts = [r["activity"] for r in activity_vocab(train).orderBy("slot").collect()]  # activity alphabet
-        exprs["f_act__unk"] = F.size(F.filter("prefix_activities", lambda a: ~a.isin(*acts) if acts else F.lit(True))).cast("double")
-        names.append("f_act__unk")
-        for j, a in enumerate(acts):
-            n = f"f_act__{j + 1}"
-            exprs[n] = F.size(F.filter("prefix_activities", _equals(a))).cast("double")
-            names.append(n)
-    elif name == "index_latest_payload":
-        if activity_encoding == "target":
-            te = activity_target_encoding(train, label_col)
-            rows = te.select("category", "encoding", "global_mean").collect()  # activity alphabet
-            gm = rows[0]["global_mean"] if rows else 0.0
-            m = F.create_map(*[x for r in rows for x in (F.lit(r["category"]), F.lit(float(r["encoding"])))]) if rows else None
-            for p in range(1, max_prefix_len + 1):
-                a = F.get(F.col("prefix_activities"), p - 1)
-                n = f"f_pos__{p}"
-                exprs[n] = F.coalesce(F.try_element_at(m, a) if m is not None else F.lit(None), F.lit(float(gm or 0.0)))
-                names.append(n)
-        else:
-            acts = [r["activity"] for r in activity_vocab(train).orderBy("slot").collect()]
-            for p in range(1, max_prefix_len + 1):
-                a = F.get(F.col("prefix_activities"), p - 1)
-                for j, act in enumerate([UNK] + acts):
-                    n = f"f_pos__{p}__{j}"
-                    exprs[n] = (F.when(~a.isin(*acts) | a.isNull(), 1.0).otherwise(0.0) if j == 0 else
-                                F.when(a == F.lit(act), 1.0).otherwise(0.0))
-                    names.append(n)
-    elif name == "embedding":
+    state = {"name": name, "num_cols": num_cols, "cat_cols": cat_cols, "categorical": categorical_encoding,
+             "activity": activity_encoding, "label_col": label_col, "label_is_numeric": label_is_numeric,
+             "label_vocab": label_vocab}
+    tables = {}
+    if categorical_encoding == "target":
+        tables = {c: target_encoding(train, c, label_col) for c in cat_cols}
+    else:
+        state["vocab"] = _vocab_dict(category_vocab(train, cat_cols, min_freq, max_categories))
+    if activity_encoding in ("target", "onehot_per_position"):  # positions up to the longest train prefix
+        state["max_len"] = max_prefix_len or train.agg(F.max("prefix_len")).first()[0] or 1
+    if activity_encoding in ("counts", "onehot_per_position"):
+        state["activities"] = [r["activity"] for r in activity_vocab(train).orderBy("slot").collect()]  # activity alphabet
+    elif activity_encoding == "target":
+        rows = activity_target_encoding(train, label_col).select("category", "encoding", "global_mean").collect()
+        state["activity_target"] = {r["category"]: float(r["encoding"]) for r in rows}  # activity alphabet
+        state["activity_mean"] = float((rows[0]["global_mean"] if rows else 0.0) or 0.0)
+    elif activity_encoding == "vectors":
         if vectors is None:
             from pyspark.ml.feature import Word2Vec
             w2v = Word2Vec(vectorSize=16, minCount=1, seed=42, inputCol="prefix_activities", outputCol="_w2v")
             vectors = _w2v_vectors(w2v.fit(train))
-        vectors = compress_vectors(vectors, compress_dim)
-        rows = vectors.collect()  # activity alphabet × dim
-        dim = len(rows[0]["embedding"]) if rows else 0
-        mean = [sum(float(r["embedding"][d]) for r in rows) / len(rows) for d in range(dim)] if rows else []
-        for d in range(dim):
-            m = F.create_map(*[x for r in rows for x in (F.lit(r["activity"]), F.lit(float(r["embedding"][d])))])
-            vals = F.transform("prefix_activities", _lookup_or(m, mean[d]))
-            exprs[f"f_emb_mean__{d}"] = F.try_divide(F.aggregate(vals, F.lit(0.0), lambda s, x: s + x),
-                                                     F.size("prefix_activities").cast("double"))
-            exprs[f"f_emb_last__{d}"] = F.coalesce(F.try_element_at(m, F.element_at("prefix_activities", -1)), F.lit(mean[d]))
-            names += [f"f_emb_mean__{d}", f"f_emb_last__{d}"]
+        rows = compress_vectors(vectors, compress_dim).collect()  # activity alphabet x dim
+        state["vectors"] = {r["activity"]: [float(x) for x in r["embedding"]] for r in rows}
+    return build_encoder(state, tables)
+
+
+def build_encoder(state: dict, tables: dict[str, DataFrame] | None = None) -> FittedEncoder:
+    """The encoder of what :func:`fit_encoder` learned; the same from memory as from a saved bundle."""
+    tables, cat_cols = tables or {}, state["cat_cols"]
+    exprs: dict = {"f_prefix_len": F.col("prefix_len").cast("double")}
+    lookups = []
+    for i, c in enumerate(state["num_cols"]):
+        exprs[f"f_num__{i}"] = F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(0.0))
+    names = list(exprs)
+    if state["categorical"] == "onehot":
+        onehot, more = _onehot_exprs(cat_cols, state["vocab"])
+        exprs.update(onehot)
+        names += more
+    for i, c in enumerate(cat_cols if state["categorical"] == "label" else ()):
+        slots = _literal_map({v: float(j + 1) for j, v in enumerate(state["vocab"].get(c, []))})
+        exprs[f"f_lab__{i}"] = F.coalesce(F.try_element_at(slots, _as_text(c)), F.lit(0.0))
+        names.append(f"f_lab__{i}")
+    for i, c in enumerate(cat_cols if state["categorical"] == "target" else ()):
+        lookups.append(lambda df, c=c, out=f"f_te__{i}": apply_target_encoding(df, tables[c], c, out))
+        names.append(f"f_te__{i}")
+    acts, kind = state.get("activities", []), state["activity"]
+    if kind == "counts":
+        exprs["f_act__unk"] = F.size(F.filter("prefix_activities", lambda a: ~a.isin(*acts) if acts else F.lit(True))).cast("double")
+        exprs.update({f"f_act__{j + 1}": F.size(F.filter("prefix_activities", _equals(a))).cast("double")
+                      for j, a in enumerate(acts)})
+    for p in range(1, state.get("max_len", 0) + 1):
+        a = F.get(F.col("prefix_activities"), p - 1)
+        if kind == "target":
+            exprs[f"f_pos__{p}"] = F.coalesce(F.try_element_at(_literal_map(state["activity_target"]), a),
+                                              F.lit(state["activity_mean"]))
+        else:
+            exprs[f"f_pos__{p}__0"] = F.when(~a.isin(*acts) | a.isNull(), 1.0).otherwise(0.0)
+            exprs.update({f"f_pos__{p}__{j + 1}": F.when(a == F.lit(act), 1.0).otherwise(0.0) for j, act in enumerate(acts)})
+    vectors = state.get("vectors", {})
+    for d in range(len(next(iter(vectors.values()), []))):
+        mean = sum(v[d] for v in vectors.values()) / len(vectors)
+        of = _literal_map({a: v[d] for a, v in vectors.items()})
+        vals = F.transform("prefix_activities", _lookup_or(of, mean))
+        exprs[f"f_emb_mean__{d}"] = F.try_divide(F.aggregate(vals, F.lit(0.0), lambda s, x: s + x),
+                                                 F.size("prefix_activities").cast("double"))
+        exprs[f"f_emb_last__{d}"] = F.coalesce(F.try_element_at(of, F.element_at("prefix_activities", -1)), F.lit(mean))
+    names += [n for n in exprs if n not in names]
     label = None
-    if label_is_numeric:
-        label = F.coalesce(F.col(label_col).try_cast("double"), F.lit(0.0))
-    elif label_vocab is not None:
-        m = F.create_map(*[x for i, v in enumerate(label_vocab) for x in (F.lit(v), F.lit(float(i + 1)))])
-        label = F.coalesce(F.try_element_at(m, F.col(label_col).cast("string")), F.lit(0.0))
-    return FittedEncoder(name, names, exprs, lookups, label, label_col)
+    if state["label_is_numeric"]:
+        label = F.coalesce(F.col(state["label_col"]).try_cast("double"), F.lit(0.0))
+    elif state["label_vocab"] is not None:
+        ids = _literal_map({v: float(i + 1) for i, v in enumerate(state["label_vocab"])})
+        label = F.coalesce(F.try_element_at(ids, F.col(state["label_col"]).cast("string")), F.lit(0.0))
+    return FittedEncoder(state["name"], names, exprs, lookups, label, state["label_col"], state, tables)
+
+
+def _literal_map(values: dict[str, float]) -> Column:
+    if not values:
+        return F.create_map().cast("map<string,double>")
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
 def compress_vectors(vectors: DataFrame, k: int = 64) -> DataFrame:

@@ -1264,25 +1264,24 @@ def q_resumable_results(spark, sf_dir):
 
 
 def q_bundle_roundtrip(spark, sf_dir):
-    """SNK-7 / SRC-7: a per-bucket model bundle saved to the shared folder, loaded back, used to score."""
-    from pyspark.ml import PipelineModel
+    """SNK-7 / SRC-7: a per-bucket model bundle saved to the shared folder; running cases scored from it alone."""
     from caseflow.operators.bucketing import PrefixLenBins
     from caseflow.operators.encoding import fit_encoder
-    from caseflow.plans.scoring import score_running_cases
+    from caseflow.plans.scoring import score_with_bundle
     from caseflow.plans.strategy import eligible_buckets
-    from caseflow.sources.sinks import load_bundle, save_bundle
+    from caseflow.sources.sinks import save_bundle
     mf = model_frame(spark, sf_dir)
     tr = mf.where("split = 'train'")
     bk = PrefixLenBins(bin_size=15).fit(tr)
-    enc = fit_encoder("last_state", tr)
+    enc = fit_encoder("index_latest_payload", tr)
     task = mdl.default_task_specs()["remaining_time"]
     bucketed = bk.assign(mf)
-    models, _ = mdl.train_per_bucket(enc.transform(bucketed), eligible_buckets(bucketed, task, 300), task, "linear")
+    models, _ = mdl.train_per_bucket(enc.transform(bucketed), eligible_buckets(bucketed, task, 300), task, "linear",
+                                     target_log1p=True)
     path = _scratch(spark, "bundle")
-    save_bundle(path, models, {"task": task.name, "bucketing": "prefix_len_bins", "encoding": "last_state",
-                               "model_buckets": sorted(models)})
-    meta, loaded = load_bundle(path, PipelineModel)
-    return score_running_cases(customer_case_log(spark, sf_dir), bk, enc, loaded, task)
+    save_bundle(path, models, {"task": task.name, "bucketing": bk.name, "encoding": enc.name, "target_log1p": True},
+                enc, bk)
+    return score_with_bundle(customer_case_log(spark, sf_dir), path)
 
 
 def q_log1p_target_probe(spark, sf_dir):

@@ -49,3 +49,13 @@ def score_running_cases(events: DataFrame, bucketer, encoder, models: dict, task
         names = F.array(*[F.lit(v) for v in label_vocab])
         res = res.withColumn("prediction", F.coalesce(F.get(names, F.col("prediction").cast("int") - 1), F.lit("__UNK__")))
     return res
+
+
+def score_with_bundle(events: DataFrame, path: str) -> DataFrame:
+    """INF-2: running cases scored by a saved bundle alone."""
+    from caseflow.operators.models import default_task_specs
+    from caseflow.sources.sinks import load_bundle
+    b = load_bundle(path)
+    task = default_task_specs()[b["meta"]["task"]]
+    return score_running_cases(events, b["bucketer"], b["encoder"], b["models"], task, b["meta"]["target_log1p"],
+                               b["meta"]["label_vocab"])

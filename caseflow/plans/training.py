@@ -103,8 +103,8 @@ def train_task(log: DataFrame, cfg: RunConfig | None = None) -> dict:
     if cfg.bundle_path:
         from caseflow.sources.sinks import save_bundle
         save_bundle(cfg.bundle_path, models, {"task": task.name, "bucketing": chosen["bucketing"],
-                                              "encoding": chosen["encoding"], "model_buckets": sorted(models),
-                                              "mode": chosen["mode"], "label_vocab": lv, "target_log1p": log1p})
+                                              "encoding": chosen["encoding"], "mode": chosen["mode"],
+                                              "label_vocab": lv, "target_log1p": log1p}, encoder, bucketer)
     return {"clean_log": clean, "case_table": cases, "prefixes": frame, "strategies": results,
             "best": chosen, "bucketer": bucketer, "encoder": encoder, "models": models,
             "test_predictions": test_pred, "test_metrics": test_metrics}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,35 +69,47 @@ def flatten_strategy_report(results: DataFrame) -> DataFrame:
 def append_results(df: DataFrame, path: str, keys: list[str] | None = None) -> DataFrame:
     """EXP-9 / EXP-11: append rows to a parquet table; with ``keys``, rows already present are skipped (resume)."""
     spark = df.sparkSession
-    if keys:
-        try:
-            done = spark.read.parquet(path).select(*keys).distinct()
-            df = df.join(done, keys, "left_anti")
-        except Exception:  # noqa: BLE001 - first write: the table does not exist yet
-            pass
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    if keys and there:
+        df = df.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
     df.write.mode("append").parquet(path)
     return df
 
 
-def save_bundle(path: str, models: dict, meta: dict) -> None:
-    """SNK-7: one Spark ML directory per model + JSON metadata (written with Spark, so it lands on the shared FS)."""
+def save_bundle(path: str, models: dict, meta: dict, encoder, bucketer) -> None:
+    """SNK-7: everything that scoring needs, written with Spark to the shared folder.
+
+    One Spark ML directory per model, the encoder's vocabularies and target tables, the bucketer's
+    state, and JSON metadata (task, strategy, ``target_log1p``, label vocabulary).
+    """
+    from caseflow.operators.bucketing import save_bucketer
+    spark = SparkSession.getActiveSession()
     for b, m in models.items():
         m.write().overwrite().save(f"{path}/model_{b}")
-    from pyspark.sql import SparkSession
-    s = SparkSession.getActiveSession()
-    s.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    for i, table in enumerate(encoder.tables.values()):
+        table.write.mode("overwrite").parquet(f"{path}/encoder_{i}")
+    whole = {"target_log1p": False, "label_vocab": None, **meta, "model_buckets": sorted(models),
+             "encoder": encoder.state, "encoder_tables": list(encoder.tables),
+             "bucketer": save_bucketer(bucketer, f"{path}/bucketer")}
+    spark.createDataFrame([(json.dumps(whole),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
 
+REQUIRED_META = ("task", "bucketing", "encoding", "model_buckets", "encoder", "bucketer", "target_log1p")
 
-REQUIRED_META = ("task", "bucketing", "encoding", "model_buckets")
 
+def load_bundle(path: str) -> dict:
+    """SRC-7: ``meta``, ``models``, ``encoder``, ``bucketer`` of a saved bundle, with a required-key check."""
+    from pyspark.ml import PipelineModel
 
-def load_bundle(path: str, loader) -> tuple[dict, dict]:
-    """SRC-7: metadata + models, with a required-key check."""
-    from pyspark.sql import SparkSession
-    s = SparkSession.getActiveSession()
-    meta = json.loads(s.read.text(f"{path}/meta").first()[0])
+    from caseflow.operators.bucketing import load_bucketer
+    from caseflow.operators.encoding import build_encoder
+    spark = SparkSession.getActiveSession()
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     missing = [k for k in REQUIRED_META if k not in meta]
     if missing:
         raise ValueError(f"bundle metadata misses {missing}")
-    models = {int(b): loader.load(f"{path}/model_{b}") for b in meta["model_buckets"]}
-    return meta, models
+    tables = {c: spark.read.parquet(f"{path}/encoder_{i}") for i, c in enumerate(meta["encoder_tables"])}
+    return {"meta": meta, "models": {int(b): PipelineModel.load(f"{path}/model_{b}") for b in meta["model_buckets"]},
+            "encoder": build_encoder(meta["encoder"], tables),
+            "bucketer": load_bucketer(spark, meta["bucketer"], f"{path}/bucketer")}
