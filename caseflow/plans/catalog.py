@@ -1095,6 +1095,17 @@ def q_test_quantile_exemplars(spark, sf_dir):
     return _r(e.select("case_id", "prefix_len", "y_true", "y_pred").distinct(), {"y_true": 2, "y_pred": 2})
 
 
+def q_test_report(spark, sf_dir):
+    """SNK-6: the test report written to the shared folder (metrics as JSON, examples as CSV); the examples read back."""
+    from caseflow.sources.sinks import write_test_report
+    test = regression_predictions(spark, sf_dir).where(F.col("split") == "test")
+    path = _scratch(spark, "test-report")
+    write_test_report(path, met.regression_errors(test), q_test_quantile_exemplars(spark, sf_dir),
+                      met.regression_errors(test, group=["bucket_id"]))
+    return spark.read.schema("case_id string, prefix_len int, y_true double, y_pred double") \
+        .option("header", True).csv(f"{path}/examples")
+
+
 def q_classification_exemplars(spark, sf_dir):
     """SRT-6: up to 10 wrong and the rest right predictions, in a seeded hash order."""
     return smp.classification_exemplars(classification_predictions(spark, sf_dir), 20) \
@@ -1181,6 +1192,7 @@ def q_strategy_report(spark, sf_dir):
 QUERIES.update({
     "column_autodetect": q_column_autodetect,
     "test_quantile_exemplars": q_test_quantile_exemplars,
+    "test_report": q_test_report,
     "classification_exemplars": q_classification_exemplars,
     "bucket_exemplars": q_bucket_exemplars,
     "sample_prefixes": q_sample_prefixes,

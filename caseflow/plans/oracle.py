@@ -567,7 +567,8 @@ SELECT count(*) AS n_rows, 6 AS n_columns, count(DISTINCT case_id) AS n_cases, 0
 """,
     "parse_activities": """
 SELECT event_id, CASE event_id % 4
-  WHEN 0 THEN event_type || '>x' WHEN 1 THEN event_type WHEN 2 THEN event_type || '>y>z' ELSE event_type || '>w' END AS activities
+  WHEN 0 THEN event_type || '>x' WHEN 1 THEN '"' || event_type || '"' WHEN 2 THEN event_type || '>y>z'
+  ELSE event_type || '>>w' END AS activities
 FROM events
 """,
 })
@@ -1084,3 +1085,6 @@ b AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PR
 SELECT {rhu('sum(pos * (2 * before + neg))::DOUBLE / (2.0::DOUBLE * sum(pos) * sum(neg))', 9)} AS roc_auc FROM b
 """,
 })
+
+
+ORACLE["test_report"] = ORACLE["test_quantile_exemplars"]

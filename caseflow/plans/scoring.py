@@ -59,3 +59,27 @@ def score_with_bundle(events: DataFrame, path: str) -> DataFrame:
     task = default_task_specs()[b["meta"]["task"]]
     return score_running_cases(events, b["bucketer"], b["encoder"], b["models"], task, b["meta"]["target_log1p"],
                                b["meta"]["label_vocab"])
+
+
+def score_uploaded_log(raw: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
+    """INF-4: a raw log with columns of any usual name, scored case by case with a saved bundle.
+
+    One row for each case: num_events, last_activity, bucket_id, prediction, ``error``.  A case with a
+    time that cannot be read, or without an activity, has an error and no prediction.
+    """
+    from caseflow.operators.schema import ACT, CASE, TS, detect_columns, normalize_schema
+    found = detect_columns(raw.columns, fmt)
+    if None in found.values():
+        raise ValueError(f"cannot detect the columns {[k for k, v in found.items() if v is None]}; found {raw.columns}")
+    log = normalize_schema(raw, mapping=found).withColumn(CASE, F.col(CASE).cast("string"))
+    if "_event_index" not in log.columns:
+        log = log.withColumn("_event_index", F.monotonically_increasing_id())
+    log = log.where(F.col(CASE).isNotNull())
+    state = log.groupBy(CASE).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.when(F.count_if(F.col(TS).isNull()) > 0, "a timestamp cannot be read")
+        .when(F.count_if(F.col(ACT).isNull()) > 0, "an activity is missing").alias("error"))
+    scored = score_with_bundle(log, path).drop("num_events")
+    return (state.join(scored, CASE, "left")
+            .select(CASE, F.col("n").alias("num_events"), "last_activity", "bucket_id",
+                    F.when(F.col("error").isNull(), F.col("prediction")).alias("prediction"), "error"))

@@ -77,6 +77,14 @@ def append_results(df: DataFrame, path: str, keys: list[str] | None = None) -> D
     return df
 
 
+def write_test_report(path: str, metrics: DataFrame, examples: DataFrame, per_bucket: DataFrame | None = None) -> None:
+    """SNK-6: test metrics (JSON, one row, and per bucket if given) and example predictions (CSV) under ``path``."""
+    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    if per_bucket is not None:
+        per_bucket.coalesce(1).write.mode("overwrite").json(f"{path}/per_bucket")
+    examples.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/examples")
+
+
 def save_bundle(path: str, models: dict, meta: dict, encoder, bucketer) -> None:
     """SNK-7: everything that scoring needs, written with Spark to the shared folder.
 

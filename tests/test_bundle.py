@@ -37,3 +37,30 @@ def test_append_results_resumes(spark, tmp_path):
     append_results(rows, path, ["log"])
     append_results(rows.union(spark.createDataFrame([("c", 3)], "log string, n int")), path, ["log"])
     assert sorted(r.log for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+
+
+def test_uploaded_log_with_errors(spark, tmp_path):
+    from caseflow.plans.scoring import score_uploaded_log
+    log = testlogs.user_log(spark, SF)
+    frame = extract_prefixes(log, include_event_attributes=False).persist()
+    task = mdl.default_task_specs()["remaining_time"]
+    bucketer, encoder = make_bucketer("no_bucket").fit(frame), fit_encoder("last_state", frame)
+    models, _ = mdl.train_per_bucket(encoder.transform(bucketer.assign(frame)).selectExpr("*", "'train' as split"), [],
+                                     task, "linear")
+    save_bundle(str(tmp_path / "b"), models, {"task": task.name, "bucketing": "no_bucket", "encoding": "last_state"},
+                encoder, bucketer)
+    raw = log.selectExpr("case_id as CaseID", "activity as Activity", "cast(timestamp as string) as `event_time`", "value",
+                         "prop_k")
+    bad = spark.createDataFrame([("zz", "A", "no time", 1.0, 1)], raw.schema)
+    got = {r.case_id: r for r in score_uploaded_log(raw.union(bad), str(tmp_path / "b")).collect()}
+    assert got["zz"].error and got["zz"].prediction is None
+    assert all(r.prediction is not None and r.error is None for c, r in got.items() if c != "zz")
+
+
+def test_parse_activities_like_text_and_json(spark):
+    from caseflow.functions.scalar import parse_activities
+    texts = {'["A", "B c"]': ["A", "B c"], '"A, B"': ['"A, B"'], "A, ,B": ["A", "", "B"], "A; B ;C": ["A", "B", "C"],
+             "A;B,C": ["A;B", "C"], " A ": ["A"], "12": ["12"], "": [], "[broken": ["[broken"]}
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = {r.t: r.a for r in df.select("t", parse_activities("t").alias("a")).collect()}
+    assert got == texts | {None: []}
