@@ -121,3 +121,16 @@ def attach_scalars(df, one_row):
     row; the broadcast nested-loop join then costs O(rows of df), never a product.
     """
     return df.crossJoin(F.broadcast(one_row))
+
+
+#: Rows up to which a lookup table is sent to every task.
+SMALL_TABLE_ROWS = 200_000
+
+
+def small_side(table):
+    """The lookup side of a join: broadcast if it is counted to be small, else left to a shuffled join.
+
+    The table (a vocabulary, class weights) is kept, so counting it costs no second computation.
+    """
+    kept = table.persist()
+    return F.broadcast(kept) if kept.limit(SMALL_TABLE_ROWS + 1).count() <= SMALL_TABLE_ROWS else kept

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from caseflow.functions.scalar import attach_scalars
+from caseflow.functions.scalar import attach_scalars, small_side
 
 
 def _int_col(c: str) -> Column:
@@ -119,7 +119,7 @@ class LastActivity:
     def assign(self, df: DataFrame, bucket_col: str = "bucket_id") -> DataFrame:
         unseen = self.vocab_.agg((F.count(F.lit(1)) + 1).alias("_unseen_id"))
         j = attach_scalars(df.withColumn("_last_act", F.element_at(self.prefix_col, -1))
-                           .join(F.broadcast(self.vocab_.select("_last_act", "_bid")), "_last_act", "left"), unseen)
+                           .join(small_side(self.vocab_.select("_last_act", "_bid")), "_last_act", "left"), unseen)
         return j.withColumn(bucket_col, F.coalesce(F.col("_bid"), F.col("_unseen_id")).cast("int")) \
                 .drop("_last_act", "_bid", "_unseen_id")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseflow.operators.schema import CASE
-from caseflow.functions.scalar import attach_scalars
+from caseflow.functions.scalar import attach_scalars, small_side
 
 UNK = "__UNK__"
 KEY = [CASE, "prefix_len"]
@@ -78,7 +78,7 @@ def category_vocab(train: DataFrame, cat_cols: list[str], min_freq: int = 50, ma
 def onehot_long(df: DataFrame, vocab: DataFrame, cat_cols: list[str]) -> DataFrame:
     """ENC-3: the one-hot slot of every (prefix, column); unknown and null -> 0 (UNK)."""
     long = unpivot_categories(df, cat_cols)
-    j = long.join(F.broadcast(vocab.select("column", "value", "slot")), ["column", "value"], "left")
+    j = long.join(small_side(vocab.select("column", "value", "slot")), ["column", "value"], "left")
     return j.select(*KEY, "column", "value", F.coalesce(F.col("slot"), F.lit(0)).alias("slot"))
 
 
@@ -108,7 +108,7 @@ def activity_vocab(train: DataFrame, prefix_col: str = "prefix_activities") -> D
 def activity_counts_long(df: DataFrame, vocab: DataFrame, prefix_col: str = "prefix_activities") -> DataFrame:
     """ENC-6 long: per prefix, count of each activity slot (unseen activities pooled in UNK)."""
     ex = df.select(*KEY, F.explode(prefix_col).alias("activity"))
-    j = ex.join(F.broadcast(vocab), "activity", "left")
+    j = ex.join(small_side(vocab), "activity", "left")
     return (j.groupBy(*KEY, F.coalesce(F.col("slot"), F.lit(0)).alias("slot"))
             .agg(F.count(F.lit(1)).alias("count")))
 
@@ -120,7 +120,7 @@ def positional_activity_long(df: DataFrame, vocab: DataFrame, max_len: int,
     ex = df.select(*KEY, F.explode(F.arrays_zip(pos.alias("position"),
                                                 F.transform(pos, lambda i: F.get(F.col(prefix_col), i - 1)).alias("activity")))
                    .alias("_p")).select(*KEY, "_p.position", "_p.activity")
-    j = ex.join(F.broadcast(vocab), "activity", "left")
+    j = ex.join(small_side(vocab), "activity", "left")
     return j.select(*KEY, "position", "activity", F.coalesce(F.col("slot"), F.lit(0)).alias("slot"))
 
 
@@ -170,7 +170,7 @@ def embedding_mean_last_long(df: DataFrame, vectors: DataFrame, prefix_col: str
     mean_vec = dims.groupBy("dim").agg(F.avg("x").alias("mx")) \
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mx"))), lambda e: e["mx"]).alias("_mean"))
     ex = df.select(*KEY, F.posexplode(prefix_col).alias("pos", "activity"))
-    ex = attach_scalars(ex.join(F.broadcast(vectors), "activity", "left"), mean_vec)
+    ex = attach_scalars(ex.join(small_side(vectors), "activity", "left"), mean_vec)
     # activities without a vector use the mean vector of the lookup
     vec = F.coalesce(F.transform("embedding", lambda v: v.cast("double")), F.col("_mean"))
     # vectors are summed up per prefix before they are taken apart, so rows are prefixes x dimensions

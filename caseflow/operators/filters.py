@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from caseflow.operators.schema import ACT, CASE, IDX, TS
 from caseflow.operators.sequence import DEFAULT_CHUNK_ROWS, ordered_scan
-from caseflow.functions.scalar import attach_scalars
+from caseflow.functions.scalar import attach_scalars, small_side
 
 # Optional columns that join the default dedup key when present.
 DEDUP_OPTIONAL_KEYS = ["lifecycle:transition", "org:resource", "EventID", "EventOrigin"]
@@ -118,7 +118,7 @@ def infrequent_activities(df: DataFrame, min_trace_freq: float = 0.005) -> DataF
 
 def filter_infrequent_activities(df: DataFrame, min_trace_freq: float = 0.005) -> DataFrame:
     """FLT-6: drop events of infrequent activities (broadcast anti join, vocab-sized)."""
-    return df.join(F.broadcast(infrequent_activities(df, min_trace_freq)), ACT, "left_anti").select(*df.columns)
+    return df.join(small_side(infrequent_activities(df, min_trace_freq)), ACT, "left_anti").select(*df.columns)
 
 
 def filter_consecutive_duplicates(df: DataFrame, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.functions.scalar import expm1_clamped, log1p_nonneg
+from caseflow.functions.scalar import expm1_clamped, log1p_nonneg, small_side
 from caseflow.operators.schema import CASE
 from caseflow.functions.scalar import attach_scalars
 
@@ -41,7 +41,7 @@ def mean_by_last_activity(train: DataFrame, label_col: str = "label_remaining_ti
 def predict_mean_by_last_activity(df: DataFrame, fitted: DataFrame, label_col: str = "label_remaining_time_sec") -> DataFrame:
     gm = fitted.agg(F.first("_gm").alias("_g"))
     j = attach_scalars(df.withColumn("_la", last_activity_col())
-                       .join(F.broadcast(fitted.select("_la", "_enc")), "_la", "left"), gm)
+                       .join(small_side(fitted.select("_la", "_enc")), "_la", "left"), gm)
     return j.withColumn("y_true", F.col(label_col).try_cast("double")) \
         .withColumn("y_pred", F.coalesce(F.col("_enc"), F.col("_g"))).drop("_la", "_enc", "_g")
 
@@ -59,7 +59,7 @@ def majority_next_by_last_activity(train: DataFrame, label_col: str = "label_nex
 def predict_majority(df: DataFrame, fitted: DataFrame, label_col: str = "label_next_activity") -> DataFrame:
     glob = fitted.agg(F.first("_glob").alias("_g"))
     j = attach_scalars(df.withColumn("_la", last_activity_col())
-                       .join(F.broadcast(fitted.select("_la", "_lab")), "_la", "left"), glob)
+                       .join(small_side(fitted.select("_la", "_lab")), "_la", "left"), glob)
     return j.withColumn("y_true", F.col(label_col).cast("string")) \
         .withColumn("y_pred", F.coalesce(F.col("_lab"), F.col("_g"))).drop("_la", "_lab", "_g")
 
@@ -97,7 +97,7 @@ def balanced_weights(train: DataFrame, label: str = "label") -> DataFrame:
     c = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = c.agg(F.sum("_nc").alias("_N"), F.count(F.lit(1)).alias("_K"))
     w = attach_scalars(c, tot).select(label, (F.col("_N") / (F.col("_K") * F.col("_nc"))).alias("weight"))
-    return train.join(F.broadcast(w), label)
+    return train.join(small_side(w), label)
 
 
 def make_estimator(kind: str, task: TaskSpec, n_classes: int = 2, seed: int = 42, penalty: float = 0.0):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.operators.schema import CASE
-from caseflow.functions.scalar import attach_scalars
+from caseflow.functions.scalar import attach_scalars, small_side
 
 
 def iqr_bounds(prefixes: DataFrame, label_col: str = "label_remaining_time_sec", multiplier: float = 1.5,
@@ -47,7 +47,7 @@ def filter_rare_classes(prefixes: DataFrame, label_col: str = "label_next_activi
     flag = counts.agg(F.max((F.col("_cnt") < min_class_samples).cast("int")).alias("_has_rare"))
     kept = counts.where(F.col("_cnt") >= min_class_samples).select(F.col(label_col).alias("_kc"))
     j = (attach_scalars(prefixes, flag)
-         .join(F.broadcast(kept), F.col(label_col) == F.col("_kc"), "left"))
+         .join(small_side(kept), F.col(label_col) == F.col("_kc"), "left"))
     keep = (F.coalesce(F.col("_has_rare"), F.lit(0)) == 0) | F.col("_kc").isNotNull()
     return j.where(keep).drop("_has_rare", "_kc")
 
@@ -55,7 +55,7 @@ def filter_rare_classes(prefixes: DataFrame, label_col: str = "label_next_activi
 def filter_small_buckets(df: DataFrame, min_bucket_size: int, bucket_col: str = "bucket_id") -> DataFrame:
     """FLT-15: drop buckets with fewer than ``min_bucket_size`` rows (bucket table is tiny)."""
     sizes = df.groupBy(bucket_col).agg(F.count(F.lit(1)).alias("_bs")).where(F.col("_bs") >= min_bucket_size)
-    return df.join(F.broadcast(sizes.select(bucket_col)), bucket_col, "left_semi")
+    return df.join(small_side(sizes.select(bucket_col)), bucket_col, "left_semi")
 
 
 def bucket_eligibility(df: DataFrame, min_samples: int, classification: bool, label_col: str,
@@ -137,7 +137,7 @@ def per_bucket_exemplar(pred: DataFrame, policy: str = "median", bucket_col: str
             from caseflow.functions.quantiles import exact_quantiles_by
             med = exact_quantiles_by(pred.withColumn("_ae", F.abs(F.col(y) - F.col(p))), [bucket_col], "_ae", [0.5]) \
                 .withColumnRenamed("q0", "_med")
-            pred = pred.join(F.broadcast(med), bucket_col)
+            pred = pred.join(small_side(med), bucket_col)
             score = F.struct(F.abs(err - F.col("_med")), F.col(CASE), F.col("prefix_len"))
     cols = [c for c in pred.columns if c != "_med"]
     return (pred.groupBy(bucket_col).agg(F.min_by(F.struct(*[F.col(c) for c in cols if c != bucket_col]), score).alias("_r"))

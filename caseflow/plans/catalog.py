@@ -891,6 +891,12 @@ def q_ablation_row_counts(spark, sf_dir):
     return ablation_row_counts(testlogs.line_log(spark, sf_dir))
 
 
+def q_ablation_scores(spark, sf_dir):
+    """EXP-7: counts, val MAE of a linear probe and its changes after each of 17 cumulative stages (customer log; rows-only)."""
+    from caseflow.plans.ablation import ablation_scores
+    return ablation_scores(customer_case_log(spark, sf_dir), since="1995-01-01")
+
+
 def q_csv_source(spark, sf_dir):
     """SRC-2 + PRJ-1: the customer log written as CSV by Spark and read back as an event log."""
     from caseflow.sources.readers import read_csv_log
@@ -1061,6 +1067,7 @@ def q_stream_scoring(spark, sf_dir):
 QUERIES.update({
     "running_case_prefix_long": q_running_case_prefix_long,
     "ablation_row_counts": q_ablation_row_counts,
+    "ablation_scores": q_ablation_scores,
     "csv_source": q_csv_source,
     "xes_source": q_xes_source,
     "linear_probe": q_linear_probe,
