@@ -185,11 +185,13 @@ def _date(m: Column, key: str) -> Column:
                             lambda p: p["l"] * b + p["r"])[0]
         return F.when(goes_on, moved).otherwise(acc)
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.datediff(date, start).cast("long"), step)
-    written = F.transform(F.array(F.date_add(start, walked.cast("int"))), lambda d: F.when(
-        year_first, F.call_function("concat_ws", sign, F.date_format(d, "yyyy"), F.date_format(d, "MM"), F.date_format(d, "dd"))).when(
-        day_first, F.call_function("concat_ws", sign, F.date_format(d, "dd"), F.date_format(d, "MM"), F.date_format(d, "yyyy"))).otherwise(
-        F.call_function("concat_ws", sign, F.date_format(d, "MM"), F.date_format(d, "dd"), F.date_format(d, "yyyy"))))[0]
-    return F.when(date.isNotNull(), written).otherwise(m)
+
+    def written(d: Column) -> Column:
+        of = lambda *forms: F.call_function("concat_ws", sign, *(F.date_format(d, f) for f in forms))
+        return F.when(year_first, of("yyyy", "MM", "dd")).when(day_first, of("dd", "MM", "yyyy")).otherwise(
+            of("MM", "dd", "yyyy"))
+    new = F.transform(F.array(F.date_add(start, walked.cast("int"))), written)[0]
+    return F.when(date.isNotNull(), new).otherwise(m)
 
 
 def _ssn(m: Column, key: str) -> Column:

@@ -45,7 +45,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
                            zip(first[k:k + SHINGLES_TOGETHER], last[k:k + SHINGLES_TOGETHER])])
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
         bits = np.pad(bits, ((0, -len(bits) % 255), (0, 0))).view(np.uint64)  # eight one-byte counters to a number
-        count += bits.reshape(-1, 255, 8).sum(axis=1, dtype=np.uint64).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        sums = bits.reshape(-1, 255, 8).sum(axis=1, dtype=np.uint64).view(np.uint8)
+        count += sums.reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
 

@@ -209,7 +209,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
                 ids = batch.column("uid").to_numpy()
                 for a, b in row_chunks(offsets, CHUNK_BYTES):
                     ends = offsets[a:b + 1] - offsets[a]
-                    text, first, last, place, gram, whole = suffix_runs(flat[offsets[a]:offsets[b]], ends, threshold, digit)
+                    part = flat[offsets[a]:offsets[b]]
+                    text, first, last, place, gram, whole = suffix_runs(part, ends, threshold, digit)
                     check = np.array([_check(flat[x:y]) for x, y in zip(offsets[a:b], offsets[a + 1:b + 1])], np.int64)
                     yield gram, whole, ids[a:b][text], _info(check[text], first - ends[text], place - first,
                                                              last - first, 0)
@@ -224,7 +225,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
                 of_row, info = runs.value_parent_indices().to_numpy(), runs.flatten().to_numpy()
                 for a, b in row_chunks(offsets, CHUNK_BYTES):
                     own = slice(*np.searchsorted(of_row, [a, b]))
-                    row, first, lead, more = of_row[own], info[own] >> 16 & 0x7FFFFFFF, info[own] >> 9 & 127, info[own] >> 2 & 127
+                    row, first = of_row[own], info[own] >> 16 & 0x7FFFFFFF
+                    lead, more = info[own] >> 9 & 127, info[own] >> 2 & 127
                     # a run's starts lie lead - more to lead before its first digit; stretches end at multiples of sharing
                     cells = lead // sharing - (lead - more) // sharing + 1
                     nth = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)

@@ -8,8 +8,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from caseflow.llm import packing
-from caseflow.llm.quality import (LEAST_WORDS, MOST_DUP, MOST_DUP_LINE_CHARS, MOST_DUP_LINES, MOST_REPEAT_PERCENT,
-                                  MOST_TOP)
+from caseflow.llm.quality import LEAST_WORDS, MOST_DUP, MOST_DUP_LINE_CHARS, MOST_REPEAT_PERCENT, MOST_TOP
 from tests.llm import brute
 from tests.llm.conftest import SCHEMA
 from tests.llm.test_operators import library, water_level
@@ -31,7 +30,6 @@ def corpus():
 def good(text):
     m = brute.quality(text)
     return not (m["n_words"] < LEAST_WORDS or 100 * m["n_repeat_words"] > MOST_REPEAT_PERCENT * m["n_words"]
-                or m["n_dup_lines"] > MOST_DUP_LINES * m["n_lines"]
                 or m["dup_line_chars"] > MOST_DUP_LINE_CHARS * m["word_chars"]
                 or any(m[f"top{n}"] > x for n, x in MOST_TOP.items()) or any(m[f"dup{n}"] > x for n, x in MOST_DUP.items()))
 
