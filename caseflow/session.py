@@ -82,6 +82,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+#: Tables that this process has materialised and not dropped.
+_tables: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialize` wrote in this process; call it when their results are written.
+
+    Frames that still read them fail afterwards.  Returns how many there were.
+    """
+    n = len(_tables)
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialize(df, how: str = "table"):
     """Compute ``df`` once for several consumers.
 
@@ -94,6 +110,7 @@ def materialize(df, how: str = "table"):
         import uuid
         spark = df.sparkSession
         path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+        _tables.append(path)
         before = spark.conf.get(SHUFFLE_CLEANUP, "false")
         spark.conf.set(SHUFFLE_CLEANUP, "true")  # the table replaces the shuffle files of this write
         try:

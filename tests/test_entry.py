@@ -35,3 +35,14 @@ def test_nothing_else_imports_the_add_on():
     for path in (ROOT / "caseflow").rglob("*.py"):
         if "llm" not in path.parts:
             assert "caseflow.llm" not in path.read_text(), path
+
+
+def test_materialised_tables_can_be_dropped(spark, tmp_path):
+    import os
+
+    from caseflow import session
+    session._tables.clear()
+    df = session.materialize(spark.range(5))
+    (path,) = session._tables
+    assert df.count() == 5 and os.path.exists(path.removeprefix("file:"))
+    assert session.drop_tables(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
