@@ -80,6 +80,7 @@ class TaskSpec:
 
 
 def default_task_specs(outcome_col: str = "label_outcome") -> dict[str, TaskSpec]:
+    # Names, label columns and metrics of the tasks.
     return {
         "next_activity": TaskSpec("next_activity", "classification", "label_next_activity", "f1_macro"),
         "remaining_time": TaskSpec("remaining_time", "regression", "label_remaining_time_sec", "mae_days"),
