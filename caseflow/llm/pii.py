@@ -12,7 +12,8 @@ HEX = "0123456789abcdef"
 
 # What is looked for; no alternative looks further than some dozen characters ahead.
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+_MAIL_SIGN = "[A-Za-z0-9._%+-]"
+EMAIL = rf"{_MAIL_SIGN}{{1,64}}+@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{1,8}}"
 SECRET = r"[0-9a-f]{32,64}"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?"
 IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
@@ -20,9 +21,27 @@ YEAR_FIRST = r"(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}"
 YEAR_LAST = r"[0-9]{2}([-/.])[0-9]{2}\1(?:19|20)[0-9]{2}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
-PHONE_ABROAD = r"\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}"
+_ABROAD_GROUP = r"(?:[ .-]?\(?[0-9]{2,4}\)?)"
+PHONE_ABROAD = rf"\+[2-9][0-9]{{0,2}}{_ABROAD_GROUP}{{2,4}}"
 CARD = r"[0-9]{13,19}|(?:[0-9]{4} ){3}[0-9]{1,7}|(?:[0-9]{4}-){3}[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\1[0-9]{5}"
 
+#: Lengths of the countries' IBANs; of other countries the longest candidate is tried.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_of(n: int, countries: str) -> str:
+    rest = f" ?[0-9A-Z]{{{n % 4}}}" if n % 4 else ""
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{n // 4 - 1}}}{rest}"
+
+
+IBAN_OF_LENGTH = (f"(?:{'|'.join(_iban_of(n, c) for n, c in IBAN_COUNTRIES.items())}|"
+                  f"(?!{'|'.join(' '.join(IBAN_COUNTRIES.values()).split())}){IBAN})")
+
 
 def _any_separator(pattern: str) -> str:
     """The pattern with its back reference written out, so that it can stand among others."""
@@ -33,9 +52,17 @@ def _any_separator(pattern: str) -> str:
                     for s in (f"[{c}]" for c in separators))
 
 
-FOUND = (f"{EMAIL}|{_EDGE}(?:{SECRET}|{IBAN}|{_any_separator(YEAR_FIRST)}|{_any_separator(YEAR_LAST)}|{SSN}|{PHONE}|"
-         f"{CARD.rsplit('|', 1)[0]}|{_any_separator(CARD.rsplit('|', 1)[1])}){_END}|"
-         rf"(?<![0-9A-Za-z.]){IPV4}(?![0-9A-Za-z]|\.[0-9])|(?<![0-9A-Za-z+]){PHONE_ABROAD}{_END}")
+DATE = f"(?:{_any_separator(YEAR_FIRST)}|{_any_separator(YEAR_LAST)}){_END}"
+ANY_CARD = f"(?:{CARD.rsplit('|', 1)[0]}|{_any_separator(CARD.rsplit('|', 1)[1])}){_END}"
+IPV4_END = r"(?![0-9A-Za-z]|\.[0-9])"
+
+#: Where a value may begin: nothing is consumed, so that a candidate which turns out invalid hides no other one.
+START = (f"(?=(?<!{_MAIL_SIGN}){EMAIL}|{_EDGE}(?:{SECRET}{_END}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{2}}|{DATE}|"
+         rf"{SSN}{_END}|{PHONE}{_END}|{ANY_CARD})|(?<![0-9A-Za-z.]){IPV4}{IPV4_END}|"
+         rf"(?<![0-9A-Za-z+])\+[2-9][0-9]{{0,2}}{_ABROAD_GROUP}{{2}})")
+#: What is read from there: a mail address, else so many characters as no other value has.
+AHEAD = 80
+WINDOW = rf"{START}(?=({EMAIL}|(?s:.{{1,{AHEAD}}})))"
 
 #: Dates are permuted among the days of 1900 to 2099; their number is 4297 * 17.
 FIRST_DAY, DAYS = "1900-01-01", (4297, 17)
@@ -137,7 +164,7 @@ def _email(m: Column, key: str) -> Column:
 
 def _secret(m: Column, key: str) -> Column:
     real = m.rlike("[0-9]") & m.rlike("[a-f]")
-    return F.when(real, permuted(m, F.regexp_replace(m, ".", "h"), "secret", key)).otherwise(m)
+    return F.when(real, permuted(m, F.regexp_replace(m, ".", "h"), "secret", key))
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -151,7 +178,7 @@ def _iban(m: Column, key: str) -> Column:
     nth = lambda k: k - F.length(F.regexp_replace(F.substr(m, F.lit(1), k), "[^ ]", ""))
     dressed = F.transform(F.array(made), lambda a: _each(
         m, lambda k, c: F.when(c == " ", c).otherwise(F.substr(a, nth(k), F.lit(1)))))[0]
-    return F.when(valid, dressed).otherwise(m)
+    return F.when(valid, dressed)
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -161,7 +188,7 @@ def _ipv4(m: Column, key: str) -> Column:
     new = permuted(as_hex, F.lit("hhhhhhhh"), "ipv4", key)
     dotted = F.transform(F.array(new), lambda h: F.array_join(F.transform(
         F.sequence(F.lit(1), F.lit(7), F.lit(2)), lambda k: F.conv(F.substr(h, k, F.lit(2)), 16, 10)), "."))[0]
-    return F.when(valid, dotted).otherwise(m)
+    return F.when(valid, dotted)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -191,7 +218,7 @@ def _date(m: Column, key: str) -> Column:
         return F.when(year_first, of("yyyy", "MM", "dd")).when(day_first, of("dd", "MM", "yyyy")).otherwise(
             of("MM", "dd", "yyyy"))
     new = F.transform(F.array(F.date_add(start, walked.cast("int"))), written)[0]
-    return F.when(date.isNotNull(), new).otherwise(m)
+    return F.when(date.isNotNull(), new)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -206,7 +233,7 @@ def _ssn(m: Column, key: str) -> Column:
         area = area + (area >= 666).cast("int")
         return F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((p["l"] % 99 + 1).cast("string"), 2, "0"),
                            F.lpad((p["r"] + 1).cast("string"), 4, "0"))
-    return F.when(valid, F.transform(F.array(pair), written)[0]).otherwise(m)
+    return F.when(valid, F.transform(F.array(pair), written)[0])
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -222,7 +249,7 @@ def _phone_abroad(m: Column, key: str) -> Column:
     own = F.substr(digits, F.lit(3), F.length(digits))
     number = permuted(own, F.regexp_replace(own, ".", "9"), "phone abroad", key)
     new = F.transform(F.array(F.concat(F.substr(digits, F.lit(1), F.lit(2)), number)), lambda d: _dressed(m, d))[0]
-    return F.when(F.length(digits).between(8, 15), new).otherwise(m)
+    return F.when(F.length(digits).between(8, 15), new)
 
 
 def _card(m: Column, key: str) -> Column:
@@ -232,16 +259,28 @@ def _card(m: Column, key: str) -> Column:
     checked = F.transform(F.array(new), lambda p: F.concat(
         p, F.pmod(10 - _luhn(F.concat(p, F.lit("0"))), F.lit(10)).cast("string")))[0]
     return F.when((_luhn(digits) == 0) & F.length(digits).between(13, 19),
-                  F.transform(F.array(checked), lambda d: _dressed(m, d))[0]).otherwise(m)
+                  F.transform(F.array(checked), lambda d: _dressed(m, d))[0])
+
+
+def _made(found: Column, new) -> Column:
+    """What was found and its pseudonym; null if nothing was found or it is not valid."""
+    def both(m: Column) -> Column:
+        return F.transform(F.array(new(m)), lambda n: F.when(n.isNotNull(), F.struct(m.alias("old"), n.alias("new"))))[0]
+    return F.transform(F.array(found), lambda m: F.when(m != "", both(m)))[0]
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of a match, or the match itself if it is not valid."""
-    whole = lambda p: m.rlike(f"^(?:{p})$")
-    return (F.when(m.contains("@"), _email(m, key)).when(whole(SECRET), _secret(m, key)).when(whole(IBAN), _iban(m, key))
-            .when(whole(IPV4), _ipv4(m, key)).when(whole(YEAR_FIRST) | whole(YEAR_LAST), _date(m, key))
-            .when(whole(SSN), _ssn(m, key)).when(whole(PHONE), _phone(m, key))
-            .when(m.startswith("+"), _phone_abroad(m, key)).otherwise(_card(m, key)))
+def pseudonym(ahead: Column, before: Column, key: str) -> Column:
+    """The first valid value at the beginning of ``ahead``, which stands behind the sign ``before``, and its pseudonym."""
+    at = lambda p: F.regexp_extract(ahead, f"^(?:{p})", 0)
+    of = lambda p, new: _made(at(p), lambda m: new(m, key))
+    after = lambda signs, found: F.when(~before.rlike(signs), found)
+    edge = lambda p, new: after("[0-9A-Za-z]", of(p, new))
+    return F.coalesce(
+        after(_MAIL_SIGN, F.when(ahead.contains("@"), of(EMAIL, _email))), edge(SECRET + _END, _secret),
+        edge(IBAN_OF_LENGTH + _END, _iban),
+        edge(DATE, _date), edge(SSN + _END, _ssn), edge(PHONE + _END, _phone), edge(ANY_CARD, _card),
+        after("[0-9A-Za-z.]", of(IPV4 + IPV4_END, _ipv4)),
+        *(after("[0-9A-Za-z+]", of(rf"\+[2-9][0-9]{{0,2}}{_ABROAD_GROUP}{{{n}}}{_END}", _phone_abroad)) for n in (4, 3, 2)))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -252,7 +291,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     North American and other phone numbers, IBANs (modulo 97), IPv4 addresses
     and dates of 1900 to 2099 (yyyy-mm-dd, mm/dd/yyyy, dd/mm/yyyy with ``-``,
     ``/`` or ``.``); names of mail addresses and hexadecimal secrets get the
-    same treatment.  What does not validate is left alone.
+    same treatment.  What does not validate is left alone; the characters of a
+    candidate that does not are read again for others, from every place where one
+    may begin, and of valid values that overlap the first is taken.
 
     Each value is mapped by a keyed Feistel network that permutes its format:
     lengths, signs and letter case stay, check digits are made anew, dates
@@ -264,13 +305,37 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     Null text stays null; texts without a digit or ``@`` pass unread.  Rows that
     repeat an id are treated one by one; extra columns are ignored.
     """
-    matches = F.regexp_extract_all("text", F.lit(FOUND), F.lit(0))
-    read = docs.select("doc_id", "text", F.when(F.col("text").rlike("[0-9@]"), matches).alias("found"))
-    hit = F.size("found") > 0
-    new = F.transform("found", lambda m: pseudonym(m, key))
-    rows = read.select("doc_id", "text", "found", F.when(hit, new).alias("new"))
-    between = F.split("text", FOUND, -1)
-    joined = F.array_join(F.zip_with(between, "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.arrays_zip("found", "new"), lambda p: p["found"] != p["new"]))
-    return rows.select("doc_id", F.when(hit, joined).otherwise(F.col("text")).alias("text"),
-                       F.when(hit, changed).otherwise(0).cast("long").alias("n_replaced"))
+    padded = F.concat(F.lit(" "), F.col("text"))  # so that no value stands at the very beginning
+    ahead = F.regexp_extract_all(padded, F.lit(WINDOW), F.lit(1))
+    read = docs.select("doc_id", "text", F.when(F.col("text").rlike("[0-9@]"), ahead).alias("ahead"))
+    hit = F.size("ahead") > 0
+    # the text between the places: what stands before the first, then one part from each place to the next
+    cut = read.select("doc_id", "text", "ahead", F.when(hit, F.split(padded, START, -1)).alias("parts"))
+    before = F.transform("parts", lambda p: F.substr(p, F.lit(-1), F.lit(1)))
+    made = F.zip_with("ahead", F.slice(before, F.lit(1), F.size("ahead")), lambda w, c: pseudonym(w, c, key))
+    rows = cut.select("doc_id", "text", F.col("parts")[0].alias("begin"),
+                      F.arrays_zip(F.slice("parts", F.lit(2), F.size("parts")).alias("part"),
+                                   F.when(hit, made).alias("made")).alias("places"))
+    reach = lambda p: F.coalesce(F.length(p["made"]["old"]), F.lit(0))
+
+    def go_on(acc: Column, p: Column) -> Column:
+        taken = F.when(acc["over"] > 0, acc["over"]).otherwise(reach(p))
+        return F.struct(F.greatest(taken - F.length(p["part"]), F.lit(0)).alias("over"),
+                        F.concat(acc["overs"], F.array(acc["over"])).alias("overs"))
+    # characters of each part that a value before it has taken; all zero if no value reaches into the next part
+    none = F.transform("places", lambda p: F.lit(0))
+    walked = F.aggregate("places", F.struct(F.lit(0).alias("over"), F.array().cast("array<int>").alias("overs")), go_on,
+                         lambda acc: acc["overs"])
+    overs = F.when(F.exists("places", lambda p: reach(p) > F.length(p["part"])), walked).otherwise(none)
+    rows = rows.select("doc_id", "text", "begin", "places", overs.alias("overs"))
+
+    def written(p: Column, over: Column) -> Column:
+        new = F.when(over == 0, p["made"]["new"])
+        gone = F.when(over == 0, reach(p)).otherwise(over)
+        return F.concat(F.coalesce(new, F.lit("")), F.substr(p["part"], gone + 1, F.length(p["part"])))
+    joined = F.concat(F.substr("begin", F.lit(2), F.length("begin")),
+                      F.array_join(F.zip_with("places", "overs", written), ""))
+    changed = F.size(F.filter(F.zip_with("places", "overs", lambda p, over: F.coalesce(
+        (over == 0) & (p["made"]["old"] != p["made"]["new"]), F.lit(False))), lambda c: c))
+    return rows.select("doc_id", F.when(F.size("places") > 0, joined).otherwise(F.col("text")).alias("text"),
+                       F.when(F.size("places") > 0, changed).otherwise(0).cast("long").alias("n_replaced"))

@@ -380,3 +380,20 @@ def test_sharding_keeps_small_groups_whole_and_parts_large_ones(spark):
     hot = spark.range(4000).selectExpr("id as doc_id", "if(id % 2 = 0, 'the same', concat('text ', id)) as text")
     sizes = [r["sum(size)"] for r in sharding.shard_by_bytes(hot).groupBy("shard").sum("size").collect()]
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 40
+
+
+def test_pseudonyms_behind_rejected_candidates(spark):
+    values = ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "4111 1111 1111 1111"]
+    texts = ["pay {} BIC: CAIXESBB", "pay {} EUR", "in 2024 {} paid", "REF ID42 CARD {}", "call +49 151 2345 6789 2024 {}"]
+    cases = [(values[0], texts[0]), (values[1], texts[0]), (values[1], texts[1]), (values[0], texts[1]),
+             (values[2], texts[2]), (values[2], texts[3])]
+    cases += [("+49 151 2345 6789", "call {} 2024 now"), (values[2], texts[4]), ("10.20.30.40", "{}")]
+    df = spark.createDataFrame([(k, t.format(v)) for k, (v, t) in enumerate(cases)]
+                               + [(100 + k, f"is {v}") for k, (v, _) in enumerate(cases)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    for k, (v, t) in enumerate(cases):
+        new = got[100 + k].text[3:]
+        assert new != v and got[100 + k].n_replaced == 1
+        if k != 7:
+            assert got[k].text == t.format(new) and got[k].n_replaced == 1, t
+    assert got[7].text.endswith(got[107].text[3:]) and got[7].n_replaced == 2
