@@ -20,7 +20,7 @@ IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 YEAR_FIRST = r"(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}"
 YEAR_LAST = r"[0-9]{2}([-/.])[0-9]{2}\1(?:19|20)[0-9]{2}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-PHONE = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
+PHONE = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-]?)[2-9][0-9]{2}[ .-]?[0-9]{4}"
 _ABROAD_GROUP = r"(?:[ .-]?\(?[0-9]{2,4}\)?)"
 PHONE_ABROAD = rf"\+[2-9][0-9]{{0,2}}{_ABROAD_GROUP}{{2,4}}"
 CARD = r"[0-9]{13,19}|(?:[0-9]{4} ){3}[0-9]{1,7}|(?:[0-9]{4}-){3}[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\1[0-9]{5}"
@@ -52,7 +52,7 @@ def _any_separator(pattern: str) -> str:
                     for s in (f"[{c}]" for c in separators))
 
 
-DATE = f"(?:{_any_separator(YEAR_FIRST)}|{_any_separator(YEAR_LAST)}){_END}"
+DATE = f"(?:{_any_separator(YEAR_FIRST)}|{_any_separator(YEAR_LAST)})(?:{_END}|(?=T[0-9]))"  # or a time of day
 ANY_CARD = f"(?:{CARD.rsplit('|', 1)[0]}|{_any_separator(CARD.rsplit('|', 1)[1])}){_END}"
 IPV4_END = r"(?![0-9A-Za-z]|\.[0-9])"
 
@@ -288,7 +288,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     Returns doc_id, ``text`` and ``n_replaced``.  Found and validated are payment
     cards (Luhn), social security numbers (areas, groups and serials in use),
-    North American and other phone numbers, IBANs (modulo 97), IPv4 addresses
+    North American (also without separators) and other phone numbers, IBANs (modulo 97), IPv4 addresses
     and dates of 1900 to 2099 (yyyy-mm-dd, mm/dd/yyyy, dd/mm/yyyy with ``-``,
     ``/`` or ``.``); names of mail addresses and hexadecimal secrets get the
     same treatment.  What does not validate is left alone; the characters of a

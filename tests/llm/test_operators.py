@@ -397,3 +397,17 @@ def test_pseudonyms_behind_rejected_candidates(spark):
         if k != 7:
             assert got[k].text == t.format(new) and got[k].n_replaced == 1, t
     assert got[7].text.endswith(got[107].text[3:]) and got[7].n_replaced == 2
+
+
+def test_pseudonyms_of_plain_phone_numbers_and_timestamps(spark):
+    texts = ["+12125551234", "2125551234", "212-555-1234", "212555-1234", "2024-03-05T10:00:00Z", "2024-03-05 10:00",
+             "at 2024-03-05Texas", "1125551234", "21255512345"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {texts[r.doc_id]: r.text for r in pii.pseudonymise(df).collect()}
+    plain = got["2125551234"]
+    assert plain != "2125551234" and len(plain) == 10
+    assert got["+12125551234"] == f"+1{plain}"
+    assert got["212-555-1234"] == f"{plain[:3]}-{plain[3:6]}-{plain[6:]}" and got["212555-1234"] == f"{plain[:6]}-{plain[6:]}"
+    day = got["2024-03-05 10:00"][:10]
+    assert day != "2024-03-05" and got["2024-03-05T10:00:00Z"] == f"{day}T10:00:00Z"
+    assert all(got[t] == t for t in texts[-3:])
