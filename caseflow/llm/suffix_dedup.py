@@ -30,7 +30,7 @@ NO_ID = (1 << 63) - 1
 ALONE, MARKER, SEVERAL, COPY = range(4)
 _OTHER_VALUES = mix64(BYTE_VALUES + np.uint64(MULTIPLIER))
 
-ROWS = "k bigint, c bigint, uid bigint, info bigint"
+ROWS = "k bigint, c bigint, uid bigint, mark bigint, info bigint"
 
 
 def _info(check: np.ndarray, start: np.ndarray, lead: np.ndarray, more: np.ndarray, kind: int) -> np.ndarray:
@@ -74,39 +74,41 @@ def suffix_runs(flat: np.ndarray, offsets: np.ndarray, depth: int, digit: int) -
     return np.searchsorted(offsets, first, "right") - 1, first, last, place, grams[place], whole
 
 
-def _send(k: np.ndarray, c: np.ndarray, uid: np.ndarray, info: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, c, uid, info)], ["k", "c", "uid", "info"])
+def _send(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], ["k", "c", "uid", "mark", "info"])
 
 
-def _sift(k: np.ndarray, c: np.ndarray, uid: np.ndarray, info: np.ndarray, alone: bool) -> pa.RecordBatch:
+def _sift(k: np.ndarray, c: np.ndarray, uid: np.ndarray, mark: np.ndarray, info: np.ndarray,
+          alone: bool) -> pa.RecordBatch:
     """A task's own rows before the shuffle: of rows equal in (k, c) only the earliest is sent for comparison.
 
     With ``alone``, rows of a k that has several c are keyed by both, and one
     marker for each such k tells the other tasks; else all rows stand under k.
     No key gets more than one row of a kind from a task.
     """
-    order = np.lexsort((info, uid, c, k))
-    k, c, uid, info = k[order], c[order], uid[order], info[order]
+    order = np.lexsort((info, mark, uid, c, k))
+    k, c, uid, mark, info = k[order], c[order], uid[order], mark[order], info[order]
     new_k = np.concatenate([[True], k[1:] != k[:-1]])
     first = new_k | np.concatenate([[True], c[1:] != c[:-1]])
-    same = first | np.concatenate([[True], (uid[1:] != uid[:-1]) | (info[1:] != info[:-1])])  # repeated rows of the table
+    same = first | np.concatenate([[True], (uid[1:] != uid[:-1]) | (mark[1:] != mark[:-1])
+                                   | (info[1:] != info[:-1])])  # repeated rows of the table
     copy = ~first & same
     heads = np.flatnonzero(new_k)
     several = np.repeat(np.add.reduceat(first, heads, dtype=np.int64) > 1, np.diff(np.append(heads, len(k))))
     if not alone:
         several[:] = False
-    key = np.where(copy, mix64(uid.view(np.uint64) + info.view(np.uint64)),
+    key = np.where(copy, mix64(uid.view(np.uint64) + mark.view(np.uint64) + info.view(np.uint64)),
                    np.where(several, mix64(k ^ mix64(c)), k))
     kind = np.where(copy, COPY, np.where(several, SEVERAL, ALONE))
     sent = first | copy
     marked = k[new_k & several]
     zero = np.zeros(len(marked), np.int64)
     return _send(np.append(key[sent], marked), np.append(c[sent], zero.view(np.uint64)), np.append(uid[sent], zero),
-                 np.append(info[sent] | kind[sent], zero | MARKER))
+                 np.append(mark[sent], zero), np.append(info[sent] | kind[sent], zero | MARKER))
 
 
 def _sent_rows(parts: Iterator[tuple[np.ndarray, ...]], alone: bool) -> Iterator[pa.RecordBatch]:
-    """Gather (k, c, uid, info) rows of a task and sift them some million at a time."""
+    """Gather (k, c, uid, mark, info) rows of a task and sift them some million at a time."""
     held: list[tuple[np.ndarray, ...]] = []
     for part in parts:
         held.append(part)
@@ -118,12 +120,12 @@ def _sent_rows(parts: Iterator[tuple[np.ndarray, ...]], alone: bool) -> Iterator
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (k, c, uid, info): (uid, info, again) of runs that were seen earlier (again) and of the
+    """Over rows sorted by (k, c, uid, mark, info): (uid, mark, info, again) of runs seen earlier (again) and of the
     earliest of runs whose digit others share."""
     carried = None
     for batch in _then_end(batches):
         if batch is not None:
-            new = [batch.column(x).to_numpy() for x in ("k", "c", "uid", "info")]
+            new = [batch.column(x).to_numpy() for x in ("k", "c", "uid", "mark", "info")]
             rows = [np.concatenate(z) for z in zip(carried, new)] if carried else new
             cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last key may go on
             carried, rows = [x[cut:] for x in rows], [x[:cut] for x in rows]
@@ -131,19 +133,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = carried
         if not rows or not len(rows[0]):
             continue
-        k, c, uid, info = rows
+        k, c, uid, mark, info = rows
         kind = info & 3
         new_k = np.concatenate([[True], k[1:] != k[:-1]])
         first = new_k | np.concatenate([[True], (c[1:] != c[:-1]) | (kind[:-1] == MARKER)])
-        again = ~first & np.concatenate([[False], (uid[1:] != uid[:-1]) | (info[1:] >> 2 != info[:-1] >> 2)])
+        again = ~first & np.concatenate([[False], (uid[1:] != uid[:-1]) | (mark[1:] != mark[:-1])
+                                           | (info[1:] >> 2 != info[:-1] >> 2)])
         heads = np.flatnonzero(new_k)
         shared = np.repeat(np.add.reduceat(first, heads, dtype=np.int64) > 1, np.diff(np.append(heads, len(k))))
         again |= kind == COPY
         need = ~again & first & (shared | (kind == SEVERAL))
         out = np.flatnonzero((again | need) & (kind != MARKER))
         if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(uid[out]), pa.array(info[out] & ~3), pa.array(again[out])],
-                                             ["uid", "info", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid[out]), pa.array(mark[out]), pa.array(info[out] & ~3),
+                                              pa.array(again[out])], ["uid", "mark", "info", "again"])
 
 
 def _then_end(batches: Iterator) -> Iterator:
@@ -153,8 +156,8 @@ def _then_end(batches: Iterator) -> Iterator:
 
 def _meet(rows: DataFrame) -> DataFrame:
     """One radix pass: rows of a digit meet in a sorted partition, where the runs are compared."""
-    return (rows.repartition(shuffle_partitions(rows.sparkSession), "k").sortWithinPartitions("k", "c", "uid", "info")
-            .mapInArrow(_compare, "uid bigint, info bigint, again boolean"))
+    return (rows.repartition(shuffle_partitions(rows.sparkSession), "k").sortWithinPartitions("k", "c", "uid", "mark", "info")
+            .mapInArrow(_compare, "uid bigint, mark bigint, info bigint, again boolean"))
 
 
 def _check(text: bytes) -> int:
@@ -193,34 +196,34 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     Null text is empty; texts under ``threshold`` bytes are whole.  A null id
     counts as the largest.  Rows that repeat an id and a text are one document
     and get one result each; rows of one id with different texts are told apart
-    by 16 bits of a checksum.  Extra columns are ignored; an empty table gives
+    by 80 bits of two checksums.  Extra columns are ignored; an empty table gives
     an empty result.  Memory follows the longest text.
     """
     if not digit <= threshold <= digit + 126:
         raise ValueError("the first digit must be a part of the string, and 126 bytes shorter at most")
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("uid"), body.alias("body"),
-                        F.crc32(body).bitwiseAND(F.lit(65535)).alias("chk"))
+                        F.xxhash64(body).alias("mark"), F.crc32(body).bitwiseAND(F.lit(65535)).alias("chk"))
 
     def first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
             for batch in batches:
                 flat, offsets = flat_texts(batch.column("body"))
-                ids = batch.column("uid").to_numpy()
+                ids, marks = batch.column("uid").to_numpy(), batch.column("mark").to_numpy()
                 for a, b in row_chunks(offsets, CHUNK_BYTES):
                     ends = offsets[a:b + 1] - offsets[a]
                     part = flat[offsets[a]:offsets[b]]
                     text, first, last, place, gram, whole = suffix_runs(part, ends, threshold, digit)
                     check = np.array([_check(flat[x:y]) for x, y in zip(offsets[a:b], offsets[a + 1:b + 1])], np.int64)
-                    yield gram, whole, ids[a:b][text], _info(check[text], first - ends[text], place - first,
-                                                             last - first, 0)
+                    yield gram, whole, ids[a:b][text], marks[a:b][text], _info(
+                        check[text], first - ends[text], place - first, last - first, 0)
         yield from _sent_rows(parts(), True)
 
     def next_digits(sharing: int):
         def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
             for batch in batches:
                 flat, offsets = flat_texts(batch.column("body"))
-                ids, check = batch.column("uid").to_numpy(), batch.column("chk").to_numpy()
+                ids, marks, check = (batch.column(x).to_numpy() for x in ("uid", "mark", "chk"))
                 runs = batch.column("runs")
                 of_row, info = runs.value_parent_indices().to_numpy(), runs.flatten().to_numpy()
                 for a, b in row_chunks(offsets, CHUNK_BYTES):
@@ -239,7 +242,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
                     common = rolling.of(place - cell * sharing, place - (cell + 1) * sharing + 1 + threshold)
                     whole = RollingHash(_OTHER_VALUES[text]).of(place - far, place - near + threshold)
                     yield (mix64(common ^ mix64(cell.astype(np.uint64))),
-                           mix64(whole ^ mix64((far << 8 | near).astype(np.uint64))), ids[row],
+                           mix64(whole ^ mix64((far << 8 | near).astype(np.uint64))), ids[row], marks[row],
                            _info(check[row], place - far + offsets[a] - offsets[row], far, far - near, 0))
 
         def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,14 +281,14 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
 
     def by_text(found: DataFrame) -> DataFrame:
         """What was found in each document; a list is as long as its text at most."""
-        return found.groupBy("uid", F.shiftright("info", 47).alias("chk")).agg(F.collect_list("info").alias("runs"))
+        return found.groupBy("uid", "mark", F.shiftright("info", 47).alias("chk")).agg(F.collect_list("info").alias("runs"))
 
-    passed = materialize(_meet(texts.select("uid", "body").mapInArrow(first_digits, ROWS)))
+    passed = materialize(_meet(texts.select("uid", "mark", "body").mapInArrow(first_digits, ROWS)))
     again = passed.filter("again")
     for sharing in (SHARING, 1):
         apart = by_text(passed.filter("not again"))
-        rows = texts.join(apart, ["uid", "chk"]).select("uid", "body", "chk", "runs")
+        rows = texts.join(apart, ["uid", "mark", "chk"]).select("uid", "mark", "body", "chk", "runs")
         passed = materialize(_meet(rows.mapInArrow(next_digits(sharing), ROWS)))
         again = again.union(passed.filter("again"))
-    return (texts.join(by_text(again), ["uid", "chk"], "left").select("uid", "body", "runs")
+    return (texts.join(by_text(again), ["uid", "mark", "chk"], "left").select("uid", "body", "runs")
             .mapInArrow(cut, spark_schema))

@@ -411,3 +411,19 @@ def test_pseudonyms_of_plain_phone_numbers_and_timestamps(spark):
     day = got["2024-03-05 10:00"][:10]
     assert day != "2024-03-05" and got["2024-03-05T10:00:00Z"] == f"{day}T10:00:00Z"
     assert all(got[t] == t for t in texts[-3:])
+
+
+def test_suffix_dedup_of_many_texts_without_an_id(spark):
+    import random
+    rng = random.Random(5)
+    own = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    shared = own(120)
+    rows = [(1, shared)] + [(None, own(150 + k % 300) + (shared if k % 3 == 0 else "")) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = {t: shared in t and d is None for d, t in rows}
+    got = suffix_dedup.remove_repeats(df, with_text=True).collect()
+    whole = sorted(r.kept.decode() for r in got if not r.n_removed)
+    assert whole == sorted(t for t, cut in want.items() if not cut)
+    rest = [r for r in got if r.n_removed]
+    assert len(rest) == 1000 and all(120 <= r.n_removed < 130 and r.n_spans == 1 for r in rest)
+    assert Counter(r.n_bytes for r in rest) == Counter(len(t) for t, cut in want.items() if cut)
