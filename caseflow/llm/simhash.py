@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.running import shuffle_partitions
@@ -51,16 +51,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every whole text; fp holds the 64 bits as a signed long."""
+    """(doc_id, fp, digest) of every whole text; fp holds the 64 bits as a signed long."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = flat_texts(batch.column("text"))
             fps = np.fromiter((fingerprint(flat[a:b].tobytes(), shingle) for a, b in zip(offsets[:-1], offsets[1:])),
                               np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("digest")],
+                                             ["doc_id", "fp", "digest"])
 
-    return (docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-            .mapInArrow(hashed, "doc_id bigint, fp bigint"))
+    return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _digest().alias("digest"))
+            .mapInArrow(hashed, "doc_id bigint, fp bigint, digest string"))
+
+
+def _digest() -> Column:
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
 
 
 def signatures(fps: DataFrame) -> DataFrame:
@@ -188,23 +193,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     the least; a component without any other has a null component_id.  Extra
     columns are ignored; an empty table gives an empty result.
     """
-    known = materialize(fingerprints(docs, shingle))
-    nodes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(nodes.select("fp"), distance))
-    rooted = materialize(nodes.join(root, nodes.fp == root.node, "left")
-                         .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    known, rooted = _rooted(docs, shingle, distance)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
     return (known.join(of_fp, "fp")
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
+def _rooted(docs: DataFrame, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, least, first, root) of each different one: its least id, its first row
+    by (id, digest) with null ids last, and a fingerprint that names its component."""
+    known = materialize(fingerprints(docs, shingle))
+    nodes = materialize(known.groupBy("fp").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first")))
+    root = components(links(nodes.select("fp"), distance))
+    rooted = materialize(nodes.join(root, nodes.fp == root.node, "left")
+                         .select("fp", "least", "first", F.coalesce("root", "fp").alias("root")))
+    return known, rooted
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, with all their columns.
+    """One row of each component of ``docs``, with all its columns: the one of the least id.
 
-    Rows of one id are one document and stay together.
+    Null ids come last; of rows of that id the one of the least text digest stays, and
+    a repeated row stays once.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
-    stay = (near_duplicates(docs, shingle, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(key).distinct())
-    return docs.select(key, F.struct("*").alias("row")).join(stay, "id", "left_semi").select("row.*")
+    _, rooted = _rooted(docs, shingle, distance)
+    key = lambda doc_id: F.coalesce(doc_id.cast("string"), F.lit("")).alias("id")
+    stay = (rooted.groupBy("root").agg(F.min("first").alias("first"))
+            .select(key(F.col("first.doc_id")), F.col("first.digest").alias("digest")))
+    rows = docs.select(key(F.col("doc_id").cast("bigint")), _digest().alias("digest"), F.struct("*").alias("row"))
+    return (rows.join(stay, ["id", "digest"], "left_semi")
+            .withColumn("nth", F.row_number().over(Window.partitionBy("id", "digest").orderBy("digest")))
+            .filter("nth = 1").select("row.*"))

@@ -427,3 +427,12 @@ def test_suffix_dedup_of_many_texts_without_an_id(spark):
     rest = [r for r in got if r.n_removed]
     assert len(rest) == 1000 and all(120 <= r.n_removed < 130 and r.n_spans == 1 for r in rest)
     assert Counter(r.n_bytes for r in rest) == Counter(len(t) for t, cut in want.items() if cut)
+
+
+def test_simhash_keeps_one_row_of_each_group(spark):
+    text = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    a, b, c, d = (text(x, 300) for x in "abcd")
+    rows = [(None, a), (None, a), (None, b), (5, b), (5, c), (3, c), (5, b), (7, d)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = simhash.keep_one(df).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, a), (5, b), (3, c), (7, d)])
