@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseflow.llm.alignment import align
+from caseflow.llm.binary_packing import decompose
+from caseflow.llm.collocations import collocations
 from caseflow.llm.common import table
 from caseflow.llm.exact_dedup import exact_dedup
 from caseflow.llm.langid import fit_languages, identify_languages
@@ -72,6 +75,21 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut into sequences whose lengths are powers of two up to 4096."""
+    return decompose(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE and sentencepiece tokens of all documents, aligned where both end."""
+    return align(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language over all documents."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
@@ -83,6 +101,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_packed_sequences": op9_packed_sequences,
     "op10_byte_shards": op10_byte_shards,
+    "op11_binary_packing": op11_binary_packing,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE = {
@@ -120,5 +141,37 @@ drawn AS (
           / 4503599627370496.0::DOUBLE < r.rate - floor(r.rate) THEN 1 ELSE 0 END)::INT AS copies
   FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM drawn
+""",
+    "op13_collocations": """
+WITH low AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM low),
+worded AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2),
+                                           lambda i: array_to_string(w[i:i + size - 1], ' '))) AS gram
+  FROM worded, (VALUES (1), (2), (3), (4)) AS s(size) WHERE len(w) >= size),
+f AS (SELECT lang, size, gram, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(gram, ' ') AS w FROM f WHERE size > 1 AND f >= 30),
+longer AS (
+  SELECT lang, sub, max(f) AS inside FROM (
+    SELECT lang, f, unnest(list_transform(range(1, size - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS sub
+    FROM candidates, (VALUES (2), (3)) AS s(n) WHERE n < size) GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN longer o ON c.lang = o.lang AND c.gram = o.sub
+  WHERE inside IS NULL OR 100::HUGEINT * inside < 80::HUGEINT * f),
+cuts AS (
+  SELECT k.lang, k.gram, k.f AS a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * k.f // (x.f + y.f))::BIGINT AS score
+  FROM kept k JOIN (VALUES (1), (2), (3)) AS s(cut) ON cut < k.size
+  JOIN f x ON x.lang = k.lang AND x.size = cut AND x.gram = array_to_string(k.w[1:cut], ' ')
+  JOIN f y ON y.lang = k.lang AND y.size = k.size - cut AND y.gram = array_to_string(k.w[cut + 1:], ' ')),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(gram)) AS rank,
+       gram AS phrase, a, l, r, n, score, cut
+FROM least JOIN totals USING (lang)
+QUALIFY rank <= 2000
 """,
 }
