@@ -19,11 +19,11 @@ LONGEST, MIN_COUNT, TOP = 4, 30, 2000
 #: Per cent of a phrase's occurrences inside one longer phrase at which it is dropped.
 INSIDE_PCT = 80
 #: Texts are cut into words together until they have this many bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Words whose graph a task builds together, and edges of one path at most (longer ones are parted).
-REGION_WORDS, PATH_EDGES = 1_500_000, 256
+REGION_WORDS, PATH_EDGES = 400_000, 256
 #: Pair hashes that a task counts together.
-PAIRS_TOGETHER = 2_000_000
+PAIRS_TOGETHER = 1_000_000
 #: Bits of the set of frequent pairs: 16 for each of them, between these powers of two (16 MB at most).
 LEAST_BITS, MOST_BITS = 16, 27
 
