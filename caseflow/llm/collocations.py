@@ -24,6 +24,8 @@ CHUNK_BYTES = 1 << 20
 REGION_WORDS, PATH_EDGES = 400_000, 256
 #: Pair hashes that a task counts together.
 PAIRS_TOGETHER = 1_000_000
+#: Groups in which a language's phrases are ranked before the best of them are.
+RANK_GROUPS = 64
 #: Bits of the set of frequent pairs: 16 for each of them, between these powers of two (16 MB at most).
 LEAST_BITS, MOST_BITS = 16, 27
 
@@ -276,6 +278,8 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, in
     score = F.expr("(cast(a as decimal(20,0)) * 2000000) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
     scored = (cuts.groupBy("lang", "gram", "a").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("least"))
               .select("lang", F.col("gram").alias("phrase"), "a", "least.*"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    best = scored.withColumn("group", F.pmod(F.xxhash64("phrase"), F.lit(RANK_GROUPS)))
+    for keys in (["lang", "group"], ["lang"]):  # the best of each group, then of them
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= top)
     return best.join(n_words, "lang").select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score", "cut")
