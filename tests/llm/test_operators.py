@@ -88,19 +88,46 @@ def test_quality(docs):
     assert any(r.kept for r in got) and any(not r.kept for r in got)
 
 
-@pytest.mark.parametrize("keep", ["max", "min"])
-def test_exact_dedup(docs, rows, keep):
+@pytest.mark.parametrize("keep,hot_rows", [("max", None), ("min", None), ("max", 2), ("min", 1)])
+def test_exact_dedup(docs, rows, keep, hot_rows):
     groups = defaultdict(list)
     for d, t, *_ in rows:
         groups[t or ""].append(d)
     best = {t: {"max": max, "min": min}[keep]((d for d in g if d is not None), default=None) for t, g in groups.items()}
     want = Counter((d, best[t or ""], len(groups[t or ""]), hashlib.sha256(utf8(t)).hexdigest()) for d, t, *_ in rows)
-    got = exact.exact_dedup(docs, keep, blocks=3).collect()
+    got = exact.exact_dedup(docs, keep, hot_rows=hot_rows).collect()
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
     kept = [(r.doc_id, r.text_sha256) for r in got if r.kept]
     assert sorted(h for _, h in kept) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in groups)
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
-    assert sorted(Counter(r.text or "" for r in exact.keep_one(docs, keep).collect()).values()) == [1] * len(groups)
+    stay = exact.keep_one(docs, keep, hot_rows).collect()
+    assert Counter((r.doc_id, r.text or "") for r in stay) == Counter((best[t], t) for t in groups)
+
+
+def test_exact_dedup_decides_nothing_by_a_digest(docs, monkeypatch):
+    plain = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(docs).collect())
+    for name in ("sha2", "md5"):
+        monkeypatch.setattr(exact.F, name, lambda *a: F.lit("one digest for all"))
+    for hot_rows in (None, 2):
+        got = exact.exact_dedup(docs, hot_rows=hot_rows).collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == plain
+        assert {r.text_sha256 for r in got} == {"one digest for all"}
+
+
+def test_exact_dedup_of_one_key_and_of_a_hot_text_without_ids(spark):
+    front, end = "f" * 40, "e" * 40
+    same_key = [(k, front + f"{k % 5}" + "m" * 100 + end) for k in range(60)]  # front, middle, end and length agree
+    df = spark.createDataFrame(same_key + [(None, "hot")] * 300 + [(7, "hot"), (7, "hot"), (1000, "x" * 3_000_000),
+                                                                   (1001, "x" * 3_000_000)], "doc_id long, text string")
+    df = df.repartition(6)
+    for hot_rows in (None, 10):
+        got = exact.exact_dedup(df, hot_rows=hot_rows).collect()
+        assert Counter((r.keep_id, r.group_size) for r in got if r.kept) == Counter(
+            {(7, 302): 1, (1001, 2): 1} | {(55 + k, 12): 1 for k in range(5)})
+        assert sorted(r.doc_id for r in exact.keep_one(df, hot_rows=hot_rows).collect()) == [7, 55, 56, 57, 58, 59, 1001]
+    sizes = (exact.content_sorted(df.select("doc_id", F.col("text").alias("body")), "max", 10)
+             .filter("body = 'hot'").groupBy("stretch").count().collect())
+    assert len(sizes) > 20 and max(r["count"] for r in sizes) < 40  # rows without an id are spread as well
 
 
 def test_simhash(docs, rows):
