@@ -20,11 +20,13 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 1
 #: A bin with no more free room than this share is emitted at once.
 NEARLY = 1 / 128
-#: Underfull bins that a task hands on to the next round; of several, the emptiest.
-HANDED_ON = 256
 #: Tasks whose bins meet in one task of the next round.
 FAN_IN = 16
-#: Pieces that a worker packs together in the first round.
+#: Underfull bins that a task hands on to the next round, the emptiest ones.  Bins merge only if one of them is at
+#: most half full; a task has one such bin at most, so each round brings FAN_IN of them together, and over the 16
+#: rounds that 2**64 tasks would take they could fill this many others.  A bin beyond it would never be chosen.
+HANDED_ON = 16 * FAN_IN
+#: Pieces that a task packs together in the first round, on average.
 PIECES_TOGETHER = 100_000
 #: Words of up to so many bytes whose ids a worker keeps, and how many of them.
 REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64
@@ -131,7 +133,7 @@ def _pack(items: list[list[tuple]], capacity: int) -> tuple[list[list[tuple]], l
     return full, rest
 
 
-def _bins(done: list[list[tuple]], rest: list[list[tuple]], round_no: int, first: int, last_round: bool) -> pa.RecordBatch:
+def _bins(done: list[list[tuple]], rest: list[list[tuple]], round_no: int, last_round: bool) -> pa.RecordBatch:
     """Rows for the bins of a task; only the emptiest ``HANDED_ON`` of the underfull ones stay open."""
     rest = sorted(rest, key=lambda b: sum(p[3] for p in b))
     open_bins = [] if last_round else rest[:HANDED_ON]
@@ -143,7 +145,7 @@ def _bins(done: list[list[tuple]], rest: list[list[tuple]], round_no: int, first
         for p in pieces:
             placed.append(dict(zip(PIECE.names, (*p[:5], offset))))
             offset += p[3]
-        rows.append((round_no << 56 | part << 32 | first + k, part, offset, k < len(bins) - len(open_bins), placed))
+        rows.append((round_no << 56 | part << 32 | k, part, offset, k < len(bins) - len(open_bins), placed))
     columns = list(zip(*rows)) or [()] * 5
     types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(PIECE)]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
@@ -158,63 +160,64 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER)
     A document is its tokenizer ids and the end id; only longer ones are cut,
     into full pieces and a rest.
 
-    Round 0 reads the documents where they lie: each task encodes its texts and
-    packs its pieces best-fit (no text is shuffled).  Nearly full bins are
+    The documents are encoded where they lie (no text is shuffled), and their
+    pieces (id, length, checksum) are dealt over tasks by a hash of their place, so
+    that each task of the first round gets a fair sample of all lengths however
+    the input is ordered.  There they are packed best-fit.  Nearly full bins are
     emitted; the emptiest underfull ones (``HANDED_ON`` a task) go on as items
     to the next round, in which ``FAN_IN`` tasks' bins meet, until one task is
-    left.  Two bins of a task that are at most half full would have been one,
-    so besides one bin a task, what goes on can only be topped up; underfull bins
-    beyond the limit are emitted as they are.  A task of a later round thus
+    left.  Underfull bins that are not handed on could not have been filled up
+    (see ``HANDED_ON``).  A task of a later round thus
     reads FAN_IN * HANDED_ON bins at most, and a bin holds ``capacity`` pieces
     at most, whatever the size of the corpus.  Each round is written once, so
     the ids of its bins stay what they are if an executor is lost.
 
     Null text is empty: its document is the end id alone.  Rows that repeat an
     id are packed one by one; extra columns are ignored; an empty table gives an
-    empty result.  Memory follows the longest text.
+    empty result.  Equal lengths are packed in any order.  Memory follows the longest text.
     """
-    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(tokenizer if "/" in tokenizer else tokenizer_path(tokenizer))
-        end = np.array([END_ID], "<u4").tobytes()
-        items, open_bins, made = [], [], 0
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal items, open_bins, made
-            done, open_bins = _pack(open_bins + items, capacity)
-            items = []
-            out = _bins(done, open_bins if last else [], 0, made, False)
-            made += out.num_rows
-            yield out
-
+        end, place = np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId() << 40
         for batch in batches:
             flat, offsets = flat_texts(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
             for a, b in row_chunks(offsets, CHUNK_BYTES):
                 texts = [flat[offsets[k]:offsets[k + 1]].tobytes() for k in range(a, b)]
+                rows = []
                 for doc_id, ids in zip(doc_ids[a:b], encode.of(texts)):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at:at + 4 * capacity]
-                        items.append([(doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))])
-            if len(items) >= PIECES_TOGETHER:
-                yield from flush(False)
-        yield from flush(True)
+                        rows.append((place + len(rows), doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                place += len(rows)
+                columns = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, [pa.int64(), *(f.type for f in PIECE)])],
+                    ["place", *PIECE.names[:5]])
+
+    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = [[piece] for batch in batches
+                 for piece in zip(*(batch.column(c).to_pylist() for c in PIECE.names[:5]))]
+        yield _bins(*_pack(items, capacity), 0, False)
 
     def next_round(round_no: int, last: bool):
         def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = [[tuple(p.values()) for p in pieces]
                      for batch in batches for pieces in batch.column("pieces").to_pylist()]
-            yield _bins(*_pack(items, capacity), round_no, 0, last)
+            yield _bins(*_pack(items, capacity), round_no, last)
         return merged
 
-    bins = materialize(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(first_round, BIN_SCHEMA))
-    rounds, round_no = [bins], 0
-    parts = (bins.agg(F.max("part")).first()[0] or 0) + 1
+    pieces = materialize(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(
+        encoded, "place bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"))
+    dealt = pieces.repartition(max(1, -(-pieces.count() // PIECES_TOGETHER)), "place")
+    bins = materialize(dealt.mapInArrow(first_round, BIN_SCHEMA))
+    rounds, parts = [bins], (bins.agg(F.max("part")).first()[0] or 0) + 1
     while True:
-        round_no, parts = round_no + 1, -(-parts // FAN_IN)
+        parts = -(-parts // FAN_IN)
         group = F.floor(F.col("part") / FAN_IN)
         met = bins.filter("not done").withColumn("part", group.cast("int")).repartition(parts, "part")
-        bins = materialize(met.mapInArrow(next_round(round_no, parts == 1), BIN_SCHEMA))
+        bins = materialize(met.mapInArrow(next_round(len(rounds), parts == 1), BIN_SCHEMA))
         rounds.append(bins)
         if parts == 1:
             break

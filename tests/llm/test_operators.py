@@ -409,6 +409,21 @@ def test_sharding_keeps_small_groups_whole_and_parts_large_ones(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 40
 
 
+@pytest.mark.parametrize("together", [100_000, 150])
+def test_packing_of_input_ordered_by_length(spark, monkeypatch, together):
+    monkeypatch.setattr(packing, "PIECES_TOGETHER", together)
+    df = spark.range(1600).selectExpr("id as doc_id", "repeat('a ', if(id < 800, 2399, 1599)) as text").repartitionByRange(8, "doc_id")
+    got = packing.pack(df).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert sum(r.n for r in got) == 800 * 4000 and max(r.n for r in got) <= 4096
+    assert len(got) <= 830  # 800 are the fewest possible
+
+
+def test_packing_of_copies_without_ids(spark):
+    df = spark.range(500).selectExpr("cast(null as bigint) as doc_id", "repeat('a ', 1023) as text").repartition(5)
+    got = packing.pack(df).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert [r.n for r in got] == [4096] * 125
+
+
 def test_pseudonyms_behind_rejected_candidates(spark):
     values = ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "4111 1111 1111 1111"]
     texts = ["pay {} BIC: CAIXESBB", "pay {} EUR", "in 2024 {} paid", "REF ID42 CARD {}", "call +49 151 2345 6789 2024 {}"]
