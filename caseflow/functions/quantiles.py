@@ -67,7 +67,8 @@ def exact_quantiles_by(df: DataFrame, group: list[str], col: str, qs: list[float
         F.struct(F.lit("lo").alias("w"), (F.floor("p") + 1 + F.col("_start")).cast("long").alias("_r")),
         F.struct(F.lit("hi").alias("w"), (F.ceil("p") + 1 + F.col("_start")).cast("long").alias("_r")))).alias("_k")) \
         .select(*group, "qi", "p", "_k.w", "_k._r")
-    got = ranked.join(need, [*group, "_r"])
+    # a rank lies in one group only, so it alone is the key: a null group joins as any other
+    got = ranked.drop(*group).join(need, "_r")
     per_q = got.groupBy(*group, "qi").agg(F.first("p").alias("p"),
                                            F.max(F.when(F.col("w") == "lo", F.col("_v"))).alias("lo"),
                                            F.max(F.when(F.col("w") == "hi", F.col("_v"))).alias("hi"))

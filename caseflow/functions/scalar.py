@@ -68,20 +68,21 @@ def calendar_features(ts: Column | str, prefix: str = "feat_prefix_end_") -> lis
 def parse_activities(c: Column | str) -> Column:
     """Parse an activity list given as JSON array, JSON scalar, or ``,`` / ``;`` text (SCL-9).
 
-    The elements of a JSON array are taken as they are, and any other JSON value is one
-    activity with the text it has.  Other text is split at commas if it has one, else
+    The elements of a JSON array are taken as text (``True``, ``False`` and ``None`` for its
+    literals), and any other JSON value is one activity with the text it has.  Other text is split at commas if it has one, else
     at semicolons, and its parts are trimmed; empty parts stay.  Null and empty text have no activities.
     """
     c = F.col(c) if isinstance(c, str) else c
     s = c.cast("string")
     bare = F.trim(s)
-    json_array = F.when(bare.startswith("["), F.from_json(s, "array<string>"))
-    json_value = (bare.rlike(r'^"([^"\\\\]|\\\\.)*"$') | bare.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
+    json_array = F.when(bare.startswith("["), F.try_parse_json(s).try_cast("array<variant>"))
+    json_value = (bare.rlike(r'^"([^"\\]|\\.)*"$') | bare.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
                   | bare.isin("true", "false", "null")
                   | (bare.startswith("{") & F.from_json(s, "map<string,string>").isNotNull()))
     parts = F.when(s.contains(","), F.split(s, ",")).when(s.contains(";"), F.split(s, ";")).otherwise(F.array(s))
     return (F.when(s.isNull() | (s == ""), F.array().cast("array<string>"))
-            .when(json_array.isNotNull(), F.transform(json_array, lambda x: F.coalesce(x, F.lit("None"))))
+            .when(json_array.isNotNull(), F.transform(json_array, lambda x: F.when(
+                F.schema_of_variant(x) == "BOOLEAN", F.initcap(x.cast("string"))).otherwise(F.coalesce(x.cast("string"), F.lit("None")))))
             .when(json_value, F.array(s))
             .otherwise(F.transform(parts, lambda x: F.trim(x))))
 

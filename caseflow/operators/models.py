@@ -139,7 +139,7 @@ def ridge_penalty(train: DataFrame, task: TaskSpec, alpha: float = 1.0) -> float
     Spark divides the loss by the number of rows and a linear regression's label
     by its spread, so the penalty is alpha / n, times the label's spread for a regression.
     """
-    r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("label").alias("spread")).first()
+    r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("spread")).first()
     return alpha / max(1, r["n"]) * (1.0 if task.task_type == "classification" else float(r["spread"] or 1.0))
 
 

@@ -186,6 +186,51 @@ def running_case_prefixes(log: DataFrame, max_prefix_len: int | None = None, inc
     return j.select(*out)
 
 
+def running_case_state(log: DataFrame, positions: int = 30, include_case_attributes: bool = True,
+                       include_event_attributes: bool = True, feat_prefix: str = "feat_",
+                       case_out_prefix: str = "case__", event_out_prefix: str = "event_last__") -> DataFrame:
+    """INF-1 without a list as long as the case: one scoring row per running case, of bounded size.
+
+    ``activity_counts`` (a map: how often each activity came), ``prefix_activities``
+    (the first ``positions`` only, for positional features), ``last_activity``, and the same times and attributes as
+    :func:`running_case_prefixes`.  A row is as long as the alphabet and ``positions``.
+
+    Every part is added up in the tasks before its shuffle: counts by (case,
+    activity) and then by case, attributes as ``min_by`` / ``max_by``, and the first
+    and last events by ranks that Catalyst cuts off inside each task
+    (WindowGroupLimit).  A case as long as the log thus sends each task's few
+    rows, and no task holds its events.
+    """
+    case_cols = case_attribute_columns(log) if include_case_attributes else []
+    ev_cols = event_attribute_columns(log, case_cols, exclude=["case:endDate", "endDate", "case:end_time", "end_time"]) \
+        if include_event_attributes else []
+    act = F.coalesce(F.col(ACT), F.lit("UNKNOWN"))
+    order = F.struct(TS, IDX)
+    aggs = [F.count(F.lit(1)).alias("prefix_len"), F.min(TS).alias("_start"), F.max(TS).alias("prefix_end_time"),
+            F.max_by(act, order).alias("last_activity")]
+    for c in case_cols:
+        aggs.append(F.min_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), order))
+                    .alias(f"{case_out_prefix}{c[5:] if c.startswith('case:') else c}"))
+    for c in ev_cols:
+        aggs.append(F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), order)).alias(f"{event_out_prefix}{c}"))
+    counts = (log.groupBy(CASE, act.alias("_a")).agg(F.count(F.lit(1)).alias("_n")).groupBy(CASE)
+              .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_a", "_n")))).alias("activity_counts")))
+    events = log.select(CASE, TS, IDX, act.alias("_a"))
+    first = (events.withColumn("_r", F.row_number().over(Window.partitionBy(CASE).orderBy(TS, IDX)))
+             .where(F.col("_r") <= positions).groupBy(CASE)
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_a"))), lambda e: e["_a"]).alias("prefix_activities")))
+    before_last = (events.withColumn("_r", F.row_number().over(Window.partitionBy(CASE).orderBy(F.desc(TS), F.desc(IDX))))
+                   .where(F.col("_r") <= 2).where(F.col("_r") == 2).select(CASE, F.col(TS).alias("_prev_ts")))
+    state = (log.groupBy(CASE).agg(*aggs).join(counts, CASE).join(first, CASE).join(before_last, CASE, "left")
+             .withColumn("prefix_len", F.col("prefix_len").cast("int")))
+    elapsed = F.greatest(F.coalesce(seconds_between("_start", "prefix_end_time"), F.lit(0.0)), F.lit(0.0))
+    since = F.greatest(F.coalesce(seconds_between("_prev_ts", "prefix_end_time"), F.lit(0.0)), F.lit(0.0))
+    return state.select("*", elapsed.alias(f"{feat_prefix}elapsed_time_sec"), since.alias(f"{feat_prefix}time_since_last_event_sec"),
+                        log1p_nonneg(elapsed).alias(f"{feat_prefix}elapsed_time_log1p"),
+                        log1p_nonneg(since).alias(f"{feat_prefix}time_since_last_log1p"),
+                        *calendar_features("prefix_end_time", prefix=f"{feat_prefix}prefix_end_")).drop("_start", "_prev_ts")
+
+
 def prefix_qc(prefixes: DataFrame) -> DataFrame:
     """PFX-6: rows, cases, max prefix length."""
     return prefixes.agg(F.count(F.lit(1)).cast("bigint").alias("n_prefix_rows"),

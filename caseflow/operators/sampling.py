@@ -179,7 +179,7 @@ def case_quantile_exemplars(df: DataFrame, label_col: str, n_examples: int = 3,
     fill_n = n_examples - len(qs)
     if fill_n > 0:
         rest = reps.join(picked.select(CASE), CASE, "left_anti")
-        fill = (rest.orderBy(F.xxhash64(F.lit(seed), F.col(CASE)), F.col(CASE)).limit(fill_n)
+        fill = (rest.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(CASE))), F.col(CASE)).limit(fill_n)
                 .withColumn("_pick", F.lit(len(qs) + 1)))
         picked = picked.unionByName(fill)
     return picked

@@ -527,13 +527,15 @@ def q_load_qc(spark, sf_dir):
 
 
 def q_parse_activities(spark, sf_dir):
-    """SCL-9: activity lists given as JSON array / JSON scalar / ';' or ',' text."""
+    """SCL-9: activity lists given as JSON array / JSON scalar / ';' or ',' text; escapes and literals in JSON."""
     from caseflow.functions.scalar import parse_activities
     e = _events(spark, sf_dir)
-    m = F.col("event_id") % 4
+    m = F.col("event_id") % 6
     text = (F.when(m == 0, F.concat(F.lit('["'), F.col("event_type"), F.lit('", "x"]')))
             .when(m == 1, F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
             .when(m == 2, F.concat(F.col("event_type"), F.lit("; y ;z")))
+            .when(m == 4, F.concat(F.lit('"'), F.col("event_type"), F.lit('\\",z"')))
+            .when(m == 5, F.concat(F.lit('[true, null, 7, "'), F.col("event_type"), F.lit('\\n,;"]')))
             .otherwise(F.concat(F.col("event_type"), F.lit(", ,w"))))
     return e.select("event_id", F.concat_ws(">", parse_activities(text)).alias("activities"))
 
@@ -871,6 +873,9 @@ QUERIES.update({
 # ---------------------------------------------------------------- sources round trips, ablation, ML (rows-only)
 import uuid  # noqa: E402
 
+from caseflow.functions.scalar import small_side  # noqa: E402
+from caseflow.session import materialize  # noqa: E402
+
 
 def _scratch(spark, name: str) -> str:
     from caseflow.session import checkpoint_dir
@@ -1037,31 +1042,70 @@ def q_batch_scoring(spark, sf_dir):
     return score_running_cases(customer_case_log(spark, sf_dir), bk, enc, models, task, target_log1p=True)
 
 
+def _state_columns(df):
+    """A running case's state as plain columns."""
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("activity_counts")),
+                                      lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ">")
+    return df.select("case_id", "prefix_len", "last_activity", counts.alias("activity_counts"),
+                     F.concat_ws(">", "prefix_activities").alias("first_activities"), ntz("prefix_end_time").alias("prefix_end_time"),
+                     round_half_up("feat_elapsed_time_sec", 3).alias("feat_elapsed_time_sec"),
+                     round_half_up("feat_time_since_last_event_sec", 3).alias("feat_time_since_last_event_sec"),
+                     *[c for c in df.columns if c in ("prop_k", "predicted_remaining_sec")])
+
+
+def q_running_case_state(spark, sf_dir):
+    """INF-1: state of each user's case at its latest event, of bounded size (counts, first 12 activities, last attribute)."""
+    state = prefixes.running_case_state(testlogs.user_log(spark, sf_dir), positions=12)
+    return _state_columns(state.withColumnRenamed("event_last__prop_k", "prop_k"))
+
+
 def q_stream_scoring(spark, sf_dir):
-    """STR-1: running-case state kept by applyInPandasWithState over the events table read as a
-    file stream, scored in the streaming plan by an encoder + linear model fitted on the batch
-    prefixes of the same table (rows-only)."""
-    from caseflow.operators.encoding import fit_encoder
-    from caseflow.streaming.running_cases import prefix_features, running_prefix_stream
-    batch = prefixes.extract_prefixes(testlogs.user_log(spark, sf_dir), include_event_attributes=False)
-    enc = fit_encoder("last_state", batch)
-    task = mdl.default_task_specs()["remaining_time"]
-    model, _ = mdl.fit_predict(enc.transform(batch), enc.transform(batch).limit(1), task, "linear")
-    src = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = (spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
-    ev = stream.select(F.col("user_id").cast("string").alias("case_id"), F.col("event_type").alias("activity"),
-                       F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("_event_index"))
-    scored = model.transform(enc.transform(prefix_features(running_prefix_stream(ev))))
-    name = f"running_{uuid.uuid4().hex[:8]}"
-    q = (scored.select("case_id", "prefix_len", "feat_elapsed_time_sec",
-                       F.concat_ws(">", "prefix_activities").alias("prefix_path"),
-                       F.greatest(F.col("prediction"), F.lit(0.0)).alias("predicted_remaining_sec"))
-         .writeStream.outputMode("update").format("memory").queryName(name)
-         .option("checkpointLocation", _scratch(spark, "stream-ckpt")).start())
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name)
+    """STR-1: the events as a stream of several batches; state of each case kept across them, scored by the
+    smoothed mean remaining time of its last activity (learned from the batch prefixes), written epoch by epoch."""
+    from caseflow.functions.scalar import attach_scalars
+    from caseflow.streaming.running_cases import STATE_STORE, latest_state, running_case_stream, score_stream
+    log = testlogs.user_log(spark, sf_dir)
+    means = materialize(mdl.mean_by_last_activity(prefixes.extract_prefixes(log, include_event_attributes=False)))
+    source, out = _scratch(spark, "stream-source"), _scratch(spark, "stream-out")
+    log.repartitionByRange(6, "timestamp", "_event_index").write.parquet(source)
+
+    def score(cases):
+        known = attach_scalars(cases.join(small_side(means.select(F.col("_la").alias("last_activity"), "_enc")), "last_activity", "left"),
+                               means.agg(F.first("_gm").alias("_gm")))
+        return known.withColumn("predicted_remaining_sec", F.coalesce("_enc", "_gm")).drop("_enc", "_gm")
+
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        query = score_stream(running_case_stream(stream, 12, last_values=["prop_k"]), out, _scratch(spark, "stream-ckpt"), score)
+        query.awaitTermination()
+        if query.exception():
+            raise query.exception()
+    finally:
+        spark.conf.set(STATE_STORE[0], before) if before else spark.conf.unset(STATE_STORE[0])
+    latest = latest_state(spark, out).withColumn("prop_k", F.col("attributes")["prop_k"].cast("bigint"))
+    return _state_columns(latest.withColumn("predicted_remaining_sec", round_half_up("predicted_remaining_sec", 3)))
+
+
+def q_bucket_regression(spark, sf_dir):
+    """MOD-1 / MOD-4 / MOD-6: a linear model of remaining time for each adaptive bucket, all fitted in one pass
+    (elapsed time and prefix length, no penalty); val predictions."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from caseflow.operators.bucketing import PrefixLenAdaptive, bucketize
+    from caseflow.operators.least_squares import fit_buckets, predict_buckets
+    b, _ = bucketize(model_frame(spark, sf_dir), PrefixLenAdaptive())
+    data = VectorAssembler(inputCols=["feat_elapsed_time_sec", "prefix_len"], outputCol="features").transform(b) \
+        .withColumn("label", F.col("label_remaining_time_sec"))
+    pred = predict_buckets(data.where("split = 'val'"), fit_buckets(data.where("split = 'train'"), alpha=0.0))
+    return _r(pred.select("case_id", "prefix_len", "bucket_id", "model_bucket", "y_true", "y_pred"), {"y_true": 2, "y_pred": 0})
+
+
+QUERIES.update({
+    "running_case_state": q_running_case_state,
+    "bucket_regression": q_bucket_regression,
+})
 
 
 QUERIES.update({
@@ -1237,37 +1281,30 @@ QUERIES.update({
 })
 
 
+def task_frame(spark, sf_dir):
+    """The modelling frame with an outcome (does the customer's last order have a high priority)."""
+    from caseflow.operators.splits import attach_split, split_cases
+    log = customer_case_log(spark, sf_dir)
+    cases = labels.case_table(log, outcome_col="o_orderpriority", outcome_values="1-URGENT,2-HIGH")
+    return materialize(attach_split(prefixes.extract_prefixes(log, cases), split_cases(log)))
+
+
 def q_compare_tasks(spark, sf_dir):
-    """EXP-2: task x bucketer x encoder comparison in one long table (rows-only)."""
-    from caseflow.plans.strategy import strategy_search
-    from caseflow.session import materialize
-    mf = model_frame(spark, sf_dir)
+    """EXP-2: three tasks x five bucketers x four encoders, each with one-pass linear models (rows-only)."""
+    from caseflow.operators.encoding import ENCODERS
+    from caseflow.plans.strategy import compare_tasks
     specs = mdl.default_task_specs()
-    parts = [materialize(strategy_search(mf, specs[t], ["no_bucket"], ["last_state"], kind="linear"), "persist").drop("metrics")
-             for t in ("remaining_time", "next_activity")]
-    return parts[0].unionByName(parts[1])
+    return compare_tasks(task_frame(spark, sf_dir), [specs[t] for t in ("next_activity", "remaining_time", "outcome")],
+                         ["no_bucket", "prefix_len_bins", "prefix_len_adaptive", "last_activity", "cluster"], ENCODERS,
+                         min_bucket_samples=300).drop("metrics")
 
 
 def q_encoder_per_bucket(spark, sf_dir):
-    """EXP-6: per adaptive bucket, the encoder with the lowest val MAE, with bucket sizes (rows-only)."""
-    from caseflow.operators.bucketing import PrefixLenAdaptive
-    from caseflow.operators.encoding import fit_encoder
-    from caseflow.plans.strategy import best_encoder_per_bucket
-    mf = model_frame(spark, sf_dir)
-    tr = mf.where("split = 'train'")
-    b = PrefixLenAdaptive().fit(tr).assign(mf)
+    """EXP-6: per adaptive bucket, the encoder whose own model of the bucket has the lowest val MAE (rows-only)."""
+    from caseflow.operators.encoding import ENCODERS
+    from caseflow.plans.strategy import encoder_choice_per_bucket
     task = mdl.default_task_specs()["remaining_time"]
-    scores = None
-    for e in ("last_state", "aggregation"):
-        enc = fit_encoder(e, tr)
-        data = enc.transform(b)
-        _, pred = mdl.fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, "linear")
-        s = met.regression_errors(pred, group=["bucket_id"]).select("bucket_id", F.lit(e).alias("encoding"),
-                                                                    F.col("mae_days").alias("score"), "n")
-        scores = s if scores is None else scores.unionByName(s)
-    best = best_encoder_per_bucket(scores, higher_is_better=False)
-    return best.withColumn("weighted_score", F.sum(F.col("score") * F.col("n")).over(Window.partitionBy())
-                           / F.sum("n").over(Window.partitionBy()))
+    return encoder_choice_per_bucket(model_frame(spark, sf_dir), task, "prefix_len_adaptive", ENCODERS, 300, target_log1p=True)
 
 
 def q_resumable_results(spark, sf_dir):
@@ -1378,9 +1415,9 @@ def q_case_quantile_exemplars(spark, sf_dir):
 
 
 def q_case_exemplars_fill(spark, sf_dir):
-    """SRT-4 with random fill to 8 examples (seeded hash order; rows-only)."""
+    """SRT-4 with random fill to 8 examples (in a seeded hash order)."""
     v = model_frame(spark, sf_dir).where(F.col("split") == "val")
-    return smp.case_quantile_exemplars(v, "label_remaining_time_sec", 8).select("_pick", "case_id", "prefix_len")
+    return smp.case_quantile_exemplars(v, "label_remaining_time_sec", 8).select(F.col("_pick").alias("pick"), "case_id", "prefix_len")
 
 
 QUERIES.update({

@@ -566,8 +566,9 @@ SELECT count(*) AS n_rows, 6 AS n_columns, count(DISTINCT case_id) AS n_cases, 0
        min("timestamp") AS min_time, max("timestamp") AS max_time FROM ul
 """,
     "parse_activities": """
-SELECT event_id, CASE event_id % 4
+SELECT event_id, CASE event_id % 6
   WHEN 0 THEN event_type || '>x' WHEN 1 THEN '"' || event_type || '"' WHEN 2 THEN event_type || '>y>z'
+  WHEN 4 THEN '"' || event_type || '\\",z"' WHEN 5 THEN 'True>None>7>' || event_type || chr(10) || ',;'
   ELSE event_type || '>>w' END AS activities
 FROM events
 """,
@@ -1088,3 +1089,58 @@ SELECT {rhu('sum(pos * (2 * before + neg))::DOUBLE / (2.0::DOUBLE * sum(pos) * s
 
 
 ORACLE["test_report"] = ORACLE["test_quantile_exemplars"]
+
+
+#: A running case's state at its latest event (CTE ``state``), from the plain log ``ul``.
+RUNNING_STATE = f"""
+ul AS ({USER_LOG_SQL}),
+rn AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY "timestamp", _event_index) AS k,
+              row_number() OVER (PARTITION BY case_id ORDER BY "timestamp" DESC, _event_index DESC) AS d FROM ul),
+cnt AS (SELECT case_id, string_agg(activity || '=' || n, '>' ORDER BY encode(activity)) AS activity_counts
+        FROM (SELECT case_id, activity, count(*) AS n FROM ul GROUP BY ALL) GROUP BY case_id),
+st AS (SELECT case_id, CAST(count(*) AS INTEGER) AS prefix_len, max(activity) FILTER (d = 1) AS last_activity,
+              string_agg(activity, '>' ORDER BY k) FILTER (k <= 12) AS first_activities, min("timestamp") AS start_ts,
+              max("timestamp") FILTER (d = 1) AS prefix_end_time, max("timestamp") FILTER (d = 2) AS prev_ts,
+              arg_max(prop_k, k) AS prop_k
+       FROM rn GROUP BY case_id),
+state AS (SELECT case_id, prefix_len, last_activity, activity_counts, first_activities, prefix_end_time,
+                 {rhu('greatest(0, coalesce(' + sec('start_ts', 'prefix_end_time') + ', 0))', 3)} AS feat_elapsed_time_sec,
+                 {rhu('greatest(0, coalesce(' + sec('prev_ts', 'prefix_end_time') + ', 0))', 3)} AS feat_time_since_last_event_sec,
+                 prop_k FROM st JOIN cnt USING (case_id))
+"""
+
+ORACLE.update({
+    "running_case_state": f"WITH {RUNNING_STATE} SELECT * FROM state",
+    "stream_scoring": f"""
+WITH {RUNNING_STATE}, {prefix_cte('ul', 'upfx')},
+tr AS (SELECT activity AS la, {REMAIN} AS y FROM upfx),
+g AS (SELECT avg(y) AS gm FROM tr),
+te AS (SELECT la, (count(*) * avg(y) + any_value(gm)) / (count(*) + 1) AS enc FROM tr, g GROUP BY la)
+SELECT state.*, {rhu('coalesce(enc, gm)', 3)} AS predicted_remaining_sec
+FROM state LEFT JOIN te ON la = last_activity CROSS JOIN g
+""",
+    # normal equations of two features, solved by determinants of their (co)variances
+    "bucket_regression": f"""
+WITH {BK_ADAPTIVE},
+t AS (SELECT bucket_id, feat_elapsed_time_sec AS x1, CAST(prefix_len AS DOUBLE) AS x2, label_remaining_time_sec AS y
+      FROM bk WHERE split = 'train' AND label_remaining_time_sec IS NOT NULL),
+s AS (SELECT bucket_id, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS s11, var_pop(x2) AS s22,
+             covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y FROM t GROUP BY bucket_id),
+w AS (SELECT *, CASE WHEN s22 > 1e-12 THEN s11 * s22 - s12 * s12 END AS det FROM s),
+m AS (SELECT *, CASE WHEN det IS NULL THEN CASE WHEN s11 > 1e-12 THEN s1y / s11 ELSE 0 END ELSE (s1y * s22 - s2y * s12) / det END AS w1,
+             CASE WHEN det IS NULL THEN 0 ELSE (s2y * s11 - s1y * s12) / det END AS w2 FROM w),
+near AS (SELECT bk.case_id, bk.prefix_len, arg_min(m.bucket_id, abs(m.bucket_id - bk.bucket_id) * 1000 + m.bucket_id) AS model_bucket
+         FROM bk, m WHERE split = 'val' GROUP BY ALL)
+SELECT case_id, prefix_len, bk.bucket_id, CAST(model_bucket AS INTEGER) AS model_bucket,
+       {rhu('label_remaining_time_sec', 2)} AS y_true,
+       {rhu('greatest(0, my + w1 * (feat_elapsed_time_sec - m1) + w2 * (prefix_len - m2))', 0)} AS y_pred
+FROM bk JOIN near USING (case_id, prefix_len) JOIN m ON m.bucket_id = model_bucket
+""",
+    "case_exemplars_fill": f"""
+{ORACLE['case_quantile_exemplars'].split('SELECT pick, case_id')[0]},
+p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3),
+f AS (SELECT 4 AS pick, case_id, prefix_len, label_remaining_time_sec FROM reps WHERE case_id NOT IN (SELECT case_id FROM p)
+      ORDER BY md5('42:' || case_id), case_id LIMIT 5)
+SELECT pick, case_id, prefix_len FROM (SELECT * FROM p UNION ALL SELECT * FROM f)
+""",
+})

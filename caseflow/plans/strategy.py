@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseflow.functions.scalar import attach_scalars
 from caseflow.operators import metrics as met
 from caseflow.operators.bucketing import make_bucketer
 from caseflow.operators.encoding import fit_encoder, label_vocabulary
+from caseflow.operators.least_squares import fit_buckets, predict_buckets
 from caseflow.operators.models import TaskSpec, fit_predict, train_per_bucket
 from caseflow.operators.sampling import bucket_eligibility
 
@@ -94,7 +96,9 @@ def strategy_search(frame: DataFrame, task: TaskSpec, bucketers: list[str], enco
             data = encoders[ename].transform(bucketed.where(F.col("split").isin("train", "val"))) \
                 .select("case_id", "prefix_len", "split", "features", "label", "bucket_id").persist()
             try:
-                if mode == "per_bucket":
+                if kind == "ridge":
+                    _, pred = ridge_predictions(data, ids, len(lv) if cls else 0, target_log1p)
+                elif mode == "per_bucket":
                     _, pred = train_per_bucket(data, ids, task, kind, seed=seed, target_log1p=target_log1p)
                 else:
                     _, pred = fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, kind,
@@ -114,6 +118,48 @@ def strategy_search(frame: DataFrame, task: TaskSpec, bucketers: list[str], enco
     return res.withColumn("rank", F.row_number().over(Window.orderBy(direction, "_order"))).drop("_order")
 
 
+def ridge_predictions(data: DataFrame, ids: list[int], n_classes: int, target_log1p: bool) -> tuple[DataFrame, DataFrame]:
+    """Models of the buckets ``ids`` (none: one of all rows, under id 0), fitted in one pass, and their val predictions."""
+    own = F.col("bucket_id").isin(*ids) if ids else F.lit(True)
+    data = data.where(own) if ids else data.withColumn("bucket_id", F.lit(0))
+    models = fit_buckets(data.where("split = 'train'"), n_classes, target_log1p=target_log1p)
+    return models, predict_buckets(data.where("split = 'val'"), models, n_classes, target_log1p)
+
+
+def compare_tasks(frame: DataFrame, tasks: list[TaskSpec], bucketers: list[str], encodings: list[str],
+                  kind: str = "ridge", min_bucket_samples: int = 1000) -> DataFrame:
+    """EXP-2: the whole grid for every task, one long table with the best strategy of each task first."""
+    out = None
+    for task in tasks:
+        part = strategy_search(frame, task, bucketers, encodings, kind, min_bucket_samples,
+                               target_log1p=task.task_type == "regression")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def encoder_choice_per_bucket(frame: DataFrame, task: TaskSpec, bucketer: str, encodings: list[str],
+                              min_bucket_samples: int = 1000, target_log1p: bool = False) -> DataFrame:
+    """EXP-6: for each eligible bucket, the encoder whose own model of that bucket scores best on its val rows.
+
+    Every (encoder, bucket) pair has a model, those of one encoder fitted in one
+    pass.  Columns: bucket_id, encoding, score, n, ``weighted_score`` (of all buckets' choices).
+    """
+    train, cls = frame.where("split = 'train'"), task.task_type == "classification"
+    lv = label_vocabulary(train, task.label_col) if cls else None
+    bucketed = make_bucketer(bucketer).fit(train).assign(frame)
+    ids = eligible_buckets(bucketed, task, min_bucket_samples)
+    scores = None
+    for e in encodings:
+        encoder = fit_encoder(e, train, label_col=task.label_col, label_is_numeric=not cls, label_vocab=lv)
+        data = encoder.transform(bucketed).select("case_id", "prefix_len", "split", "features", "label", "bucket_id")
+        _, pred = ridge_predictions(data, ids, len(lv) if cls else 0, target_log1p)
+        part = per_bucket_scores(pred, task).withColumn("encoding", F.lit(e))
+        scores = part if scores is None else scores.unionByName(part)
+    best = best_encoder_per_bucket(scores, task.higher_is_better)
+    total = best.agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("weighted_score"))
+    return attach_scalars(best, total)
+
+
 def lookup_strategies(frame: DataFrame, task: TaskSpec, bucketers: list[str], min_bucket_samples: int = 1000) -> DataFrame:
     """The search with a learner that needs no fitting by iteration: the smoothed train mean of the label
     for each last activity, one table for each eligible bucket (regression tasks).

@@ -1,99 +1,158 @@
 """Live scoring of running cases with Structured Streaming (STR-1).
 
-``groupBy(case_id).applyInPandasWithState`` keeps a small per-case state:
-event count, start, the last two event times, and its (timestamp, index, activity)
-triples (only the last ``max_prefix_len`` if that is asked for).  Each micro-batch emits the case's current
-running prefix (the same shape ``running_case_prefixes`` builds in batch), which
-``foreachBatch`` can send through a fitted bucketer / encoder / model.
-
-Watermark on event time: events later than the watermark are dropped by Spark;
-an out-of-order event inside it is inserted in order into the state.  Cases
-idle past ``idle_timeout`` (event time) are closed and their state removed.
-A case's state is as long as the case.
+``transformWithStateInPandas`` keeps a small state for each case, the one that
+``prefixes.running_case_state`` computes in batch: how often each activity came (a map
+state), the first activities in order, the last events, and the last or first
+value of each attribute.  It lives across micro-batches and is as long as the
+alphabet, never as the case.  Every batch emits the cases it touched; a sink
+folder for each epoch makes a batch that is run again replace what it wrote.
+
+Events may come in any order, inside a batch and across batches: each part of
+the state is ordered by (timestamp, event index), not by arrival.  Without a
+watermark nothing is dropped and no case is closed; with one, Spark drops events behind it,
+and a case without events for ``idle_timeout_ms`` of event time is emitted as
+closed and forgotten.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUTPUT_SCHEMA = ("case_id string, prefix_len long, prefix_activities array<string>, prefix_start_time timestamp, "
-                 "prefix_end_time timestamp, prev_time timestamp, closed boolean")
-STATE_SCHEMA = ("n long, start_us long, last_us long, prev_us long, tail_ts array<long>, tail_idx array<long>, "
-                "tail_act array<string>")
-
-
-def _update_fn(max_prefix_len: int | None, idle_timeout_ms: int):
-    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (case_id,) = key
-        if state.hasTimedOut:
-            n, start, last, prev, tts, tidx, tact = state.get
-            state.remove()
-            yield pd.DataFrame([{"case_id": case_id, "prefix_len": n, "prefix_activities": list(tact),
-                                 "prefix_start_time": pd.Timestamp(start, unit="us", tz="UTC"),
-                                 "prefix_end_time": pd.Timestamp(last, unit="us", tz="UTC"),
-                                 "prev_time": None if prev is None else pd.Timestamp(prev, unit="us", tz="UTC"),
-                                 "closed": True}])
-            return
-        if state.exists:
-            n, start, last, prev, tts, tidx, tact = state.get
-            tail = list(zip(tts, tidx, tact))
-        else:
-            n, start, last, prev, tail = 0, None, None, None, []
-        times = [] if last is None else [t for t in (prev, last) if t is not None]
-        for pdf in pdfs:
-            us = pdf["timestamp"].astype("int64") // 1000 if str(pdf["timestamp"].dtype).startswith("datetime64[ns") \
-                else pdf["timestamp"].astype("int64")
-            for t, i, a in zip(us.tolist(), pdf["_event_index"].tolist(), pdf["activity"].tolist()):
-                n += 1
-                start = t if start is None else min(start, t)
-                tail.append((t, i, "UNKNOWN" if a is None else a))
-                times.append(t)
-        tail.sort()
-        tail = tail if max_prefix_len is None else tail[-max_prefix_len:]
-        times = sorted(times)[-2:]  # equal times are two events
-        last = times[-1] if times else last
-        prev = times[-2] if len(times) > 1 else prev
-        state.update((n, start, last, prev, [x[0] for x in tail], [x[1] for x in tail], [x[2] for x in tail]))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_timeout_ms if state.getCurrentWatermarkMs() > 0
-                                  else last // 1000 + idle_timeout_ms)
-        yield pd.DataFrame([{"case_id": case_id, "prefix_len": n, "prefix_activities": [x[2] for x in tail],
-                             "prefix_start_time": pd.Timestamp(start, unit="us", tz="UTC"),
-                             "prefix_end_time": pd.Timestamp(last, unit="us", tz="UTC"),
-                             "prev_time": None if prev is None else pd.Timestamp(prev, unit="us", tz="UTC"),
-                             "closed": False}])
-    return update
-
-
-def running_prefix_stream(events: DataFrame, max_prefix_len: int | None = None, watermark: str = "1 day",
-                          idle_timeout_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
-    """Streaming frame of running-case prefixes from a canonical event stream."""
-    ev = events.select("case_id", "activity", "timestamp", "_event_index").withWatermark("timestamp", watermark)
-    return ev.groupBy("case_id").applyInPandasWithState(
-        _update_fn(max_prefix_len, idle_timeout_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "update",
-        GroupStateTimeout.EventTimeTimeout)
-
-
-def prefix_features(prefixes: DataFrame) -> DataFrame:
-    """Time and calendar features of streamed prefixes (same columns as the batch builder)."""
-    from caseflow.functions.scalar import calendar_features, log1p_nonneg, seconds_between
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from caseflow.functions.scalar import calendar_features, log1p_nonneg, seconds_between
+
+_OUTPUT = ("case_id string, prefix_len int, prefix_activities array<string>, names array<string>, times array<bigint>, "
+           "last_activity string, start_us bigint, last_us bigint, prev_us bigint, attributes array<string>, "
+           "attribute_values array<string>, closed boolean")
+#: The state store that keeps several states and timers for each key.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class RunningCase(StatefulProcessor):
+    """State of one case; ``attributes`` maps a column to whether its first (else last) non-null value counts."""
+
+    def __init__(self, positions: int, attributes: dict[str, bool], idle_timeout_ms: int | None):
+        self.positions, self.attributes, self.idle_timeout_ms = positions, attributes, idle_timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.case = handle.getValueState("case", "n bigint, start_us bigint, last_us bigint, last_idx bigint, "
+                                                 "last_activity string, prev_us bigint, prev_idx bigint")
+        self.counts = handle.getMapState("activities", "activity string", "n bigint")
+        self.first = handle.getValueState("first", "ts array<bigint>, idx array<bigint>, activity array<string>")
+        self.values = handle.getMapState("attributes", "name string", "ts bigint, idx bigint, value string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ts_us", "event_index"], kind="stable")
+        ts, idx, act = (batch[c].tolist() for c in ("ts_us", "event_index", "activity"))
+        for name, n in batch["activity"].value_counts().items():
+            old = self.counts.getValue((name,)) if self.counts.containsKey((name,)) else (0,)
+            self.counts.updateValue((name,), (old[0] + int(n),))
+        known = self.first.get() if self.first.exists() else ([], [], [])
+        first = sorted([*zip(*known), *zip(ts, idx, act)], key=lambda e: e[:2])[:self.positions]
+        self.first.update(tuple([list(x) for x in zip(*first)] or ([], [], [])))
+        n, start, last, prev = 0, ts[0], [], []
+        if self.case.exists():
+            n, known_start, *rest = self.case.get()
+            start = min(start, known_start)
+            last, prev = [tuple(rest[:3])], [(*rest[3:], None)] if rest[3] is not None else []
+        *_, before, latest = sorted([(None,), *last, *prev, *zip(ts, idx, act)], key=lambda e: (e[0] is not None, e[:2]))
+        self.case.update((n + len(ts), start, *latest, *(before[:2] if before[0] is not None else (None, None))))
+        for k, (name, is_first) in enumerate(self.attributes.items()):
+            there = batch[batch[f"a{k}"].notna()]
+            if len(there):
+                at = 0 if is_first else -1
+                new = (int(there["ts_us"].iloc[at]), int(there["event_index"].iloc[at]), str(there[f"a{k}"].iloc[at]))
+                old = self.values.getValue((name,)) if self.values.containsKey((name,)) else None
+                if old is None or (new[:2] < tuple(old[:2]) if is_first else new[:2] > tuple(old[:2])):
+                    self.values.updateValue((name,), new)
+        if self.idle_timeout_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max(latest[0] // 1000, timerValues.getCurrentWatermarkInMs()) + self.idle_timeout_ms)
+        yield self.row(key[0], False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.row(key[0], True)
+        for state in (self.case, self.counts, self.first, self.values):
+            state.clear()
+
+    def row(self, case_id: str, closed: bool) -> pd.DataFrame:
+        n, start, last, _, activity, prev, _ = self.case.get()
+        counts = sorted((k[0], v[0]) for k, v in self.counts.iterator())
+        values = sorted((k[0], v[2]) for k, v in self.values.iterator())
+        return pd.DataFrame({
+            "case_id": [case_id], "prefix_len": [n], "prefix_activities": [list(self.first.get()[2])],
+            "names": [[a for a, _ in counts]], "times": [[k for _, k in counts]], "last_activity": [activity],
+            "start_us": [start], "last_us": [last], "prev_us": pd.array([prev], "Int64"),
+            "attributes": [[a for a, _ in values]], "attribute_values": [[v for _, v in values]], "closed": [closed]})
+
+
+def running_case_stream(events: DataFrame, positions: int = 30, first_values: list[str] = (), last_values: list[str] = (),
+                        watermark: str | None = None, idle_timeout_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """Streaming frame of running cases from a canonical event stream; the columns of ``running_case_state``.
+
+    ``first_values`` / ``last_values`` name attribute columns of which the first or
+    last non-null value is kept, as text, in the map ``attributes``.  The session's
+    state store must be ``STATE_STORE``.
+    """
+    attributes = {c: True for c in first_values} | {c: False for c in last_values}
+    # the worker sees names that are identifiers only
+    events = events.select("case_id", F.coalesce("activity", F.lit("UNKNOWN")).alias("activity"), "timestamp",
+                           F.unix_micros("timestamp").alias("ts_us"), F.col("_event_index").cast("bigint").alias("event_index"),
+                           *[F.col(f"`{c}`").cast("string").alias(f"a{k}") for k, c in enumerate(attributes)]) \
+        .where(F.col("timestamp").isNotNull())
+    if watermark:
+        events = events.withWatermark("timestamp", watermark)
+    rows = events.groupBy("case_id").transformWithStateInPandas(
+        RunningCase(positions, attributes, idle_timeout_ms if watermark else None), _OUTPUT, "Update",
+        "eventTime" if watermark else "none")
+    at = lambda c: F.timestamp_micros(c)
+    return rows.select("case_id", "prefix_len", "prefix_activities", F.map_from_arrays("names", "times").alias("activity_counts"),
+                       "last_activity", at("start_us").alias("prefix_start_time"), at("last_us").alias("prefix_end_time"),
+                       at("prev_us").alias("prev_time"), F.map_from_arrays("attributes", "attribute_values").alias("attributes"),
+                       "closed")
+
+
+def prefix_features(cases: DataFrame) -> DataFrame:
+    """Time and calendar features of streamed cases (same columns as the batch builder)."""
     el = F.greatest(F.coalesce(seconds_between("prefix_start_time", "prefix_end_time"), F.lit(0.0)), F.lit(0.0))
     si = F.greatest(F.coalesce(seconds_between("prev_time", "prefix_end_time"), F.lit(0.0)), F.lit(0.0))
-    return prefixes.select("*", el.alias("feat_elapsed_time_sec"), si.alias("feat_time_since_last_event_sec"),
-                           log1p_nonneg(el).alias("feat_elapsed_time_log1p"), log1p_nonneg(si).alias("feat_time_since_last_log1p"),
-                           *calendar_features("prefix_end_time"))
-
-
-def score_stream(prefix_stream: DataFrame, bucketer, encoder, model, sink_table: str, checkpoint: str):
-    """Run ``bucketer -> encoder -> model`` on each micro-batch and append to a table."""
-    def _batch(df, epoch_id):
-        df = df.where("not closed")
-        scored = model.transform(encoder.transform(bucketer.assign(prefix_features(df))))
-        scored = scored.select("case_id", "prefix_len", "prediction", F.lit(epoch_id).alias("epoch_id"))
-        scored.write.mode("append").saveAsTable(sink_table)
-    return (prefix_stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-            .foreachBatch(_batch).start())
+    return cases.select("*", el.alias("feat_elapsed_time_sec"), si.alias("feat_time_since_last_event_sec"),
+                        log1p_nonneg(el).alias("feat_elapsed_time_log1p"), log1p_nonneg(si).alias("feat_time_since_last_log1p"),
+                        *calendar_features("prefix_end_time"))
+
+
+def write_epoch(path: str, score: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: the features of a batch's cases, scored, in the epoch's own folder.
+
+    A batch that is run again writes the same folder anew, so no row is doubled.
+    """
+    def write(df: DataFrame, epoch: int) -> None:
+        out = prefix_features(df)
+        (score(out) if score else out).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    return write
+
+
+def score_stream(cases: DataFrame, path: str, checkpoint: str, score: Callable[[DataFrame], DataFrame] | None = None,
+                 available_now: bool = True):
+    """Start the query that writes every batch of a :func:`running_case_stream` under ``path``.
+
+    ``available_now``: read all input there is, in as many batches as the source
+    makes of it, and end; else go on until stopped.
+    """
+    writer = (cases.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+              .foreachBatch(write_epoch(path, score)))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each case that a :func:`score_stream` query has written."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("case_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "case_id"]), "epoch").alias("_r")) \
+        .select("case_id", "_r.*")

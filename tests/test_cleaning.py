@@ -104,3 +104,14 @@ def test_lifecycle_filters(make_log):
                    ["lifecycle:transition"])
     assert idx(filters.lifecycle_keep(log, ["complete"])) == [2]
     assert idx(filters.lifecycle_drop(log, [" Start"])) == [2, 3]
+
+
+def test_parse_activities_like_a_json_reader(spark):
+    """Texts and their lists written out by hand: what a JSON reader gives, else split text."""
+    from caseflow.functions.scalar import parse_activities
+    cases = [('["a", "b"]', ["a", "b"]), ('"a\\"b,c"', ['"a\\"b,c"']), ("[true, false, null, 7]", ["True", "False", "None", "7"]),
+             ('["tr\\u00fce", "x,y"]', ["trüe", "x,y"]), ("true", ["true"]), ("12.5", ["12.5"]), ("a, b ,", ["a", "b", ""]), ("a;b", ["a", "b"]),
+             ('"a', ['"a']), ("", []), (None, []), ("[1, 2", ["[1", "2"]), ("[]", []), ('"x\\\\"', ['"x\\\\"']), (" a ", ["a"])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.a for r in df.select("i", parse_activities("t").alias("a")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]

@@ -81,3 +81,12 @@ def test_grouped_distributed_quantiles_equal_percentile(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert all(abs(a[k][f"q{i}"] - b[k][f"q{i}"]) < 1e-9 for i in range(len(qs)))
+
+
+def test_grouped_quantiles_of_null_and_nan_groups(spark):
+    """The large path keeps every group that the small path has, also null and NaN keys."""
+    from caseflow.functions.quantiles import exact_quantiles_by
+    rows = [(g, float(v)) for g in (None, 1.0, 2.0, float("nan")) for v in range(7)] + [(None, None)]
+    df = spark.createDataFrame(rows, "g double, v double")
+    small, large = (sorted(map(str, exact_quantiles_by(df, ["g"], "v", [0.1, 0.5, 0.9], n).collect())) for n in (10 ** 9, 1))
+    assert small == large and len(small) == 4
