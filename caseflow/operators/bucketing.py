@@ -118,7 +118,8 @@ class LastActivity:
 
     def assign(self, df: DataFrame, bucket_col: str = "bucket_id") -> DataFrame:
         unseen = self.vocab_.agg((F.count(F.lit(1)) + 1).alias("_unseen_id"))
-        j = attach_scalars(df.withColumn("_last_act", F.element_at(self.prefix_col, -1))
+        last = F.col("last_activity") if "last_activity" in df.columns else F.element_at(self.prefix_col, -1)
+        j = attach_scalars(df.withColumn("_last_act", last)
                            .join(small_side(self.vocab_.select("_last_act", "_bid")), "_last_act", "left"), unseen)
         return j.withColumn(bucket_col, F.coalesce(F.col("_bid"), F.col("_unseen_id")).cast("int")) \
                 .drop("_last_act", "_bid", "_unseen_id")

@@ -193,6 +193,7 @@ class FittedEncoder:
     label_col: str = ""
     state: dict = field(default_factory=dict)  # all that was learned, as JSON values
     tables: dict = field(default_factory=dict)  # and as tables: column -> target encoding (unbounded cardinality)
+    state_exprs: dict = field(default_factory=dict)  # features of ``activity_counts`` and ``last_activity``, without the whole list
 
     def transform(self, df: DataFrame, features_col: str = "features") -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
@@ -200,7 +201,7 @@ class FittedEncoder:
         out = df
         for fn in self.lookups:
             out = fn(out)
-        out = out.withColumns(self.exprs)
+        out = out.withColumns(self.exprs | (self.state_exprs if "activity_counts" in df.columns else {}))
         if self.label_expr is not None and self.label_col in df.columns:
             out = out.withColumn("label", self.label_expr)
         va = VectorAssembler(inputCols=self.feature_cols, outputCol=features_col, handleInvalid="keep")
@@ -308,7 +309,13 @@ def build_encoder(state: dict, tables: dict[str, DataFrame] | None = None) -> Fi
         lookups.append(lambda df, c=c, out=f"f_te__{i}": apply_target_encoding(df, tables[c], c, out))
         names.append(f"f_te__{i}")
     acts, kind = state.get("activities", []), state["activity"]
+    of_state: dict = {}  # a running case's state has counts instead of the list; positions are read from its first activities
+    times = F.col("activity_counts")
     if kind == "counts":
+        unseen = F.map_values(F.map_filter(times, lambda a, _: ~a.isin(*acts) if acts else F.lit(True)))
+        of_state["f_act__unk"] = F.aggregate(unseen, F.lit(0.0), lambda s, x: s + x)
+        of_state.update({f"f_act__{j + 1}": F.coalesce(F.try_element_at(times, F.lit(a)).cast("double"), F.lit(0.0))
+                         for j, a in enumerate(acts)})
         exprs["f_act__unk"] = F.size(F.filter("prefix_activities", lambda a: ~a.isin(*acts) if acts else F.lit(True))).cast("double")
         exprs.update({f"f_act__{j + 1}": F.size(F.filter("prefix_activities", _equals(a))).cast("double")
                       for j, a in enumerate(acts)})
@@ -328,6 +335,9 @@ def build_encoder(state: dict, tables: dict[str, DataFrame] | None = None) -> Fi
         exprs[f"f_emb_mean__{d}"] = F.try_divide(F.aggregate(vals, F.lit(0.0), lambda s, x: s + x),
                                                  F.size("prefix_activities").cast("double"))
         exprs[f"f_emb_last__{d}"] = F.coalesce(F.try_element_at(of, F.element_at("prefix_activities", -1)), F.lit(mean))
+        weighted = F.transform(F.map_entries(times), lambda e: e["value"] * F.coalesce(F.try_element_at(of, e["key"]), F.lit(mean)))
+        of_state[f"f_emb_mean__{d}"] = F.try_divide(F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x), F.col("prefix_len").cast("double"))
+        of_state[f"f_emb_last__{d}"] = F.coalesce(F.try_element_at(of, F.col("last_activity")), F.lit(mean))
     names += [n for n in exprs if n not in names]
     label = None
     if state["label_is_numeric"]:
@@ -335,7 +345,7 @@ def build_encoder(state: dict, tables: dict[str, DataFrame] | None = None) -> Fi
     elif state["label_vocab"] is not None:
         ids = _literal_map({v: float(i + 1) for i, v in enumerate(state["label_vocab"])})
         label = F.coalesce(F.try_element_at(ids, F.col(state["label_col"]).cast("string")), F.lit(0.0))
-    return FittedEncoder(state["name"], names, exprs, lookups, label, state["label_col"], state, tables)
+    return FittedEncoder(state["name"], names, exprs, lookups, label, state["label_col"], state, tables, of_state)
 
 
 def _literal_map(values: dict[str, float]) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.operators.least_squares import predict_buckets
 from caseflow.operators.models import predict_routed
-from caseflow.operators.prefixes import running_case_prefixes
+from caseflow.operators.prefixes import running_case_prefixes, running_case_state
 
 
 def nearest_model(buckets: DataFrame, models: DataFrame, bucket_col: str = "bucket_id",
@@ -35,17 +36,26 @@ def score_running_cases(events: DataFrame, bucketer, encoder, models: dict, task
                         label_vocab: list[str] | None = None) -> DataFrame:
     """INF-2 / INF-3 / INF-4: all open cases at once -> one prediction per case.
 
-    events -> running prefix per case -> bucket -> encode -> model of the bucket
-    (nearest fallback) -> back-transform.  Buckets are bounded, so the loop over
-    models is a loop over ≤ n_buckets lazy plans unioned together.
+    events -> state per case, of bounded size -> bucket -> encode -> model of the bucket
+    (nearest fallback) -> back-transform.  ``models`` is a table of one-pass
+    models (``least_squares.fit_buckets``; all rows in one pass) or a dict of Spark ML models by
+    bucket (one lazy plan for each, unioned).  Durations come in seconds and days; classes by name, with
+    ``probability`` where the models have one.  (The cluster bucketer was fitted on lists of
+    activities and still gets the whole list of each case.)
     """
-    pre = running_case_prefixes(events)
+    cls = task.task_type == "classification"
+    pre = (running_case_prefixes(events).withColumn("last_activity", F.element_at("prefix_activities", -1))
+           if bucketer.name == "cluster" else running_case_state(events, encoder.state.get("max_len") or 1))
     enc = encoder.transform(bucketer.assign(pre)).withColumn("label", F.lit(None).cast("double"))
-    out = predict_routed(enc, models, task, target_log1p)
-    res = out.select("case_id", F.col("prefix_len").alias("num_events"),
-                     F.element_at("prefix_activities", -1).alias("last_activity"), "bucket_id", "model_bucket",
-                     F.col("y_pred").alias("prediction"))
-    if task.task_type == "classification" and label_vocab is not None:
+    if isinstance(models, DataFrame):
+        out = predict_buckets(enc, models, len(label_vocab or []) if cls else 0, target_log1p)
+    else:
+        out = predict_routed(enc, models, task, target_log1p)
+    more = [F.array_max("probabilities").alias("probability")] if "probabilities" in out.columns else []
+    more += [] if cls else [(F.col("y_pred") / 86400.0).alias("prediction_days")]
+    res = out.select("case_id", F.col("prefix_len").alias("num_events"), "last_activity", "bucket_id", "model_bucket",
+                     F.col("y_pred").alias("prediction"), *more)
+    if cls and label_vocab is not None:
         names = F.array(*[F.lit(v) for v in label_vocab])
         res = res.withColumn("prediction", F.coalesce(F.get(names, F.col("prediction").cast("int") - 1), F.lit("__UNK__")))
     return res

@@ -20,6 +20,7 @@ from caseflow.operators.encoding import fit_encoder, label_vocabulary
 from caseflow.operators.least_squares import fit_buckets, predict_buckets
 from caseflow.operators.models import TaskSpec, fit_predict, train_per_bucket
 from caseflow.operators.sampling import bucket_eligibility
+from caseflow.session import materialize
 
 STRATEGY_SCHEMA = T.StructType([
     T.StructField("task", T.StringType()), T.StructField("bucketing", T.StringType()),
@@ -84,33 +85,37 @@ def strategy_search(frame: DataFrame, task: TaskSpec, bucketers: list[str], enco
     lv = label_vocabulary(train, task.label_col) if cls else None
     encoders = {e: fit_encoder(e, train, label_col=task.label_col, label_is_numeric=not cls, label_vocab=lv)
                 for e in encodings}
-    rows = []
+    # every bucketer's ids beside each other, so that a frame is encoded once for each encoder
+    bucketed = frame
     for bname in bucketers:
-        mode = mode_of(bname)
-        bucketed = make_bucketer(bname).fit(train).assign(frame)
-        ids = eligible_buckets(bucketed, task, min_bucket_samples, skip_single_class) if mode == "per_bucket" else []
-        if mode == "per_bucket" and not ids:
-            continue
-        for ename in encodings:
-            t0 = time.time()
-            data = encoders[ename].transform(bucketed.where(F.col("split").isin("train", "val"))) \
-                .select("case_id", "prefix_len", "split", "features", "label", "bucket_id").persist()
-            try:
-                if kind == "ridge":
-                    _, pred = ridge_predictions(data, ids, len(lv) if cls else 0, target_log1p)
-                elif mode == "per_bucket":
-                    _, pred = train_per_bucket(data, ids, task, kind, seed=seed, target_log1p=target_log1p)
-                else:
-                    _, pred = fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, kind,
-                                          seed=seed, target_log1p=target_log1p)
-                m = score_predictions(pred, task)
-                if mode == "per_bucket":
-                    m[task.primary_metric] = float(met.weighted_score(per_bucket_scores(pred, task), "score")
-                                                   .first()[0] or 0.0)
-            finally:
-                data.unpersist()
-            rows.append((len(rows), task.name, bname, ename, mode, task.primary_metric, m[task.primary_metric],
-                         time.time() - t0, encoders[ename].feature_dim, max(1, len(ids)), m))
+        bucketed = make_bucketer(bname).fit(train).assign(bucketed, f"_bucket_{bname}")
+    bucketed = materialize(bucketed.where(F.col("split").isin("train", "val")))
+    of = {b: bucketed.withColumn("bucket_id", F.col(f"_bucket_{b}")) for b in bucketers}
+    ids = {b: eligible_buckets(of[b], task, min_bucket_samples, skip_single_class) if mode_of(b) == "per_bucket" else []
+           for b in bucketers}
+    rows = []
+    for ename in encodings:
+        encoded = encoders[ename].transform(bucketed).select("case_id", "prefix_len", "split", "features", "label",
+                                                             *[f"_bucket_{b}" for b in bucketers]).persist()
+        for bname in bucketers:
+            mode, t0 = mode_of(bname), time.time()
+            if mode == "per_bucket" and not ids[bname]:
+                continue
+            data = encoded.withColumn("bucket_id", F.col(f"_bucket_{bname}"))
+            if kind == "ridge":
+                _, pred = ridge_predictions(data, ids[bname], len(lv) if cls else 0, target_log1p)
+            elif mode == "per_bucket":
+                _, pred = train_per_bucket(data, ids[bname], task, kind, seed=seed, target_log1p=target_log1p)
+            else:
+                _, pred = fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, kind,
+                                      seed=seed, target_log1p=target_log1p)
+            m = score_predictions(pred, task)
+            if mode == "per_bucket":
+                m[task.primary_metric] = float(met.weighted_score(per_bucket_scores(pred, task), "score").first()[0] or 0.0)
+            order = bucketers.index(bname) * len(encodings) + encodings.index(ename)
+            rows.append((order, task.name, bname, ename, mode, task.primary_metric, m[task.primary_metric],
+                         time.time() - t0, encoders[ename].feature_dim, max(1, len(ids[bname])), m))
+        encoded.unpersist()
     schema = T.StructType([T.StructField("_order", T.IntegerType())] + STRATEGY_SCHEMA.fields)
     res = spark.createDataFrame(rows, schema)
     direction = F.desc_nulls_last("primary_score") if task.higher_is_better else F.asc_nulls_last("primary_score")

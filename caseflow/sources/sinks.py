@@ -88,16 +88,19 @@ def write_test_report(path: str, metrics: DataFrame, examples: DataFrame, per_bu
 def save_bundle(path: str, models: dict, meta: dict, encoder, bucketer) -> None:
     """SNK-7: everything that scoring needs, written with Spark to the shared folder.
 
-    One Spark ML directory per model, the encoder's vocabularies and target tables, the bucketer's
+    One Spark ML directory per model (or the table of one-pass models), the encoder's vocabularies and target tables, the bucketer's
     state, and JSON metadata (task, strategy, ``target_log1p``, label vocabulary).
     """
     from caseflow.operators.bucketing import save_bucketer
     spark = SparkSession.getActiveSession()
-    for b, m in models.items():
+    one_pass = isinstance(models, DataFrame)
+    if one_pass:
+        models.write.mode("overwrite").parquet(f"{path}/models")
+    for b, m in () if one_pass else models.items():
         m.write().overwrite().save(f"{path}/model_{b}")
     for i, table in enumerate(encoder.tables.values()):
         table.write.mode("overwrite").parquet(f"{path}/encoder_{i}")
-    whole = {"target_log1p": False, "label_vocab": None, **meta, "model_buckets": sorted(models),
+    whole = {"target_log1p": False, "label_vocab": None, **meta, "model_buckets": None if one_pass else sorted(models),
              "encoder": encoder.state, "encoder_tables": list(encoder.tables),
              "bucketer": save_bucketer(bucketer, f"{path}/bucketer")}
     spark.createDataFrame([(json.dumps(whole),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -118,6 +121,8 @@ def load_bundle(path: str) -> dict:
     if missing:
         raise ValueError(f"bundle metadata misses {missing}")
     tables = {c: spark.read.parquet(f"{path}/encoder_{i}") for i, c in enumerate(meta["encoder_tables"])}
-    return {"meta": meta, "models": {int(b): PipelineModel.load(f"{path}/model_{b}") for b in meta["model_buckets"]},
+    models = (spark.read.parquet(f"{path}/models") if meta["model_buckets"] is None
+              else {int(b): PipelineModel.load(f"{path}/model_{b}") for b in meta["model_buckets"]})
+    return {"meta": meta, "models": models,
             "encoder": build_encoder(meta["encoder"], tables),
             "bucketer": load_bucketer(spark, meta["bucketer"], f"{path}/bucketer")}

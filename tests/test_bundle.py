@@ -64,3 +64,46 @@ def test_parse_activities_like_text_and_json(spark):
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
     got = {r.t: r.a for r in df.select("t", parse_activities("t").alias("a")).collect()}
     assert got == texts | {None: []}
+
+
+@pytest.mark.parametrize("name", ["last_state", "aggregation", "index_latest_payload", "embedding"])
+def test_encoders_of_bounded_state_equal_those_of_the_list(spark, make_log, name):
+    """A running case's state encodes to the vector that its whole list of activities gives."""
+    from pyspark.ml.functions import vector_to_array
+
+    from caseflow.operators.encoding import fit_encoder
+    from caseflow.operators.prefixes import extract_prefixes, running_case_prefixes, running_case_state
+    rows = [(f"c{c}", "ABCD"[(c * k + k) % 4], 60 * k * (c + 1), 100 * c + k, float(c)) for c in range(12) for k in range(3 + c)]
+    log = make_log(rows, ["cost"], ["double"])
+    train = extract_prefixes(log.where("activity != 'D'"))  # D is unseen
+    enc = fit_encoder(name, train, min_freq=1)
+    of_list = enc.transform(running_case_prefixes(log))
+    of_state = enc.transform(running_case_state(log, enc.state.get("max_len") or 1))
+    a, b = ({r[0]: r[1] for r in d.select("case_id", vector_to_array("features")).collect()} for d in (of_list, of_state))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_one_pass_models_in_a_bundle(spark, make_log, tmp_path):
+    from pyspark.sql import functions as F
+
+    from caseflow.operators.bucketing import PrefixLenBins
+    from caseflow.operators.encoding import fit_encoder, label_vocabulary
+    from caseflow.operators.least_squares import fit_buckets
+    from caseflow.operators.prefixes import extract_prefixes
+    from caseflow.plans.scoring import score_with_bundle
+    from caseflow.sources.sinks import save_bundle
+    rows = [(f"c{c}", "ABCD"[(c + k) % 4], 3600 * k, 100 * c + k) for c in range(30) for k in range(4 + c % 5)]
+    log = make_log(rows)
+    pre = extract_prefixes(log)
+    bk = PrefixLenBins(bin_size=3).fit(pre)
+    lv = label_vocabulary(pre, "label_next_activity")
+    enc = fit_encoder("last_state", pre, "label_next_activity", False, label_vocab=lv, min_freq=1)
+    save_bundle(str(tmp_path / "c"), fit_buckets(enc.transform(bk.assign(pre)), len(lv)),
+                {"task": "next_activity", "bucketing": bk.name, "encoding": enc.name, "label_vocab": lv}, enc, bk)
+    got = score_with_bundle(log, str(tmp_path / "c")).collect()
+    assert len(got) == 30 and {r.prediction for r in got} <= set(lv) and all(0 < r.probability <= 1 for r in got)
+    enc = fit_encoder("aggregation", pre, min_freq=1)
+    save_bundle(str(tmp_path / "r"), fit_buckets(enc.transform(bk.assign(pre)), target_log1p=True),
+                {"task": "remaining_time", "bucketing": bk.name, "encoding": enc.name, "target_log1p": True}, enc, bk)
+    out = score_with_bundle(log, str(tmp_path / "r"))
+    assert out.count() == 30 and out.where(F.abs(F.col("prediction") / 86400 - F.col("prediction_days")) > 1e-9).count() == 0
