@@ -1008,12 +1008,12 @@ def q_strategy_search_per_bucket(spark, sf_dir):
 
 
 def q_strategy_grid(spark, sf_dir):
-    """EXP-1: all five bucketers x four encoders, every strategy fitted with linear probes on log1p remaining time (rows-only)."""
+    """EXP-1: all five bucketers x four encoders, every strategy fitted with one-pass linear models of log1p remaining time (rows-only)."""
     from caseflow.operators.encoding import ENCODERS
     from caseflow.plans.strategy import strategy_search
     task = mdl.default_task_specs()["remaining_time"]
     bucketers = ["no_bucket", "prefix_len_bins", "prefix_len_adaptive", "last_activity", "cluster"]
-    return strategy_search(model_frame(spark, sf_dir), task, bucketers, ENCODERS, kind="linear", min_bucket_samples=300,
+    return strategy_search(model_frame(spark, sf_dir), task, bucketers, ENCODERS, kind="ridge", min_bucket_samples=300,
                            target_log1p=True).drop("metrics")
 
 

@@ -97,14 +97,20 @@ def strategy_search(frame: DataFrame, task: TaskSpec, bucketers: list[str], enco
     for ename in encodings:
         encoded = encoders[ename].transform(bucketed).select("case_id", "prefix_len", "split", "features", "label",
                                                              *[f"_bucket_{b}" for b in bucketers]).persist()
+        t0 = time.time()
+        one_pass = ridge_grid(encoded, ids, task, len(lv) if cls else 0, target_log1p) if kind == "ridge" else {}
+        spent = (time.time() - t0) / max(1, len(one_pass))
         for bname in bucketers:
             mode, t0 = mode_of(bname), time.time()
             if mode == "per_bucket" and not ids[bname]:
                 continue
-            data = encoded.withColumn("bucket_id", F.col(f"_bucket_{bname}"))
+            order = bucketers.index(bname) * len(encodings) + encodings.index(ename)
             if kind == "ridge":
-                _, pred = ridge_predictions(data, ids[bname], len(lv) if cls else 0, target_log1p)
-            elif mode == "per_bucket":
+                rows.append((order, task.name, bname, ename, mode, task.primary_metric, one_pass[bname], spent,
+                             encoders[ename].feature_dim, max(1, len(ids[bname])), {task.primary_metric: one_pass[bname]}))
+                continue
+            data = encoded.withColumn("bucket_id", F.col(f"_bucket_{bname}"))
+            if mode == "per_bucket":
                 _, pred = train_per_bucket(data, ids[bname], task, kind, seed=seed, target_log1p=target_log1p)
             else:
                 _, pred = fit_predict(data.where("split = 'train'"), data.where("split = 'val'"), task, kind,
@@ -112,7 +118,6 @@ def strategy_search(frame: DataFrame, task: TaskSpec, bucketers: list[str], enco
             m = score_predictions(pred, task)
             if mode == "per_bucket":
                 m[task.primary_metric] = float(met.weighted_score(per_bucket_scores(pred, task), "score").first()[0] or 0.0)
-            order = bucketers.index(bname) * len(encodings) + encodings.index(ename)
             rows.append((order, task.name, bname, ename, mode, task.primary_metric, m[task.primary_metric],
                          time.time() - t0, encoders[ename].feature_dim, max(1, len(ids[bname])), m))
         encoded.unpersist()
@@ -131,6 +136,26 @@ def ridge_predictions(data: DataFrame, ids: list[int], n_classes: int, target_lo
     return models, predict_buckets(data.where("split = 'val'"), models, n_classes, target_log1p)
 
 
+def ridge_grid(encoded: DataFrame, ids: dict[str, list[int]], task: TaskSpec, n_classes: int,
+               target_log1p: bool) -> dict[str, float]:
+    """Val scores of all bucketers on one encoded frame, the models of all their buckets fitted in one pass.
+
+    Each row counts once for each bucketer that has a model for its bucket; a
+    bucketer's score is that of its buckets weighted by their val rows.
+    """
+    names, room = list(ids), 1 << 20
+    place = lambda k, b: F.when(F.col(f"_bucket_{b}").isin(*ids[b]), F.col(f"_bucket_{b}") + k * room)
+    places = F.array(*[place(k, b) if mode_of(b) == "per_bucket" else F.lit(k * room) for k, b in enumerate(names)
+                       if mode_of(b) == "global" or ids[b]])
+    data = encoded.select("case_id", "prefix_len", "split", "features", "label", F.explode(places).alias("bucket_id")) \
+        .where("bucket_id is not null")
+    models = fit_buckets(data.where("split = 'train'"), n_classes, target_log1p=target_log1p)
+    scores = per_bucket_scores(predict_buckets(data.where("split = 'val'"), models, n_classes, target_log1p), task)
+    total = scores.groupBy(F.floor(F.col("bucket_id") / room).alias("k")).agg(
+        (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("score")).collect()  # a row for each bucketer
+    return {names[r["k"]]: float(r["score"] or 0.0) for r in total}
+
+
 def compare_tasks(frame: DataFrame, tasks: list[TaskSpec], bucketers: list[str], encodings: list[str],
                   kind: str = "ridge", min_bucket_samples: int = 1000) -> DataFrame:
     """EXP-2: the whole grid for every task, one long table with the best strategy of each task first."""
