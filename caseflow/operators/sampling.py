@@ -108,6 +108,21 @@ def _pick_order(seed: int):
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(CASE), F.col("prefix_len").cast("string")))
 
 
+def filled_quantile_exemplars(df: DataFrame, label_col: str, n: int = 20,
+                              quantiles=(0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99), seed: int = 42) -> DataFrame:
+    """SRT-5: the different rows nearest to the label quantiles, filled up to ``n`` with other labelled rows in a seeded hash order.
+
+    ``pick`` says which: ``quantile`` or ``fill``.
+    """
+    near = quantile_exemplars(df, label_col, quantiles).select(*df.columns).dropDuplicates([CASE, "prefix_len"])
+    rest = df.where(F.col(label_col).try_cast("double").isNotNull()).join(near.select(CASE, "prefix_len"), [CASE, "prefix_len"], "left_anti")
+    order = [_pick_order(seed), F.col(CASE), F.col("prefix_len")]
+    # n rows at most, so the unpartitioned window is tiny
+    fill = rest.orderBy(*order).limit(n).withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
+    fill = attach_scalars(fill, near.agg(F.count(F.lit(1)).alias("_nq"))).where(F.col("_rn") <= n - F.col("_nq"))
+    return near.withColumn("pick", F.lit("quantile")).unionByName(fill.select(*df.columns, F.lit("fill").alias("pick")))
+
+
 def classification_exemplars(pred: DataFrame, n: int = 20, y: str = "y_true", p: str = "y_pred",
                              seed: int = 42) -> DataFrame:
     """SRT-6: up to n/2 wrong predictions, the rest right; a seeded hash gives the pick order."""

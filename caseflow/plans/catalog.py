@@ -1424,3 +1424,13 @@ QUERIES.update({
     "case_quantile_exemplars": q_case_quantile_exemplars,
     "case_exemplars_fill": q_case_exemplars_fill,
 })
+
+
+def q_test_exemplars_fill(spark, sf_dir):
+    """SRT-5: rows nearest to the label quantiles of the test split, filled up to 20 in a seeded hash order."""
+    t = regression_predictions(spark, sf_dir).where(F.col("split") == "test")
+    e = smp.filled_quantile_exemplars(t.select("case_id", "prefix_len", "y_true", "y_pred"), "y_true", 20)
+    return _r(e, {"y_true": 2, "y_pred": 2})
+
+
+QUERIES["test_exemplars_fill"] = q_test_exemplars_fill

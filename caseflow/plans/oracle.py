@@ -1144,3 +1144,14 @@ f AS (SELECT 4 AS pick, case_id, prefix_len, label_remaining_time_sec FROM reps
 SELECT pick, case_id, prefix_len FROM (SELECT * FROM p UNION ALL SELECT * FROM f)
 """,
 })
+
+ORACLE["test_exemplars_fill"] = f"""
+{ORACLE['test_quantile_exemplars'].split('SELECT DISTINCT case_id')[0]},
+near AS (SELECT DISTINCT case_id, prefix_len, y_true, y_pred FROM pick WHERE r = 1),
+rest AS (SELECT t.case_id, t.prefix_len, t.y_true, t.y_pred,
+                row_number() OVER (ORDER BY md5('42:' || t.case_id || ':' || t.prefix_len), t.case_id, t.prefix_len) AS rn
+         FROM t ANTI JOIN near USING (case_id, prefix_len)),
+whole AS (SELECT *, 'quantile' AS pick FROM near
+          UNION ALL SELECT * EXCLUDE (rn), 'fill' FROM rest WHERE rn <= 20 - (SELECT count(*) FROM near))
+SELECT case_id, prefix_len, {rhu('y_true', 2)} AS y_true, {rhu('y_pred', 2)} AS y_pred, pick FROM whole
+"""
