@@ -5,8 +5,8 @@ Two layers:
 * a long-format core (one row per (prefix, feature)) that is plain DataFrame
   work and SQL-checkable: vocabularies, one-hot slots, activity counts,
   positional activities, target encodings, embedding means;
-* ``fit_encoder`` which turns a fitted vocabulary into column expressions and
-  a ``VectorAssembler`` so Spark ML gets a ``features`` vector.
+* ``fit_encoder`` which turns a fitted vocabulary into column expressions,
+  sparse blocks and a ``VectorAssembler``, so Spark ML gets a ``features`` vector.
 
 Vocabularies are capped by configuration (≤ ``max_categories_per_col`` values
 for ≤ ``max_categorical_cols`` columns) or by the activity alphabet, so they are
@@ -17,12 +17,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseflow.operators.schema import CASE
 from caseflow.functions.scalar import attach_scalars, small_side
+from caseflow.operators.sparse import block_sum, count_block, onehot_blocks, position_blocks
 
 UNK = "__UNK__"
 KEY = [CASE, "prefix_len"]
@@ -184,7 +187,7 @@ def embedding_mean_last_long(df: DataFrame, vectors: DataFrame, prefix_col: str
 
 @dataclass
 class FittedEncoder:
-    """Column expressions + assembler; ``transform`` adds ``features`` (and ``label``)."""
+    """Column expressions, sparse blocks and assembler; ``transform`` adds ``features`` (and ``label``)."""
     name: str
     feature_cols: list
     exprs: dict
@@ -193,34 +196,30 @@ class FittedEncoder:
     label_col: str = ""
     state: dict = field(default_factory=dict)  # all that was learned, as JSON values
     tables: dict = field(default_factory=dict)  # and as tables: column -> target encoding (unbounded cardinality)
-    state_exprs: dict = field(default_factory=dict)  # features of ``activity_counts`` and ``last_activity``, without the whole list
+    scalars: list = field(default_factory=list)  # columns of ``exprs`` and ``lookups``, the first features
+    blocks: list = field(default_factory=list)  # (frame, is it running-case state) -> (frame, vector columns added)
 
     def transform(self, df: DataFrame, features_col: str = "features") -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
 
-        out = df
+        out, of_state = df, "activity_counts" in df.columns
         for fn in self.lookups:
             out = fn(out)
-        out = out.withColumns(self.exprs | (self.state_exprs if "activity_counts" in df.columns else {}))
+        out = out.withColumns(self.exprs)
+        inputs = list(self.scalars)
+        for block in self.blocks:
+            out, added = block(out, of_state)
+            inputs += added
         if self.label_expr is not None and self.label_col in df.columns:
             out = out.withColumn("label", self.label_expr)
-        va = VectorAssembler(inputCols=self.feature_cols, outputCol=features_col, handleInvalid="keep")
-        return va.transform(out).drop(*self.feature_cols)
+        va = VectorAssembler(inputCols=inputs, outputCol=features_col, handleInvalid="keep")
+        return va.transform(out).drop(*inputs)
 
     @property
     def feature_dim(self) -> int:
         return len(self.feature_cols)
 
 
-def _equals(value):
-    # one-argument lambdas only: Spark passes (element, index) to two-argument ones
-    return lambda x: x == F.lit(value)
-
-
-def _lookup_or(m, default):
-    return lambda a: F.coalesce(F.try_element_at(m, a), F.lit(default))
-
-
 def _vocab_dict(vocab: DataFrame) -> dict[str, list[str]]:
     d: dict[str, list[str]] = {}
     for r in vocab.orderBy("column", "slot").collect():  # bounded: ≤ cols × max_categories
@@ -228,22 +227,6 @@ def _vocab_dict(vocab: DataFrame) -> dict[str, list[str]]:
     return d
 
 
-def _onehot_exprs(cat_cols, vd, prefix="f_cat__"):
-    exprs, names = {}, []
-    for i, c in enumerate(cat_cols):
-        vals = vd.get(c, [])
-        v = _as_text(c)
-        known = v.isin(*vals) if vals else F.lit(False)
-        n = f"{prefix}{i}__unk"
-        exprs[n] = F.when(known, 0.0).otherwise(1.0)
-        names.append(n)
-        for j, val in enumerate(vals):
-            n = f"{prefix}{i}__{j + 1}"
-            exprs[n] = F.when(v == F.lit(val), 1.0).otherwise(0.0)
-            names.append(n)
-    return exprs, names
-
-
 def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_time_sec",
                 label_is_numeric: bool = True, max_prefix_len: int | None = None, min_freq: int = 50,
                 max_categories: int = 20, max_categorical_cols: int = 30, ignore: list[str] | None = None,
@@ -290,62 +273,161 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
 
 
 def build_encoder(state: dict, tables: dict[str, DataFrame] | None = None) -> FittedEncoder:
-    """The encoder of what :func:`fit_encoder` learned; the same from memory as from a saved bundle."""
+    """The encoder of what :func:`fit_encoder` learned; the same from memory as from a saved bundle.
+
+    Single numbers are column expressions; everything that a vocabulary indexes
+    is a block (``sparse.py``, or the batch lookup of vectors), so the plan does
+    not grow with the activities or values.  Features: the single numbers, then
+    the blocks' slots, in the order of ``feature_cols``.
+    """
     tables, cat_cols = tables or {}, state["cat_cols"]
     exprs: dict = {"f_prefix_len": F.col("prefix_len").cast("double")}
-    lookups = []
+    lookups, blocks = [], []
     for i, c in enumerate(state["num_cols"]):
         exprs[f"f_num__{i}"] = F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(0.0))
-    names = list(exprs)
-    if state["categorical"] == "onehot":
-        onehot, more = _onehot_exprs(cat_cols, state["vocab"])
-        exprs.update(onehot)
-        names += more
-    for i, c in enumerate(cat_cols if state["categorical"] == "label" else ()):
+    for i, c in enumerate(cat_cols if state["categorical"] == "label" else ()):  # at most max_categories values
         slots = _literal_map({v: float(j + 1) for j, v in enumerate(state["vocab"].get(c, []))})
         exprs[f"f_lab__{i}"] = F.coalesce(F.try_element_at(slots, _as_text(c)), F.lit(0.0))
-        names.append(f"f_lab__{i}")
+    scalars = list(exprs)
     for i, c in enumerate(cat_cols if state["categorical"] == "target" else ()):
         lookups.append(lambda df, c=c, out=f"f_te__{i}": apply_target_encoding(df, tables[c], c, out))
-        names.append(f"f_te__{i}")
-    acts, kind = state.get("activities", []), state["activity"]
-    of_state: dict = {}  # a running case's state has counts instead of the list; positions are read from its first activities
-    times = F.col("activity_counts")
+        scalars.append(f"f_te__{i}")
+    names = list(scalars)
+    if state["categorical"] == "onehot" and cat_cols:
+        values = {c: state["vocab"].get(c, []) for c in cat_cols}
+        blocks.append(_onehot_block(values))
+        names += [n for i, c in enumerate(cat_cols)
+                  for n in [*[f"f_cat__{i}__{j + 1}" for j in range(len(values[c]))], f"f_cat__{i}__unk"]]
+    acts, kind, longest = state.get("activities", []), state["activity"], state.get("max_len", 0)
     if kind == "counts":
-        unseen = F.map_values(F.map_filter(times, lambda a, _: ~a.isin(*acts) if acts else F.lit(True)))
-        of_state["f_act__unk"] = F.aggregate(unseen, F.lit(0.0), lambda s, x: s + x)
-        of_state.update({f"f_act__{j + 1}": F.coalesce(F.try_element_at(times, F.lit(a)).cast("double"), F.lit(0.0))
-                         for j, a in enumerate(acts)})
-        exprs["f_act__unk"] = F.size(F.filter("prefix_activities", lambda a: ~a.isin(*acts) if acts else F.lit(True))).cast("double")
-        exprs.update({f"f_act__{j + 1}": F.size(F.filter("prefix_activities", _equals(a))).cast("double")
-                      for j, a in enumerate(acts)})
-    for p in range(1, state.get("max_len", 0) + 1):
-        a = F.get(F.col("prefix_activities"), p - 1)
-        if kind == "target":
-            exprs[f"f_pos__{p}"] = F.coalesce(F.try_element_at(_literal_map(state["activity_target"]), a),
-                                              F.lit(state["activity_mean"]))
-        else:
-            exprs[f"f_pos__{p}__0"] = F.when(~a.isin(*acts) | a.isNull(), 1.0).otherwise(0.0)
-            exprs.update({f"f_pos__{p}__{j + 1}": F.when(a == F.lit(act), 1.0).otherwise(0.0) for j, act in enumerate(acts)})
-    vectors = state.get("vectors", {})
-    for d in range(len(next(iter(vectors.values()), []))):
-        mean = sum(v[d] for v in vectors.values()) / len(vectors)
-        of = _literal_map({a: v[d] for a, v in vectors.items()})
-        vals = F.transform("prefix_activities", _lookup_or(of, mean))
-        exprs[f"f_emb_mean__{d}"] = F.try_divide(F.aggregate(vals, F.lit(0.0), lambda s, x: s + x),
-                                                 F.size("prefix_activities").cast("double"))
-        exprs[f"f_emb_last__{d}"] = F.coalesce(F.try_element_at(of, F.element_at("prefix_activities", -1)), F.lit(mean))
-        weighted = F.transform(F.map_entries(times), lambda e: e["value"] * F.coalesce(F.try_element_at(of, e["key"]), F.lit(mean)))
-        of_state[f"f_emb_mean__{d}"] = F.try_divide(F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x), F.col("prefix_len").cast("double"))
-        of_state[f"f_emb_last__{d}"] = F.coalesce(F.try_element_at(of, F.col("last_activity")), F.lit(mean))
-    names += [n for n in exprs if n not in names]
+        blocks.append(_count_block(acts))
+        names += ["f_act__unk"] + [f"f_act__{j + 1}" for j in range(len(acts))]
+    elif kind == "onehot_per_position":
+        blocks.append(_position_block(acts, longest))
+        names += [f"f_pos__{p}__{j + 1}" for p in range(1, longest + 1) for j in range(len(acts))]
+        names += [f"f_pos__{p}__0" for p in range(1, longest + 1)]
+    elif kind == "target":
+        blocks.append(_position_target_block(state["activity_target"], state["activity_mean"], longest))
+        names += [f"f_pos__{p}" for p in range(1, longest + 1)]
+    elif kind == "vectors":
+        vectors, of_values = state["vectors"], state.get("value_vectors", {})
+        dim = len(next(iter(vectors.values()), []))
+        blocks.append(_vector_block(vectors, of_values))
+        names += [f"f_emb_mean__{d}" for d in range(dim)] + [f"f_emb_last__{d}" for d in range(dim)]
+        names += [f"f_val__{i}__{d}" for i, c in enumerate(of_values) for d in range(len(next(iter(of_values[c].values()))))]
     label = None
     if state["label_is_numeric"]:
         label = F.coalesce(F.col(state["label_col"]).try_cast("double"), F.lit(0.0))
     elif state["label_vocab"] is not None:
         ids = _literal_map({v: float(i + 1) for i, v in enumerate(state["label_vocab"])})
         label = F.coalesce(F.try_element_at(ids, F.col(state["label_col"]).cast("string")), F.lit(0.0))
-    return FittedEncoder(state["name"], names, exprs, lookups, label, state["label_col"], state, tables, of_state)
+    return FittedEncoder(state["name"], names, exprs, lookups, label, state["label_col"], state, tables, scalars, blocks)
+
+
+def _onehot_block(values: dict[str, list[str]]):
+    outs = [f"f_cat__{i}" for i in range(len(values))]
+    return lambda df, of_state: (onehot_blocks(df, values, outs), outs)
+
+
+def _count_block(acts: list[str]):
+    """Counts of unseen activities, then of each known one.
+
+    A running case's state has counts instead of the list: they are looked up in
+    a batch (a case is one row there), since its list may be as long as the log.
+    """
+    def add(df: DataFrame, of_state: bool):
+        if of_state:
+            slots = {a: j + 1 for j, a in enumerate(acts)}
+            counts = _looked_up(lambda: _count_rows(df.sparkSession.sparkContext.broadcast(slots), len(slots) + 1),
+                                F.map_keys("activity_counts"), F.map_values("activity_counts").cast("array<double>"))
+            return _sized(df.withColumn("f_act", counts), "f_act", len(slots) + 1)
+        if not acts:
+            return df.withColumn("f_act__unk", F.size("prefix_activities").cast("double")), ["f_act__unk"]
+        df = count_block(df, F.col("prefix_activities"), acts, "f_act")
+        return df.withColumn("f_act__unk", F.size("prefix_activities") - block_sum("f_act")), ["f_act__unk", "f_act"]
+    return add
+
+
+def _position_block(acts: list[str], longest: int):
+    def add(df: DataFrame, of_state: bool):
+        df = position_blocks(df, F.col("prefix_activities"), acts, longest, "f_pos", "f_pos__0")
+        return df, (["f_pos"] if acts else []) + ["f_pos__0"]
+    return add
+
+
+def _position_target_block(encodings: dict[str, float], mean: float, longest: int):
+    def add(df: DataFrame, of_state: bool):
+        shared = df.sparkSession.sparkContext.broadcast(encodings)
+        first = F.transform(F.sequence(F.lit(0), F.lit(longest - 1)), lambda i: F.get("prefix_activities", i))
+        return _sized(df.withColumn("f_pos", _looked_up(lambda: _target_rows(shared, mean), first)), "f_pos", longest)
+    return add
+
+
+def _vector_block(vectors: dict[str, list[float]], of_values: dict[str, dict[str, list[float]]]):
+    """Mean vector of the activities, vector of the last one, and the vector of each categorical value.
+
+    What has no vector takes the mean of its table.
+    """
+    width = 2 * len(next(iter(vectors.values()), [])) + sum(len(next(iter(t.values()))) for t in of_values.values())
+
+    def add(df: DataFrame, of_state: bool):
+        shared = df.sparkSession.sparkContext.broadcast((vectors, list(of_values.values())))
+        if of_state:
+            names, times, last = F.map_keys("activity_counts"), F.map_values("activity_counts").cast("array<double>"), F.col("last_activity")
+        else:
+            names, last = F.col("prefix_activities"), F.element_at("prefix_activities", -1)
+            times = F.transform(names, lambda _: F.lit(1.0))
+        texts = F.array(*[_as_text(c) for c in of_values]) if of_values else F.array().cast("array<string>")
+        looked_up = df.withColumn("f_emb", _looked_up(lambda: _vector_rows(shared), names, times, last, texts))
+        return _sized(looked_up, "f_emb", width)
+    return add
+
+
+def _looked_up(make, *cols: Column) -> Column:
+    """A vector column from a batch lookup: ``make()`` gives the function from pandas series to lists of numbers."""
+    from pyspark.ml.functions import array_to_vector
+    return array_to_vector(F.pandas_udf(make(), "array<double>")(*cols))
+
+
+def _sized(df: DataFrame, block: str, size: int) -> tuple[DataFrame, list[str]]:
+    """The frame with the block's length in its metadata, which the assembler asks for."""
+    from pyspark.ml.feature import VectorSizeHint
+    return VectorSizeHint(inputCol=block, size=size, handleInvalid="optimistic").transform(df), [block]
+
+
+def _count_rows(slots, width: int):
+    def rows(names: pd.Series, times: pd.Series) -> pd.Series:
+        out = np.zeros((len(names), width))
+        for row, of, n in zip(out, names, times):
+            np.add.at(row, [slots.value.get(a, 0) for a in of], n)
+        return pd.Series(list(out))
+    return rows
+
+
+def _target_rows(encodings, mean: float):
+    def rows(names: pd.Series) -> pd.Series:
+        return names.map(lambda of: [encodings.value.get(a, mean) for a in of])
+    return rows
+
+
+def _vector_rows(shared):
+    def rows(names: pd.Series, times: pd.Series, last: pd.Series, texts: pd.Series) -> pd.Series:
+        vectors, of_values = shared.value
+        (of, matrix), tables = _indexed(vectors), [_indexed(t) for t in of_values]
+        out = []
+        for acts, n, end, values in zip(names, times, last, texts):
+            total = n.sum()
+            mean = (n / total) @ matrix[[of.get(a, -1) for a in acts]] if total else np.full(matrix.shape[1], np.nan)
+            out.append(np.concatenate([mean, matrix[of.get(end, -1)],
+                                       *[m[at.get(v, -1)] for (at, m), v in zip(tables, values)]]))
+        return pd.Series(out)
+    return rows
+
+
+def _indexed(vectors: dict[str, list[float]]) -> tuple[dict[str, int], np.ndarray]:
+    """Row of each name, and the rows; the last row is their mean."""
+    rows = np.array(list(vectors.values()), float)
+    return {a: i for i, a in enumerate(vectors)}, np.vstack([rows, rows.mean(axis=0)])
 
 
 def _literal_map(values: dict[str, float]) -> Column:

@@ -1193,13 +1193,29 @@ def q_prefix_preview(spark, sf_dir):
     return pv
 
 
+def q_encoder_vectors(spark, sf_dir):
+    """ENC-5/6/7/13: the non-zero entries of three encoders' vectors, added up by feature and prefix length."""
+    from caseflow.operators.encoding import fit_encoder
+    from caseflow.operators.sparse import entries_long
+    mf = model_frame(spark, sf_dir)
+    out = None
+    for name, options in (("last_state", {}), ("aggregation", {}),
+                          ("index_latest_payload", {"categorical_encoding": "onehot", "activity_encoding": "onehot_per_position"})):
+        enc = fit_encoder(name, mf.where("split = 'train'"), **options)
+        part = entries_long(enc.transform(mf), enc.feature_cols, ["prefix_len"]).withColumn("encoding", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return (out.groupBy("encoding", "feature", "prefix_len")
+            .agg(F.count(F.lit(1)).alias("n_entries"), round_half_up(F.sum("value"), 2).alias("total")))
+
+
 def q_encoded_preview(spark, sf_dir):
-    """SNK-4: top-5 features by |value| for 20 encoded rows (rows-only)."""
+    """SNK-4: top-5 non-zero features by |value| for the first 20 encoded rows."""
     from caseflow.operators.encoding import fit_encoder
     from caseflow.sources.sinks import encoded_preview
     mf = model_frame(spark, sf_dir)
     enc = fit_encoder("last_state", mf.where("split = 'train'"))
-    return encoded_preview(enc.transform(mf).orderBy("case_id", "prefix_len"), enc.feature_cols, 5, 20)
+    preview = encoded_preview(enc.transform(mf).orderBy("case_id", "prefix_len"), enc.feature_cols, 5, 20)
+    return preview.withColumn("value", round_half_up("value", 4))
 
 
 def q_scalar_functions(spark, sf_dir):
@@ -1249,6 +1265,7 @@ QUERIES.update({
     "sample_prefixes": q_sample_prefixes,
     "qc_report_json": q_qc_report_json,
     "prefix_preview": q_prefix_preview,
+    "encoder_vectors": q_encoder_vectors,
     "encoded_preview": q_encoded_preview,
     "scalar_functions": q_scalar_functions,
     "roc_auc": q_roc_auc,

@@ -1155,3 +1155,64 @@ whole AS (SELECT *, 'quantile' AS pick FROM near
           UNION ALL SELECT * EXCLUDE (rn), 'fill' FROM rest WHERE rn <= 20 - (SELECT count(*) FROM near))
 SELECT case_id, prefix_len, {rhu('y_true', 2)} AS y_true, {rhu('y_pred', 2)} AS y_pred, pick FROM whole
 """
+
+# ---------------------------------------------------------------- encoder vectors as (feature, value) rows
+
+# order of the numeric snapshot columns in the frame, which is that of the features
+VECTOR_NUMS = NUM_FEATURES[2:] + NUM_FEATURES[:2]
+VECTOR_CATS = ["case__segment", "event_last__o_orderpriority"]
+
+
+def _vector_rows() -> str:
+    """Features of the last-state vectors with their index: single numbers, then the slots of each category, unknown last."""
+    nums = "".join(f"UNION ALL SELECT case_id, prefix_len, 'f_num__{i}', {i + 1}, coalesce(TRY_CAST({c} AS DOUBLE), 0) FROM mf "
+                   for i, c in enumerate(VECTOR_NUMS))
+    return f"""
+cat_sizes AS (SELECT n."column", n.no, coalesce(max(v.slot), 0) AS k
+              FROM (VALUES {', '.join(f"('{c}', {i})" for i, c in enumerate(VECTOR_CATS))}) n("column", no)
+              LEFT JOIN vocab v ON v."column" = n."column" GROUP BY ALL),
+cat_starts AS (SELECT *, {len(VECTOR_NUMS) + 1} + coalesce(sum(k + 1) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_i
+               FROM cat_sizes),
+base_feats AS (
+  SELECT case_id, prefix_len, 'f_prefix_len' AS feature, 0 AS i, CAST(prefix_len AS DOUBLE) AS value FROM mf {nums}
+  UNION ALL
+  SELECT c.case_id, c.prefix_len, 'f_cat__' || s.no || '__' || coalesce(CAST(v.slot AS VARCHAR), 'unk'),
+         CAST(s.first_i + coalesce(v.slot, s.k + 1) - 1 AS INTEGER), 1.0
+  FROM cats c JOIN cat_starts s ON c."column" = s."column"
+  LEFT JOIN vocab v ON c."column" = v."column" AND c.value = v.value)"""
+
+
+ORACLE.update({
+    "encoder_vectors": f"""
+WITH {MODEL_FRAME}, {_vocab(50, 20)}, {_vector_rows()},
+ev AS (SELECT case_id, k AS pos, activity FROM cpfx_pos),
+held AS (SELECT mf.case_id, mf.prefix_len, mf.split, e.pos, e.activity
+         FROM mf JOIN ev e ON mf.case_id = e.case_id AND e.pos <= mf.prefix_len),
+slots AS (SELECT activity, row_number() OVER (ORDER BY activity) AS slot
+          FROM (SELECT DISTINCT activity FROM held WHERE split = 'train')),
+grid AS (SELECT mf.case_id, mf.prefix_len, CAST(p.range AS INTEGER) AS pos
+         FROM mf, range(1, (SELECT max(prefix_len) + 1 FROM mf WHERE split = 'train')) p),
+feats AS (
+  SELECT e.encoding, prefix_len, feature, value FROM base_feats,
+    (VALUES ('last_state'), ('aggregation'), ('index_latest_payload')) e(encoding)
+  UNION ALL
+  SELECT 'aggregation', prefix_len, 'f_act__' || coalesce(CAST(slot AS VARCHAR), 'unk'), CAST(count(*) AS DOUBLE)
+  FROM held LEFT JOIN slots USING (activity) GROUP BY case_id, prefix_len, slot
+  UNION ALL
+  SELECT 'index_latest_payload', g.prefix_len, 'f_pos__' || g.pos || '__' || coalesce(slot, 0), 1.0
+  FROM grid g LEFT JOIN held h ON g.case_id = h.case_id AND g.prefix_len = h.prefix_len AND g.pos = h.pos
+  LEFT JOIN slots ON h.activity = slots.activity)
+SELECT encoding, feature, prefix_len, count(*) AS n_entries, {rhu('sum(value)', 2)} AS total
+FROM feats WHERE value <> 0 GROUP BY ALL
+""",
+    "encoded_preview": f"""
+WITH {MODEL_FRAME}, {_vocab(50, 20)}, {_vector_rows()},
+first_rows AS (SELECT case_id, prefix_len FROM mf ORDER BY case_id, prefix_len LIMIT 20),
+ranked AS (SELECT f.*, count_if(value <> 0) OVER (PARTITION BY case_id, prefix_len) AS nonzero,
+                  row_number() OVER (PARTITION BY case_id, prefix_len ORDER BY abs(value) DESC, i) AS r
+           FROM base_feats f JOIN first_rows USING (case_id, prefix_len))
+SELECT case_id, prefix_len, (SELECT CAST(max(first_i + k + 1) AS INTEGER) FROM cat_starts) AS feature_dim,
+       CAST(nonzero AS INTEGER) AS nonzero, CAST(i AS INTEGER) AS i, {rhu('value', 4)} AS value, feature
+FROM ranked WHERE r <= 5 AND value <> 0
+""",
+})

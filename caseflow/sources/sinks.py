@@ -47,14 +47,15 @@ def write_preview(df: DataFrame, path: str, n: int = 100, fmt: str = "csv", orde
 
 
 def encoded_preview(encoded: DataFrame, feature_names: list[str], k: int = 5, n: int = 20) -> DataFrame:
-    """SNK-4: per row, top-k features by |value|, non-zero count and feature dim."""
-    from pyspark.ml.functions import vector_to_array
+    """SNK-4: per row, its top-k non-zero features by |value|, the number of them and the feature dim."""
     from pyspark.sql import Window
-    base = encoded.limit(n).select("case_id", "prefix_len", vector_to_array("features").alias("_x"))
+
+    from caseflow.operators.sparse import entries
+    base = encoded.limit(n).select("case_id", "prefix_len", entries("features").alias("_e"))
     names = F.array(*[F.lit(x) for x in feature_names])
-    ex = base.select("case_id", "prefix_len", F.size("_x").alias("feature_dim"),
-                     F.size(F.filter("_x", lambda v: v != 0)).alias("nonzero"),
-                     F.posexplode("_x").alias("i", "value"))
+    ex = base.select("case_id", "prefix_len", F.lit(len(feature_names)).alias("feature_dim"),
+                     F.size("_e").alias("nonzero"), F.explode("_e").alias("_v")) \
+        .select("case_id", "prefix_len", "feature_dim", "nonzero", F.col("_v.index").alias("i"), "_v.value")
     w = Window.partitionBy("case_id", "prefix_len").orderBy(F.desc(F.abs("value")), "i")
     return (ex.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
             .withColumn("feature", F.get(names, F.col("i"))).drop("_r"))

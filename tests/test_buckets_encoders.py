@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from caseflow.operators import bucketing, encoding, sampling
@@ -84,3 +85,53 @@ def test_index_latest_payload_modes(spark):
     assert out["c12"] == [2.0, 2.0, 0.0, 1.0, 1.0] and out["c21"] == [1.0, 0.0, 0.0, 0.0, 1.0]
     tgt = encoding.fit_encoder("index_latest_payload", tr, min_freq=1, max_prefix_len=2)
     assert tgt.feature_dim == 1 + 1 + 2  # prefix_len, target-encoded x, two positions
+
+
+def test_blocks_do_not_grow_the_plan(spark):
+    """Ten thousand activities: the plan is as long as for ten, and the vectors stay sparse."""
+    rows = [("c1", 2, ["a1", "a7"], 1.0), ("c2", 3, ["a3", "never", "a3"], 2.0), ("c3", 1, [None], 2.0)]
+    df = spark.createDataFrame(rows, "case_id string, prefix_len int, prefix_activities array<string>, "
+                                     "label_remaining_time_sec double")
+    size = {}
+    for n in (10, 10_000):
+        state = {"name": "aggregation", "num_cols": [], "cat_cols": [], "categorical": "onehot", "vocab": {},
+                 "label_col": "label_remaining_time_sec", "label_is_numeric": True, "label_vocab": None,
+                 "activities": [f"a{i}" for i in range(n)]}
+        counted = encoding.build_encoder(state | {"activity": "counts"}).transform(df)
+        placed = encoding.build_encoder(state | {"activity": "onehot_per_position", "max_len": 3}).transform(df)
+        size[n] = [len(x._jdf.queryExecution().optimizedPlan().toString()) for x in (counted, placed)]
+    assert all(big < 1.2 * small for small, big in zip(size[10], size[10_000]))
+    of = {r["case_id"]: r["features"] for r in counted.collect()}
+    got = {c: dict(zip(v.indices.tolist(), v.values.tolist())) for c, v in of.items()}
+    # prefix_len, unknown, a0, a1, ...
+    assert got == {"c1": {0: 2.0, 3: 1.0, 9: 1.0}, "c2": {0: 3.0, 1: 1.0, 5: 2.0}, "c3": {0: 1.0, 1: 1.0}}
+    of = {r["case_id"]: r["features"] for r in placed.collect()}
+    got = {c: dict(zip(v.indices.tolist(), v.values.tolist())) for c, v in of.items()}
+    unknown = 1 + 3 * 10_000  # the three positions' unknown slots come last
+    assert got["c1"] == {0: 2.0, 1 + 1: 1.0, 1 + 10_000 + 7: 1.0, unknown + 2: 1.0}
+    assert got["c2"] == {0: 3.0, 1 + 3: 1.0, 1 + 20_000 + 3: 1.0, unknown + 1: 1.0}
+    assert got["c3"] == {0: 1.0, unknown: 1.0, unknown + 1: 1.0, unknown + 2: 1.0}
+
+
+def test_state_and_list_give_one_vector(spark):
+    """A running case's counts and the whole list of its activities are encoded alike."""
+    rows = [("c1", 4, ["a", "b", "a", "new"], {"a": 2, "b": 1, "new": 1}, "new")]
+    whole = spark.createDataFrame(rows, "case_id string, prefix_len int, prefix_activities array<string>, "
+                                        "activity_counts map<string,int>, last_activity string")
+    base = {"name": "x", "num_cols": [], "cat_cols": [], "categorical": "onehot", "vocab": {}, "label_col": "y",
+            "label_is_numeric": True, "label_vocab": None}
+    for more in ({"activity": "counts", "activities": ["a", "b", "c"]},
+                 {"activity": "vectors", "vectors": {"a": [1.0, 0.0], "b": [0.0, 3.0]}}):
+        enc = encoding.build_encoder(base | more)
+        of_state = enc.transform(whole).first()["features"].toArray().tolist()
+        of_list = enc.transform(whole.drop("activity_counts", "last_activity")).first()["features"].toArray().tolist()
+        assert of_state == pytest.approx(of_list) and len(of_list) == enc.feature_dim
+
+
+def test_entries_of_sparse_and_dense_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+    from caseflow.operators.sparse import entries_long
+    df = spark.createDataFrame([(1, Vectors.dense([0.0, 2.0])), (2, Vectors.sparse(2, {0: 5.0})), (3, Vectors.sparse(2, {}))],
+                               ["k", "features"])
+    got = {(r["k"], r["feature"], r["value"]) for r in entries_long(df, ["x", "y"], ["k"]).collect()}
+    assert got == {(1, "y", 2.0), (2, "x", 5.0)}
