@@ -116,7 +116,9 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
     "op6_source_mix": """
 WITH sized AS (
   SELECT doc_id, source,
-         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+         ('0x' || substr(md5('20240607:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE
+          / 4503599627370496.0::DOUBLE AS draw
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -135,11 +137,19 @@ level AS (
 targets AS (
   SELECT source, source_size, CASE WHEN is_full THEN cap ELSE least(cap, l * w) END AS target FROM filled, level),
 rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0 END AS rate FROM targets),
+placed AS (
+  SELECT source, draw, sum(sum(size)) OVER (PARTITION BY source ORDER BY draw)::DOUBLE AS words
+  FROM sized GROUP BY source, draw),
+missed AS (
+  SELECT p.source, draw, target - floor(rate) * source_size AS rest, abs(words - (target - floor(rate) * source_size)) AS miss
+  FROM placed p JOIN rated r ON p.source IS NOT DISTINCT FROM r.source),
+limits AS (
+  SELECT source, CASE WHEN min(miss) < max(rest) THEN arg_min(draw, (miss, draw)) ELSE -1 END AS until
+  FROM missed GROUP BY source),
 drawn AS (
-  SELECT d.doc_id, d.size, r.source_size, r.target,
-         (floor(r.rate) + CASE WHEN ('0x' || substr(md5('20240607:' || d.doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE
-          / 4503599627370496.0::DOUBLE < r.rate - floor(r.rate) THEN 1 ELSE 0 END)::INT AS copies
-  FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source)
+  SELECT d.doc_id, d.size, r.source_size, r.target, (floor(r.rate) + (d.draw <= l.until)::INT)::INT AS copies
+  FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
+  JOIN limits l ON d.source IS NOT DISTINCT FROM l.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM drawn
 """,
     "op13_collocations": """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 
@@ -86,3 +87,21 @@ def remove_repeats(rows, n=100):
         spans = sum(g and not p for g, p in zip(gone, [False] + gone))
         out[doc_id] = (len(text), sum(gone), spans, bytes(b for b, g in zip(text, gone) if not g))
     return out
+
+
+def mixed_copies(sized, target):
+    """Copies of each (key, source, size): whole ones, and one more for the draws up to the best limit of the source."""
+    draw = lambda key: int(hashlib.md5(f"20240607:{key}".encode()).hexdigest()[:13], 16) / (1 << 52)
+    out = {}
+    for source in {s for _, s, _ in sized}:
+        own = [(draw(key), size, key) for key, s, size in sized if s == source]
+        total = sum(size for _, size, _ in own)
+        rate = target[source] / total if total else 1
+        rest, words, best = target[source] - int(rate) * total, 0, None
+        for d in sorted({d for d, _, _ in own}):
+            words += sum(size for other, size, _ in own if other == d)
+            if best is None or (abs(words - rest), d) < best:
+                best = (abs(words - rest), d)
+        limit = best[1] if best[0] < rest else -1
+        out |= {(key, source): int(rate) + (d <= limit) for d, _, key in own}
+    return out

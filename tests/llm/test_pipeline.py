@@ -1,6 +1,5 @@
 """The whole pipeline against a plain version, and its stages' contract."""
 
-import hashlib
 import random
 import struct
 import zlib
@@ -45,15 +44,14 @@ def plain_pipeline(rows):
         size[r[3]] += len(brute.words_of(r[1]))
     names = sorted(size, key=lambda s: (s is None, s or ""))
     target = dict(zip(names, water_level([size[s] for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5, 2)))
+    copies = brute.mixed_copies([(str(d), s, len(brute.words_of(t))) for d, t, _, s, _ in rows], target)
     encode, out = library(packing.TOKENIZER).encode, Counter()
     for d, text, _, source, _ in rows:
-        rate = target[source] / size[source]
-        draw = int(hashlib.md5(f"20240607:{d}".encode()).hexdigest()[:13], 16) / (1 << 52)
         ids = encode(text, add_special_tokens=False).ids + [1]
         for k in range(0, len(ids), 4096):
             part = ids[k:k + 4096]
             crc = zlib.crc32(struct.pack(f"<{len(part)}I", *part))
-            out[(d, k // 4096, k, len(part), crc)] += int(rate) + (draw < rate - int(rate))
+            out[(d, k // 4096, k, len(part), crc)] += copies[str(d), source]
     return +out
 
 
