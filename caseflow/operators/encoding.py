@@ -183,6 +183,64 @@ def embedding_mean_last_long(df: DataFrame, vectors: DataFrame, prefix_col: str
             .select(*KEY, "dim", "mean_value", F.get("_last", F.col("dim")).alias("last_value")))
 
 
+# Shapes of texts that are dates or times, with or without the other.
+DATE_SHAPES = (
+    r"^[0-9]{4}[-/]?(0[1-9]|1[0-2])[-/]?(0[1-9]|[12][0-9]|3[01])([T ].*)?$",
+    r"^(0?[1-9]|[12][0-9]|3[01])[./-](0?[1-9]|[12][0-9]|3[01])[./-]([0-9]{4}|[0-9]{2})([T ].*)?$",
+    r"^T?([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$",
+)
+
+
+def column_facts(df: DataFrame, cat_cols: list[str], sample: int = 20, share: float = 0.8, most: int = 500) -> DataFrame:
+    """SCL-11: (column, n_values, n_sampled, n_dates, skipped) for columns that an embedding could read.
+
+    ``skipped`` is ``date_like`` if at least ``share`` of up to ``sample`` different
+    values (those of least MD5, so reruns agree) have a date's shape, else
+    ``many_values`` above ``most`` different values, else null.  A column of nulls
+    has no row.  One aggregate over all columns.
+    """
+    values = unpivot_categories(df, cat_cols).where("value is not null").select("column", "value").distinct()
+    sizes = values.groupBy("column").agg(F.count(F.lit(1)).alias("n_values"))
+    w = Window.partitionBy("column").orderBy(F.md5(F.col("value").cast("binary")))  # cut off inside each task
+    sampled = values.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
+    is_date = F.lit(False)
+    for shape in DATE_SHAPES:
+        is_date = is_date | F.col("value").rlike(shape)
+    tested = sampled.groupBy("column").agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if(is_date).alias("n_dates"))
+    return tested.join(sizes, "column").withColumn(
+        "skipped", F.when(F.col("n_dates") >= F.lit(share) * F.col("n_sampled"), "date_like")
+        .when(F.col("n_values") > most, "many_values"))
+
+
+def value_vectors(values: DataFrame, dim: int = 16) -> DataFrame:
+    """ENC-10 for categorical values, long: (column, value, dim, weight) of hashed character 3-grams.
+
+    Each 3-gram of ``^value$`` adds +1 or -1 (a digit of its MD5) at a slot (its
+    first 32 bits), and the vector has length 1, so values spelled alike lie
+    close.  Slots that hold 0 have no row.
+    """
+    padded = F.concat(F.lit("^"), F.col("value"), F.lit("$"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(padded) - 2, F.lit(1))), lambda i: F.substr(padded, i, F.lit(3)))
+    h = F.md5(F.col("gram").cast("binary"))
+    slots = (values.select("column", "value", F.explode(grams).alias("gram"))
+             .select("column", "value", (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim).cast("int").alias("dim"),
+                     F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, 1).otherwise(-1).alias("sign"))
+             .groupBy("column", "value", "dim").agg(F.sum("sign").cast("double").alias("s")).where("s <> 0"))
+    of_value = Window.partitionBy("column", "value")  # dim rows at most
+    return slots.select("column", "value", "dim", (F.col("s") / F.sqrt(F.sum(F.col("s") * F.col("s")).over(of_value))).alias("weight"))
+
+
+def _value_vectors(train: DataFrame, cat_cols: list[str], dim: int) -> dict[str, dict[str, list[float]]]:
+    """Vectors of the values of all columns that are not skipped (at most 500 for each column)."""
+    used = [r["column"] for r in column_facts(train, cat_cols).where("skipped is null").collect()] if cat_cols else []
+    out: dict = {}
+    if used:
+        values = unpivot_categories(train, used).where("value is not null").select("column", "value").distinct()
+        for r in value_vectors(values, dim).collect():
+            out.setdefault(r["column"], {}).setdefault(r["value"], [0.0] * dim)[r["dim"]] = r["weight"]
+    return {c: out[c] for c in cat_cols if c in out}
+
+
 # ---------------------------------------------------------------- ML wrap (ENC-5/6/7/10/11/13)
 
 @dataclass
@@ -232,13 +290,14 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
                 max_categories: int = 20, max_categorical_cols: int = 30, ignore: list[str] | None = None,
                 vectors: DataFrame | None = None, label_vocab: list[str] | None = None,
                 compress_dim: int = 64, categorical_encoding: str = "target",
-                activity_encoding: str = "target") -> FittedEncoder:
+                activity_encoding: str = "target", value_dim: int = 0) -> FittedEncoder:
     """Fit one of ``last_state``, ``aggregation``, ``index_latest_payload``, ``embedding`` on train rows.
 
     ``index_latest_payload`` options (ENC-7): ``categorical_encoding`` target /
     onehot / label (ordinal vocabulary slot, 0 = UNK); ``activity_encoding``
     target / onehot_per_position / counts.  Classification forces one-hot for
-    both (a target mean of a class label is meaningless).
+    both (a target mean of a class label is meaningless).  With ``value_dim``, ``embedding`` gives categorical
+    values vectors of that length in place of one-hot slots, without date-like columns and those of over 500 values.
     """
     if name == "index_latest_payload" and not label_is_numeric:
         categorical_encoding, activity_encoding = "onehot", "onehot_per_position"
@@ -269,6 +328,8 @@ def fit_encoder(name: str, train: DataFrame, label_col: str = "label_remaining_t
             vectors = _w2v_vectors(w2v.fit(train))
         rows = compress_vectors(vectors, compress_dim).collect()  # activity alphabet x dim
         state["vectors"] = {r["activity"]: [float(x) for x in r["embedding"]] for r in rows}
+        if value_dim:
+            state["categorical"], state["value_vectors"] = "vectors", _value_vectors(train, cat_cols, value_dim)
     return build_encoder(state, tables)
 
 

@@ -1193,6 +1193,34 @@ def q_prefix_preview(spark, sf_dir):
     return pv
 
 
+def _texts_of_orders(spark, sf_dir):
+    """Snapshot columns of four kinds: a date as text, a day and month first, many values, few values."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").cast("string").alias("case_id"), F.lit(1).alias("prefix_len"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd").alias("event_last__day"),
+                    F.date_format("o_orderdate", "dd.MM.yyyy").alias("event_last__day_first"),
+                    F.concat(F.lit("Customer#"), F.col("o_custkey").cast("string")).alias("case__customer"),
+                    F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("event_last__priority"),
+                    F.col("o_orderstatus").alias("event_last__status"))
+
+
+TEXT_COLS = ["event_last__day", "event_last__day_first", "case__customer", "event_last__priority", "event_last__status"]
+
+
+def q_date_like(spark, sf_dir):
+    """SCL-11: which columns an embedding skips as dates or for their many values."""
+    from caseflow.operators.encoding import column_facts
+    return column_facts(_texts_of_orders(spark, sf_dir), TEXT_COLS)
+
+
+def q_embedding_values(spark, sf_dir):
+    """ENC-10: hashed 3-gram vectors of all values of all text columns."""
+    from caseflow.operators.encoding import unpivot_categories, value_vectors
+    values = unpivot_categories(_texts_of_orders(spark, sf_dir), TEXT_COLS).where("value is not null") \
+        .select("column", "value").distinct()
+    return value_vectors(values).withColumn("weight", round_half_up("weight", 6))
+
+
 def q_encoder_vectors(spark, sf_dir):
     """ENC-5/6/7/13: the non-zero entries of three encoders' vectors, added up by feature and prefix length."""
     from caseflow.operators.encoding import fit_encoder
@@ -1265,6 +1293,8 @@ QUERIES.update({
     "sample_prefixes": q_sample_prefixes,
     "qc_report_json": q_qc_report_json,
     "prefix_preview": q_prefix_preview,
+    "date_like": q_date_like,
+    "embedding_values": q_embedding_values,
     "encoder_vectors": q_encoder_vectors,
     "encoded_preview": q_encoded_preview,
     "scalar_functions": q_scalar_functions,

@@ -1216,3 +1216,42 @@ SELECT case_id, prefix_len, (SELECT CAST(max(first_i + k + 1) AS INTEGER) FROM c
 FROM ranked WHERE r <= 5 AND value <> 0
 """,
 })
+
+TEXT_VALUES = """
+texts AS (
+  SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%d.%m.%Y') AS day_first,
+         'Customer#' || o_custkey AS customer, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS priority,
+         o_orderstatus AS status FROM orders),
+vals AS (
+  SELECT DISTINCT * FROM (
+    SELECT 'event_last__day' AS "column", day AS value FROM texts
+    UNION ALL SELECT 'event_last__day_first', day_first FROM texts UNION ALL SELECT 'case__customer', customer FROM texts
+    UNION ALL SELECT 'event_last__priority', priority FROM texts UNION ALL SELECT 'event_last__status', status FROM texts)
+  WHERE value IS NOT NULL)"""
+
+ORACLE.update({
+    "date_like": f"""
+WITH {TEXT_VALUES},
+sampled AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY md5(value)) AS r,
+                   count(*) OVER (PARTITION BY "column") AS n_values FROM vals),
+facts AS (
+  SELECT "column", any_value(n_values) AS n_values, count(*) AS n_sampled,
+         count_if(try_strptime(value, '%Y-%m-%d') IS NOT NULL OR try_strptime(value, '%d.%m.%Y') IS NOT NULL) AS n_dates
+  FROM sampled WHERE r <= 20 GROUP BY "column")
+SELECT "column", n_values, n_sampled, CAST(n_dates AS BIGINT) AS n_dates,
+       CASE WHEN n_dates >= 0.8 * n_sampled THEN 'date_like' WHEN n_values > 500 THEN 'many_values' END AS skipped
+FROM facts
+""",
+    "embedding_values": f"""
+WITH {TEXT_VALUES},
+grams AS (
+  SELECT "column", value, md5(substr('^' || value || '$', CAST(i AS INTEGER), 3)) AS h
+  FROM (SELECT "column", value, unnest(range(1, greatest(length(value), 1) + 1)) AS i FROM vals)),
+slots AS (
+  SELECT "column", value, CAST(('0x' || substr(h, 1, 8))::BIGINT % 16 AS INTEGER) AS dim,
+         CAST(sum(CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT < 8 THEN 1 ELSE -1 END) AS DOUBLE) AS s
+  FROM grams GROUP BY ALL HAVING s <> 0),
+weighed AS (SELECT *, s / sqrt(sum(s * s) OVER (PARTITION BY "column", value)) AS w FROM slots)
+SELECT "column", value, dim, {rhu('w', 6)} AS weight FROM weighed
+""",
+})

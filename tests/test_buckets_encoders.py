@@ -135,3 +135,21 @@ def test_entries_of_sparse_and_dense_vectors(spark):
                                ["k", "features"])
     got = {(r["k"], r["feature"], r["value"]) for r in entries_long(df, ["x", "y"], ["k"]).collect()}
     assert got == {(1, "y", 2.0), (2, "x", 5.0)}
+
+
+def test_embedding_of_values_skips_dates(spark):
+    rows = [("c1", 1, ["A"], 1.0, "red", "2015-03-01", "12:30:00Z"), ("c2", 1, ["B"], 2.0, "reds", "2015-04-01", "T08:00:00+01:00"),
+            ("c3", 1, ["A"], 3.0, None, "unknown", None)] + [(f"d{k}", 1, ["A"], 1.0, "red", f"2016-01-{10 + k}", None) for k in range(8)]
+    df = spark.createDataFrame(rows, "case_id string, prefix_len int, prefix_activities array<string>, label_remaining_time_sec double, "
+                                     "event_last__color string, event_last__day string, event_last__time string")
+    facts = {r["column"]: r["skipped"] for r in
+             encoding.column_facts(df, ["event_last__color", "event_last__day", "event_last__time"]).collect()}
+    assert facts == {"event_last__color": None, "event_last__day": "date_like", "event_last__time": "date_like"}
+    assert encoding.column_facts(df, ["event_last__day"], most=1, share=1.0).first()["skipped"] == "many_values"
+    lookup = spark.createDataFrame([("A", [1.0, 0.0]), ("B", [0.0, 1.0])], "activity string, embedding array<double>")
+    enc = encoding.fit_encoder("embedding", df, vectors=lookup, value_dim=8)
+    assert list(enc.state["value_vectors"]) == ["event_last__color"] and enc.feature_dim == 1 + 2 * 2 + 8
+    got = {r["case_id"]: r["features"].toArray() for r in enc.transform(df).collect()}
+    known = enc.state["value_vectors"]["event_last__color"]
+    assert got["c1"][5:].tolist() == known["red"] and sum(x * x for x in known["red"]) == pytest.approx(1.0)
+    assert got["c3"][5:].tolist() == pytest.approx([(a + b) / 2 for a, b in zip(known["red"], known["reds"])])
