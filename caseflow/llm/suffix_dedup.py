@@ -23,7 +23,7 @@ DIGIT = 32
 SHARING = 8
 #: Bytes of text that a worker hashes together, and suffix rows that it sorts before it sends them.
 CHUNK_BYTES, ROWS_TOGETHER = 2 << 20, 2_000_000
-#: A null id counts as the largest.
+#: A null id counts as the largest; the mark of its rows is not negative, that of rows with this very id is.
 NO_ID = (1 << 63) - 1
 #: Row kinds: alone of its first digit in its task; only says that a digit has several rows in a task;
 #: one of these rows; a copy of an earlier row of its task.
@@ -196,14 +196,17 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     Null text is empty; texts under ``threshold`` bytes are whole.  A null id
     counts as the largest.  Rows that repeat an id and a text are one document
     and get one result each; rows of one id with different texts are told apart
-    by 80 bits of two checksums.  Extra columns are ignored; an empty table gives
+    by 80 bits of two checksums (79 without an id).  Extra columns are ignored; an empty table gives
     an empty result.  Memory follows the longest text.
     """
     if not digit <= threshold <= digit + 126:
         raise ValueError("the first digit must be a part of the string, and 126 bytes shorter at most")
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("uid"), body.alias("body"),
-                        F.xxhash64(body).alias("mark"), F.crc32(body).bitwiseAND(F.lit(65535)).alias("chk"))
+    doc_id, mark = F.col("doc_id").cast("bigint"), F.xxhash64(body)
+    mark = F.when(doc_id.isNull(), mark.bitwiseAND(F.lit(NO_ID))) \
+        .when(doc_id == NO_ID, mark.bitwiseOR(F.lit(-NO_ID - 1))).otherwise(mark)
+    texts = docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("uid"), body.alias("body"), mark.alias("mark"),
+                        F.crc32(body).bitwiseAND(F.lit(65535)).alias("chk"))
 
     def first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
@@ -253,7 +256,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
         for batch in batches:
             out = []
             runs = batch.column("runs")
-            for k, (uid, text) in enumerate(zip(batch.column("uid").to_pylist(), batch.column("body"))):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("uid", "mark")))
+            for k, ((uid, mark), text) in enumerate(zip(keys, batch.column("body"))):
                 text = np.frombuffer(text.as_buffer(), np.uint8)
                 info = runs[k].values.to_numpy() if runs[k].is_valid else np.empty(0, np.int64)
                 start = info >> 16 & 0x7FFFFFFF
@@ -264,7 +268,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
                 edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
                 begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 left = text[~gone].tobytes()
-                out.append({"doc_id": None if uid == NO_ID else uid, "n_bytes": len(text), "n_removed": int(gone.sum()), "n_spans": len(begin),
+                out.append({"doc_id": None if uid == NO_ID and mark >= 0 else uid, "n_bytes": len(text), "n_removed": int(gone.sum()), "n_spans": len(begin),
                             "kept_sha256": hashlib.sha256(left).hexdigest()}
                            | ({"kept": left, "spans": [{"start": x, "length": y - x} for x, y in zip(begin, end)]}
                               if with_text else {}))
@@ -280,8 +284,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     schema = pa.schema(fields)
 
     def by_text(found: DataFrame) -> DataFrame:
-        """What was found in each document; a list is as long as its text at most."""
-        return found.groupBy("uid", "mark", F.shiftright("info", 47).alias("chk")).agg(F.collect_list("info").alias("runs"))
+        """What was found in each document; a set, as tasks that hold the same row find the same, so as long as its text at most."""
+        return found.groupBy("uid", "mark", F.shiftright("info", 47).alias("chk")).agg(F.collect_set("info").alias("runs"))
 
     passed = materialize(_meet(texts.select("uid", "mark", "body").mapInArrow(first_digits, ROWS)))
     again = passed.filter("again")
@@ -290,5 +294,5 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
         rows = texts.join(apart, ["uid", "mark", "chk"]).select("uid", "mark", "body", "chk", "runs")
         passed = materialize(_meet(rows.mapInArrow(next_digits(sharing), ROWS)))
         again = again.union(passed.filter("again"))
-    return (texts.join(by_text(again), ["uid", "mark", "chk"], "left").select("uid", "body", "runs")
+    return (texts.join(by_text(again), ["uid", "mark", "chk"], "left").select("uid", "mark", "body", "runs")
             .mapInArrow(cut, spark_schema))

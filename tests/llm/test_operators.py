@@ -489,6 +489,24 @@ def test_suffix_dedup_of_many_texts_without_an_id(spark):
     assert Counter(r.n_bytes for r in rest) == Counter(len(t) for t, cut in want.items() if cut)
 
 
+def test_suffix_dedup_largest_id_is_not_a_missing_one(spark):
+    shared = "".join(str(i * i) for i in range(60))
+    rows = [(2 ** 63 - 1, shared), (None, shared), (2 ** 63 - 1, None), (None, None), (2 ** 63 - 1, "a" + shared)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    cut = Counter((r.doc_id, r.n_bytes, r.n_removed > 0) for r in got)
+    n = len(shared)
+    first = Counter({(None, n, True): 1, (None, 0, False): 1, (2 ** 63 - 1, 0, False): 1})
+    # a null id is the last; of the two texts of the largest id one comes before the other
+    assert cut in [first + Counter({(2 ** 63 - 1, n, x): 1, (2 ** 63 - 1, n + 1, not x): 1}) for x in (True, False)]
+
+
+def test_suffix_dedup_of_a_row_repeated_in_many_tasks(spark):
+    text = "".join(str(i * i) for i in range(120))
+    df = spark.createDataFrame([(4, text + text)] * 8 + [(5, text)], "doc_id bigint, text string").repartition(8)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == {(4, 2 * len(text), len(text)): 8, (5, len(text), len(text)): 1}
+
+
 def test_simhash_keeps_one_row_of_each_group(spark):
     text = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
     a, b, c, d = (text(x, 300) for x in "abcd")
