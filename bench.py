@@ -24,7 +24,7 @@ HEADLINE = [
     "dedup_events",
     "case_labels",
     "filter_rare_variants",
-    "ablation_row_counts",   # 9 cumulative cleaning stages
+    "ablation_row_counts",   # 17 cumulative stages
     "running_case_prefix_long",
     "split_random",
     "last_state_long",

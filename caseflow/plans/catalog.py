@@ -891,9 +891,9 @@ def q_running_case_prefix_long(spark, sf_dir):
 
 
 def q_ablation_row_counts(spark, sf_dir):
-    """EXP-7: events / cases / prefix rows after each cumulative cleaning stage (line log)."""
+    """EXP-7 / AGG-23: events / cases / prefix rows after each of the 17 cumulative stages, observed as they flow (line log)."""
     from caseflow.plans.ablation import ablation_row_counts
-    return ablation_row_counts(testlogs.line_log(spark, sf_dir))
+    return ablation_row_counts(testlogs.line_log(spark, sf_dir), since="1995-01-01")
 
 
 def q_ablation_scores(spark, sf_dir):
@@ -1102,7 +1102,18 @@ def q_bucket_regression(spark, sf_dir):
     return _r(pred.select("case_id", "prefix_len", "bucket_id", "model_bucket", "y_true", "y_pred"), {"y_true": 2, "y_pred": 0})
 
 
+def q_budgeted_search(spark, sf_dir):
+    """MOD-5 / UDF-5: successive halving over penalties and forest depths on growing samples of train cases; every trial."""
+    from caseflow.operators.encoding import fit_encoder
+    from caseflow.plans.budget import budgeted_search
+    train = model_frame(spark, sf_dir).where("split = 'train'")
+    data = fit_encoder("last_state", train).transform(train).select("case_id", "prefix_len", "features", "label")
+    task = mdl.default_task_specs()["remaining_time"]
+    return budgeted_search(data, task, max_fits=20, max_seconds=3600, target_log1p=True).trials.drop("seconds")
+
+
 QUERIES.update({
+    "budgeted_search": q_budgeted_search,
     "running_case_state": q_running_case_state,
     "bucket_regression": q_bucket_regression,
 })

@@ -916,31 +916,47 @@ SELECT bucket_id, arg_min(model_bucket, (abs(bucket_id - model_bucket), model_bu
 
 
 def _ablation_sql() -> str:
+    # stage name -> the log after it; stages that change no row repeat the one before
+    logs = [("load", "s1"), ("dedup", "s2"), ("clean", "s3"), ("stable_sort", "s3"), ("time_features", "s3"),
+            ("repair_timestamps", "s4"), ("short_cases", "s5"), ("normalize_activities", "s6"),
+            ("infrequent_activities", "s7"), ("zero_duration", "s8"), ("case_length", "s9"),
+            ("consecutive_duplicates", "s10"), ("impute", "s10"), ("drift_window", "s11"), ("rare_variants", "s12")]
+    counted = " UNION ALL ".join(
+        f"""SELECT {i} AS stage, '{n}' AS stage_name, coalesce(sum(n), 0)::BIGINT AS n_events, count(*) AS n_cases,
+           coalesce(sum(greatest(0, least(30, n - 1))), 0)::BIGINT AS n_prefix_rows
+    FROM (SELECT count(*) AS n FROM {t} GROUP BY case_id)""" for i, (n, t) in enumerate(logs, start=1))
     return f"""
-WITH s1 AS ({LINE_LOG_SQL}),
-s2 AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY case_id, activity, "timestamp" ORDER BY _event_index) AS rn FROM s1) WHERE rn = 1),
-s3 AS (SELECT * FROM s2 WHERE case_id IN (SELECT case_id FROM s2 GROUP BY case_id HAVING count(*) >= 2)),
-s4 AS (SELECT * REPLACE (CASE WHEN trim(activity) IS NULL OR trim(activity) IN ('', 'nan', 'None') THEN 'UNKNOWN' ELSE trim(activity) END AS activity) FROM s3),
-s5 AS (SELECT * FROM s4 WHERE activity NOT IN (
-         SELECT activity FROM s4 GROUP BY activity HAVING count(DISTINCT case_id) <
-           (SELECT greatest(1, CAST(floor(count(DISTINCT case_id) * 0.005) AS BIGINT)) FROM s4))),
-s6 AS (SELECT * FROM s5 WHERE case_id NOT IN (SELECT case_id FROM s5 GROUP BY case_id HAVING max("timestamp") <= min("timestamp"))),
-s7 AS (SELECT * FROM s6 WHERE case_id NOT IN (
-         SELECT case_id FROM s6 GROUP BY case_id HAVING count(*) >
-           (SELECT CAST(floor(quantile_cont(n, 0.99)) AS BIGINT) FROM (SELECT count(*) AS n FROM s6 GROUP BY case_id)))),
-s8 AS (SELECT * EXCLUDE (prev) FROM (SELECT *, lag(activity) OVER (PARTITION BY case_id ORDER BY "timestamp", _event_index) AS prev FROM s7)
+WITH s1 AS MATERIALIZED ({LINE_LOG_SQL}),
+s2 AS MATERIALIZED (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY case_id, activity, "timestamp" ORDER BY _event_index) AS rn FROM s1) WHERE rn = 1),
+s3 AS (SELECT * REPLACE (coalesce(activity, 'UNKNOWN') AS activity) FROM s2 WHERE "timestamp" IS NOT NULL AND case_id IS NOT NULL),
+s4 AS MATERIALIZED (SELECT * REPLACE (max("timestamp") OVER (PARTITION BY case_id ORDER BY _event_index ROWS UNBOUNDED PRECEDING) AS "timestamp") FROM s3),
+s5 AS (SELECT * FROM s4 WHERE case_id IN (SELECT case_id FROM s4 GROUP BY case_id HAVING count(*) >= 2)),
+s6 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN trim(activity) IN ('', 'nan', 'None') THEN 'UNKNOWN' ELSE trim(activity) END AS activity) FROM s5),
+s7 AS MATERIALIZED (SELECT * FROM s6 WHERE activity NOT IN (
+         SELECT activity FROM s6 GROUP BY activity HAVING count(DISTINCT case_id) <
+           (SELECT greatest(1, CAST(floor(count(DISTINCT case_id) * 0.005) AS BIGINT)) FROM s6))),
+s8 AS MATERIALIZED (SELECT * FROM s7 WHERE case_id NOT IN (SELECT case_id FROM s7 GROUP BY case_id HAVING max("timestamp") <= min("timestamp"))),
+s9 AS MATERIALIZED (SELECT * FROM s8 WHERE case_id NOT IN (
+         SELECT case_id FROM s8 GROUP BY case_id HAVING count(*) >
+           (SELECT CAST(floor(quantile_cont(n, 0.99)) AS BIGINT) FROM (SELECT count(*) AS n FROM s8 GROUP BY case_id)))),
+s10 AS MATERIALIZED (SELECT * EXCLUDE (prev) FROM (SELECT *, lag(activity) OVER (PARTITION BY case_id ORDER BY "timestamp", _event_index) AS prev FROM s9)
        WHERE prev IS NULL OR prev <> activity),
-v9 AS (SELECT case_id, string_agg(activity, '>' ORDER BY "timestamp", _event_index) AS variant FROM s8 GROUP BY case_id),
-s9 AS (SELECT * FROM s8 WHERE case_id NOT IN (
-         SELECT case_id FROM v9 WHERE variant IN (SELECT variant FROM v9 GROUP BY variant HAVING count(*) < 5))),
-allst AS (
-  {' UNION ALL '.join(f"SELECT {i} AS stage, '{n}' AS stage_name, case_id FROM s{i}" for i, n in enumerate(
-      ['load', 'dedup', 'short_cases', 'normalize_activities', 'infrequent_activities', 'zero_duration',
-       'case_length', 'consecutive_duplicates', 'rare_variants'], start=1))}),
-sizes AS (SELECT stage, stage_name, case_id, count(*) AS n FROM allst GROUP BY ALL)
-SELECT stage, stage_name, CAST(sum(n) AS BIGINT) AS n_events, CAST(count(*) AS BIGINT) AS n_cases,
-       CAST(sum(greatest(0, least(30, n - 1))) AS BIGINT) AS n_prefix_rows
-FROM sizes GROUP BY stage, stage_name
+s11 AS MATERIALIZED (SELECT * FROM s10 WHERE case_id IN (SELECT case_id FROM s10 GROUP BY case_id HAVING min("timestamp") >= TIMESTAMP '1995-01-01')),
+variants AS (SELECT case_id, string_agg(activity, '>' ORDER BY "timestamp", _event_index) AS variant FROM s11 GROUP BY case_id),
+s12 AS MATERIALIZED (SELECT * FROM s11 WHERE case_id NOT IN (
+         SELECT case_id FROM variants WHERE variant IN (SELECT variant FROM variants GROUP BY variant HAVING count(*) < 5))),
+{prefix_cte('s12', 'apfx')}, {split_cte('s12', 'asplits')},
+f0 AS MATERIALIZED (SELECT p.case_id, split, label_next_activity, {REMAIN} AS y FROM apfx p JOIN asplits USING (case_id)),
+q AS (SELECT quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM f0 WHERE split = 'train'),
+f1 AS MATERIALIZED (SELECT f0.* FROM f0, q WHERE split <> 'train' OR q1 IS NULL OR y BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
+classes AS (SELECT label_next_activity AS lab, count(*) AS n FROM f1 WHERE split = 'train' GROUP BY 1),
+f2 AS (SELECT * FROM f1 WHERE NOT EXISTS (SELECT 1 FROM classes WHERE n < 10)
+       OR label_next_activity IN (SELECT lab FROM classes WHERE n >= 10)),
+counted AS ({counted}),
+whole AS (SELECT n_events, n_cases FROM counted WHERE stage = {len(logs)})
+SELECT * FROM counted
+UNION ALL SELECT {len(logs) + 1}, 'outliers', n_events, n_cases, (SELECT count(*) FROM f1) FROM whole
+UNION ALL SELECT {len(logs) + 2}, 'rare_classes', n_events, n_cases, (SELECT count(*) FROM f2) FROM whole
 """
 
 
