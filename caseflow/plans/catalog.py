@@ -1112,7 +1112,20 @@ def q_budgeted_search(spark, sf_dir):
     return budgeted_search(data, task, max_fits=20, max_seconds=3600, target_log1p=True).trials.drop("seconds")
 
 
+def q_staged_gains(spark, sf_dir):
+    """EXP-10: gain of the best lookup strategy over no buckets, and of a search that also fits small buckets over it."""
+    from caseflow.plans.strategy import lookup_strategies, staged_gains
+    task, mf = mdl.default_task_specs()["remaining_time"], model_frame(spark, sf_dir)
+    bucketers = ["no_bucket", "prefix_len_bins", "prefix_len_adaptive"]
+    scores = lambda least: _r(lookup_strategies(mf, task, bucketers, least), {"primary_score": 6}).select(
+        F.lit(task.name).alias("task"), F.lit(task.primary_metric).alias("primary_metric"), "bucketing",
+        F.lit("last_state").alias("encoding"), "primary_score")
+    searched = scores(50).groupBy("task").agg(F.min("primary_score").alias("search_score"))
+    return _r(staged_gains(scores(300), searched), {"gain_strategy_pct": 4, "gain_search_pct": 4})
+
+
 QUERIES.update({
+    "staged_gains": q_staged_gains,
     "budgeted_search": q_budgeted_search,
     "running_case_state": q_running_case_state,
     "bucket_regression": q_bucket_regression,

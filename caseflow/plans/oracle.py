@@ -1271,3 +1271,18 @@ weighed AS (SELECT *, s / sqrt(sum(s * s) OVER (PARTITION BY "column", value)) A
 SELECT "column", value, dim, {rhu('w', 6)} AS weight FROM weighed
 """,
 })
+
+
+def _staged_gains_sql() -> str:
+    scores = lambda least: ORACLE["strategy_lookup"].replace(">= 300", f">= {least}")
+    pct = lambda to, of: rhu(f"coalesce(({of} - {to}) * 100.0 / nullif(abs({of}), 0), 0)", 4)
+    return f"""
+WITH r AS ({scores(300)}), t AS ({scores(50)}),
+g AS (SELECT (SELECT primary_score FROM r WHERE bucketing = 'no_bucket') AS baseline_score,
+             (SELECT min(primary_score) FROM r) AS best_score, (SELECT min(primary_score) FROM t) AS search_score)
+SELECT 'remaining_time' AS task, baseline_score, best_score, search_score,
+       {pct('best_score', 'baseline_score')} AS gain_strategy_pct, {pct('search_score', 'best_score')} AS gain_search_pct FROM g
+"""
+
+
+ORACLE["staged_gains"] = _staged_gains_sql()

@@ -248,3 +248,25 @@ def gain_pivot(results: DataFrame, baseline_bucketing: str = "no_bucket", baseli
     hib = ~F.col("primary_metric").isin("mae_days", "mae_sec", "medae_days")
     g = results.join(F.broadcast(base), "task").withColumn("gain_pct", relative_gain_pct(F.col("primary_score"), F.col("_base"), hib))
     return g.groupBy("task", "bucketing").pivot("encoding").agg(F.first("gain_pct"))
+
+
+def staged_gains(results: DataFrame, searched: DataFrame, baseline_bucketing: str = "no_bucket",
+                 baseline_encoding: str = "last_state") -> DataFrame:
+    """EXP-10: for each task, the gain in % of its best strategy over the baseline one, and of a search over that best strategy.
+
+    ``results`` holds task, primary_metric, bucketing, encoding, primary_score;
+    ``searched`` task and ``search_score``.  Both are a few rows a task.  A task
+    without a baseline, a score or a search has no row; a gain over a score of 0 is 0.
+    """
+    from caseflow.functions.scalar import relative_gain_pct
+    lower = F.first("primary_metric").isin("mae_days", "mae_sec", "medae_days")
+    is_base = (F.col("bucketing") == baseline_bucketing) & (F.col("encoding") == baseline_encoding)
+    stages = results.groupBy("task").agg(
+        F.max(F.when(is_base, F.col("primary_score"))).alias("baseline_score"),
+        F.when(lower, F.min("primary_score")).otherwise(F.max("primary_score")).alias("best_score"),
+        (~lower).alias("_up")).join(searched.select("task", "search_score"), "task") \
+        .where("baseline_score is not null and best_score is not null and search_score is not null")
+    gain = lambda to, of: F.coalesce(relative_gain_pct(F.col(to), F.col(of), F.col("_up")), F.lit(0.0))
+    return stages.select("task", "baseline_score", "best_score", "search_score",
+                         gain("best_score", "baseline_score").alias("gain_strategy_pct"),
+                         gain("search_score", "best_score").alias("gain_search_pct"))
