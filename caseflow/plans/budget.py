@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from caseflow.functions.scalar import hash_unit, log1p_nonneg
 from caseflow.operators.least_squares import fit_buckets, predict_buckets
 from caseflow.operators.models import TaskSpec, balanced_weights, make_estimator, predict, ridge_penalty
-from caseflow.plans.strategy import score_predictions
+from caseflow.plans.strategy import score_predictions, settled
 
 TRIALS = ("trial int, rung int, share double, n_rows bigint, learner string, setting string, score double, "
           "status string, seconds double")
@@ -112,7 +112,7 @@ def budgeted_search(train: DataFrame, task: TaskSpec, learners: list[Learner] |
                 status = "empty"
             else:
                 model = made.fit(part, task, n_classes, target_log1p, seed)
-                score = score_predictions(made.predict(model, held, task, n_classes, target_log1p), task)[task.primary_metric]
+                score = score_predictions(settled(made.predict(model, held, task, n_classes, target_log1p)), task)[task.primary_metric]
                 status, fits = "scored", fits + 1
                 scored.append((sign * score, i))
             trials.append((len(trials) + 1, rung + 1, share, n, made.kind, str(dict(sorted(made.setting.items()))), score,

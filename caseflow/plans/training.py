@@ -20,7 +20,7 @@ from caseflow.operators.bucketing import make_bucketer
 from caseflow.operators.encoding import fit_encoder, label_vocabulary
 from caseflow.operators.models import TaskSpec, default_task_specs, predict_routed, train_per_bucket
 from caseflow.operators.splits import attach_split, split_cases
-from caseflow.plans.strategy import eligible_buckets, strategy_search
+from caseflow.plans.strategy import dealt, eligible_buckets, settled, strategy_search
 from caseflow.session import materialize
 
 
@@ -89,17 +89,17 @@ def train_task(log: DataFrame, cfg: RunConfig | None = None) -> dict:
     encoder = fit_encoder(chosen["encoding"], train, label_col=task.label_col, label_is_numeric=not cls, label_vocab=lv)
     bucketed = bucketer.assign(frame)
     ids = eligible_buckets(bucketed, task, cfg.min_bucket_samples) if chosen["mode"] == "per_bucket" else []
-    data = materialize(encoder.transform(bucketed).select(
+    data = materialize(dealt(encoder.transform, bucketed, encoder.feature_dim).select(
         "case_id", "prefix_len", "split", "bucket_id", "features", "label"), "persist")
     # the final models see train and val rows; every test row is scored, by the nearest model if its bucket has none
     fit_rows = data.where("split IN ('train', 'val')").withColumn("split", F.lit("train"))
     models, _ = train_per_bucket(fit_rows, ids, task, cfg.kind, target_log1p=log1p)
     test_pred = predict_routed(data.where("split = 'test'"), models, task, log1p)
     if cls:
-        test_metrics = metrics.f1_scores(test_pred.select(F.col("y_true").cast("string").alias("y_true"),
+        test_metrics = metrics.f1_scores(settled(test_pred).select(F.col("y_true").cast("string").alias("y_true"),
                                                           F.col("y_pred").cast("string").alias("y_pred")))
     else:
-        test_metrics = metrics.regression_errors(test_pred)
+        test_metrics = metrics.regression_errors(settled(test_pred))
     if cfg.bundle_path:
         from caseflow.sources.sinks import save_bundle
         save_bundle(cfg.bundle_path, models, {"task": task.name, "bucketing": chosen["bucketing"],
