@@ -153,3 +153,23 @@ def test_embedding_of_values_skips_dates(spark):
     known = enc.state["value_vectors"]["event_last__color"]
     assert got["c1"][5:].tolist() == known["red"] and sum(x * x for x in known["red"]) == pytest.approx(1.0)
     assert got["c3"][5:].tolist() == pytest.approx([(a + b) / 2 for a, b in zip(known["red"], known["reds"])])
+
+
+def test_mean_and_last_vectors_are_added_up_where_the_prefix_is(spark):
+    from caseflow.operators import encoding as enc
+    rows = [("a", 1, ["x"]), ("a", 2, ["x", "y"]), ("b", 3, ["z", "x", "y"]), ("b", 4, ["y", "w", None, "x"]), ("d", 1, []),
+            ("e", 1, ["x"]), ("e", 1, ["y", "y"])]
+    df = spark.createDataFrame(rows, "case_id string, prefix_len int, prefix_activities array<string>").repartition(3)
+    vectors = spark.createDataFrame([("x", [1.0, 4.0]), ("y", [3.0, -2.0]), ("y", [5.0, 0.0]), ("w", None)],
+                                    "activity string, embedding array<double>")
+    got = enc.embedding_mean_last_long(df, vectors)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("posexplode") == 1  # one row for each prefix moves, none for each activity
+    assert plan.index("Generate") < plan.index("ArrowEvalPython")  # vectors are taken apart after the function, which runs once a prefix
+    key = lambda r: (r.case_id, r.prefix_len, r.dim)
+    want = {key(r): r for r in enc._mean_last_joined(df, vectors, "prefix_activities").collect()}
+    assert len(want) == 10 and {key(r) for r in got.collect()} == set(want)
+    for r in got.collect():
+        assert r.mean_value == pytest.approx(want[key(r)].mean_value)
+        if r.prefix_len in (1, 4) and r.case_id != "e":  # of several vectors of one activity any may be the last
+            assert r.last_value == pytest.approx(want[key(r)].last_value)
