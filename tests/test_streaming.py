@@ -98,3 +98,35 @@ def test_a_hot_case_is_cut_off_inside_the_tasks(spark):
     assert plan.count("WindowGroupLimit") >= 4 and plan.count("collect_list") > 0
     hot = state.where("case_id = 'hot'").first()
     assert hot.prefix_len == sum(hot.activity_counts.values()) == 66_667 and len(hot.prefix_activities) == 10
+
+
+def test_a_case_reads_and_writes_its_state_once_for_each_batch():
+    from pyspark.sql import Row
+
+    from caseflow.streaming.running_cases import RunningCase
+
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, new):
+            self.calls, self.held = self.calls + 1, new
+
+    class Handle:
+        value = Value()
+
+        def getValueState(self, name, schema):
+            return self.value
+
+    case = RunningCase(2, {"kind": True, "cost": False}, None)
+    case.init(Handle())
+    event = lambda t, i, a, kind, cost: Row(ts_us=t, event_index=i, activity=a, a0=kind, a1=cost)
+    for batch in [[event(5, 2, "B", "x", None), event(5, None, "C", "z", "3.0")], [event(1, 0, "A", None, "9.0"), event(4, 1, "B", "y", "1.0")]]:
+        out, = case.handleInputRows(("c",), iter(batch), None)
+    assert Handle.value.calls == 4
+    assert (out.prefix_len, out.prefix_activities, out.names, out.times) == (4, ["A", "B"], ["A", "B", "C"], [1, 2, 1])
+    assert (out.last_activity, out.start_us, out.last_us, out.prev_us) == ("C", 1, 5, 5)
+    assert dict(zip(out.attributes, out.attribute_values)) == {"kind": "y", "cost": "3.0"}
