@@ -25,3 +25,25 @@ def test_left_out_stages_late_cases_and_an_empty_log(make_log):
     assert "rare_variants" not in got and "impute" not in got and got["consecutive_duplicates"] == 6 and got["drift_window"] == 3
     empty = ablation_row_counts(log.where(F.col("case_id") == "none"))
     assert {tuple(r)[2:] for r in empty.collect()} == {(0, 0, 0)} and empty.count() == len(SCORED_STAGES)
+
+
+def test_copies_in_buckets_of_cases_need_no_shuffle(spark, make_log):
+    from caseflow.session import materialize
+    rows = [(f"c{i}", a, 100 * i + 10 * k, 10 * i + k) for i in range(6) for k, a in enumerate("AB")]
+    before = {t.name for t in spark.catalog.listTables()}
+    log = materialize(make_log(rows).repartition(3, "case_id"), by="case_id", parts=3)
+    sizes = log.groupBy("case_id").count()
+    kept = log.join(sizes.where("count > 1"), "case_id", "left_semi")
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 12 and {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_a_hot_case_gives_the_same_counts(spark, make_log):
+    rows = [(f"c{i}", a, 100 * i + 10 * k, 10 * i + k) for i in range(8) for k, a in enumerate("ABCD")]
+    counts = lambda: [tuple(r) for r in ablation_row_counts(make_log(rows)).collect()]
+    plain = counts()
+    spark.conf.set("caseflow.hotCaseRows", "3")
+    try:
+        assert counts() == plain
+    finally:
+        spark.conf.unset("caseflow.hotCaseRows")
