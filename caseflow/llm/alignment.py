@@ -35,14 +35,15 @@ _loaded: dict[tuple[str, str], "Tokenizers"] = {}
 
 
 class Tokenizers:
-    """Tokens of both vocabularies, word by word; each different word goes to the libraries once.
+    """Tokens of both vocabularies, word by word; each different word goes to the libraries once and is aligned once.
 
     A word is white space and the signs up to the next white space.  A's
     pre-tokens, those of its published pattern, never reach over such a place.
     Nor does a merge of B, but for the few white signs (carriage returns) that
     a piece holds behind another sign; these do not end a word.  So the tokens
     of a text are those of its words.  (Were there a piece with a space behind
-    another sign, a whole text would be one word.)
+    another sign, a whole text would be one word.)  Both end a token where an
+    exact word ends, so the groups and links of a text are those of its words, too.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -83,31 +84,74 @@ class Tokenizers:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.longest = 0
         self.ids, self.at = [np.empty(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2  # of the known words, in order
         self.exact = np.empty(0, bool)
+        # of the known words, too: groups, links (as pairs of ids), and the groups as bytes (none unless exact)
+        self.n_groups, self.pairs, self.pair_at = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.texts: list[bytes] = []
 
     def learn(self, words: list[str]) -> None:
-        """Tokens of words not met before; a word is exact if both give back its bytes."""
+        """Tokens, groups and links of words not met before; a word is exact if both give back its bytes."""
+        self.longest = max(self.longest, max(map(len, words)))
         a = [[t.id for x in self.find_a(w) for t in self.a_model.tokenize("".join(map(self.letters.__getitem__, x.encode())))]
              for w in words]
         # the library puts a space before each text: the word's own one, or one to be taken away again
         b = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
         b = [x[1:] if w[0] != " " else x or [self.space] for w, x in zip(words, b)]
-        exact = [b"".join(map(self.a_bytes.__getitem__, x)) == w.encode() == b"".join(map(self.b_bytes.__getitem__, y))
-                 for w, x, y in zip(words, a, b)]
+        ids = [np.fromiter(itertools.chain.from_iterable(x), np.int32) for x in (a, b)]
+        n = [np.fromiter(map(len, x), np.int64, len(words)) for x in (a, b)]
+        exact = self._exact(words, ids, n)
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
         self.exact = np.append(self.exact, exact)
-        for k, lists in enumerate((a, b)):
-            self.ids[k] = np.concatenate([self.ids[k], np.fromiter(itertools.chain.from_iterable(lists), np.int32)])
-            self.at[k] = np.append(self.at[k], self.at[k][-1] + np.cumsum([len(x) for x in lists]))
+        for k in (0, 1):
+            self.ids[k] = np.concatenate([self.ids[k], ids[k]])
+            self.at[k] = np.append(self.at[k], self.at[k][-1] + np.cumsum(n[k]))
+        (a, n_a), (b, n_b) = ((x[np.repeat(exact, m)].astype(np.int64), m * exact) for x, m in zip(ids, n))
+        a_end, b_end = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        a_to, b_to = np.cumsum(n_a), np.cumsum(n_b)
+        some = n_a > 0
+        groups = leaf_groups(a_end, b_end, (a_to - n_a)[some], a_to[some], (b_to - n_b)[some], b_to[some])
+        of_group = np.searchsorted(a_to, groups[0], "right")
+        self.n_groups = np.append(self.n_groups, np.bincount(of_group, minlength=len(words)))
+        link_a, link_b = overlaps(a_end, b_end, groups)
+        n_links = np.bincount(np.repeat(np.arange(len(words)), n_a)[link_a], minlength=len(words))
+        self.pairs = np.append(self.pairs, a[link_a] << B_BITS | b[link_b])
+        self.pair_at = np.append(self.pair_at, self.pair_at[-1] + np.cumsum(n_links))
+        self.texts += self._written(a, b, groups, a_to + b_to)
+
+    def _exact(self, words: list[str], ids: list[np.ndarray], n: list[np.ndarray]) -> np.ndarray:
+        """Whether the tokens of both give back a word's bytes: as many of them, and the same ones."""
+        data = [w.encode() for w in words]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        of = np.repeat(np.arange(len(data)), size)
+        data = np.frombuffer(b"".join(data), np.uint8)
+        exact = np.ones(len(words), bool)
+        for x, m, entries, length in zip(ids, n, (self.a_bytes, self.b_bytes), (self.a_length, self.b_length)):
+            exact &= np.bincount(np.repeat(np.arange(len(words)), m), length[x], len(words)) == size
+            got = np.frombuffer(b"".join(map(entries.__getitem__, x[np.repeat(exact, m)].tolist())), np.uint8)
+            same = got == data[exact[of]]
+            exact[of[exact[of]][~same]] = False
+        return exact
+
+    def _written(self, a: np.ndarray, b: np.ndarray, groups: np.ndarray, to: np.ndarray) -> list[bytes]:
+        """The groups of each word as ``a1,a2|b1;a3|b2,b3``; ``to`` is how many tokens of both end with it."""
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[groups[1] - 1], last_b[groups[3] - 1] = True, True
+        size_a, size_b = groups[1] - groups[0], groups[3] - groups[2]
+        token = np.empty(len(a) + len(b), np.int64)
+        of_a, of_b = np.repeat(np.arange(len(size_a)), size_a), np.repeat(np.arange(len(size_b)), size_b)
+        token[np.arange(len(a)) + groups[2][of_a]] = a + last_a * len(self.a_bytes)
+        token[np.arange(len(b)) + groups[1][of_b]] = 2 * len(self.a_bytes) + b + last_b * len(self.b_bytes)
+        written = list(map(self.written.__getitem__, token.tolist()))
+        to = to.tolist()
+        return [b"".join(written[i:j])[:-1] for i, j in zip([0] + to, to)]
 
-    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For A and for B: the ids of a space and each text, and each text's number of them.
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known words that the texts consist of, and the text of each.
 
-        Texts that either does not give back byte by byte have none.
+        Texts that either tokenizer does not give back byte by byte have none.
         """
-        if len(self.known) > REMEMBERED:
-            self.forget()
         words = [self.words(" " + t) if t else [] for t in texts]
         new = set().union(*words).difference(self.known)
         if new:
@@ -115,18 +159,27 @@ class Tokenizers:
         size = np.array([len(w) for w in words])
         word = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, size.sum())
         text = np.repeat(np.arange(len(texts)), size)
-        lost = np.bincount(text[~self.exact[word]], minlength=len(texts)) > 0
-        word, text = word[~lost[text]], text[~lost[text]]
+        lost = (np.bincount(text[~self.exact[word]], minlength=len(texts)) > 0)[text]
+        return word[~lost], text[~lost]
+
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and for B: the ids of a space and each text, and each text's number of them.
+
+        Texts that either does not give back byte by byte have none.
+        """
+        word, text = self.cut(texts)
         out = []
         for ids, at in zip(self.ids, self.at):
             n = at[word + 1] - at[word]
-            before = np.cumsum(n) - n
-            out.append((ids[np.arange(n.sum()) + np.repeat(at[word] - before, n)].astype(np.int64),
-                        np.bincount(text, n, len(texts)).astype(np.int64)))
-        if max(map(len, new), default=0) > REMEMBERED_CHARS:
-            self.forget()
+            out.append((ids[stretches(at[word], n)].astype(np.int64), np.bincount(text, n, len(texts)).astype(np.int64)))
+        self.tidy()
         return out
 
+    def tidy(self) -> None:
+        """Forget the words if there are many, or long ones among them."""
+        if len(self.known) > REMEMBERED or self.longest > REMEMBERED_CHARS:
+            self.forget()
+
 
 def loaded(a_path: str, b_path: str) -> Tokenizers:
     """The two tokenizers, read once in each worker."""
@@ -135,6 +188,11 @@ def loaded(a_path: str, b_path: str) -> Tokenizers:
     return _loaded[a_path, b_path]
 
 
+def stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places from each ``begin``, as many as its ``size``, one stretch after another."""
+    return np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+
+
 def leaf_groups(a_end: np.ndarray, b_end: np.ndarray, a_from: np.ndarray, a_to: np.ndarray,
                 b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
     """Divide intervals of tokens at shared ends until none is left inside; rows (a_from, a_to, b_from, b_to).
@@ -204,36 +262,21 @@ class Aligned:
     """Tokens, groups and linked pairs of some texts."""
 
     def __init__(self, both: Tokenizers, texts: list[str]):
-        (a, self.n_a), (b, self.n_b) = both.tokens(texts)
-        a_end, b_end = np.cumsum(both.a_length[a]), np.cumsum(both.b_length[b])
-        a_to, b_to = np.cumsum(self.n_a), np.cumsum(self.n_b)
-        some = self.n_a > 0
-        groups = leaf_groups(a_end, b_end, (a_to - self.n_a)[some], a_to[some], (b_to - self.n_b)[some], b_to[some])
         n = len(texts)
-        document = np.searchsorted(a_to, groups[0], "right")
-        self.n_groups = np.bincount(document, minlength=n)
-        link_a, link_b = overlaps(a_end, b_end, groups)
-        link_doc = np.repeat(np.arange(n), self.n_a)[link_a]
-        self.n_links = np.bincount(link_doc, minlength=n)
+        word, document = both.cut(texts)
+        total = lambda per_word: np.bincount(document, per_word[word], n).astype(np.int64)
+        self.n_a, self.n_b, self.n_groups = total(np.diff(both.at[0])), total(np.diff(both.at[1])), total(both.n_groups)
+        links = both.pair_at[word + 1] - both.pair_at[word]
+        self.n_links = np.bincount(document, links, n).astype(np.int64)
         # each document's different pairs and how often each is linked
-        order = np.sort(link_doc << 32 | a[link_a] << B_BITS | b[link_b])
+        order = np.sort(np.repeat(document, links) << 32 | both.pairs[stretches(both.pair_at[word], links)])
         new = np.flatnonzero(np.diff(order, prepend=-1))
         self.pairs, self.times = order[new] & 0xFFFFFFFF, np.diff(np.append(new, len(order)))
         self.pair_at = np.searchsorted(order[new] >> 32, np.arange(n + 1))
-        self.texts = self._written(both, a, b, groups, document, n)
-
-    def _written(self, both, a, b, groups, document, n) -> list[bytes]:
-        """The groups of each document as ``a1,a2|b1;a3|b2,b3``."""
-        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-        last_a[groups[1] - 1], last_b[groups[3] - 1] = True, True
-        size_a, size_b = groups[1] - groups[0], groups[3] - groups[2]
-        words = np.empty(len(a) + len(b), np.int64)
-        of_a, of_b = np.repeat(np.arange(len(size_a)), size_a), np.repeat(np.arange(len(size_b)), size_b)
-        words[np.arange(len(a)) + groups[2][of_a]] = a + last_a * len(both.a_bytes)
-        words[np.arange(len(b)) + groups[1][of_b]] = 2 * len(both.a_bytes) + b + last_b * len(both.b_bytes)
-        written = list(map(both.written.__getitem__, words.tolist()))
-        to = np.cumsum(self.n_a + self.n_b).tolist()
-        return [b"".join(written[i:j])[:-1] for i, j in zip([0] + to, to)]
+        written = list(map(both.texts.__getitem__, word.tolist()))
+        to = np.searchsorted(document, np.arange(n), "right").tolist()
+        self.texts = [b";".join(written[i:j]) for i, j in zip([0] + to, to)]
+        both.tidy()
 
 
 def align(docs: DataFrame, a: str = BYTE_TOKENIZER, b: str = PIECE_TOKENIZER, with_groups: bool = False) -> DataFrame:

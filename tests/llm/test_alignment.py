@@ -90,6 +90,22 @@ def test_tokens_like_the_libraries(libraries):
     assert 500 < (n_a == 0).sum() < 3500
 
 
+def test_a_word_is_aligned_once(monkeypatch, libraries):
+    """However often a word comes, its tokens are divided into groups once."""
+    divided = []
+    plain = alignment.leaf_groups
+    monkeypatch.setattr(alignment, "leaf_groups", lambda a_end, *rest: divided.append(len(a_end)) or plain(a_end, *rest))
+    both = alignment.Tokenizers(*map(tokenizer_path, (alignment.BYTE_TOKENIZER, alignment.PIECE_TOKENIZER)))
+    words = ["alignment", "of", "unlikelywords", "again"]
+    texts = ["", " ".join(words * 50), "of of alignment", " \u2581 of", " ".join(words[::-1])] * 20
+    done = alignment.Aligned(both, texts)
+    once = sum(len(libraries(w)[0]) for w in words)
+    assert sum(divided) == once
+    for k, t in enumerate(texts):
+        a, b, end_a, end_b = libraries(t)
+        assert (done.n_a[k], done.n_b[k], done.n_groups[k]) == (len(a), len(b), len(set(end_a) & set(end_b)))
+
+
 def test_leaves_are_the_shared_ends():
     rng = np.random.default_rng(3)
     for share in (0.02, 0.3, 0.9):
