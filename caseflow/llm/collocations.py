@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseflow.llm.ragged import BYTE_VALUES, RollingHash, flat_texts, mix64, row_chunks
-from caseflow.session import materialize
+from caseflow.session import arrow_batches, materialize
 
 LONGEST, MIN_COUNT, TOP = 4, 30, 2000
 #: Per cent of a phrase's occurrences inside one longer phrase at which it is dropped.
 INSIDE_PCT = 80
 #: Texts are cut into words together until they have this many bytes.
 CHUNK_BYTES = 1 << 20
+#: Bytes of texts that a task is sent at once.
+BATCH_BYTES = 4 << 20
 #: Words whose graph a task builds together, and edges of one path at most (longer ones are parted).
-REGION_WORDS, PATH_EDGES = 400_000, 256
+REGION_WORDS, PATH_EDGES = 200_000, 256
 #: Pair hashes that a task counts together.
 PAIRS_TOGETHER = 1_000_000
 #: Groups in which a language's phrases are ranked before the best of them are.
@@ -183,10 +185,11 @@ def graph(docs: DataFrame, min_count: int) -> DataFrame:
         known, regions, n = sent.value, {}, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, region in regions.items():
+            while regions:
+                lang, region = regions.popitem()
                 text, size, weight = region.rows()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(text), pa.string()), pa.array([t.decode() for t in text], pa.string()),
+                    [pa.array([lang] * len(text), pa.string()), pa.array(text, pa.binary()).cast(pa.string()),
                      pa.array(size, pa.int32()), pa.array(weight, pa.int64())], ["lang", "gram", "size", "weight"])
 
         for batch in batches:
@@ -200,7 +203,7 @@ def graph(docs: DataFrame, min_count: int) -> DataFrame:
                 n += len(starts)
                 if n >= REGION_WORDS:
                     yield from flush()
-                    regions, n = {}, 0
+                    n = 0
         yield from flush()
 
     rows = docs.mapInArrow(built, "lang string, gram string, size int, weight bigint")
@@ -219,7 +222,8 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFram
     that ends with it: triples from the edges that leave them, pairs from triples,
     words from pairs.
     """
-    g = materialize(graph(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), min_count))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        g = materialize(graph(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), min_count))
     words = F.split("gram", " ")
     level = (g.filter(F.col("size") >= LONGEST)
              .select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - LONGEST + 1),

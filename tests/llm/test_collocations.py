@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from caseflow.llm import collocations as phrases
@@ -97,6 +98,25 @@ def test_regions_and_parted_paths_change_nothing(monkeypatch, together, edges):
     assert f == +want
 
 
+def test_texts_come_in_batches_of_bounded_size(spark, docs, monkeypatch):
+    from caseflow import session
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes for b in batches])], ["n"])
+
+    long = spark.range(0, 3000, 1, 1).selectExpr("repeat('abc', 1000) as text").mapInArrow(sizes, "n bigint")
+    default = spark.conf.get(session.ARROW_BATCH_BYTES)
+    with session.arrow_batches(spark, 1 << 20):
+        got = [r.n for r in long.collect()]
+    assert len(got) > 5 and max(got) <= 1.1 * (1 << 20)
+    assert spark.conf.get(session.ARROW_BATCH_BYTES) == default
+    limits, plain = [], phrases.materialize
+    monkeypatch.setattr(phrases, "materialize", lambda df: limits.append(spark.conf.get(session.ARROW_BATCH_BYTES)) or plain(df))
+    phrases.phrase_counts(docs, 2)
+    assert limits[:2] == [str(phrases.BATCH_BYTES)] * 2  # the two passes over the texts
+    assert spark.conf.get(session.ARROW_BATCH_BYTES) == default
+
+
 def test_paths_are_compact():
     region = phrases.Region()
     data, _, _, joined = phrases.word_places([b"p q r s t u v w x y z\np q r s t u v w x y z"])
