@@ -29,3 +29,24 @@ def test_classes_are_counted_for_boosted_trees_only(encoded, monkeypatch):
     assert not counted
     right = pred.where("y_true = y_pred").count()
     assert right == 240  # the second feature is the label
+
+
+def test_forest_reads_encoded_rows_once(spark, encoded):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+    rows = spark.createDataFrame(encoded.rdd.map(counted), encoded.schema)
+    for n, name in enumerate(("remaining_time", "next_activity"), 1):
+        model, _ = models.fit_predict(rows, rows, models.default_task_specs()[name], "tree")
+        assert model.getNumTrees == 100 and read.value == n * 240
+    assert not [i for i in spark.sparkContext._jsc.getPersistentRDDs().values()
+                if i.getStorageLevel().useDisk() and not i.getStorageLevel().useMemory()]
+
+
+def test_kept_nodes_give_the_same_forest(encoded):
+    est = models.make_estimator("tree", models.default_task_specs()["remaining_time"])
+    assert est.getCacheNodeIds()
+    walked = est.copy({est.cacheNodeIds: False})
+    assert est.fit(encoded).toDebugString == walked.fit(encoded).toDebugString
