@@ -47,3 +47,25 @@ def test_a_hot_case_gives_the_same_counts(spark, make_log):
         assert counts() == plain
     finally:
         spark.conf.unset("caseflow.hotCaseRows")
+
+
+def test_scored_stages_make_again_only_what_changed(make_log, monkeypatch):
+    from caseflow.operators import encoding, models, splits
+    from caseflow.plans import ablation
+    rows = [(f"c{i}", a, 5000 * i + (7 * i + 3) * k, 10 * i + k) for i in range(40) for k, a in enumerate("ABCD"[: 2 + i % 3])]
+    rows += [("c0", "A", 0, 0), ("one", "A", 5, 900)]
+    made, seen, fits = [], [], []
+    split, fit, fit_encoder = splits.split_cases, models.fit_predict, encoding.fit_encoder
+    monkeypatch.setattr(splits, "split_cases", lambda log, **kw: made.append(1) or split(log, **kw))
+    monkeypatch.setattr(models, "fit_predict", lambda *a, **kw: fits.append(1) or fit(*a, **kw))
+    monkeypatch.setattr(encoding, "fit_encoder", lambda name, train, **kw: seen.append(train.columns) or fit_encoder(name, train, **kw))
+    stages = [s for s in ablation.SCORED_STAGES if s[0] in ("load", "dedup", "stable_sort", "time_features", "short_cases", "outliers")]
+    monkeypatch.setattr(ablation, "SCORED_STAGES", stages)
+    got = {r.stage_name: r for r in ablation.ablation_scores(make_log(rows)).collect()}
+    assert list(got) == [s[0] for s in stages]
+    assert len(made) == 2  # the cases change only when the case of one event goes
+    assert len(fits) == 5 and all("prefix_activities" not in columns for columns in seen)
+    counts = {r.stage_name: r for r in ablation_row_counts(make_log(rows)).collect()}
+    for name, r in got.items():
+        assert (r.n_events, r.n_cases, r.n_prefix_rows) == tuple(counts[name])[2:] and r.primary_score >= 0
+    assert got["stable_sort"].primary_score == got["dedup"].primary_score and got["stable_sort"].delta_vs_previous == 0
