@@ -50,3 +50,13 @@ def test_kept_nodes_give_the_same_forest(encoded):
     assert est.getCacheNodeIds()
     walked = est.copy({est.cacheNodeIds: False})
     assert est.fit(encoded).toDebugString == walked.fit(encoded).toDebugString
+
+
+def test_a_frame_for_last_state_gathers_no_lists_of_activities(spark, monkeypatch):
+    from caseflow.plans import catalog
+    tried, plain = [], models.tuned_model
+    monkeypatch.setattr(models, "tuned_model", lambda data, task: tried.append(data.columns) or plain(data, task, {"linear": [{"alpha": 1.0}]}))
+    (r,) = catalog.q_tuned_model(spark, "/root/testdata/sf0.001").collect()
+    assert r.estimator == "linear" and r.val_mae > 0
+    assert "prefix_activities" not in tried[0] and "features" in tried[0]
+    assert catalog.model_frame(spark, "/root/testdata/sf0.001").columns.count("prefix_activities") == 1
